@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.chat_format import prefix_target_examples, read_back
 from marlstone.llm.common import table
 from marlstone.llm.exact_dedup import exact_dedup
+from marlstone.llm.suffix_dedup import repeated_spans
 from marlstone.llm.url_filter import ALLOW, BLOCK, UrlRule, url_verdicts
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -39,6 +40,17 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_spans(table(spark, sf_dir, "documents"), length=50)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,6 +61,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
 }
