@@ -115,7 +115,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
     """64-bit hashes of ``data[starts[i]:ends[i]]`` for sorted, disjoint spans of bytes.
 
     Prefix sums of byte * base**i give every span's polynomial at once; they
@@ -143,3 +143,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: i
         out[lo:hi] = (sums[e] - sums[s]) * powers(_INVERSE, piece)[s]
         lo = hi
     return mixed(out ^ (ends - starts).astype(np.uint64) * _MIX_1)
+
+
+def _table_of(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode("latin-1"))] = True
+    return out
+
+
+#: A-Z lower-cased, every other byte as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def byte_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of bytes with ``is_word``; none crosses a document."""
+    inside = is_word[data]
+    joins = np.zeros(len(data) + 1, bool)
+    joins[1:-1] = inside[1:] & inside[:-1]
+    joins[offsets] = False
+    return np.flatnonzero(inside & ~joins[:-1]), np.flatnonzero(inside & ~joins[1:]) + 1
