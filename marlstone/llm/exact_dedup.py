@@ -99,6 +99,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, fingerprint: Ca
     table gives no rows; other columns are ignored.
     """
     ids = checkpointed(block_identities(docs.select("doc_id", "text"), block_chars, fingerprint))
-    groups = ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written, so that both sides of the join below are shuffled and a hot group's partition can be split
+    groups = checkpointed(ids.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     out = ids.join(groups, ["level", "name"]).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
