@@ -163,3 +163,20 @@ def byte_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     joins[1:-1] = inside[1:] & inside[:-1]
     joins[offsets] = False
     return np.flatnonzero(inside & ~joins[:-1]), np.flatnonzero(inside & ~joins[1:]) + 1
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and offsets as code points and offsets."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    return points, starts[offsets]
+
+
+def row_slices(batch: pa.RecordBatch, text: str, each: int):
+    """Consecutive rows of a batch with about ``each`` bytes of text; at least one row."""
+    _, offsets = string_buffer(batch[text])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + each)))
+        yield batch.slice(a, b - a)
+        a = b

@@ -12,6 +12,7 @@ from marlstone.llm.common import table
 from marlstone.llm.decontaminate import contamination
 from marlstone.llm.exact_dedup import exact_dedup
 from marlstone.llm.suffix_dedup import repeated_spans
+from marlstone.llm.toxicity import ToxicityConfig, fit_toxicity, held_out, toxicity_scores
 from marlstone.llm.url_filter import ALLOW, BLOCK, UrlRule, url_verdicts
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -74,12 +75,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and label (``toxic``) of the rows that may be learned from."""
+    return table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, training_labels(spark, sf_dir), ToxicityConfig())
+    return toxicity_scores(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
