@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.bpe_sql import encode_and_decode
 from marlstone.llm.chat_format import prefix_target_examples, read_back
-from marlstone.llm.common import table
+from marlstone.llm.common import shared_folder, table
 from marlstone.llm.decontaminate import contamination
 from marlstone.llm.exact_dedup import exact_dedup
 from marlstone.llm.suffix_dedup import repeated_spans
+from marlstone.llm.token_files import read_token_files, write_token_files
 from marlstone.llm.toxicity import ToxicityConfig, fit_toxicity, held_out, toxicity_scores
 from marlstone.llm.url_filter import ALLOW, BLOCK, UrlRule, url_verdicts
 
@@ -71,6 +75,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    back = read_token_files(manifest)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -86,13 +98,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_token_files": op5_token_files,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_bpe": op8_bpe,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
