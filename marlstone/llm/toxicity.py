@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import checkpointed, code_points, powers, row_slices, string_buffer
 
 _STEP = 0x9E3779B97F4A7C15 | 1
-_SLICE = 4 << 20
+#: Bytes of text scored at once; counted at once, where every n-gram is held.
+_SLICE, _FIT_SLICE = 2 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << config.bits), np.int64)
         for batch in batches:
-            for part in row_slices(batch, "text", _SLICE):
+            for part in row_slices(batch, "text", _FIT_SLICE):
                 data, offsets = string_buffer(part["text"])
                 doc, bucket = _present(*code_points(data, offsets), config, everything)
                 label = part["label"].to_numpy()[doc]
