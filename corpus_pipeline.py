@@ -1,16 +1,88 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage."""
+"""The corpus pipeline: documents through five of the training-data operators, stage by stage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from marlstone.llm.bpe_sql import encode_and_decode
+from marlstone.llm.common import ascii_lower, shared_folder, table
+from marlstone.llm.decontaminate import contamination, without_spans
+from marlstone.llm.exact_dedup import exact_dedup
+from marlstone.llm.jaccard_join import Similarity, similar_documents
+from marlstone.llm.queries import training_labels
+from marlstone.llm.toxicity import ToxicityConfig, fit_toxicity, toxicity_scores
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is among ``ids.id``; null is an id too."""
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier takes for toxic; it is fitted on the labelled ones of ``docs``."""
+    model = fit_toxicity(docs, training_labels(spark, sf_dir), ToxicityConfig())
+    return toxicity_scores(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def _normalised_sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(ascii_lower(text), F.lit("")), 256)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id stays; of rows that repeat an id and text, one."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    keyed = docs.withColumn("_sha", _normalised_sha(F.col("text")))
+    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["id"]) & (keyed["_sha"] == kept["sha"]), "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(*others, "text"))
+    return found.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by similar sets of five-word shingles (0.8 or more), the one with the smallest doc_id stays."""
+    found = similar_documents(docs, Similarity(words=5, num=80, den=100))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
+    return _with_ids(docs, kept).select(*docs.columns)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts all words out of texts that lie in an occurrence of a benchmark item's window; n_chars follows the text."""
+    found = without_spans(contamination(docs, table(spark, sf_dir, "benchmark"), window=10))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, and their digests: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    coded = encode_and_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", cut_benchmark_passages),
+    ("bpe", encode),
+]
+
+#: The first and third stages have no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
     return docs

@@ -14,6 +14,7 @@ from marlstone.llm.chat_format import prefix_target_examples, read_back
 from marlstone.llm.common import shared_folder, table
 from marlstone.llm.decontaminate import contamination
 from marlstone.llm.exact_dedup import exact_dedup
+from marlstone.llm.html_text import with_main_text
 from marlstone.llm.jaccard_join import Similarity, similar_documents
 from marlstone.llm.suffix_dedup import repeated_spans
 from marlstone.llm.token_files import read_token_files, write_token_files
@@ -105,6 +106,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_documents(table(spark, sf_dir, "documents"), Similarity(words=3, num=90, den=100))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_main_text": op9_main_text,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
