@@ -14,8 +14,8 @@ from marlstone.llm.common import checkpointed, mixed, row_slices, shuffle_partit
 from marlstone.llm.graph import components
 from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets
 
-#: Bytes of text at once; signatures that a task holds before it passes them on; bytes of sets in a verified block.
-_SLICE, _HELD, BLOCK_BYTES = 2 << 20, 2_000_000, 8 << 20
+#: Bytes of text at once; signatures that a task holds before it passes them on; bytes of sets, and sets, in a verified block.
+_SLICE, _HELD, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 2_000_000, 8 << 20, 1000
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -200,12 +200,12 @@ def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity:
     """Verified links (a, b) that connect the nodes of each cluster of candidates as all its links do.
 
     Small clusters are verified many to a task. A cluster with more than
-    ``block_bytes`` of sets is cut into blocks by hash, and every pair of its
+    ``block_bytes`` or ``BLOCK_SETS`` of sets is cut into blocks by hash, and every pair of its
     blocks is a task's work of bounded size.
     """
     least = shuffle_partitions(docs.sparkSession)
     members = clusters.join(firsts, "node").select("node", "component", "rank", "n_shingles")
-    stats = members.groupBy("component").agg(F.ceil(F.sum("n_shingles") * 8 / block_bytes).cast("int").alias("blocks"))
+    stats = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") * 8 / block_bytes, F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
     placed = checkpointed(members.join(stats, "component").select("node", "component", "rank", "n_shingles", "blocks"))
     packs = max(least, -(-(placed.agg(F.sum("n_shingles")).first()[0] or 0) * 8 // block_bytes))
 
