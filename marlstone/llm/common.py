@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,27 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session has none (local tests).
+    A temporary one is set only where the session has none (local tests).
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (see ``checkpointed``)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again, which cuts its lineage.
+
+    Files outlive lost executors, and a plan that reads them has nothing of
+    the old one. (``DataFrame.checkpoint`` keeps the old plan's constraints,
+    which loops of joins multiply until the planner stands still.)
+    """
+    path = f"{shared_folder(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
