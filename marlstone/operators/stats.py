@@ -175,3 +175,49 @@ def sector_attribution(books: DataFrame, weight: str, sector: str, by: Sequence[
     """Sector weights and their distance from equal sector weights."""
     own = books.groupBy(*by, sector).agg(F.sum(weight).alias("sector_weight"))
     return own.withColumn("allocation", F.col("sector_weight") - 1 / F.count("*").over(Window.partitionBy(*by)))
+
+
+def hac_regression(series: DataFrame, y: str, x: str, by: Sequence[str], on: str, lags: int = 4) -> DataFrame:
+    """Intercept and slope of y on x per series with Newey-West errors, from window sums: alpha, beta, t_alpha, t_beta, n."""
+    w, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(on)
+    fitted = series.withColumns({"_b": F.covar_samp(y, x).over(w) / F.var_samp(x).over(w), "_mx": F.avg(x).over(w), "_my": F.avg(y).over(w)})
+    fitted = fitted.withColumn("_e", F.col(y) - F.col("_my") - F.col("_b") * (F.col(x) - F.col("_mx")))
+    cells = {}
+    for lag in range(lags + 1):
+        e = F.col("_e") * F.lag("_e", lag).over(order)
+        x2 = F.lag(x, lag).over(order)
+        cells |= {f"_o{lag}": e, f"_p{lag}": e * (F.col(x) + x2), f"_q{lag}": e * F.col(x) * x2}
+    moved = fitted.withColumns(cells)
+
+    def meat(kind: str) -> Column:
+        """Element of the lag-weighted sum: o for (1,1), p for (1,x), q for (x,x)."""
+        total = F.sum(f"_{kind}0") * (0.5 if kind == "p" else 1.0)
+        for lag in range(1, lags + 1):
+            total = total + F.coalesce(F.sum(f"_{kind}{lag}"), F.lit(0.0)) * ((1 - lag / (lags + 1)) * (1.0 if kind == "p" else 2.0))
+        return total
+
+    s = moved.groupBy(*by).agg(
+        F.count("*").alias("n"), F.first("_b").alias("beta"), (F.first("_my") - F.first("_b") * F.first("_mx")).alias("alpha"),
+        F.sum(x).alias("sx"), F.sum(F.col(x) * F.col(x)).alias("sxx"), meat("o").alias("m11"), meat("p").alias("m12"), meat("q").alias("m22"),
+    )
+    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    var_a = (F.col("sxx") * F.col("sxx") * F.col("m11") - 2 * F.col("sxx") * F.col("sx") * F.col("m12") + F.col("sx") * F.col("sx") * F.col("m22")) / (det * det)
+    var_b = (F.col("sx") * F.col("sx") * F.col("m11") - 2 * F.col("n") * F.col("sx") * F.col("m12") + F.col("n") * F.col("n") * F.col("m22")) / (det * det)
+    return s.select(*by, "n", "alpha", "beta", F.try_divide(F.col("alpha"), F.sqrt(var_a)).alias("t_alpha"), F.try_divide(F.col("beta"), F.sqrt(var_b)).alias("t_beta"))
+
+
+def earnings_stability(series: DataFrame, value: str, by: Sequence[str], on: str, rows: int = 12, most: float = 100.0) -> DataFrame:
+    """1 / deviation of the growth between the last ``rows`` values, at most ``most``; needs three values and two growths."""
+    w = Window.partitionBy(*by).orderBy(F.col(on).desc())
+    last = series.filter(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows)
+    before = F.lead(value).over(w)
+    grown = last.withColumn("_g", F.when(F.abs(before) > 0.001, (F.col(value) - before) / F.abs(before)))
+    sd = F.stddev_samp("_g")
+    out = grown.groupBy(*by).agg(F.count(value).alias("values"), F.count("_g").alias("growths"), F.least(F.try_divide(F.lit(1.0), sd), F.lit(most)).alias("stability"))
+    return out.filter("values >= 3 and growths >= 2 and stability is not null")
+
+
+def rescaled_costs(backtest: DataFrame, gross: str, turnover: str, levels: Sequence[float], on: str) -> DataFrame:
+    """(basis_points, on, net): the same gross returns under several cost levels."""
+    rows = backtest.withColumn("basis_points", F.explode(F.array(*[F.lit(float(b)) for b in levels])))
+    return rows.select("basis_points", on, (F.col(gross) - F.col(turnover) * 2 * F.col("basis_points") / 1e4).alias("net"))

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalars
 from marlstone.operators import crosssection as xs
 from marlstone.operators import portfolio as pf
-from marlstone.operators import quality, ratios, relational, stats, text
+from marlstone.operators import leaves, quality, ratios, relational, stats, text
 from marlstone.operators import timeseries as ts
 from marlstone.plans import views
 from marlstone.plans.views import with_views
+from marlstone.session import shared_folder
 from marlstone.sources.tables import as_json, export_rows, load
+from marlstone.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -829,3 +833,220 @@ SELECT symbol, n AS article_count, round(m, 4) AS avg_sentiment, p AS positive_c
 )
 def sentiment_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.sentiment_summary(text.scored_headlines(_titles(spark, sf_dir)), ["symbol"])
+
+
+# ---------------------------------------------------------------- grids, regressions, leaves, events
+
+
+@query(
+    with_views(
+        _FLAGSHIP
+        + """, port AS (SELECT b.month, sum(weight * coalesce(y, 0)) AS gross_ret FROM book b LEFT JOIN fwd USING (symbol, month) GROUP BY 1),
+bt AS (SELECT p.month, round(gross_ret, 6) AS g, round(turnover, 6) AS t FROM port p JOIN num USING (month) JOIN turn USING (k)),
+net AS (SELECT bp::DOUBLE AS basis_points, g - t * 2 * bp / 1e4 AS r FROM bt, (SELECT unnest([10, 20, 50, 100]) AS bp))
+SELECT basis_points, round(avg(r) / stddev_samp(r) * sqrt(12), 6) AS sharpe, round(exp(sum(ln(1 + r)) * 12 / count(*)) - 1, 6) AS ann_return FROM net GROUP BY 1""",
+        "returns",
+        "universe",
+        "fundamentals",
+    )
+)
+def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = stats.rescaled_costs(factor_backtest(spark, sf_dir), "gross_ret", "turnover", [10, 20, 50, 100], "month")
+    return stats.performance(net, "net", ["basis_points"]).select("basis_points", r6("sharpe"), r6("ann_return"))
+
+
+_VARIANTS = {"static": (0.6, 0.4), "momentum_only": (1.0, 0.0), "value_only": (0.0, 1.0), "equal": (0.5, 0.5)}
+
+
+@query(
+    with_views(
+        _FLAGSHIP
+        + f""", v AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {a}, {b})" for k, (a, b) in _VARIANTS.items())}) t(variant, a, b)),
+s AS (SELECT variant, z.month, a::DOUBLE * coalesce(momentum, 0) + b::DOUBLE * coalesce(value, 0) AS x, y FROM z JOIN fwd USING (symbol, month), v WHERE y IS NOT NULL),
+c AS (SELECT variant, month, corr(x, y) AS ic FROM s GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_pop(x) > 1e-12)
+SELECT variant, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, count(*) AS n FROM c GROUP BY 1""",
+        "returns",
+        "universe",
+        "fundamentals",
+    )
+)
+def weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _composites(spark, sf_dir).select("symbol", "month", "momentum", "value")
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in _VARIANTS.items()]))
+    zero = F.lit(0.0)
+    score = F.col("g.a") * F.coalesce("momentum", zero) + F.col("g.b") * F.coalesce("value", zero)
+    rows = z.join(_forward(spark, sf_dir).select("symbol", "month", "y"), ["symbol", "month"]).filter("y is not null").withColumn("g", grid).select("g.variant", "month", score.alias("x"), "y")
+    ic = rows.groupBy("variant", "month").agg(F.corr("x", "y").alias("ic"), F.count("*").alias("k"), F.stddev_pop("x").alias("s")).filter("k >= 5 and s > 1e-12")
+    return stats.ic_summary(ic, "ic", ["variant"]).select("variant", r6("mean_ic"), r6("ic_ir"), "n")
+
+
+_WINDOWS = [("early", "1995-01-01", "1996-12-31"), ("middle", "1997-01-01", "1998-12-31"), ("late", "1999-01-01", "2000-12-31")]
+
+
+@query(
+    with_views(
+        f""", w AS (SELECT * FROM (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _WINDOWS)}) t(win, a, b))
+SELECT win AS stress_window, strategy, count(*) AS n, round(exp(sum(ln(1 + r))) - 1, 6) AS total, min(r) AS worst FROM strategy_returns JOIN w ON month BETWEEN a AND b GROUP BY 1, 2""",
+        "strategy_returns",
+    )
+)
+def stress_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label: Column = F.lit(None).cast("string")
+    for name, a, b in _WINDOWS:  # the windows don't overlap
+        label = F.when(F.col("month").between(F.lit(a).cast("date"), F.lit(b).cast("date")), name).otherwise(label)
+    s = views.strategy_returns(spark, sf_dir).withColumn("stress_window", label).filter("stress_window is not null")
+    return s.groupBy("stress_window", "strategy").agg(F.count("*").alias("n"), r6(F.product(1 + F.col("r")) - 1, "total"), F.min("r").alias("worst"))
+
+
+@query(
+    with_views(
+        """, f AS (SELECT strategy, month, r, bench, regr_slope(r, bench) OVER s AS b, avg(r) OVER s AS my, avg(bench) OVER s AS mx FROM strategy_returns WINDOW s AS (PARTITION BY strategy)),
+e AS (SELECT *, r - my - b * (bench - mx) AS e, row_number() OVER (PARTITION BY strategy ORDER BY month) AS t FROM f),
+m AS (SELECT p.strategy, sum(k * p.e * q.e) AS m11, sum(k * p.e * q.e * (p.bench + q.bench) / 2) AS m12, sum(k * p.e * q.e * p.bench * q.bench) AS m22
+  FROM (SELECT p.strategy, p.t, p.e, p.bench FROM e p) p JOIN e q ON p.strategy = q.strategy AND abs(p.t - q.t) <= 4, LATERAL (SELECT 1 - abs(p.t - q.t) / 5 AS k) GROUP BY 1),
+s AS (SELECT strategy, count(*) AS n, any_value(b) AS beta, any_value(my) - any_value(b) * any_value(mx) AS alpha, sum(bench) AS sx, sum(bench * bench) AS sxx FROM f GROUP BY 1)
+SELECT strategy, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta,
+  round(alpha / sqrt((sxx * sxx * m11 - 2 * sxx * sx * m12 + sx * sx * m22) / pow(n * sxx - sx * sx, 2)), 6) AS t_alpha,
+  round(beta / sqrt((sx * sx * m11 - 2 * n * sx * m12 + n * n * m22) / pow(n * sxx - sx * sx, 2)), 6) AS t_beta FROM s JOIN m USING (strategy)""",
+        "strategy_returns",
+    )
+)
+def hac_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = stats.hac_regression(views.strategy_returns(spark, sf_dir), "r", "bench", ["strategy"], "month", lags=4)
+    return m.select("strategy", "n", r6("alpha"), r6("beta"), r6("t_alpha"), r6("t_beta"))
+
+
+@query(
+    with_views(
+        """, q AS (SELECT symbol, report_date, arg_max(field_value, event_id) AS v FROM fundamentals WHERE field_name = 'click' GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY report_date DESC) AS n FROM q QUALIFY n <= 12),
+g AS (SELECT *, lead(v) OVER (PARTITION BY symbol ORDER BY report_date DESC) AS p FROM l),
+h AS (SELECT symbol, count(v) AS n_values, count(CASE WHEN abs(p) > 0.001 THEN 1 END) AS growths, least(1 / nullif(stddev_samp(CASE WHEN abs(p) > 0.001 THEN (v - p) / abs(p) END), 0), 100.0) AS s FROM g GROUP BY 1)
+SELECT symbol, n_values, growths, round(s, 6) AS stability FROM h WHERE n_values >= 3 AND growths >= 2 AND s IS NOT NULL""",
+        "fundamentals",
+    )
+)
+def earnings_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = relational.latest_per_key(views.fundamentals(spark, sf_dir).filter("field_name = 'click'"), ["symbol", "report_date"], ["event_id"])
+    return stats.earnings_stability(last, "field_value", ["symbol"], "report_date").select("symbol", F.col("values").alias("n_values"), "growths", r6("stability"))
+
+
+@query(
+    with_views(
+        """, w AS (SELECT symbol, report_date, max(field_value) FILTER (field_name = 'purchase') AS o, max(field_value) FILTER (field_name = 'click') AS c, count(*) FILTER (field_name = 'view') AS n FROM fundamentals GROUP BY 1, 2)
+SELECT symbol, report_date, 'view' AS field_name, round(o - abs(c), 6) AS field_value FROM w WHERE n = 0 AND o IS NOT NULL AND c IS NOT NULL
+UNION ALL SELECT symbol, report_date, field_name, round(max(field_value), 6) FROM fundamentals GROUP BY 1, 2, 3""",
+        "fundamentals",
+    )
+)
+def derived_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = views.fundamentals(spark, sf_dir)
+    extra = ratios.free_cash_flow_rows(facts, ["symbol", "report_date"], ocf="purchase", capex="click", fcf="view")
+    known = facts.groupBy("symbol", "report_date", "field_name").agg(F.max("field_value").alias("field_value"))
+    filled = ratios.gap_filled(known, extra, ["symbol", "report_date", "field_name"])
+    return filled.select("symbol", "report_date", "field_name", r6("field_value"))
+
+
+@query(
+    with_views(
+        """SELECT month, round(coalesce(sum(volume) FILTER (sector = 'ASIA'), 0), 6) AS "ASIA", round(coalesce(sum(volume) FILTER (sector = 'EUROPE'), 0), 6) AS "EUROPE",
+  round(coalesce(sum(volume) FILTER (sector = 'AMERICA'), 0), 6) AS "AMERICA" FROM prices JOIN universe USING (symbol) WHERE sector IN ('ASIA', 'EUROPE', 'AMERICA') GROUP BY 1""",
+        "prices",
+        "universe",
+    )
+)
+def sector_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sectors = ["ASIA", "EUROPE", "AMERICA"]
+    rows = views.prices(spark, sf_dir).join(views.universe(spark, sf_dir), "symbol").filter(F.col("sector").isin(sectors))
+    wide = rows.groupBy("month").pivot("sector", sectors).sum("volume").na.fill(0.0)
+    return wide.select("month", *[r6(s) for s in sectors])
+
+
+@query(
+    f"""WITH parts AS ({_PARTS}) SELECT 'a' AS x, 'b' AS y, round(corr(a, b), 6) AS corr FROM parts UNION ALL SELECT 'a', 'c', round(corr(a, c), 6) FROM parts UNION ALL SELECT 'b', 'c', round(corr(b, c), 6) FROM parts"""
+)
+def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    one = _parts(spark, sf_dir).agg(*[F.corr(x, y).alias(f"{x}{y}") for x, y in pairs])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"{x}{y}").alias("corr")) for x, y in pairs])).alias("r")).select("r.x", "r.y", r6("r.corr", "corr"))
+
+
+@query(
+    with_views(
+        """SELECT symbol, round(avg(px), 6) AS mean, max(px) AS high, min(px) AS low, arg_max(px, month) AS latest, round(arg_max(px, month) / arg_min(px, month) - 1, 6) AS period_return FROM prices GROUP BY 1""",
+        "prices",
+    )
+)
+def archive_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.prices(spark, sf_dir)
+    last, first = F.max_by("px", "month"), F.min_by("px", "month")
+    return p.groupBy("symbol").agg(r6(F.avg("px"), "mean"), F.max("px").alias("high"), F.min("px").alias("low"), last.alias("latest"), r6(last / first - 1, "period_return"))
+
+
+@query(
+    with_views(
+        """, b AS (SELECT month, any_value(bench) AS v FROM strategy_returns WHERE bench IS NOT NULL GROUP BY 1),
+seen AS (SELECT x.month, count(*) AS n, count(*) FILTER (y.v < x.v) AS under, count(*) FILTER (y.v = x.v) AS same FROM b x JOIN b y ON y.month <= x.month GROUP BY 1),
+g AS (SELECT month, CASE WHEN n < 20 THEN 'NORMAL' WHEN (under + (same + 1) / 2) / n < 0.3 THEN 'LOW' WHEN (under + (same + 1) / 2) / n > 0.8 THEN 'HIGH' ELSE 'NORMAL' END AS regime FROM seen),
+f AS (SELECT symbol, month, momentum, ret AS reversal FROM returns),
+q AS (SELECT month, quantile_cont(momentum, 0.25) AS ml, quantile_cont(momentum, 0.75) AS mh, quantile_cont(reversal, 0.25) AS rl, quantile_cont(reversal, 0.75) AS rh FROM f GROUP BY 1),
+d AS (SELECT month, CASE WHEN count(momentum) >= 10 THEN avg(momentum) FILTER (momentum >= mh) - avg(momentum) FILTER (momentum <= ml) ELSE 0 END AS m,
+  CASE WHEN count(reversal) >= 10 THEN avg(reversal) FILTER (reversal >= rh) - avg(reversal) FILTER (reversal <= rl) ELSE 0 END AS r FROM f JOIN q USING (month) GROUP BY 1),
+t AS (SELECT month, regime, greatest(0.6::DOUBLE * (1 + 0.5 * CASE regime WHEN 'LOW' THEN 0.2 WHEN 'HIGH' THEN -0.4 ELSE 0 END) * (1 + 0.5 * m), 0) AS m,
+  greatest(0.4::DOUBLE * (1 + 0.5 * CASE regime WHEN 'HIGH' THEN 0.4 ELSE 0 END) * (1 + 0.5 * r), 0) AS r FROM d JOIN g USING (month))
+SELECT month, regime, round(m / (m + r), 6) AS w_momentum, round(r / (m + r), 6) AS w_reversal FROM t""",
+        "returns",
+        "strategy_returns",
+    )
+)
+def dynamic_factor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = views.strategy_returns(spark, sf_dir).filter("bench is not null").groupBy("month").agg(F.first("bench").alias("v"))
+    regime = ts.regimes(bench, "v", "month").select("month", "regime")
+    spread = xs.dispersion(_returns(spark, sf_dir).withColumn("reversal", F.col("ret")), ["momentum", "reversal"], ["month"])
+    tilt = {"LOW": {"momentum": 0.2}, "HIGH": {"momentum": -0.4, "reversal": 0.4}}
+    w = xs.dynamic_weights({"momentum": 0.6, "reversal": 0.4}, spread, regime, ["month"], tilt)
+    return w.select("month", "regime", r6("w_momentum"), r6("w_reversal"))
+
+
+@query()
+def minimum_variance_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _returns(spark, sf_dir).filter("ret is not null").join(views.universe(spark, sf_dir), "symbol")
+    return leaves.leg_weights(own, ["sector"], "symbol", "month", "ret").select("sector", "symbol", r6("weight"))
+
+
+@query()
+def risk_parity_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _returns(spark, sf_dir).filter("ret is not null").join(views.universe(spark, sf_dir), "symbol")
+    return leaves.leg_weights(own, ["sector"], "symbol", "month", "ret", method="risk_parity").select("sector", "symbol", r6("weight"))
+
+
+@query()
+def scaled_navs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaves.scaled_navs(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month").select("strategy", "month", "scale", r6("nav"))
+
+
+@query()
+def bandit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ts.trailing_z(views.strategy_returns(spark, sf_dir), "bench", ["strategy"], "month", rows=24).withColumn("one", F.lit(1.0))
+    return leaves.bandit_replay(s, ["one", "z"], "r", ["strategy"], "month").select("strategy", "month", "arm", r6("mean"))
+
+
+@query()
+def probabilistic_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    monthly = stats.performance(views.strategy_returns(spark, sf_dir), "r", ["strategy"], periods=1)
+
+    @F.pandas_udf("double")
+    def psr(sharpe: pd.Series, n: pd.Series, skew: pd.Series, kurtosis: pd.Series) -> pd.Series:
+        return pd.Series([stats.probabilistic_sharpe(a, 0.0, int(b), c, d) for a, b, c, d in zip(sharpe, n, skew, kurtosis)])
+
+    return monthly.select("strategy", r6("sharpe"), r6(psr("sharpe", "n", "skew", "excess_kurtosis"), "psr"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events published as keyed JSON, consumed as a bounded stream and summed."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events.keyed_messages(load(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id").write.parquet(f"{folder}/topic")
+    stream = events.decoded(events.read_messages(spark, f"{folder}/topic"), "event_id bigint, event_type string, value double")
+    events.consume(stream, lambda df, _: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
