@@ -183,3 +183,32 @@ def row_slices(batch: pa.RecordBatch, text: str, each: int):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + each)))
         yield batch.slice(a, b - a)
         a = b
+
+
+_CODEC = "zstd"
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value."""
+    head = np.array([x.nbytes for x in arrays], np.int64)
+    raw = b"".join(x.tobytes() for x in (np.array([len(arrays)], np.int64), head, *arrays))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=_CODEC, asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    sizes, at, out = np.frombuffer(raw, np.int64, n, 8), 8 + 8 * n, []
+    for size, kind in zip(sizes, kinds):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+_MESSAGE = pa.schema([("to", pa.int64()), ("sender", pa.int64()), ("body", pa.binary())])
+MESSAGE_DDL = "to bigint, sender bigint, body binary"
+
+
+def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    """(to, sender, body) rows between blocks and groups."""
+    return pa.table(list(zip(*rows)) or [[], [], []], schema=_MESSAGE)

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import checkpointed, mixed, row_slices, shuffle_partitions, string_buffer
+from marlstone.llm.common import MESSAGE_DDL, checkpointed, messages, mixed, packed, pieces_for, row_slices, shuffle_partitions, string_buffer, unpacked
 from marlstone.llm.graph import components
 from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets
 
@@ -126,22 +126,53 @@ def _named_documents(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame
     raise ValueError("different sets share a name under every salt")
 
 
-def _candidates(docs: DataFrame, similarity: Similarity, salt: int) -> DataFrame:
+_KEY_BYTES = 5
+
+
+def _to_groups(keys: np.ndarray, nodes: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """(group, message) of (key, node) rows: each node once with the number of its keys, and five bytes of each key.
+
+    The group and those bytes tell 2**40 keys apart in every group, and groups
+    are of a bounded size; two keys taken for one make a needless candidate.
+    """
+    group = ((keys >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
+    o = np.lexsort((nodes, group))
+    group, keys, nodes = group[o], keys[o], nodes[o]
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+    for i, j in zip(cut, np.r_[cut[1:], len(group)]):
+        own = nodes[i:j]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        short = np.ascontiguousarray(keys[i:j]).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
+        yield int(group[i]), packed(own[first], np.diff(np.r_[first, j - i]).astype(np.uint32), short.ravel())
+
+
+def _from_message(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    nodes, counts, short = unpacked(body, np.int64, np.uint32, np.uint8)
+    wide = np.zeros((len(short) // _KEY_BYTES, 8), np.uint8)
+    wide[:, :_KEY_BYTES] = short.reshape(-1, _KEY_BYTES)
+    return wide.view(np.uint64).ravel(), np.repeat(nodes, counts)
+
+
+def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles: int) -> DataFrame:
     """Edges (a, b) between nodes such that nodes with a common key are connected.
 
     Each task joins its own nodes by key first, so a key that many documents
-    have reaches the shuffle once a task.
+    have reaches the shuffle once for some millions of signatures; keys are
+    dealt to groups of about ``_HELD`` signatures as packed arrays.
     """
+    per_shingle = 2 * (similarity.den - similarity.num) / similarity.num + 0.05
+    groups = pieces_for(int(n_shingles * per_shingle), _HELD, shuffle_partitions(docs.sparkSession))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def passed() -> Iterator[pa.RecordBatch]:
             keys, least, a, b = _star(*(np.concatenate(x) for x in zip(*held)))
-            for kind, x, y in ((0, keys.view(np.int64), least), (1, a, b)):
-                for i in range(0, len(x), 1 << 16):
-                    part = x[i : i + (1 << 16)]
-                    yield pa.record_batch([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(y[i : i + (1 << 16)])], names=["kind", "x", "y"])
+            rows = [(g, 0, body) for g, body in _to_groups(keys, least, groups)]
+            home = mixed(b.view(np.uint64)) % np.uint64(groups)  # edges are dealt by their second node
+            for g in np.unique(home).tolist():
+                rows.append((int(g), 1, packed(a[home == g], b[home == g])))
+            yield from messages(rows).to_batches()
 
         for batch in batches:
             for part in row_slices(batch, "text", _SLICE):
@@ -154,11 +185,15 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int) -> DataFrame
         if held:
             yield from passed()
 
-    rows = docs.mapInArrow(sign, "kind tinyint, x bigint, y bigint")
-    # rows of kind 1 are edges already; they are dealt by their second node
-    by = Window.partitionBy("kind", F.when(F.col("kind") == 0, F.col("x")).otherwise(F.col("y")))
-    met = rows.withColumn("a", F.when(F.col("kind") == 0, F.min("y").over(by)).otherwise(F.col("x")))
-    return met.select("a", F.col("y").alias("b")).filter("a <> b").distinct()
+    def meet(table: pa.Table) -> pa.Table:
+        kinds, bodies = table["sender"].to_pylist(), table["body"].to_pylist()
+        told = [_from_message(x) for k, x in zip(kinds, bodies) if k == 0] or [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+        _, _, a, b = _star(*(np.concatenate(x) for x in zip(*told)))
+        edges = [unpacked(x, np.int64, np.int64) for k, x in zip(kinds, bodies) if k == 1]
+        pairs = np.unique(np.stack([np.concatenate([a, *(x for x, _ in edges)]), np.concatenate([b, *(y for _, y in edges)])], axis=1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return docs.mapInArrow(sign, MESSAGE_DDL).groupBy("to").applyInArrow(meet, "a bigint, b bigint")
 
 
 def _forest(sets: list[np.ndarray], blocks: np.ndarray | None, similarity: Similarity) -> list[tuple[int, int]]:
@@ -209,39 +244,37 @@ def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity:
     placed = checkpointed(members.join(stats, "component").select("node", "component", "rank", "n_shingles", "blocks"))
     packs = max(least, -(-(placed.agg(F.sum("n_shingles")).first()[0] or 0) * 8 // block_bytes))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text", _SLICE):
-                hashes, ends, node = _sets_of(part, similarity, salt)
-                raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(hashes)])
-                out = pa.RecordBatch.from_arrays([part["node"], part["component"], part["blocks"], raw], names=["node", "component", "blocks", "hashes"])
-                yield out.filter(pa.array(node == part["node"].to_numpy()))
-
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    chosen = docs.select("rank", "text").join(placed, "rank").select("node", "component", "blocks", "text")
-    sets = chosen.mapInArrow(read, "node bigint, component bigint, blocks int, hashes binary").withColumn("block", block)
+    chosen = docs.select("rank", "text").join(placed, "rank").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("other", F.explode(others)).select(
+    dealt = chosen.withColumn("other", F.explode(others)).select(
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component")).alias("g"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("lo"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("hi"),
         "component",
         "block",
         "node",
-        "hashes",
+        "text",
     )
 
     def verify(table: pa.Table) -> pa.Table:
         component, node, block = (table[c].to_numpy() for c in ("component", "node", "block"))
-        raw, across = table["hashes"].to_pylist(), table["lo"][0].as_py() != table["hi"][0].as_py()
+        across = table["lo"][0].as_py() != table["hi"][0].as_py()
         o = np.lexsort((node, component))
-        o = o[np.r_[True, (node[o][1:] != node[o][:-1]) | (component[o][1:] != component[o][:-1])]]  # copies of a document
         found = []
         for rows in np.split(o, np.flatnonzero(component[o][1:] != component[o][:-1]) + 1):
-            if len(rows) > 1:
-                links = _forest([np.frombuffer(raw[i], np.uint64) for i in rows], block[rows] if across else None, similarity)
-                found += [(node[rows[i]], node[rows[k]]) for i, k in links]
-        return pa.table([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(y) for _, y in found], pa.int64())], names=["a", "b"])
+            sets: dict[int, tuple[int, np.ndarray]] = {}  # other documents of the same id have other nodes
+            part = pa.record_batch([table["text"].take(pa.array(rows)).combine_chunks()], names=["text"])
+            at = 0
+            for some in row_slices(part, "text", _SLICE):
+                hashes, ends, own = _sets_of(some, similarity, salt)
+                for i in np.flatnonzero(own == node[rows[at : at + some.num_rows]]).tolist():
+                    sets[int(own[i])] = int(block[rows[at + i]]), hashes[ends[i] : ends[i + 1]].copy()
+                at += some.num_rows
+            if len(sets) > 1:
+                names = list(sets)
+                links = _forest([sets[x][1] for x in names], np.array([sets[x][0] for x in names]) if across else None, similarity)
+                found += [(names[i], names[k]) for i, k in links]
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return dealt.groupBy("g", "lo", "hi").applyInArrow(verify, "a bigint, b bigint")
 
@@ -259,7 +292,7 @@ def similar_documents(docs: DataFrame, similarity: Similarity = Similarity(), bl
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("rank"), "text")
     named, salt = _named_documents(docs, similarity)
     firsts = checkpointed(named.filter("n_shingles > 0").groupBy("node").agg(F.min("rank").alias("rank"), F.first("n_shingles").alias("n_shingles")))
-    clusters = components(_candidates(docs, similarity, salt))
+    clusters = components(_candidates(docs, similarity, salt, named.agg(F.sum("n_shingles")).first()[0] or 0))
     linked = components(_links(docs, firsts, clusters, similarity, salt, block_bytes))
     of_node = firsts.select("node", "rank").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("rank").alias("component_rank"))

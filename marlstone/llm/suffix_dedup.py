@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import mixed, pieces_for, powers, shuffle_partitions, string_buffer, text_bytes
+from marlstone.llm.common import MESSAGE_DDL, messages, mixed, packed, pieces_for, powers, shuffle_partitions, string_buffer, text_bytes, unpacked
 
 #: Bytes of text in a block (one task's unit), behind a group of anchors, and in one transform.
 BLOCK_BYTES, GROUP_BYTES, CHUNK_BYTES = 8 << 20, 32 << 20, 1 << 20
@@ -133,33 +133,6 @@ def _earliest(segments: list[bytes], docs: np.ndarray, length: int) -> np.ndarra
     return out[whole]
 
 
-_CODEC = "zstd"
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    head = np.array([x.nbytes for x in arrays], np.int64)
-    raw = b"".join(x.tobytes() for x in (np.array([len(arrays)], np.int64), head, *arrays))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec=_CODEC, asbytes=True)
-
-
-def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec=_CODEC, asbytes=True)
-    n = int.from_bytes(raw[:8], "little")
-    sizes, at, out = np.frombuffer(raw, np.int64, n, 8), 8 + 8 * n, []
-    for size, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
-_MESSAGE = pa.schema([("to", pa.int64()), ("sender", pa.int64()), ("body", pa.binary())])
-_MESSAGE_DDL = "to bigint, sender bigint, body binary"
-
-
-def _messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    return pa.table(list(zip(*rows)) or [[], [], []], schema=_MESSAGE)
-
-
 def _ordered(docs: pa.Table) -> pa.Table:
     """Rows in one order, however the shuffle delivered them: places in a block are spoken of between steps."""
     return docs.sort_by([("rank", "ascending"), ("text", "ascending")])
@@ -232,10 +205,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
     def tell(table: pa.Table) -> pa.Table:
         block, to = _Block(table, length, gram), table["to"][0].as_py()
         keys, shared, _ = block.distinct()
-        return _messages([(g, to, _packed(mixed(keys[at]).astype(np.uint32), np.packbits(shared[at]))) for g, at in _by_group(keys, groups)])
+        return messages([(g, to, packed(mixed(keys[at]).astype(np.uint32), np.packbits(shared[at]))) for g, at in _by_group(keys, groups)])
 
     def find_shared(table: pa.Table) -> pa.Table:
-        told = [_unpacked(x, np.uint32, np.uint8) for x in table["body"].to_pylist()]
+        told = [unpacked(x, np.uint32, np.uint8) for x in table["body"].to_pylist()]
         prints = np.concatenate([x[0] for x in told])
         sizes = [len(x[0]) for x in told]
         several = np.concatenate([np.unpackbits(x[1], count=n) for x, n in zip(told, sizes)]).astype(bool)
@@ -248,17 +221,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
         answer[o] = yes[at]
         parts = np.split(answer, np.cumsum(sizes)[:-1])
         me = table["to"][0].as_py()
-        return _messages([(to, me, _packed(np.packbits(part))) for to, part in zip(table["sender"].to_pylist(), parts) if part.any()])
+        return messages([(to, me, packed(np.packbits(part))) for to, part in zip(table["sender"].to_pylist(), parts) if part.any()])
 
     def send_runs(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
-            return _messages([])
+            return messages([])
         block, to = _Block(docs_, length, gram), docs_["to"][0].as_py()
         keys, _, place = block.distinct()
         answer, shared = dict(zip(answers["sender"].to_pylist(), answers["body"].to_pylist())), np.zeros(len(keys), bool)
         for g, at in _by_group(keys, groups):
             if g in answer:
-                shared[at] = np.unpackbits(_unpacked(answer[g], np.uint8)[0], count=len(at))
+                shared[at] = np.unpackbits(unpacked(answer[g], np.uint8)[0], count=len(at))
         runs = np.flatnonzero(shared[place])
         raw, rows = block.data.tobytes(), []
         for g, at in _by_group(block.keys[runs], groups):
@@ -272,14 +245,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
             key = np.empty(len(seen), np.uint32)
             key[of] = mixed(block.keys[mine]).astype(np.uint32)
             sizes = np.array([len(x) for x in seen], np.uint32)
-            rows.append((g, to, _packed(mine.astype(np.uint32), of, key, first, last, sizes, np.frombuffer(b"".join(seen), np.uint8))))
-        return _messages(rows)
+            rows.append((g, to, packed(mine.astype(np.uint32), of, key, first, last, sizes, np.frombuffer(b"".join(seen), np.uint8))))
+        return messages(rows)
 
     def find_earliest(table: pa.Table) -> pa.Table:
         ids: dict[bytes, int] = {}
         keys, firsts, lasts, sent = [], [], [], []
         for to, body in zip(table["sender"].to_pylist(), table["body"].to_pylist()):
-            runs, of, key, first, last, sizes, raw = _unpacked(body, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint8)
+            runs, of, key, first, last, sizes, raw = unpacked(body, np.uint32, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint8)
             raw, at, mine = raw.tobytes(), np.r_[0, np.cumsum(sizes.astype(np.int64))].tolist(), np.empty(len(sizes), np.int64)
             for i in range(len(sizes)):
                 mine[i] = ids.setdefault(raw[at[i] : at[i + 1]], len(ids))
@@ -330,8 +303,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
             many = count[of]
             if many.sum():
                 at = expanded(begin[of], many)
-                rows.append((to, me, _packed(np.repeat(runs, many), lo[at].astype(np.uint32), span[at].astype(np.uint32), m[at])))
-        return _messages(rows)
+                rows.append((to, me, packed(np.repeat(runs, many), lo[at].astype(np.uint32), span[at].astype(np.uint32), m[at])))
+        return messages(rows)
 
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -344,7 +317,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
         if answers.num_rows:
             block = _Block(docs_, length, gram)
             for body in answers["body"].to_pylist():
-                runs, lo, span, m = _unpacked(body, np.uint32, np.uint32, np.uint32, np.int64)
+                runs, lo, span, m = unpacked(body, np.uint32, np.uint32, np.uint32, np.int64)
                 mine = m < block.order[block.doc[runs]]
                 at = block.starts[runs[mine]] + lo[mine]
                 np.add.at(depth, at, 1)
@@ -363,7 +336,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
             schema=out_schema,
         )
 
-    shared = dealt.groupBy("to").applyInArrow(tell, _MESSAGE_DDL).groupBy("to").applyInArrow(find_shared, _MESSAGE_DDL)
-    runs = dealt.groupBy("to").cogroup(shared.groupBy("to")).applyInArrow(send_runs, _MESSAGE_DDL)
-    earliest = runs.groupBy("to").applyInArrow(find_earliest, _MESSAGE_DDL)
+    shared = dealt.groupBy("to").applyInArrow(tell, MESSAGE_DDL).groupBy("to").applyInArrow(find_shared, MESSAGE_DDL)
+    runs = dealt.groupBy("to").cogroup(shared.groupBy("to")).applyInArrow(send_runs, MESSAGE_DDL)
+    earliest = runs.groupBy("to").applyInArrow(find_earliest, MESSAGE_DDL)
     return dealt.groupBy("to").cogroup(earliest.groupBy("to")).applyInArrow(cover, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
