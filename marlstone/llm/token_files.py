@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -15,35 +14,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import checkpointed, pieces_for, row_slices, shuffle_partitions, string_buffer, text_bytes
+from marlstone.llm.crc32c import crc32c_of
 from marlstone.llm.pieces import PieceCache
 
 #: Bytes of text behind a file, and at once.
 FILE_BYTES, _SLICE = 16 << 20, 2 << 20
-#: What a checksum is rotated by and added to, so that checksums of data that hold checksums stay strong (fixed value).
-_MASK = 0xA282EAD8
+#: What a checksum is rotated by and added to, so that checksums of data that hold checksums stay strong (fixed values).
+_ROTATE, _MASK = 15, 0xA282EAD8
 
 
-def masked_crc(data: bytes) -> int:
-    crc = zlib.crc32(data)
-    return (((crc >> 15) | (crc << 17)) + _MASK) & 0xFFFFFFFF
+def masked_crcs(strings: list[bytes]) -> np.ndarray:
+    crc = crc32c_of(strings)
+    return (((crc >> np.uint32(_ROTATE)) | (crc << np.uint32(32 - _ROTATE))) + np.uint32(_MASK)).astype("<u4")
 
 
-def framed(payload: bytes) -> bytes:
-    """Length (8 bytes), its masked checksum (4), payload, its masked checksum (4); all little-endian."""
-    size = len(payload).to_bytes(8, "little")
-    return b"".join((size, masked_crc(size).to_bytes(4, "little"), payload, masked_crc(payload).to_bytes(4, "little")))
+def framed(payloads: list[bytes]) -> list[bytes]:
+    """Each as a record: length (8 bytes), its masked CRC-32C (4), payload, its masked CRC-32C (4); all little-endian."""
+    sizes = [len(p).to_bytes(8, "little") for p in payloads]
+    return [b"".join((size, a.tobytes(), p, b.tobytes())) for size, a, p, b in zip(sizes, masked_crcs(sizes), payloads, masked_crcs(payloads))]
 
 
-def unframed(data: bytes | memoryview, at: int) -> tuple[bytes, int]:
-    """The payload of the record at ``at``, and where the next begins; raises where a checksum differs."""
-    size = bytes(data[at : at + 8])
-    if masked_crc(size) != int.from_bytes(data[at + 8 : at + 12], "little"):
-        raise ValueError(f"record at byte {at}: its length is damaged")
-    end = at + 12 + int.from_bytes(size, "little")
-    payload = bytes(data[at + 12 : end])
-    if masked_crc(payload) != int.from_bytes(data[end : end + 4], "little"):
-        raise ValueError(f"record at byte {at}: its data are damaged")
-    return payload, end + 4
+def unframed(data: bytes, offsets: list[int]) -> list[bytes]:
+    """The payloads of the records at ``offsets``; raises where a checksum differs."""
+    sizes = [bytes(data[at : at + 8]) for at in offsets]
+    kept = np.array([int.from_bytes(data[at + 8 : at + 12], "little") for at in offsets], np.uint32)
+    if (bad := np.flatnonzero(masked_crcs(sizes) != kept)).size:
+        raise ValueError(f"record at byte {offsets[bad[0]]}: its length is damaged")
+    ends = [at + 12 + int.from_bytes(size, "little") for at, size in zip(offsets, sizes)]
+    payloads = [bytes(data[at + 12 : end]) for at, end in zip(offsets, ends)]
+    kept = np.array([int.from_bytes(data[end : end + 4], "little") for end in ends], np.uint32)
+    if (bad := np.flatnonzero(masked_crcs(payloads) != kept)).size:
+        raise ValueError(f"record at byte {offsets[bad[0]]}: its data are damaged")
+    return payloads
 
 
 class LibraryBpe:
@@ -118,13 +120,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             for batch in batches:
                 for part in row_slices(batch, "text", _SLICE):
                     ids, ends = bpe.cache.ids_of(*string_buffer(part["text"]))
-                    for doc_id, a, b in zip(part["doc_id"].to_pylist(), ends.tolist(), ends[1:].tolist()):
-                        own = ids[a:b] if end_id is None else np.append(ids[a:b], np.uint32(end_id))
-                        record = framed(_payload(doc_id, own.astype(kind)))
+                    tail = [] if end_id is None else [np.uint32(end_id)]
+                    sequences = [np.append(ids[a:b], tail).astype(kind) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                    tokens += sum(map(len, sequences))
+                    for record in framed([_payload(d, x) for d, x in zip(part["doc_id"].to_pylist(), sequences)]):
                         out.write(record)
                         offsets_of.append(at)
                         at += len(record)
-                        tokens += len(own)
         with fs.open_output_stream(f"{path}.index") as out:
             out.write(np.array(offsets_of, "<i8").tobytes())
         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([len(offsets_of)]), pa.array([tokens]), pa.array([name])], names=["shard", "records", "tokens", "path"])
@@ -157,8 +159,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _SLICE)))
                         data = f.read_at((offsets[b] if b < len(offsets) else size) - offsets[a], offsets[a])
                         doc_ids, starts, ids = [], [], []
-                        for at in offsets[a:b]:
-                            payload, _ = unframed(data, at - offsets[a])
+                        for payload in unframed(data, [at - offsets[a] for at in offsets[a:b]]):
                             own = np.frombuffer(payload, f"<u{payload[0] & 127}", -1, 9)
                             doc_ids.append(None if payload[0] & 128 else int.from_bytes(payload[1:9], "little", signed=True))
                             starts.append(start)

@@ -1,6 +1,5 @@
 import base64
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +12,7 @@ from tokenizers import Tokenizer
 
 from marlstone.llm.bpe_sql import encode_and_decode
 from marlstone.llm.common import string_buffer
+from marlstone.llm.crc32c import crc32c_of
 from marlstone.llm.html_text import main_text, with_main_text
 from marlstone.llm.pieces import split_pieces
 from marlstone.llm.token_files import framed, read_token_files, unframed, write_token_files
@@ -62,13 +62,31 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
     assert read_token_files(write_token_files(no_docs, path, f"file://{tmp_path}/b")).count() == 0
 
 
-def test_damaged_record():
-    record = framed(b"payload") + framed(b"")
-    assert unframed(record, 0) == (b"payload", 23) and unframed(record, 23) == (b"", len(record))
+def test_records():
+    first, second = framed([b"payload", b""])
+    record = first + second
+    assert unframed(record, [0, 23]) == [b"payload", b""] and unframed(record, []) == [] == framed([])
     for i in (0, 9, 14, 20):
         with pytest.raises(ValueError):
-            unframed(record[:i] + bytes([record[i] ^ 1]) + record[i + 1 :], 0)
-    assert zlib.crc32(b"123456789") == 0xCBF43926
+            unframed(record[:i] + bytes([record[i] ^ 1]) + record[i + 1 :], [0])
+
+
+def test_checksums():
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0x82F63B78 if i & 1 else 0)
+        table.append(i)
+
+    def plain(data):
+        crc = 0xFFFFFFFF
+        for b in data:
+            crc = table[(crc ^ b) & 255] ^ (crc >> 8)
+        return crc ^ 0xFFFFFFFF
+
+    rng = random.Random(0)
+    strings = [b"123456789", b"", *(rng.randbytes(rng.choice([1, 8, 63, 64, 65, 128, 1000, 5000])) for _ in range(60))]
+    assert crc32c_of(strings).tolist() == [plain(x) for x in strings] and plain(b"123456789") == 0xE3069283
 
 
 RULES = [UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"), UrlRule("allow", "www.example.com", "/en/"), UrlRule("block", "net", "/es/")]
