@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import MESSAGE_DDL, checkpointed, messages, mixed, packed, pieces_for, row_slices, shuffle_partitions, string_buffer, unpacked
@@ -15,7 +16,7 @@ from marlstone.llm.graph import components
 from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets
 
 #: Bytes of text at once; signatures that a task holds before it passes them on; bytes of sets, and sets, in a verified block.
-_SLICE, _HELD, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 2_000_000, 8 << 20, 1000
+_SLICE, _HELD, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 2_000_000, 8 << 20, 2000
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -196,8 +197,8 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
     return docs.mapInArrow(sign, MESSAGE_DDL).groupBy("to").applyInArrow(meet, "a bigint, b bigint")
 
 
-def _forest(sets: list[np.ndarray], blocks: np.ndarray | None, similarity: Similarity) -> list[tuple[int, int]]:
-    """Links that connect whatever links connect among some sets; with ``blocks``, only links across them count.
+def _forest(sets: list[np.ndarray], sides: np.ndarray, inner: bool, similarity: Similarity) -> list[tuple[int, int]]:
+    """Links that connect whatever links connect among some sets: those across the two sides, and with ``inner`` inside side 0.
 
     Sketches give each pair's smallest possible difference; pairs that could
     still link and aren't connected yet are verified on their sets, nearest first.
@@ -208,14 +209,13 @@ def _forest(sets: list[np.ndarray], blocks: np.ndarray | None, similarity: Simil
     words = max(32, -(-int(size[-1]) // 64))
     ends = np.r_[0, np.cumsum(size)]
     sketch = parity_sketches(np.concatenate([sets[i] for i in order]), ends, words)
-    side = None if blocks is None else blocks[order]
+    side = sides[order]
     label, links = np.arange(n), []
     for i in range(1, n):
         low = int(np.searchsorted(size, -(-size[i] * similarity.num // similarity.den)))
         j = np.arange(low, i)
         j = j[label[j] != label[i]]
-        if side is not None:
-            j = j[side[j] != side[i]]
+        j = j[(side[j] != side[i]) | (inner and side[i] == 0)]
         if not len(j):
             continue
         apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
@@ -231,34 +231,59 @@ def _forest(sets: list[np.ndarray], blocks: np.ndarray | None, similarity: Simil
     return links
 
 
-def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity: Similarity, salt: int, block_bytes: int) -> DataFrame:
+def _units(placed: DataFrame, packs: int) -> DataFrame:
+    """Every node with the units of work that it takes part in: g, unit, side, inner.
+
+    A unit compares two blocks of a cluster: blocks are bands of set sizes,
+    cut by hash where a band is large, and only blocks of one band or of
+    adjacent ones hold sets that can link. A band that is one block is
+    compared with itself in the unit that compares it with the next band.
+    Small clusters are one unit, many to a group.
+    """
+    i = lambda x: x.cast("int") if not isinstance(x, int) else F.lit(x)
+
+    def unit(lo: Column, u: Column, hi: Column, v: Column, side: Column, inner: Column) -> Column:
+        return F.struct(F.array(i(lo), i(u), i(hi), i(v)).alias("unit"), i(side).alias("side"), inner.alias("inner"))
+
+    def each(n: Column, make) -> Column:
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    band = F.col("band")
+    here, up, down = (F.coalesce(F.element_at("subs", band + k), F.lit(0)) for k in (0, 1, -1))
+    u = F.pmod(F.xxhash64("node"), here).cast("int")
+    alone = (here == 1) & (up > 0)
+    own = each(F.when(alone, 0).otherwise(here), lambda v: unit(band, F.least(u, v), band, F.greatest(u, v), F.when(u > v, 1).otherwise(0), u == v))
+    above = each(up, lambda v: unit(band, u, band + 1, v, F.lit(0), alone & (v == 0)))
+    below = each(down, lambda v: unit(band - 1, v, band, u, F.lit(1), F.lit(False)))
+    small = F.array(unit(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), F.lit(0), F.lit(True)))
+    units = F.when(F.col("large"), F.concat(own, above, below)).otherwise(small)
+    g = F.when(F.col("large"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs)))
+    return placed.withColumn("w", F.explode(units)).select(g.alias("g"), "w.unit", "w.side", "w.inner", "component", "node", "text")
+
+
+def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity: Similarity, salt: int, block_bytes: int, block_sets: int) -> DataFrame:
     """Verified links (a, b) that connect the nodes of each cluster of candidates as all its links do.
 
-    Small clusters are verified many to a task. A cluster with more than
-    ``block_bytes`` or ``BLOCK_SETS`` of sets is cut into blocks by hash, and every pair of its
-    blocks is a task's work of bounded size.
+    A cluster with more than ``block_bytes`` or ``block_sets`` of sets is cut
+    into blocks by set size and hash, so every unit of work is bounded.
     """
     least = shuffle_partitions(docs.sparkSession)
-    members = clusters.join(firsts, "node").select("node", "component", "rank", "n_shingles")
-    stats = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") * 8 / block_bytes, F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
-    placed = checkpointed(members.join(stats, "component").select("node", "component", "rank", "n_shingles", "blocks"))
+    largest = firsts.agg(F.max("n_shingles")).first()[0] or 0
+    first, _ = similarity.bands(int(largest))
+    band = F.size(F.filter(F.lit(first.tolist()), lambda x: x <= F.col("n_shingles"))) - 1
+    members = clusters.join(firsts, "node").select("node", "component", "rank", "n_shingles", band.alias("band"))
+    blocks = F.ceil(F.greatest(F.sum("n_shingles") * 8 / block_bytes, F.count("*") / block_sets)).cast("int")
+    bands = members.groupBy("component", "band").agg(blocks.alias("blocks"), F.sum("n_shingles").alias("s"), F.count("*").alias("n"))
+    large = (F.sum("s") * 8 > block_bytes) | (F.sum("n") > block_sets)
+    stats = bands.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("subs"), large.alias("large"))
+    stats = stats.withColumn("subs", F.when(F.col("large"), F.col("subs")))
+    placed = checkpointed(members.join(stats, "component").select("node", "component", "rank", "n_shingles", "band", "subs", "large"))
     packs = max(least, -(-(placed.agg(F.sum("n_shingles")).first()[0] or 0) * 8 // block_bytes))
-
-    chosen = docs.select("rank", "text").join(placed, "rank").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = chosen.withColumn("other", F.explode(others)).select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component")).alias("g"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("lo"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("hi"),
-        "component",
-        "block",
-        "node",
-        "text",
-    )
+    dealt = _units(docs.select("rank", "text").join(placed, "rank"), packs)
 
     def verify(table: pa.Table) -> pa.Table:
-        component, node, block = (table[c].to_numpy() for c in ("component", "node", "block"))
-        across = table["lo"][0].as_py() != table["hi"][0].as_py()
+        component, node, side = (table[c].to_numpy() for c in ("component", "node", "side"))
+        inner = pc.any(table["inner"]).as_py()
         o = np.lexsort((node, component))
         found = []
         for rows in np.split(o, np.flatnonzero(component[o][1:] != component[o][:-1]) + 1):
@@ -268,18 +293,18 @@ def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity:
             for some in row_slices(part, "text", _SLICE):
                 hashes, ends, own = _sets_of(some, similarity, salt)
                 for i in np.flatnonzero(own == node[rows[at : at + some.num_rows]]).tolist():
-                    sets[int(own[i])] = int(block[rows[at + i]]), hashes[ends[i] : ends[i + 1]].copy()
+                    sets[int(own[i])] = int(side[rows[at + i]]), hashes[ends[i] : ends[i + 1]].copy()
                 at += some.num_rows
             if len(sets) > 1:
                 names = list(sets)
-                links = _forest([sets[x][1] for x in names], np.array([sets[x][0] for x in names]) if across else None, similarity)
+                links = _forest([sets[x][1] for x in names], np.array([sets[x][0] for x in names]), inner, similarity)
                 found += [(names[i], names[k]) for i, k in links]
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("g", "lo", "hi").applyInArrow(verify, "a bigint, b bigint")
+    return dealt.groupBy("g", "unit").applyInArrow(verify, "a bigint, b bigint")
 
 
-def similar_documents(docs: DataFrame, similarity: Similarity = Similarity(), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: Similarity = Similarity(), block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, node (class of equal sets) and component_id (smallest doc_id reachable by links) of every document.
 
     Texts are lower-cased in A-Z and cut at white space; a text with fewer
@@ -293,7 +318,7 @@ def similar_documents(docs: DataFrame, similarity: Similarity = Similarity(), bl
     named, salt = _named_documents(docs, similarity)
     firsts = checkpointed(named.filter("n_shingles > 0").groupBy("node").agg(F.min("rank").alias("rank"), F.first("n_shingles").alias("n_shingles")))
     clusters = components(_candidates(docs, similarity, salt, named.agg(F.sum("n_shingles")).first()[0] or 0))
-    linked = components(_links(docs, firsts, clusters, similarity, salt, block_bytes))
+    linked = components(_links(docs, firsts, clusters, similarity, salt, block_bytes, block_sets))
     of_node = firsts.select("node", "rank").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("rank").alias("component_rank"))
     named_nodes = checkpointed(of_node.join(smallest, "component").select("node", "component_rank"))

@@ -171,5 +171,40 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents)
 WINDOW w AS (PARTITION BY t)
+""",
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+hit AS (SELECT doc_id, i FROM win JOIN (SELECT w, min(doc_id) AS f FROM win GROUP BY 1) USING (w) WHERE f < doc_id),
+cut AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM cut),
+span AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM run GROUP BY doc_id, r),
+piece AS (
+  SELECT doc_id, coalesce(lag(e) OVER w, 0) AS a, s AS b, e - s AS gone FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+  UNION ALL SELECT d.doc_id, coalesce(max(e), 0), any_value(n), NULL FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, any_value(n)::BIGINT AS n_bytes, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, count(gone) AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a))) AS kept_sha256
+FROM piece JOIN d USING (doc_id) GROUP BY doc_id
+""",
+    "op4_decontaminate": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrase AS (SELECT DISTINCT item_id, least(len(w), 10) AS s, list_slice(w, a + 1, a + 10) AS p FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS a FROM b WHERE len(w) > 0)),
+win AS (SELECT doc_id, s, a, list_slice(w, a + 1, a + s) AS p FROM (SELECT doc_id, w, s, unnest(range(len(w) - s + 1)) AS a FROM d, (SELECT DISTINCT s FROM phrase) WHERE len(w) >= s)),
+hit AS (SELECT doc_id, a, win.s AS s, item_id FROM win JOIN phrase ON win.s = phrase.s AND win.p = phrase.p),
+words AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(a, a + s)) AS i FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op10_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, list_slice(w, a + 1, a + 3) AS x FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 0) + 1)) AS a FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pair AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM sh p JOIN sh q ON p.x = q.x AND p.doc_id < q.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """,
 }

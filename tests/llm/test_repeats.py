@@ -110,8 +110,8 @@ def sets_of(rows, words):
     return out
 
 
-@pytest.mark.parametrize("words,num,block", [(3, 90, 8 << 20), (5, 80, 8 << 20), (2, 50, 2000)])
-def test_similar_documents_brute_force(spark, odd_docs, words, num, block):
+@pytest.mark.parametrize("words,num,limits", [(3, 90, ()), (5, 80, ()), (2, 50, (2000, 5)), (5, 80, (1 << 20, 3)), (2, 50, (1 << 20, 8))])
+def test_similar_documents_brute_force(spark, odd_docs, words, num, limits):
     rng = random.Random(3)
     rows = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
     long = [r[1] for r in rows if r[0] in (3, 4, 5)]
@@ -138,7 +138,7 @@ def test_similar_documents_brute_force(spark, odd_docs, words, num, block):
         low = -1 if d is None else d
         smallest[find(k)] = min(smallest.get(find(k), low), low)
     want = sorted(((d, len(sets[k]), None if smallest[find(k)] == -1 else smallest[find(k)]) for k, (d, _) in enumerate(rows)), key=str)
-    got = similar_documents(docs, Similarity(words, num, 100), block)
+    got = similar_documents(docs, Similarity(words, num, 100), *limits)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == want
 
 
