@@ -17,6 +17,8 @@ from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets
 
 #: Bytes of text at once; signatures that a task holds before it passes them on; bytes of sets, and sets, in a verified block.
 _SLICE, _HELD, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 2_000_000, 8 << 20, 2000
+#: Bits of the filter that keeps texts which aren't candidates out of a shuffle (8 MB).
+FILTER_BITS = 1 << 26
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -231,6 +233,33 @@ def _forest(sets: list[np.ndarray], sides: np.ndarray, inner: bool, similarity:
     return links
 
 
+def likely_rows(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``key`` (never null) is in ``wanted``, and a few others: what is worth joining.
+
+    Tasks set two bits for each wanted key; the driver gets their words, of
+    ``most_bits`` bits at most whatever the input. With so many keys that such
+    a filter would pass most rows, all rows are returned and the join does
+    the work.
+    """
+    n = wanted.count()
+    bits = min(most_bits, 1 << max(6, (16 * n - 1).bit_length()))
+    if 2 * n > bits:
+        return rows
+    places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in (1, 2)]
+    at = wanted.select(F.explode(F.array(*places)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def has(a: pa.Array, b: pa.Array) -> pa.Array:
+        both = [(sent.value[x >> 6] >> (x & 63)) & 1 for x in (a.to_numpy(), b.to_numpy())]
+        return pa.array((both[0] & both[1]).astype(bool))
+
+    return rows.filter(has(*places))
+
+
 def _units(placed: DataFrame, packs: int) -> DataFrame:
     """Every node with the units of work that it takes part in: g, unit, side, inner.
 
@@ -279,7 +308,7 @@ def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity:
     stats = stats.withColumn("subs", F.when(F.col("large"), F.col("subs")))
     placed = checkpointed(members.join(stats, "component").select("node", "component", "rank", "n_shingles", "band", "subs", "large"))
     packs = max(least, -(-(placed.agg(F.sum("n_shingles")).first()[0] or 0) * 8 // block_bytes))
-    dealt = _units(docs.select("rank", "text").join(placed, "rank"), packs)
+    dealt = _units(likely_rows(docs.select("rank", "text"), placed, "rank").join(placed, "rank"), packs)
 
     def verify(table: pa.Table) -> pa.Table:
         component, node, side = (table[c].to_numpy() for c in ("component", "node", "side"))

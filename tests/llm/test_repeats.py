@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.decontaminate import FMIndex, contamination, without_spans
 from marlstone.llm.graph import components
-from marlstone.llm.jaccard_join import Similarity, signatures, similar_documents
+from marlstone.llm.jaccard_join import Similarity, likely_rows, signatures, similar_documents
 from marlstone.llm.suffix_dedup import repeat_heads, repeated_spans
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -171,3 +171,16 @@ def test_components(spark):
 def test_digest_is_of_kept_bytes(spark, odd_docs):
     row = repeated_spans(odd_docs.select("doc_id", "text")).select(F.sha2("kept", 256).alias("h"), "kept").first()
     assert row.h == hashlib.sha256(bytes(row.kept)).hexdigest()
+
+
+@pytest.mark.parametrize("most_bits", [64, 1 << 12, 1 << 26])
+def test_likely_rows_lose_none(spark, most_bits):
+    rows = spark.range(-2000, 2000).withColumnRenamed("id", "rank")
+    wanted = [-(1 << 63), -1999, -64, -1, 0, 1, 63, 64, 1500]
+    got = {r[0] for r in likely_rows(rows, spark.createDataFrame([(x,) for x in wanted], "rank long"), "rank", most_bits).collect()}
+    assert set(wanted[1:]) <= got
+    if most_bits == 1 << 26:
+        assert len(got) < 2000
+    none = spark.createDataFrame([], "rank long")
+    assert likely_rows(rows, none, "rank", most_bits).count() == 0
+    assert likely_rows(none, rows, "rank", most_bits).count() == 0
