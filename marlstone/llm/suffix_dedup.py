@@ -133,6 +133,20 @@ def _earliest(segments: list[bytes], docs: np.ndarray, length: int) -> np.ndarra
     return out[whole]
 
 
+def _earliest_alone(windows: np.ndarray, prints: np.ndarray, docs: np.ndarray, chunk_bytes: int) -> np.ndarray:
+    """Like _earliest, for rows of ``length`` bytes; equal rows have equal ``prints``, by which they are dealt to transforms of about ``chunk_bytes``."""
+    n, length = windows.shape
+    out, o = np.empty(n, np.int64), np.argsort(prints, kind="stable")
+    ends = np.flatnonzero(np.r_[prints[o][1:] != prints[o][:-1], True]) + 1
+    a = 0
+    while a < n:
+        at = min(np.searchsorted(ends, a + max(1, chunk_bytes // length), side="right") - 1, len(ends) - 1)
+        b = int(ends[at]) if at >= 0 and ends[at] > a else int(ends[np.searchsorted(ends, a, side="right")])
+        out[o[a:b]] = _earliest([x.tobytes() for x in windows[o[a:b]]], docs[o[a:b]], length)
+        a = b
+    return out
+
+
 def _ordered(docs: pa.Table) -> pa.Table:
     """Rows in one order, however the shuffle delivered them: places in a block are spoken of between steps."""
     return docs.sort_by([("rank", "ascending"), ("text", "ascending")])
@@ -160,6 +174,42 @@ class _Block:
         shared = ds[first] != ds[np.r_[first[1:], len(ds)][: len(first)] - 1]
         return ks[new], shared, place
 
+    def amounts(self, place: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and windows of the different runs of each of ``n`` distinct minima; runs over 2 * ``length`` bytes all count as different."""
+        size = self.ends - self.starts + length - 1
+        total = np.bincount(place, size, n)
+        mine = np.flatnonzero(total[place] > 2 * length)  # one usual run is below that
+        s, b = self.starts[mine], size[mine]
+        h = b.astype(np.uint64) + np.where(b > 2 * length, mine + 1, 0).astype(np.uint64) * np.uint64(_STEP)
+        for i in range(2 * length):
+            h = h * np.uint64(_STEP) + self.data[s + np.minimum(i, b - 1)]
+        h = mixed(h)
+        o = np.lexsort((h, place[mine]))
+        new = np.r_[True, (h[o][1:] != h[o][:-1]) | (place[mine[o][1:]] != place[mine[o][:-1]])][: len(o)]
+        different = np.ones(len(place), bool)
+        different[mine[o[~new]]] = False
+        return np.bincount(place[different], size[different], n).astype(np.int64), np.bincount(place[different], (self.ends - self.starts)[different], n).astype(np.int64)
+
+    def windows(self, runs: np.ndarray, length: int, each: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+        """Windows of runs, ``each`` at a time: (place, its run, its different window), (different windows' bytes, hashes, keys)."""
+        sizes = self.ends[runs] - self.starts[runs]
+        filled = np.cumsum(sizes)
+        for a in range(0, int(filled[-1]) if len(runs) else 0, each):
+            nth = np.arange(a, min(a + each, int(filled[-1])))
+            r = np.searchsorted(filled, nth, side="right")
+            at = self.starts[runs[r]] + nth - (filled[r] - sizes[r])
+            rows = np.lib.stride_tricks.sliding_window_view(self.data, length)[at]
+            h = np.zeros(len(at), np.uint64)
+            for i in range(length):
+                h = h * np.uint64(_STEP) + rows[:, i] + np.uint64(1)
+            h = mixed(h)
+            o = np.argsort(h, kind="stable")
+            # two different windows of one hash may alternate: then some come twice, which does no harm
+            new = np.r_[True, (h[o][1:] != h[o][:-1]) | (rows[o][1:] != rows[o][:-1]).any(1)]
+            of = np.empty(len(at), np.int64)
+            of[o] = np.cumsum(new) - 1
+            yield at, runs[r], of, rows[o[new]], h[o[new]], self.keys[runs[r[o[new]]]]
+
 
 def _by_group(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
     """(group, places of its keys in order) for every group that has keys."""
@@ -182,12 +232,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
 
     Four steps, with documents in blocks of a bounded size:
     1. each block tells groups, dealt by hash, the 32-bit fingerprints of its
-       windows' minimum grams; a group answers which ones several documents
-       have (a wrong yes costs time, a wrong no cannot be);
-    2. each block sends the bytes of such windows' runs, each different run once;
+       windows' minimum grams and how much its different runs hold; a group
+       answers which ones several documents have (a wrong yes costs time, a
+       wrong no cannot be) and which are frequent: those with different runs
+       of more than ``chunk_bytes`` in all blocks;
+    2. each block sends the bytes of such windows' runs, each different run
+       once; windows with a frequent minimum go one by one, each different
+       one once, dealt by a hash of all their bytes;
     3. each group builds transforms over its different runs, bounded in size
-       and never splitting a minimum, and answers the smallest document of
-       each window;
+       and never splitting a minimum that isn't frequent, or over its single
+       windows, and answers the smallest document of each window;
     4. each block covers its documents' bytes with the windows that a smaller
        document has.
     All shuffles but that of the texts (one exchange, used three times) carry
@@ -197,6 +251,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
     least = shuffle_partitions(spark)
     n_bytes = text_bytes(docs)
     blocks, groups = pieces_for(n_bytes, block_bytes, least), pieces_for(n_bytes, group_bytes, least)
+    # windows of frequent minima have groups of their own behind the others
+    singles, single_bytes = pieces_for(n_bytes * length, group_bytes, least), max(1, group_bytes // 4)
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
@@ -204,11 +260,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
 
     def tell(table: pa.Table) -> pa.Table:
         block, to = _Block(table, length, gram), table["to"][0].as_py()
-        keys, shared, _ = block.distinct()
-        return messages([(g, to, packed(mixed(keys[at]).astype(np.uint32), np.packbits(shared[at]))) for g, at in _by_group(keys, groups)])
+        keys, shared, place = block.distinct()
+        held, wins = block.amounts(place, len(keys), length)
+        rows = []
+        for g, at in _by_group(keys, groups):
+            much = np.flatnonzero(held[at] > 2 * length)
+            rows.append((g, to, packed(mixed(keys[at]).astype(np.uint32), np.packbits(shared[at]), much.astype(np.uint32), held[at[much]], wins[at[much]])))
+        return messages(rows)
 
     def find_shared(table: pa.Table) -> pa.Table:
-        told = [unpacked(x, np.uint32, np.uint8) for x in table["body"].to_pylist()]
+        told = [unpacked(x, np.uint32, np.uint8, np.uint32, np.int64, np.int64) for x in table["body"].to_pylist()]
         prints = np.concatenate([x[0] for x in told])
         sizes = [len(x[0]) for x in told]
         several = np.concatenate([np.unpackbits(x[1], count=n) for x, n in zip(told, sizes)]).astype(bool)
@@ -217,11 +278,18 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
         new = np.r_[True, ps[1:] != ps[:-1]]
         at = np.cumsum(new) - 1
         yes = (np.bincount(at) > 1) | (np.bincount(at, several[o]) > 0)
-        answer = np.empty(len(o), bool)
-        answer[o] = yes[at]
-        parts = np.split(answer, np.cumsum(sizes)[:-1])
-        me = table["to"][0].as_py()
-        return messages([(to, me, packed(np.packbits(part))) for to, part in zip(table["sender"].to_pylist(), parts) if part.any()])
+        held, wins = np.full(len(o), 2 * length, np.int64), np.full(len(o), length - gram + 1, np.int64)
+        for x, before in zip(told, np.cumsum([0, *sizes])):
+            held[x[2] + before], wins[x[2] + before] = x[3], x[4]
+        # 0 for a minimum that isn't frequent, else to how many groups its windows go
+        shares = np.where(np.bincount(at, held[o]) > chunk_bytes, np.ceil(np.bincount(at, wins[o]) * length / single_bytes), 0) * yes
+        answer, share = np.empty(len(o), bool), np.empty(len(o), np.uint32)
+        answer[o], share[o] = yes[at], shares[at]
+        me, rows = table["to"][0].as_py(), []
+        for to, part, own in zip(table["sender"].to_pylist(), np.split(answer, np.cumsum(sizes)[:-1]), np.split(share, np.cumsum(sizes)[:-1])):
+            if part.any():
+                rows.append((to, me, packed(np.packbits(part), np.flatnonzero(own).astype(np.uint32), own[own > 0])))
+        return messages(rows)
 
     def send_runs(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_.num_rows or not answers.num_rows:
@@ -229,11 +297,31 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
         block, to = _Block(docs_, length, gram), docs_["to"][0].as_py()
         keys, _, place = block.distinct()
         answer, shared = dict(zip(answers["sender"].to_pylist(), answers["body"].to_pylist())), np.zeros(len(keys), bool)
+        shares = np.zeros(len(keys), np.uint32)
         for g, at in _by_group(keys, groups):
             if g in answer:
-                shared[at] = np.unpackbits(unpacked(answer[g], np.uint8)[0], count=len(at))
-        runs = np.flatnonzero(shared[place])
-        raw, rows = block.data.tobytes(), []
+                bits, frequent, share = unpacked(answer[g], np.uint8, np.uint32, np.uint32)
+                shared[at] = np.unpackbits(bits, count=len(at))
+                shares[at[frequent]] = share
+        runs, rows = np.flatnonzero(shared[place] & (shares[place] > 0)), []
+        runs = runs[np.argsort(block.keys[runs], kind="stable")]
+        for at, run, of, bytes_, h, key in block.windows(runs, length):
+            rank = block.order[block.doc[run]]
+            first, last = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), _LOWEST)
+            np.minimum.at(first, of, rank)
+            np.maximum.at(last, of, rank)
+            part = h % shares[np.searchsorted(keys, key)].astype(np.uint64)
+            group = (mixed(mixed(key) + part * np.uint64(_STEP)) % np.uint64(singles)).astype(np.int64)
+            by, of_by = np.argsort(group, kind="stable"), np.argsort(group[of], kind="stable")
+            cut = np.flatnonzero(np.r_[True, group[by][1:] != group[by][:-1]])
+            starts = np.searchsorted(group[of][of_by], group[by[cut]])
+            places = np.empty(len(h), np.int64)
+            for a, b, c, d in zip(cut, np.r_[cut[1:], len(by)], starts, np.r_[starts[1:], len(of)]):
+                mine, all_ = by[a:b], of_by[c:d]
+                places[mine] = np.arange(len(mine))
+                rows.append((groups + int(group[mine[0]]), to, packed(at[all_].astype(np.uint32), places[of[all_]].astype(np.uint32), h[mine], first[mine], last[mine], bytes_[mine])))
+        runs = np.flatnonzero(shared[place] & (shares[place] == 0))
+        raw = block.data.tobytes()
         for g, at in _by_group(block.keys[runs], groups):
             mine, seen, of = runs[at], {}, np.empty(len(at), np.uint32)
             for i, (s, e) in enumerate(zip(block.starts[mine].tolist(), (block.ends[mine] + length - 1).tolist())):
@@ -248,7 +336,26 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
             rows.append((g, to, packed(mine.astype(np.uint32), of, key, first, last, sizes, np.frombuffer(b"".join(seen), np.uint8))))
         return messages(rows)
 
+    def find_earliest_alone(table: pa.Table) -> pa.Table:
+        told = [unpacked(x, np.uint32, np.uint32, np.uint64, np.int64, np.int64, np.uint8) for x in table["body"].to_pylist()]
+        h, first, last = (np.concatenate([x[i] for x in told]) for i in (2, 3, 4))
+        _, at, many = np.unique(h, return_inverse=True, return_counts=True)
+        # a window that only one document of one block has needs no answer
+        wanted = np.flatnonzero((many[at] > 1) | (first < last))
+        rows_ = np.concatenate([x[5] for x in told]).reshape(len(h), length)[wanted]
+        m = np.full(len(h), np.iinfo(np.int64).max)
+        m[wanted] = _earliest_alone(rows_, h[wanted], first[wanted], chunk_bytes)
+        useful, begin = m < last, np.cumsum([0, *(len(x[2]) for x in told)])
+        rows, me = [], table["to"][0].as_py()
+        for to, (places, of, *_), a in zip(table["sender"].to_pylist(), told, begin):
+            mine = useful[of + a]
+            if mine.any():
+                rows.append((to, me, packed(places[mine], m[of[mine] + a])))
+        return messages(rows)
+
     def find_earliest(table: pa.Table) -> pa.Table:
+        if table["to"][0].as_py() >= groups:
+            return find_earliest_alone(table)
         ids: dict[bytes, int] = {}
         keys, firsts, lasts, sent = [], [], [], []
         for to, body in zip(table["sender"].to_pylist(), table["body"].to_pylist()):
@@ -316,8 +423,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, block_byte
         depth = np.zeros(len(data) + 1, np.int32)
         if answers.num_rows:
             block = _Block(docs_, length, gram)
-            for body in answers["body"].to_pylist():
-                runs, lo, span, m = unpacked(body, np.uint32, np.uint32, np.uint32, np.int64)
+            for sender, body in zip(answers["sender"].to_pylist(), answers["body"].to_pylist()):
+                if sender >= groups:
+                    places, m = unpacked(body, np.uint32, np.int64)
+                    runs = np.searchsorted(block.starts, places, side="right") - 1
+                    lo, span = places - block.starts[runs], np.ones(len(places), np.int64)
+                else:
+                    runs, lo, span, m = unpacked(body, np.uint32, np.uint32, np.uint32, np.int64)
                 mine = m < block.order[block.doc[runs]]
                 at = block.starts[runs[mine]] + lo[mine]
                 np.add.at(depth, at, 1)

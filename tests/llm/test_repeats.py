@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import uuid
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from marlstone.llm import suffix_dedup
 from marlstone.llm.decontaminate import FMIndex, contamination, without_spans
 from marlstone.llm.graph import components
 from marlstone.llm.jaccard_join import Similarity, likely_rows, signatures, similar_documents
@@ -47,6 +50,38 @@ def test_repeated_spans_brute_force(spark, odd_docs, sizes):
     assert got == sorted(want, key=str)
 
 
+def test_repeated_spans_of_a_frequent_passage(spark, tmp_path, monkeypatch):
+    """However many documents share a passage, no transform is much larger than chunk_bytes."""
+    rng, chunk_bytes, earliest = random.Random(11), 4000, suffix_dedup._earliest
+    passage, tails = rng.randbytes(80).hex(), [rng.randbytes(40).hex() for _ in range(150)]
+    rows = [(i, rng.randbytes(40).hex() + passage + rng.choice(tails)) for i in rng.sample(range(10**6), 500)]
+
+    def noted(segments, docs, length):
+        with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(map(len, segments))))
+        return earliest(segments, docs, length)
+
+    monkeypatch.setattr(suffix_dedup, "_earliest", noted)
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: [tuple(s) for s in r.spans] for r in repeated_spans(docs, 50, 20, block_bytes=20000, chunk_bytes=chunk_bytes).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    first = {}
+    for d, t in sorted(rows):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    for d, t in rows:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] != d:
+                gone[i : i + 50] = b"\1" * 50
+        assert got[d] == [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+    sizes = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert sizes and max(sizes) <= 2 * chunk_bytes + 100
+
+
 def test_repeated_spans_of_nothing(no_docs):
     assert repeated_spans(no_docs).count() == 0
 
