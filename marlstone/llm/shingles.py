@@ -25,7 +25,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     doc = np.repeat(np.arange(len(counts)), counts)
     m = len(word)
     whole = np.zeros(m, np.uint64)
-    for j in range(words):
+    for j in range(min(words, m)):
         whole[: m - j] += word[j:] * _SALTS[j]
     whole = mixed(whole)
     inside = np.arange(m) + words <= bounds[doc + 1]

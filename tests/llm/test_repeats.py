@@ -12,6 +12,7 @@ from marlstone.llm import suffix_dedup
 from marlstone.llm.decontaminate import FMIndex, contamination, without_spans
 from marlstone.llm.graph import components
 from marlstone.llm.jaccard_join import Similarity, likely_rows, signatures, similar_documents
+from marlstone.llm.shingles import shingle_sets
 from marlstone.llm.suffix_dedup import repeat_heads, repeated_spans
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -177,6 +178,22 @@ def test_similar_documents_brute_force(spark, odd_docs, words, num, limits):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == want
 
 
+@pytest.mark.parametrize("words", [1, 3, 5, 8])
+def test_shingles_of_slices_with_few_words(words):
+    for n in range(1, 8):
+        text = " ".join("abcdefg"[:n]).encode()
+        long = text + b" " + b"x y z " * 10
+        alone, ends = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words)
+        beside, at = shingle_sets(np.frombuffer(text + long, np.uint8), np.array([0, len(text), len(text) + len(long)]), words)
+        assert list(ends) == [0, max(n - words + 1, 1)] and list(alone) == list(beside[: at[1]])
+
+
+@pytest.mark.parametrize("text", ["a b", "a b c"])
+def test_similar_documents_of_one_short_text(spark, text):
+    got = similar_documents(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(7, 1, 7)]
+
+
 def test_similar_documents_of_nothing(no_docs):
     assert similar_documents(no_docs).count() == 0
 
