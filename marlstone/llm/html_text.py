@@ -16,6 +16,8 @@ _UNREAD = frozenset("script style template noscript iframe svg math canvas objec
 _BOILERPLATE = frozenset("nav footer aside form menu fieldset label".split())
 _CONTAINERS = frozenset("html body article main section div td blockquote center".split())
 _BLOCKS = _CONTAINERS | _BOILERPLATE | frozenset("p h1 h2 h3 h4 h5 h6 header ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption address hr hgroup details summary".split())
+#: What may stand in a head; anything else ends one that was left open.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: An open element that the start of another ends.
 _ENDS = {"p": _BLOCKS - {"td"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words in class, id or role that mark what isn't the article.
@@ -75,6 +77,11 @@ class _Lines(HTMLParser):
         self.links -= sum(o.tag == "a" for o in self.open[depth:])
         del self.open[depth:]
 
+    def _end_head(self) -> None:
+        head = next((i for i, o in enumerate(self.open) if o.tag == "head"), None)
+        if head is not None:
+            self._pop_to(head)
+
     def _marked(self, tag: str, attrs: dict[str, str]) -> bool:
         if tag in ("html", "body"):
             return False
@@ -83,6 +90,8 @@ class _Lines(HTMLParser):
         return bool(hidden or names.strip() and (_MARKS.search(names) or _PAGE_HEADER.search(names)) and tag not in _MAIN)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" or tag not in _IN_HEAD and self.open and self.open[-1].tag == "head":
+            self._end_head()
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
             if tag in _ENDS.get(self.open[i].tag, ()):
@@ -126,6 +135,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1].tag == "head" and data.strip():
+            self._end_head()
         if any(o.unread for o in self.open):
             return
         self.parts.append(data)
@@ -160,9 +171,9 @@ def main_text(html: str | None) -> str:
 
     Lines are blocks of the page; scripts, forms, menus, headers, footers and
     elements whose class or id names such things never count. Content lines
-    are those over the threshold; the region is the article or main element
-    with most of their text, else the innermost container with three quarters
-    of it. In an article every line counts, however short; elsewhere the lines
+    are those over the threshold; the regions are all outermost article or
+    main elements that hold some, else the innermost container with three
+    quarters of their text. In an article every line counts, however short; elsewhere the lines
     from the first to the last content line that aren't mostly links.
     """
     parser = _Lines()
@@ -180,8 +191,8 @@ def main_text(html: str | None) -> str:
     mains = [m for m in parser.mains if weight[m] > 0]
     if mains:
         outer = {m: next((a for a in _line_of(parser.parents, m) if a in parser.mains), m) for m in mains}
-        region = max(sorted(set(outer.values())), key=lambda m: weight[m])
-        return "\n".join(x.text for x in lines if region in x.within and not x.skipped)
+        regions = set(outer.values())
+        return "\n".join(x.text for x in lines if regions.intersection(x.within) and not x.skipped)
     region, children = None, {}
     for i, parent in enumerate(parser.parents):
         children.setdefault(parent, []).append(i)

@@ -138,6 +138,18 @@ def test_main_text(spark):
     assert with_main_text(df.filter("false")).count() == 0
 
 
+def test_main_text_of_sibling_articles():
+    long = "A paragraph of one article that is long enough to count as content."
+    html = f"<body><nav><a href=1>m</a></nav><article><h2>One</h2><p>{long} {long}</p></article><div class=ad>Buy</div><article><h2>Two</h2><p>{long}</p></article></body>"
+    assert main_text(html) == f"One\n{long} {long}\nTwo\n{long}"
+
+
+@pytest.mark.parametrize("body", ["<body><article><p>The text.</p></article></body>", "<article><p>The text.</p></article>", "<p>The text.", "The text."])
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><script>x</script>\n", "<head><title>T</title><noscript><img src=x>no</noscript>", "<head></head>", ""])
+def test_main_text_behind_an_open_head(head, body):
+    assert main_text(f"<!DOCTYPE html><html>{head}{body}</html>") == "The text."
+
+
 def test_main_text_without_article():
     html = "<body><div class='top'><a href=1>one</a> <a href=2>two</a></div><div><h2>Title of it</h2><p>A paragraph of the main text that is long enough to count.</p><p>And another one, which is also rather long, for good measure.</p></div><div><a href=3>x</a></div></body>"
     assert main_text(html) == "Title of it\nA paragraph of the main text that is long enough to count.\nAnd another one, which is also rather long, for good measure."
