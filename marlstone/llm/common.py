@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    A temporary one is set only where the session has none (local tests).
+    A temporary one is set where the session has none and runs in one process
+    (tests); on a cluster, where such a folder would lose results, it raises.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must be a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -103,8 +109,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -118,39 +122,52 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
-    """64-bit hashes of ``data[starts[i]:ends[i]]`` for sorted, disjoint spans of bytes.
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; behind the end stand zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
-    Prefix sums of byte * base**i give every span's polynomial at once; they
-    are made piece by piece so that arrays stay in cache and memory is bounded.
+
+#: Bytes of a span that are taken eight at a time; longer spans are rare and taken one by one.
+_SHORT = 64
+
+
+def _eights(size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, spans that have it, masks of their next eight bytes) for spans up to ``_SHORT`` bytes."""
+    for at in range(0, _SHORT, 8):
+        live = np.flatnonzero((size > at) & (size <= _SHORT))
+        if not len(live):
+            return
+        gone = np.maximum(8 - (size[live] - at), 0).astype(np.uint64) * np.uint64(8)
+        yield at, live, np.uint64(0xFFFFFFFFFFFFFFFF) >> gone
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of ``data[starts[i]:ends[i]]``, independent for different seeds.
+
+    Each eight bytes are mixed into what came before, so no polynomial
+    identity makes structured strings collide; whoever needs identity
+    compares bytes (``equal_spans``) or two seeds.
     """
-    out = np.empty(len(starts), np.uint64)
-    up = powers(_BASE, piece)
-    lo, n, at = 0, len(starts), 0
-    while lo < n:
-        at = starts[lo]
-        hi = int(np.searchsorted(ends, at + piece, side="right"))
-        if hi <= lo:  # one span longer than a piece
-            a, b, total = int(starts[lo]), int(ends[lo]), 0
-            for i in range(a, b, piece):
-                part = data[i : min(b, i + piece)].astype(np.uint64) + np.uint64(1)
-                s = int((part * up[: len(part)]).sum(dtype=np.uint64))
-                total = (total + s * pow(_BASE, i - a, 1 << 64)) % (1 << 64)
-            out[lo] = total
-            lo += 1
-            continue
-        a, b = int(at), int(ends[hi - 1])
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=sums[1:])
-        s, e = starts[lo:hi] - a, ends[lo:hi] - a
-        out[lo:hi] = (sums[e] - sums[s]) * powers(_INVERSE, piece)[s]
-        lo = hi
-    return mixed(out ^ (ends - starts).astype(np.uint64) * _MIX_1)
-
-
-def _table_of(chars: str) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(chars.encode("latin-1"))] = True
+    size = ends - starts
+    first = np.uint64((seed * int(_MIX_2) + 1) % (1 << 64))
+    out = mixed(size.astype(np.uint64) * _MIX_1 + first)
+    words = _words(data)
+    for at, live, mask in _eights(size):
+        out[live] = mixed(out[live] ^ (words[starts[live] + at] & mask))
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``a`` and ``b`` hold the same ``size[i]`` bytes from ``a_starts[i]`` and ``b_starts[i]`` on."""
+    out, left, right = np.ones(len(size), bool), _words(a), _words(b)
+    for at, live, mask in _eights(size):
+        out[live] &= (left[a_starts[live] + at] ^ right[b_starts[live] + at]) & mask == 0
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
     return out
 
 

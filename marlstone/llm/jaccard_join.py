@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import MESSAGE_DDL, checkpointed, messages, mixed, packed, pieces_for, row_slices, shuffle_partitions, string_buffer, unpacked
 from marlstone.llm.graph import components
-from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets
+from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets_twice
 
 #: Bytes of text at once; signatures that a task holds before it passes them on; bytes of sets, and sets, in a verified block.
 _SLICE, _HELD, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 2_000_000, 8 << 20, 2000
-#: Bits of the filter that keeps texts which aren't candidates out of a shuffle (8 MB).
-FILTER_BITS = 1 << 26
+#: Bits of the filter that keeps texts which aren't candidates out of a shuffle (32 MB, for 2**27 keys).
+FILTER_BITS = 1 << 28
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -46,26 +46,27 @@ class Similarity:
         return first[:-1], (first[1:] - 1) * (self.den - self.num) // self.num
 
 
-def _nodes(hashes: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
-    """One 64-bit name for each different set."""
-    a, b = set_prints(hashes, ends)
-    return (mixed(a ^ np.uint64(salt)) + b).view(np.int64)
+#: Of a key's lowest 40 bits, one tells apart the two schemes that a set takes part in; another marks frequent keys.
+_SCHEME, _FREQUENT = np.uint64(1 << 39), np.uint64(1 << 38)
+#: Different sets of one task, of one group, from which on a key is frequent.
+_OFTEN_HERE, _OFTEN = 256, 4096
 
 
-def signatures(hashes: np.ndarray, ends: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) rows such that linked, different sets have a key in common.
+def signed(hashes: np.ndarray, ends: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, spare) rows such that linked, different sets have more than ``spare`` keys in common.
 
     In the scheme of a band, shingles fall into d + 1 + e segments, where d is
     the largest symmetric difference of the band's links. A segment's key is
-    the XOR of its shingles' hashes. A link changes d segments at most, so
-    e + 1 are the same in both sets. A set with at most e empty segments
-    leaves these out: one of the e + 1 has shingles then. A set with more has
-    all its keys, and so has any set that it shares only empty segments with.
+    the XOR of its shingles' hashes: the segments are a parity sketch whose
+    words differ in at most d places where sets link, so e + 1 are the same
+    in both. A set with z <= e empty segments leaves these out and has more
+    than e - z others in common with whatever it links with. A set with more
+    has all its keys, its ``spare`` is 0, and so is what it surely shares.
     """
     sizes = np.diff(ends)
-    out_set, out_key = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    out_set, out_key, out_spare = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint8)]
     if not len(sizes) or not sizes.max():
-        return out_set[0], out_key[0]
+        return out_set[0], out_key[0], out_spare[0]
     first, apart = similarity.bands(int(sizes.max()))
     own = np.searchsorted(first, sizes, side="right") - 1
     for back in (0, 1):
@@ -92,37 +93,66 @@ def signatures(hashes: np.ndarray, ends: np.ndarray, similarity: Similarity) ->
         keep = filled | (empty > spare)[row]
         salt = mixed(number.astype(np.uint64) + (scheme[use][row].astype(np.uint64) << np.uint64(32)))
         out_set.append(use[row[keep]])
-        out_key.append(mixed(word[keep] + salt[keep]))
-    return np.concatenate(out_set), np.concatenate(out_key)
+        bit = np.where(scheme[use][row[keep]] & 1 == 1, _SCHEME, np.uint64(0))
+        out_key.append(mixed(word[keep] + salt[keep]) & ~(_SCHEME | _FREQUENT) | bit)
+        out_spare.append(np.clip(spare - empty, 0, 255).astype(np.uint8)[row[keep]])
+    return np.concatenate(out_set), np.concatenate(out_key), np.concatenate(out_spare)
+
+
+def signatures(hashes: np.ndarray, ends: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) rows such that linked, different sets have a key in common."""
+    return signed(hashes, ends, similarity)[:2]
+
+
+def _met(keys: np.ndarray, nodes: np.ndarray, spare: np.ndarray, often: int):
+    """Different (key, node, spare) rows in order, how many nodes each row's key has, whether the row is its key's first, and which keys are frequent."""
+    plain = keys & ~_FREQUENT
+    o = np.lexsort((nodes, plain))
+    plain, nodes, marked, spare = plain[o], nodes[o], (keys[o] & _FREQUENT) > 0, spare[o]
+    new = np.r_[True, plain[1:] != plain[:-1]][: len(plain)]
+    other = new | np.r_[True, nodes[1:] != nodes[:-1]][: len(plain)]
+    key = np.cumsum(new) - 1
+    count, mark = np.bincount(key[other]), np.zeros(int(new.sum()), bool)
+    mark[key[marked]] = True
+    frequent = mark | (count > often)
+    return plain[other], nodes[other], spare[other], count[key[other]], new[other], frequent[key[other]]
+
 
+def _spokes(nodes: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different edges from each frequent key's first node to its other nodes."""
+    least = nodes[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(nodes) else nodes
+    pairs = np.unique(np.stack([least, nodes], axis=1)[frequent & ~first], axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
-def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each different key with its smallest node; and (smallest, other) for the key's other nodes."""
-    o = np.lexsort((nodes, keys))
-    keys, nodes = keys[o], nodes[o]
-    new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
-    least = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(keys) else nodes
-    pairs = np.unique(np.stack([least, nodes], axis=1)[least != nodes], axis=0)
-    return keys[new], nodes[new], pairs[:, 0], pairs[:, 1]
+
+def _seeds(salt: int) -> tuple[int, int]:
+    return salt, salt + 1000
 
 
 def _sets_of(part: pa.RecordBatch, similarity: Similarity, salt: int):
-    hashes, ends = shingle_sets(*string_buffer(part["text"]), similarity.words)
-    return hashes, ends, _nodes(hashes, ends, salt)
+    """Sets of a slice as sorted hashes and ends, each set's two fingerprints by independent hashes of words, and its name."""
+    hashes, ends, second = shingle_sets_twice(*string_buffer(part["text"]), similarity.words, *_seeds(salt))
+    a, b = set_prints(hashes, ends, second)
+    return hashes, ends, a, b, (mixed(a ^ np.uint64(salt)) + np.uint64(salt)).view(np.int64)
+
 
+def _named_documents(docs: DataFrame, similarity: Similarity, also: list[str]) -> tuple[DataFrame, int]:
+    """doc_id, rank, n_shingles and node of every document, with a salt under which no two different sets share a node.
 
-def _named_documents(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, int]:
-    """doc_id, rank, n_shingles and node of every document, with a salt under which no two different sets share a node."""
+    Nodes come from one hash of the words and are checked by sizes and by
+    fingerprints from another, so equal nodes are equal sets.
+    """
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
     for salt in range(1, 9):
 
         def name(batches: Iterator[pa.RecordBatch], salt=salt) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in row_slices(batch, "text", _SLICE):
-                    hashes, ends, node = _sets_of(part, similarity, salt)
-                    a, b = set_prints(hashes, ends)
-                    yield pa.RecordBatch.from_arrays([part["doc_id"], part["rank"], pa.array(np.diff(ends)), pa.array(node), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "rank", "n_shingles", "node", "a", "b"])
+                    _, ends, a, b, node = _sets_of(part, similarity, salt)
+                    cells = [part["doc_id"], part["rank"], pa.array(np.diff(ends)), pa.array(node), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*cells, *(part[c] for c in also)], names=["doc_id", "rank", "n_shingles", "node", "a", "b", *also])
 
-        named = checkpointed(docs.mapInArrow(name, "doc_id bigint, rank bigint, n_shingles bigint, node bigint, a bigint, b bigint"))
+        named = checkpointed(docs.mapInArrow(name, f"doc_id bigint, rank bigint, n_shingles bigint, node bigint, a bigint, b bigint{kept}"))
         different = F.struct("n_shingles", "a", "b")
         if named.groupBy("node").agg(F.min(different).alias("lo"), F.max(different).alias("hi")).filter("lo <> hi").isEmpty():
             return named, salt
@@ -132,46 +162,56 @@ def _named_documents(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame
 _KEY_BYTES = 5
 
 
-def _to_groups(keys: np.ndarray, nodes: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    """(group, message) of (key, node) rows: each node once with the number of its keys, and five bytes of each key.
+def _to_groups(keys: np.ndarray, nodes: np.ndarray, spare: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """(group, message) of (key, node, spare) rows: each node once with the number of its keys, and five bytes and the spare of each key.
 
-    The group and those bytes tell 2**40 keys apart in every group, and groups
+    The group and those bytes tell 2**39 keys apart in every group, and groups
     are of a bounded size; two keys taken for one make a needless candidate.
     """
     group = ((keys >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
     o = np.lexsort((nodes, group))
-    group, keys, nodes = group[o], keys[o], nodes[o]
+    group, keys, nodes, spare = group[o], keys[o], nodes[o], spare[o]
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
     for i, j in zip(cut, np.r_[cut[1:], len(group)]):
         own = nodes[i:j]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         short = np.ascontiguousarray(keys[i:j]).view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-        yield int(group[i]), packed(own[first], np.diff(np.r_[first, j - i]).astype(np.uint32), short.ravel())
+        yield int(group[i]), packed(own[first], np.diff(np.r_[first, j - i]).astype(np.uint32), short.ravel(), spare[i:j])
 
 
-def _from_message(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    nodes, counts, short = unpacked(body, np.int64, np.uint32, np.uint8)
+def _from_message(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    nodes, counts, short, spare = unpacked(body, np.int64, np.uint32, np.uint8, np.uint8)
     wide = np.zeros((len(short) // _KEY_BYTES, 8), np.uint8)
     wide[:, :_KEY_BYTES] = short.reshape(-1, _KEY_BYTES)
-    return wide.view(np.uint64).ravel(), np.repeat(nodes, counts)
+    return wide.view(np.uint64).ravel(), np.repeat(nodes, counts), spare
 
 
 def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles: int) -> DataFrame:
-    """Edges (a, b) between nodes such that nodes with a common key are connected.
-
-    Each task joins its own nodes by key first, so a key that many documents
-    have reaches the shuffle once for some millions of signatures; keys are
-    dealt to groups of about ``_HELD`` signatures as packed arrays.
+    """Edges (a, b) between nodes that connect whatever links connect.
+
+    Keys are dealt to groups of about ``_HELD`` signatures as packed arrays. A
+    group tells for each key that several nodes have how many these are.
+    Linked nodes have more than ``spare`` keys in common, so each node may
+    leave out as many: its most frequent ones (in one order of all keys, the
+    rarest common key then stays on both sides). What documents share by a
+    common passage alone is mostly left out so, and connects nothing. Of the
+    keys that stay, the smallest node is joined to the others.
+
+    A key that many nodes of one task have is frequent; it is never left out,
+    and reaches the shuffle once for some millions of signatures, with edges
+    to the task's other nodes. So is a key that many nodes of a group have.
     """
     per_shingle = 2 * (similarity.den - similarity.num) / similarity.num + 0.05
     groups = pieces_for(int(n_shingles * per_shingle), _HELD, shuffle_partitions(docs.sparkSession))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def passed() -> Iterator[pa.RecordBatch]:
-            keys, least, a, b = _star(*(np.concatenate(x) for x in zip(*held)))
-            rows = [(g, 0, body) for g, body in _to_groups(keys, least, groups)]
+            keys, nodes, spare, _, first, frequent = _met(*(np.concatenate(x) for x in zip(*held)), _OFTEN_HERE)
+            a, b = _spokes(nodes, first, frequent)
+            sent = first | ~frequent
+            rows = [(g, 0, body) for g, body in _to_groups((keys | np.where(frequent, _FREQUENT, np.uint64(0)))[sent], nodes[sent], spare[sent], groups)]
             home = mixed(b.view(np.uint64)) % np.uint64(groups)  # edges are dealt by their second node
             for g in np.unique(home).tolist():
                 rows.append((int(g), 1, packed(a[home == g], b[home == g])))
@@ -179,24 +219,33 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
 
         for batch in batches:
             for part in row_slices(batch, "text", _SLICE):
-                hashes, ends, node = _sets_of(part, similarity, salt)
-                which, key = signatures(hashes, ends, similarity)
-                held.append((key, node[which]))
-                if sum(len(k) for k, _ in held) > _HELD:
+                hashes, ends, _, _, node = _sets_of(part, similarity, salt)
+                which, key, spare = signed(hashes, ends, similarity)
+                held.append((key, node[which], spare))
+                if sum(len(k) for k, _, _ in held) > _HELD:
                     yield from passed()
                     held.clear()
         if held:
             yield from passed()
 
     def meet(table: pa.Table) -> pa.Table:
-        kinds, bodies = table["sender"].to_pylist(), table["body"].to_pylist()
-        told = [_from_message(x) for k, x in zip(kinds, bodies) if k == 0] or [(np.empty(0, np.uint64), np.empty(0, np.int64))]
-        _, _, a, b = _star(*(np.concatenate(x) for x in zip(*told)))
-        edges = [unpacked(x, np.int64, np.int64) for k, x in zip(kinds, bodies) if k == 1]
-        pairs = np.unique(np.stack([np.concatenate([a, *(x for x, _ in edges)]), np.concatenate([b, *(y for _, y in edges)])], axis=1), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return docs.mapInArrow(sign, MESSAGE_DDL).groupBy("to").applyInArrow(meet, "a bigint, b bigint")
+        kinds, bodies, me = table["sender"].to_pylist(), table["body"].to_pylist(), np.uint64(table["to"][0].as_py())
+        told = [_from_message(x) for k, x in zip(kinds, bodies) if k == 0] or [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8))]
+        keys, nodes, spare, count, first, frequent = _met(*(np.concatenate(x) for x in zip(*told)), _OFTEN)
+        edges = [_spokes(nodes, first, frequent), *(unpacked(x, np.int64, np.int64) for k, x in zip(kinds, bodies) if k == 1)]
+        pairs = np.unique(np.stack([np.concatenate([x for x, _ in edges]), np.concatenate([y for _, y in edges])], axis=1), axis=0)
+        shared = (count > 1) & ~frequent
+        keys = (me << np.uint64(40) | keys[shared]).view(np.int64)
+        cells = [np.r_[pairs[:, 0], keys], np.r_[pairs[:, 1], nodes[shared]]]
+        zero = np.zeros(len(pairs), np.int32)
+        return pa.table([*map(pa.array, cells), pa.array(np.r_[zero, count[shared]].astype(np.int32)), pa.array(np.r_[zero, spare[shared]].astype(np.int32))], names=["a", "b", "n", "spare"])
+
+    met = checkpointed(docs.mapInArrow(sign, MESSAGE_DDL).groupBy("to").applyInArrow(meet, "a bigint, b bigint, n int, spare int"))
+    rare = met.filter("n > 0").groupBy("b", F.col("a").bitwiseAND(int(_SCHEME)).alias("scheme")).agg(F.sort_array(F.collect_list(F.struct("n", "a"))).alias("keys"), F.max("spare").alias("spare"))
+    kept = rare.select(F.col("b").alias("node"), F.explode(F.slice("keys", F.lit(1), F.greatest(F.size("keys") - F.col("spare"), F.lit(0)))).alias("k"))
+    stars = kept.groupBy("k.a").agg(F.min("node").alias("least"), F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")  # at most _OFTEN
+    joined = stars.select(F.col("least").alias("a"), F.explode("nodes").alias("b")).filter("a <> b")
+    return met.filter("n = 0").select("a", "b").unionByName(joined)
 
 
 def _forest(sets: list[np.ndarray], sides: np.ndarray, inner: bool, similarity: Similarity) -> list[tuple[int, int]]:
@@ -234,17 +283,24 @@ def _forest(sets: list[np.ndarray], sides: np.ndarray, inner: bool, similarity:
 
 
 def likely_rows(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose ``key`` (never null) is in ``wanted``, and a few others: what is worth joining.
+    """The rows whose ``key`` (never null) is in ``wanted``, and a few others: what is worth joining."""
+    return split_likely(rows, wanted, key, most_bits)[0]
+
+
+def split_likely(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose ``key`` (never null) may be in ``wanted``, and all others (None: no others can be told).
 
     Tasks set two bits for each wanted key; the driver gets their words, of
     ``most_bits`` bits at most whatever the input. With so many keys that such
-    a filter would pass most rows, all rows are returned and the join does
-    the work.
+    a filter would pass most rows, all rows are likely and the join does the
+    work.
     """
     n = wanted.count()
     bits = min(most_bits, 1 << max(6, (16 * n - 1).bit_length()))
+    if n == 0:
+        return rows.filter("false"), rows
     if 2 * n > bits:
-        return rows
+        return rows, None
     places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in (1, 2)]
     at = wanted.select(F.explode(F.array(*places)).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
@@ -257,7 +313,7 @@ def likely_rows(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = F
         both = [(sent.value[x >> 6] >> (x & 63)) & 1 for x in (a.to_numpy(), b.to_numpy())]
         return pa.array((both[0] & both[1]).astype(bool))
 
-    return rows.filter(has(*places))
+    return rows.filter(has(*places)), rows.filter(~has(*places))
 
 
 def _units(placed: DataFrame, packs: int) -> DataFrame:
@@ -320,7 +376,7 @@ def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity:
             part = pa.record_batch([table["text"].take(pa.array(rows)).combine_chunks()], names=["text"])
             at = 0
             for some in row_slices(part, "text", _SLICE):
-                hashes, ends, own = _sets_of(some, similarity, salt)
+                hashes, ends, _, _, own = _sets_of(some, similarity, salt)
                 for i in np.flatnonzero(own == node[rows[at : at + some.num_rows]]).tolist():
                     sets[int(own[i])] = int(side[rows[at + i]]), hashes[ends[i] : ends[i + 1]].copy()
                 at += some.num_rows
@@ -333,24 +389,26 @@ def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity:
     return dealt.groupBy("g", "unit").applyInArrow(verify, "a bigint, b bigint")
 
 
-def similar_documents(docs: DataFrame, similarity: Similarity = Similarity(), block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """doc_id, n_shingles, node (class of equal sets) and component_id (smallest doc_id reachable by links) of every document.
+def similar_documents(docs: DataFrame, similarity: Similarity = Similarity(), block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, node (class of equal sets), component (its smallest node) and component_id (smallest doc_id reachable by links) of every document.
 
     Texts are lower-cased in A-Z and cut at white space; a text with fewer
     words than a shingle is one shingle; null and empty texts have none, and
     link with nothing, each other included. A null doc_id counts as the
     smallest; rows with one doc_id are documents of their own. Equal sets are
-    one node from the start, so groups of copies cost nothing further. Other
-    columns are ignored; an empty table gives no rows.
+    one node from the start, so groups of copies cost nothing further. The
+    columns ``also`` are returned too; others are ignored; an empty table
+    gives no rows. Texts are whole however long they are.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("rank"), "text")
-    named, salt = _named_documents(docs, similarity)
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("rank"), "text", *also)
+    named, salt = _named_documents(docs, similarity, list(also))
+    docs = docs.select("doc_id", "rank", "text")
     firsts = checkpointed(named.filter("n_shingles > 0").groupBy("node").agg(F.min("rank").alias("rank"), F.first("n_shingles").alias("n_shingles")))
     clusters = components(_candidates(docs, similarity, salt, named.agg(F.sum("n_shingles")).first()[0] or 0))
     linked = components(_links(docs, firsts, clusters, similarity, salt, block_bytes, block_sets))
     of_node = firsts.select("node", "rank").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_node.groupBy("component").agg(F.min("rank").alias("component_rank"))
-    named_nodes = checkpointed(of_node.join(smallest, "component").select("node", "component_rank"))
+    named_nodes = checkpointed(of_node.join(smallest, "component").select("node", "component", "component_rank"))
     out = named.join(named_nodes, "node", "left")
     rank = F.when(F.col("n_shingles") > 0, F.col("component_rank")).otherwise(F.col("rank"))
-    return out.select("doc_id", "n_shingles", "node", F.when(rank != _LOWEST, rank).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("component"), F.when(rank != _LOWEST, rank).alias("component_id"), *also)

@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 
-from marlstone.llm.common import span_hashes
+from marlstone.llm.common import equal_spans, span_hashes
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space (fixed values).
@@ -71,23 +71,36 @@ class PieceCache:
     """Token ids by piece; pieces not seen before go to ``encode`` together.
 
     ``encode`` takes a list of pieces as bytes and returns the ids of all, end
-    to end, with their counts. At most ``limit`` pieces are kept, so memory is
-    bounded whatever the texts hold.
+    to end, with their counts. Pieces are found by a hash and then compared
+    byte by byte; a piece whose hash another one has is looked up by its bytes.
+    About ``limit`` pieces are kept, so memory is bounded whatever the texts hold.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000, hashes_of: Callable = span_hashes):
+        self.encode, self.limit, self.hashes_of = encode, limit, hashes_of
         self._clear()
 
     def _clear(self) -> None:
         self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.starts, self.counts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.bytes, self.places, self.sizes = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.others: dict[bytes, int] = {}
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """New slots for pieces."""
+        ids, counts = self.encode(pieces)
+        n, sizes = len(self.counts), np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts]
+        self.counts, self.ids = np.r_[self.counts, counts], np.r_[self.ids, ids.astype(np.uint32)]
+        self.places, self.sizes = np.r_[self.places, len(self.bytes) + np.cumsum(sizes) - sizes], np.r_[self.sizes, sizes]
+        self.bytes = np.r_[self.bytes, np.frombuffer(b"".join(pieces), np.uint8)]
+        return np.arange(n, n + len(pieces))
 
     def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts end to end, and n + 1 offsets of the texts in them."""
         begin, end = split_pieces(data, offsets)
-        hashes, first, which = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        if len(self.hashes) > self.limit:
+        hashes, first, which = np.unique(self.hashes_of(data, begin, end), return_index=True, return_inverse=True)
+        if len(self.counts) > self.limit:
             self._clear()
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)
@@ -96,14 +109,18 @@ class PieceCache:
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            ids, counts = self.encode([raw[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
-            n = len(self.counts)
-            self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts]
-            self.counts, self.ids = np.r_[self.counts, counts], np.r_[self.ids, ids.astype(np.uint32)]
-            self.hashes = np.insert(self.hashes, at[new], hashes[new])
-            self.slots = np.insert(self.slots, at[new], np.arange(n, n + len(new)))
+            slots = self._add([raw[a:b] for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
+            self.hashes, self.slots = np.insert(self.hashes, at[new], hashes[new]), np.insert(self.slots, at[new], slots)
             at = np.searchsorted(self.hashes, hashes)
         slot = self.slots[at][which]
+        wrong = self.sizes[slot] != end - begin
+        alike = np.flatnonzero(~wrong)
+        wrong[alike] = ~equal_spans(data, begin[alike], self.bytes, self.places[slot[alike]], self.sizes[slot[alike]])
+        for i in np.flatnonzero(wrong).tolist():
+            piece = data[begin[i] : end[i]].tobytes()
+            if piece not in self.others:
+                self.others[piece] = int(self._add([piece])[0])
+            slot[i] = self.others[piece]
         counts = self.counts[slot]
         ends = np.r_[0, np.cumsum(counts)]
         ids = self.ids[np.repeat(self.starts[slot] - ends[:-1], counts) + np.arange(int(ends[-1]))]
