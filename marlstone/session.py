@@ -24,8 +24,11 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where none is set."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where none is set and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must be a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-"))
     return sc.getCheckpointDir()
