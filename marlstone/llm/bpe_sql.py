@@ -13,60 +13,37 @@ from pyspark.sql import DataFrame
 from marlstone.llm.common import row_slices, string_buffer
 from marlstone.llm.pieces import PieceCache
 
-#: Bytes of text at once, words in a query, bytes of a word from which on it is long.
-_SLICE, _WORDS, _LONG = 2 << 20, 1 << 15, 64
-
-#: Token rows (word, i, token) of words not yet done join themselves (the next
-#: token) and the merge table; each step contracts the leftmost pair of least
-#: rank in every word. ``more`` is false in a word's last state.
+#: Bytes of text at once, bytes of words in a query.
+_SLICE, _QUERY = 1 << 20, 1 << 18
+
+#: Rows are tokens of words by their first byte ``i`` and the byte behind them.
+#: Each step joins the tokens of words that still change to the tokens behind
+#: them and to the merge table, and contracts every word's pair of least rank:
+#: the leftmost, and the later ones that don't overlap it (of places that
+#: overlap, every second one from the left). One by one from the left gives
+#: the same: a contraction never makes a pair of lower rank than its own. That
+#: holds where no token, encoded alone, takes a step of a higher rank than its
+#: own, which ``ranks_rise`` verifies for a vocabulary. Rows are kept by key,
+#: so the table never holds more than one row for each byte.
 _ENCODE = """
-WITH RECURSIVE state AS (
-  SELECT word, i, token, true AS more FROM bytes_of_words
-  UNION ALL
-  (WITH pairs AS (
-    SELECT s.word, s.i, s.token, m.rank
-    FROM (SELECT word, i, token FROM state WHERE more) s
-    LEFT JOIN (SELECT word, i - 1 AS i, token FROM state WHERE more) t ON s.word = t.word AND s.i = t.i
-    LEFT JOIN merges m ON s.token = m.a AND t.token = m.b
+WITH RECURSIVE state(word, i, e, token) USING KEY (word, i) AS (
+  SELECT word, i, i + 1, token FROM bytes_of_words
+  UNION
+  (WITH live AS (
+    SELECT * FROM recurring.state WHERE token >= 0 AND word IN (SELECT word FROM state)
+  ), pairs AS (
+    SELECT s.word, s.i, s.e, t.i AS next, t.e AS e2, m.rank
+    FROM live s JOIN live t ON s.word = t.word AND s.e = t.i JOIN merges m ON s.token = m.a AND t.token = m.b
   ), least AS (
-    SELECT word, min(rank::BIGINT << 32 | i) AS best, best & 4294967295 AS place FROM pairs GROUP BY word
+    SELECT word, i, e, next, e2, rank, coalesce(lag(e) OVER w <> i, true) AS apart, row_number() OVER w AS n
+    FROM pairs JOIN (SELECT word, min(rank) AS rank FROM pairs GROUP BY word) USING (word, rank)
+    WINDOW w AS (PARTITION BY word ORDER BY i)
+  ), contracted AS (
+    SELECT * FROM (SELECT *, n - max(CASE WHEN apart THEN n END) OVER (PARTITION BY word ORDER BY n) AS nth FROM least) WHERE nth % 2 = 0
   )
-  SELECT p.word, CAST(CASE WHEN p.i > l.place THEN p.i - 1 ELSE p.i END AS INTEGER) AS i,
-    CASE WHEN p.i = l.place THEN p.rank ELSE p.token END AS token, l.best IS NOT NULL AS more
-  FROM pairs p JOIN least l USING (word) WHERE l.best IS NULL OR p.i <> l.place + 1)
+  SELECT word, i, e2, rank FROM contracted UNION ALL SELECT word, next, e2, -1 FROM contracted)
 )
-SELECT word, token FROM state WHERE NOT more ORDER BY word, i
-"""
-
-#: The same for long words, whose steps would be many: a step also contracts
-#: the word's later places of that pair which don't overlap. A merge never
-#: makes a pair of lower rank than its own, so one by one gives the same.
-_ENCODE_LONG = """
-WITH RECURSIVE state AS (
-  SELECT word, i, token, true AS more FROM bytes_of_words
-  UNION ALL
-  SELECT word, i, token, more FROM (
-    WITH pairs AS (
-      SELECT s.word, s.i, s.token, s.after, m.rank FROM (
-        SELECT word, i, token, lead(token) OVER (PARTITION BY word ORDER BY i) AS after FROM state WHERE more
-      ) s LEFT JOIN merges m ON s.token = m.a AND s.after = m.b
-    ), least AS (
-      SELECT *, min(rank) OVER (PARTITION BY word) AS best FROM pairs
-    ), runs AS (
-      SELECT *, rank IS NOT NULL AND rank = best AS hit,
-        row_number() OVER (PARTITION BY word ORDER BY i) AS n
-      FROM least
-    ), placed AS (
-      SELECT *, n - max(CASE WHEN NOT hit THEN n ELSE 0 END) OVER (PARTITION BY word ORDER BY n) AS since FROM runs
-    ), chosen AS (
-      SELECT *, hit AND since % 2 = 1 AS takes FROM placed
-    )
-    SELECT word, i, CASE WHEN takes THEN rank ELSE token END AS token, best IS NOT NULL AS more,
-      coalesce(lag(takes) OVER (PARTITION BY word ORDER BY i), false) AS taken
-    FROM chosen
-  ) WHERE NOT taken
-)
-SELECT word, token FROM state WHERE NOT more ORDER BY word, i
+SELECT word, token FROM state WHERE token >= 0 ORDER BY word, i
 """
 
 _DECODE = """
@@ -75,12 +52,33 @@ FROM ids r JOIN vocabulary v ON v.id = r.id GROUP BY r.doc ORDER BY r.doc
 """
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+def ranks_rise(ranks: dict[bytes, int]) -> bool:
+    """Whether every token, encoded alone by its leftmost pair of least rank, becomes itself and takes no step of a higher rank than its own.
+
+    Then a contraction to T with rank r never stands beside an x so that T + x
+    has a rank below r: the tokens of that stretch of bytes were contracted
+    just as in T + x alone, which would have taken the step of rank r too.
+    """
+    for token, rank in ranks.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            least, i = min((ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if least > rank:
+                return False
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return True
+
+
 class SqlBpe:
     """A vocabulary in DuckDB: tokens by id, and every pair of tokens that makes a token, with its rank."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks = read_ranks(path)
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
@@ -92,29 +90,48 @@ class SqlBpe:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM chars")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.cache = PieceCache(self.encode)
+        self.twos, self.threes = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        for t in ranks:
+            if len(t) == 2:
+                self.twos[t[0] << 8 | t[1]] = True
+            for i in range(len(t) - 2):
+                self.threes[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
+        self.cache = PieceCache(self.encode, limit=1_000_000)
+
+    def _parts(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """First bytes of the parts of words that start at ``begin``: words, cut where no token can lie across.
+
+        Such a token would be the two bytes at the cut, or hold them with the
+        byte before or behind.
+        """
+        wide = data.astype(np.int64)
+        two = wide[:-1] << 8 | wide[1:]
+        three = self.threes[two[:-1] << 8 | wide[2:]] if len(data) > 2 else np.empty(0, bool)
+        whole = np.ones(len(data), bool)  # whether a byte belongs to the part of the one before
+        whole[1:] = self.twos[two] | np.r_[False, three][: len(two)] | np.r_[three, False][: len(two)]
+        whole[begin] = False
+        return np.flatnonzero(~whole)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and their number in each."""
-        sizes = np.array([len(w) for w in words])
-        long = sizes > _LONG
-        order, ids, counts = np.r_[np.flatnonzero(~long), np.flatnonzero(long)], [], []
-        parts = [(_ENCODE, order[a : min(a + _WORDS, len(words) - long.sum())]) for a in range(0, len(words) - int(long.sum()), _WORDS)]
-        parts += [(_ENCODE_LONG, order[a : a + 1]) for a in range(len(words) - int(long.sum()), len(words))]
-        for query, some in parts:
-            word = np.repeat(np.arange(len(some), dtype=np.int32), sizes[some])
-            i = (np.arange(len(word)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])).astype(np.int32)
-            tokens = self.byte_ids[np.frombuffer(b"".join([words[k] for k in some]), np.uint8)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum([0, *map(len, words)])
+        parts = self._parts(data, begin[:-1])
+        end, ids, counts, a = np.r_[parts[1:], len(data)], [], [], 0
+        while a < len(parts):
+            b = max(a + 1, int(np.searchsorted(end, parts[a] + _QUERY, side="right")))
+            sizes = end[a:b] - parts[a:b]
+            word = np.repeat(np.arange(b - a, dtype=np.int32), sizes)
+            i = (np.arange(len(word)) - np.repeat(parts[a:b] - parts[a], sizes)).astype(np.int32)
+            tokens = self.byte_ids[data[parts[a] : end[b - 1]]]
             self.db.register("bytes_of_words", pa.table([pa.array(word), pa.array(i), pa.array(tokens)], ["word", "i", "token"]))
-            out = self.db.sql(query).to_arrow_table()
+            out = self.db.sql(_ENCODE).to_arrow_table()
             self.db.unregister("bytes_of_words")
             ids.append(out["token"].to_numpy())
-            counts.append(np.bincount(out["word"].to_numpy(), minlength=len(some)))
-        flat, many = np.concatenate(ids), np.concatenate(counts)
-        starts, number = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        starts[order], number[order] = np.cumsum(many) - many, many
-        at = np.repeat(starts - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
-        return flat[at], number
+            counts.append(np.bincount(out["word"].to_numpy(), minlength=b - a))
+            a = b
+        filled = np.r_[0, np.cumsum(np.concatenate(counts))]
+        return np.concatenate(ids), np.diff(filled[np.searchsorted(parts, begin)])
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         counts = np.diff(offsets)
@@ -142,12 +159,15 @@ def _bpe(path: str) -> SqlBpe:
 def encode_and_decode(docs: DataFrame, ranks_path: str, slice_bytes: int = _SLICE) -> DataFrame:
     """Adds ids (little-endian unsigned 32-bit integers, packed) and decoded (bytes) to every document.
 
-    Whole texts are encoded, each piece of the pattern separately and without
-    special tokens, so their strings are ordinary text; null and empty texts
-    have no ids. Different pieces of a slice of rows are encoded once, and
-    kept (up to a bound) for the task process's next slices. ``ranks_path`` is
-    a vocabulary file that every executor has. Columns of these two names are
-    replaced, others pass through; nothing is shuffled.
+    Whole texts of any length are encoded, each piece of the pattern
+    separately and without special tokens, so their strings are ordinary text;
+    null and empty texts have no ids; repeated rows are encoded alike; an empty
+    table gives no rows. Different pieces of a slice of rows are encoded once,
+    and kept (up to a bound) for the task process's next slices. A query holds
+    a row for each byte of its words: those of one piece at least, if no cut
+    is possible in it. ``ranks_path`` is a vocabulary file that every executor
+    has, for which ``ranks_rise``. Columns of these two names are replaced,
+    others pass through; nothing is shuffled.
     """
     docs = docs.drop("ids", "decoded")
 
