@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -49,16 +50,46 @@ def unframed(data: bytes, offsets: list[int]) -> list[bytes]:
 
 
 class LibraryBpe:
-    """Pieces to ids by the ``tokenizers`` library, many pieces in each call."""
+    """Texts to the ids that the ``tokenizers`` library gives for them as wholes, many pieces in each call.
+
+    Added tokens are found in the text first, as the library does; the rest
+    is cut into pieces, of which each different one is encoded once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that depend on what stands around them aren't supported")
+        self.added = {t.content.encode(): i for i, t in added.items() if t.content}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.find_added = re.compile(b"|".join(map(re.escape, longest_first)) or rb"(?!)")
+        self.tokenizer.encode_special_tokens = True  # what is left of a text has none of their strings
         self.newline = self._ids("\n")
         self.cache = PieceCache(self.encode)
 
+    def ids_of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts end to end, and n + 1 offsets of the texts in them."""
+        raw = data.tobytes()
+        if not self.find_added.search(raw):
+            return self.cache.ids_of(data, offsets)
+        found = [(a + m.start(), a + m.end(), self.added[m[0]]) for a, b in zip(offsets.tolist(), offsets[1:].tolist()) for m in self.find_added.finditer(raw[a:b])]
+        if not found:
+            return self.cache.ids_of(data, offsets)
+        starts, ends, added = (np.array(x, np.int64) for x in zip(*found))
+        cuts = np.sort(np.concatenate([offsets, starts, ends]))
+        ids, at = self.cache.ids_of(data, cuts)
+        first, last = at[np.searchsorted(cuts, starts)], at[np.searchsorted(cuts, ends)]
+        ids = ids.copy()
+        ids[first] = added
+        gone = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(gone, first + 1, 1)
+        np.add.at(gone, last, -1)
+        kept = np.cumsum(gone[:-1]) == 0
+        return ids[kept], np.r_[0, np.cumsum(kept)][at[np.searchsorted(cuts, offsets)]]
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -99,8 +130,10 @@ _MANIFEST = "shard int, records bigint, tokens bigint, path string"
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes every document's ids, in ascending doc_id order (nulls first), and returns the manifest.
 
-    Whole texts are encoded (null: empty) and ``end_id`` is appended. Files
-    hold ranges of doc_id; the record's ids are as narrow as the vocabulary
+    Whole texts of any length are encoded as the library does by default, so
+    an added token's string is that token (null text: empty), and ``end_id``
+    is appended. Rows that repeat a doc_id are records of their own, ordered
+    by text; an empty table gives no records. Files hold ranges of doc_id; the record's ids are as narrow as the vocabulary
     allows. Beside each file, ``.index`` holds every record's offset as eight
     little-endian bytes. A task attempt writes files of its own name and the
     manifest lists those of the attempts that succeeded, so a lost executor
@@ -119,7 +152,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         with fs.open_output_stream(path) as out:
             for batch in batches:
                 for part in row_slices(batch, "text", _SLICE):
-                    ids, ends = bpe.cache.ids_of(*string_buffer(part["text"]))
+                    ids, ends = bpe.ids_of(*string_buffer(part["text"]))
                     tail = [] if end_id is None else [np.uint32(end_id)]
                     sequences = [np.append(ids[a:b], tail).astype(kind) for a, b in zip(ends.tolist(), ends[1:].tolist())]
                     tokens += sum(map(len, sequences))
@@ -141,7 +174,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     Records are found by the offset index, so that any order could be read;
     checksums are verified. Each file's start is the sum over the files before
-    it, a window over the manifest (one row per file).
+    it, a window over the manifest: one row of some 100 bytes for every 16 MB
+    of text, so one task's share stays small. An empty manifest gives no rows.
     """
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     files = manifest.select("shard", "path", before)
