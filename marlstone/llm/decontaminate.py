@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, byte_words, span_hashes, string_buffer
+from marlstone.llm.common import LOWER, byte_words, checkpointed, equal_spans, span_hashes, string_buffer
 
-#: Bytes of text under one index, bytes of benchmark text sent to all tasks at once.
-SHARD_BYTES, PHRASE_BYTES = 8 << 20, 32 << 20
+#: Bytes of text under one index, bytes of benchmark text in a block.
+SHARD_BYTES, PHRASE_BYTES = 8 << 20, 8 << 20
+#: Blocks of benchmark text that one stage holds at most.
+_AT_ONCE = 4
 
 #: Bytes of words: digits, letters after lower-casing, everything beyond ASCII.
 WORD_BYTES = np.zeros(256, bool)
@@ -104,60 +106,86 @@ class FMIndex:
         return out
 
 
+def _occurrences(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), starts[1], ..."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class Phrases:
-    """The windows of some benchmark items as rows of word numbers, with the items of each."""
+    """The windows of some benchmark items: places in the items' sequences of word numbers, with the items of each different window."""
 
     def __init__(self, items: list, texts: list[str | None], window: int):
         data, offsets = string_buffer(pa.array(texts, pa.large_string()))
         starts, ends = byte_words(data, offsets, WORD_BYTES)
-        self.words, ids = np.unique(span_hashes(LOWER[data], starts, ends), return_inverse=True)
-        bounds = np.searchsorted(starts, offsets)
-        found: dict[tuple, set] = {}
-        for item, a, b in zip(items, bounds, bounds[1:]):
-            for i in range(a, max(b - window, a) + 1) if b > a else ():
-                found.setdefault(tuple((ids[i : min(i + window, b)] + 1).tolist()), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[list]]] = {}
-        for size in sorted({len(p) for p in found}):
-            rows = [p for p in found if len(p) == size]
-            self.by_length[size] = np.array(rows, np.int64), [sorted(found[p]) for p in rows]
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """1, 2, ... for the items' words, 0 for any other."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, 0)
-
-
-def _hits(numbers: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list]:
-    """(first word, words, items) of every occurrence of a phrase in one shard.
-
-    A phrase can't cross a word that no item has, so runs of items' words that
-    are shorter than the shortest phrase stay out of the index.
+        data, sizes = LOWER[data], ends - starts
+        for self.seed in range(1, 9):
+            self.hashes, first, which = np.unique(span_hashes(data, starts, ends, self.seed), return_index=True, return_inverse=True)
+            same = sizes == sizes[first[which]] if len(sizes) else np.ones(0, bool)
+            if same.all() and equal_spans(data, starts, data, starts[first[which]], sizes).all():
+                break
+        else:
+            raise ValueError("different words share a hash under every seed")
+        self.sizes = sizes[first] if len(sizes) else sizes
+        self.text = data[_occurrences(starts[first], self.sizes)] if len(sizes) else data[:0]
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.words, bounds = (which + 1).astype(np.int32), np.searchsorted(starts, offsets)
+        counts = np.diff(bounds)
+        at = _occurrences(bounds[:-1], np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0))
+        item = np.searchsorted(bounds, at, side="right") - 1
+        length, ids = np.minimum(counts[item], window), np.array(items, np.int64)
+        #: By window length: a place of each different window, and its items: ends, ids.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(length).tolist():
+            mine = at[length == size]
+            _, one, of = np.unique(self.windows(mine, size), axis=0, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([of.ravel(), ids[item[length == size]]], axis=1), axis=0)
+            self.by_length[size] = mine[one].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(one) + 1)), pairs[:, 1]
+
+    def windows(self, at: np.ndarray, size: int) -> np.ndarray:
+        return self.words[at[:, None] + np.arange(size)]
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """1, 2, ... for the items' words among those of lower-cased ``data``, 0 for any other; bytes are compared."""
+        out = np.zeros(len(starts), np.int64)
+        if len(self.hashes):
+            hashes = span_hashes(data, starts, ends, self.seed)
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            found = np.flatnonzero((self.hashes[at] == hashes) & (self.sizes[at] == ends - starts))
+            word = at[found]
+            same = equal_spans(data, starts[found], self.text, self.places[word], self.sizes[word])
+            out[found[same]] = word[same] + 1
+        return out
+
+
+def _hits(numbers: np.ndarray, bounds: np.ndarray, phrases: Phrases, each: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words) of every occurrence of a window in one shard, and (first word, item) pairs; windows are searched ``each`` at a time.
+
+    A window can't cross a word that no item has, so runs of items' words that
+    are shorter than the shortest window stay out of the index.
     """
-    if not phrases.by_length or not len(numbers):
-        return np.empty(0, np.int64), np.empty(0, np.int64), []
+    where, many, places, items = ([np.empty(0, np.int64)] for _ in range(4))
     joins = np.zeros(len(numbers) + 1, bool)
     joins[1:-1] = (numbers[1:] > 0) & (numbers[:-1] > 0)
     joins[bounds] = False
     first, end = np.flatnonzero((numbers > 0) & ~joins[:-1]), np.flatnonzero((numbers > 0) & ~joins[1:]) + 1
-    long = end - first >= min(phrases.by_length)
+    long = end - first >= min(phrases.by_length, default=0)
     first, end = first[long], end[long]
-    if not len(first):
-        return np.empty(0, np.int64), np.empty(0, np.int64), []
-    sizes = end - first + 1  # with a separator behind each run
-    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    seq = np.where(at == np.repeat(end, sizes), 0, numbers[np.minimum(at, len(numbers) - 1)])
-    index = FMIndex(seq, len(phrases.words))
-    where, many, items = [], [], []
-    for size, (rows, of) in phrases.by_length.items():
-        who, lo, hi = index.search(rows)
-        counts = hi - lo
-        ranks = np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        where.append(at[index.locate(ranks)])
-        many.append(np.full(len(ranks), size))
-        items += [of[w] for w in np.repeat(who, counts)]
-    return np.concatenate(where), np.concatenate(many), items
+    if len(first):
+        sizes = end - first + 1  # with a separator behind each run
+        at = _occurrences(first, sizes)
+        seq = np.where(at == np.repeat(end, sizes), 0, numbers[np.minimum(at, len(numbers) - 1)])
+        index = FMIndex(seq, len(phrases.hashes))
+        for size, (windows, ends, ids) in phrases.by_length.items():
+            for a in range(0, len(windows), each):
+                who, lo, hi = index.search(phrases.windows(windows[a : a + each], size))
+                counts, who = hi - lo, who + a
+                found = at[index.locate(_occurrences(lo, counts))]
+                where.append(found)
+                many.append(np.full(len(found), size))
+                of = np.repeat(who, counts)
+                places.append(np.repeat(found, ends[of + 1] - ends[of]))
+                items.append(ids[_occurrences(ends[of], ends[of + 1] - ends[of])])
+    return tuple(np.concatenate(x) for x in (where, many, places, items))
 
 
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -169,21 +197,20 @@ def _shard(table: pa.Table, phrases: Phrases) -> pa.Table:
     data, offsets = string_buffer(table["text"])
     starts, ends = byte_words(data, offsets, WORD_BYTES)
     bounds = np.searchsorted(starts, offsets)
-    where, many, items = _hits(phrases.numbers(span_hashes(LOWER[data], starts, ends)), bounds, phrases)
+    where, many, places, items = _hits(phrases.numbers(LOWER[data], starts, ends), bounds, phrases)
     depth = np.zeros(len(starts) + 1, np.int64)
     np.add.at(depth, where, 1)
     np.add.at(depth, where + many, -1)
-    of: list[set] = [set() for _ in range(table.num_rows)]
-    for d, who in zip((np.searchsorted(bounds, where, side="right") - 1).tolist(), items):
-        of[d].update(who)
+    of = np.searchsorted(bounds, places, side="right") - 1
     if "items" in table.column_names:  # what an earlier block of items has found
         old = table["spans"].combine_chunks()
         base = np.repeat(bounds[:-1], old.value_lengths().to_numpy(zero_copy_only=False))
         np.add.at(depth, base + old.flatten().field("first_word").to_numpy(), 1)
         np.add.at(depth, base + old.flatten().field("end_word").to_numpy(), -1)
-        for mine, old_ones in zip(of, table["items"].to_pylist()):
-            mine.update(old_ones)
+        old = table["items"].combine_chunks()
+        of, items = np.r_[of, np.repeat(np.arange(len(old)), old.value_lengths().to_numpy(zero_copy_only=False))], np.r_[items, old.flatten().to_numpy()]
         table = table.drop_columns(list(_ADDED))
+    pairs = np.unique(np.stack([of, items], axis=1), axis=0)
     hit = np.cumsum(depth)[:-1] > 0
     edge = np.zeros(len(starts) + 1, bool)
     edge[bounds] = True
@@ -194,7 +221,8 @@ def _shard(table: pa.Table, phrases: Phrases) -> pa.Table:
     cells = [first - bounds[doc], end - bounds[doc], starts[first] - offsets[doc], ends[end - 1] - offsets[doc]]
     spans = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in cells], fields=list(_SPANS.value_type))
     per_doc = pa.array(np.searchsorted(doc, np.arange(table.num_rows + 1)).astype(np.int32))
-    added = [pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(per_doc, spans), pa.array([sorted(x) for x in of], _ADDED["items"])]
+    ids = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(table.num_rows + 1)).astype(np.int32)), pa.array(pairs[:, 1]))
+    added = [pa.array(np.diff(bounds).astype(np.int64)), pa.ListArray.from_arrays(per_doc, spans), ids]
     for name, column in zip(_ADDED, added):
         table = table.append_column(name, column)
     return table
@@ -218,13 +246,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     of ``window`` consecutive words (an item with fewer is one window), as
     first_word, end_word and byte offsets start, end. ``items``: ids of the
     items whose windows occur. Words are runs of letters, digits and
-    non-ASCII characters, lower-cased in A-Z; they are compared by 64-bit
-    hashes. Null texts have no words; an empty benchmark hits nothing; columns
-    of these three names are replaced, others pass through.
-
-    Each task indexes its own shards of documents: nothing is shuffled. Items
-    are sent to all tasks in blocks of at most ``phrase_bytes`` of text; a
-    larger benchmark takes one pass over the shards per block, in one stage.
+    non-ASCII characters, lower-cased in A-Z, and compared byte by byte. Null
+    and empty texts have no words; repeated rows are searched alike; an empty
+    benchmark hits nothing; an empty table gives no rows; columns of these
+    three names are replaced, others pass through.
+
+    Each task indexes its own shards of documents, long texts as shards of
+    their own: nothing is shuffled. Items go to all tasks in blocks of about
+    ``phrase_bytes`` of text, as packed arrays of some five times that. A
+    stage has four blocks at most; for more, documents with what was found in
+    them are written before the next four.
     """
     docs = docs.drop(*_ADDED)
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
@@ -240,6 +271,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
 
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(*_ADDED).schema)
         docs = docs.mapInArrow(index, f"{kept}, {_DDL}")
+        if (i + 1) % _AT_ONCE == 0 and i + 1 < blocks:
+            docs = checkpointed(docs)
     return docs
 
 
