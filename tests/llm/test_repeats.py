@@ -101,7 +101,7 @@ def test_fm_index_brute_force():
             assert found.get(i, []) == [k for k in range(len(seq) - len(p) + 1) if list(seq[k : k + len(p)]) == list(p)]
 
 
-@pytest.mark.parametrize("limits", [dict(), dict(shard_bytes=500, phrase_bytes=200)])
+@pytest.mark.parametrize("limits", [dict(), dict(shard_bytes=500, phrase_bytes=200), dict(shard_bytes=500, phrase_bytes=40)])
 def test_contamination_brute_force(spark, odd_docs, limits):
     texts = [r.text for r in odd_docs.filter("doc_id in (2, 4)").collect()]
     items = [(7, texts[0][100:300]), (8, texts[1][:150]), (9, "one two"), (10, None), (11, ""), (12, "?!"), (13, "one"), (None, "alpha"), (14, texts[0][100:300])]
@@ -125,6 +125,23 @@ def test_contamination_brute_force(spark, odd_docs, limits):
         assert sum(len(find((text or "").encode()[s.start : s.end].decode())) for s in spans) == n_hit
 
 
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_are_not_confused(spark):
+    """Words that polynomial hashes take for one are different words to the benchmark and to shingles."""
+    a, b = thue_morse(10)
+    docs = spark.createDataFrame([(1, f"{a} x"), (2, f"{b} x"), (3, f"{a.upper()} x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, a), (6, f"{a} {b}")], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in contamination(docs, bench).collect()} == {1: [5], 2: [], 3: [5]}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(docs, Similarity(1, 90, 100)).collect()}
+    assert got == {1: (2, 1), 2: (2, 2), 3: (2, 1)}
+
+
 def test_cut_passages(spark):
     docs = spark.createDataFrame([(1, "Été a b c d fin"), (2, None), (3, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "A b. C d")], "item_id long, text string")

@@ -10,12 +10,12 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlstone.llm.bpe_sql import encode_and_decode
-from marlstone.llm.common import string_buffer
+from marlstone.llm.bpe_sql import SqlBpe, encode_and_decode, ranks_rise, read_ranks
+from marlstone.llm.common import equal_spans, span_hashes, string_buffer
 from marlstone.llm.crc32c import crc32c_of
 from marlstone.llm.html_text import main_text, with_main_text
-from marlstone.llm.pieces import split_pieces
-from marlstone.llm.token_files import framed, read_token_files, unframed, write_token_files
+from marlstone.llm.pieces import PieceCache, split_pieces
+from marlstone.llm.token_files import LibraryBpe, framed, read_token_files, unframed, write_token_files
 from marlstone.llm.toxicity import ToxicityConfig, fit_toxicity, toxicity_scores
 from marlstone.llm.url_filter import UrlRule, url_verdicts
 
@@ -29,6 +29,62 @@ def test_pieces_match_the_pattern():
     assert [raw[a:b].decode() for a, b in zip(begin, end)] == [p for t in texts for p in regex.findall(public_tokenizers.PATTERN, t)]
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two different strings that every polynomial hash modulo a power of two takes for one."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_spans_have_different_hashes():
+    for n in range(1, 13):
+        a, b = thue_morse(n)
+        data = np.frombuffer((a + b + a).encode(), np.uint8)
+        starts = np.array([0, len(a), 2 * len(a)])
+        for seed in (0, 1, 5):
+            h = span_hashes(data, starts, starts + len(a), seed)
+            assert h[0] == h[2] != h[1]
+        assert equal_spans(data, starts, data, starts * 0, starts * 0 + len(a)).tolist() == [True, False, True]
+
+
+def test_pieces_with_one_hash_are_told_apart():
+    """With a hash that knows only a piece's size, every text still gets its own ids."""
+    coding, rng = _tiktoken(), random.Random(2)
+    bpe = SqlBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    weak = PieceCache(bpe.encode, hashes_of=lambda data, begin, end: (end - begin).astype(np.uint64))
+    for _ in range(3):
+        texts = ["".join(rng.choice("ab 1") for _ in range(rng.randint(0, 60))) for _ in range(50)] + list(thue_morse(10))
+        ids, ends = weak.ids_of(*string_buffer(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [coding.encode_ordinary(t) for t in texts]
+
+
+def test_ranks_rise():
+    """The vocabulary's tokens take no step above their own rank, so places of one pair may be contracted together."""
+    assert ranks_rise(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    assert not ranks_rise({b"a": 0, b"b": 1, b"c": 2, b"bc": 9, b"abc": 5})
+
+
+def test_long_words():
+    coding, rng = _tiktoken(), random.Random(8)
+    bpe = SqlBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["a" * 5000, "ab" * 3000, "aab" * 999 + "a", *("".join(rng.choice(letters) for _ in range(n)) for n in (1, 2, 3, 65, 20000)), "".join(rng.choice("ACGT") for _ in range(30000)), "=" * 77 + "-" * 300, *thue_morse(11)]
+    words += ["".join(rng.choice(rng.choice(["abc", letters, letters.upper(), "01", "é日🙂ß"])) for _ in range(rng.randint(1, 300))) for _ in range(300)]
+    ids, counts = bpe.encode([w.encode() for w in words])
+    ends = np.r_[0, np.cumsum(counts)]
+    for w, a, b in zip(words, ends, ends[1:]):
+        assert ids[a:b].tolist() == coding._core_bpe.encode_single_piece(w.encode())
+
+
+def test_added_tokens_are_read_as_the_library_does():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    end, rng = "<|endoftext|>", random.Random(6)
+    texts = ["", end, f"a{end}b", f"{end}{end} {end}x", "<|endof", "text|>", f"it's {end}'s", "plain", f"{end[:-1]}{end}", *("".join(rng.choice([end, "word ", "<|", "é", "'s", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(200))]
+    ids, ends = LibraryBpe(path).ids_of(*string_buffer(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def _tiktoken():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -36,7 +92,7 @@ def _tiktoken():
 
 
 def test_bpe_matches_tiktoken(spark, odd_docs, no_docs):
-    extra = spark.createDataFrame([(900, "say <|endoftext|> it's " + "ab" * 700 + " " * 300 + "\x00\n")], "doc_id long, text string")
+    extra = spark.createDataFrame([(900, "say <|endoftext|> it's " + "ab" * 700 + " " * 300 + "\x00\n"), (901, " ".join(thue_morse(10)))], "doc_id long, text string")
     docs = odd_docs.select("doc_id", "text").unionByName(extra).withColumn("ids", F.lit(1))
     coding = _tiktoken()
     for r in encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect():
@@ -49,7 +105,6 @@ def test_token_files(spark, odd_docs, no_docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     manifest = write_token_files(odd_docs, path, f"file://{tmp_path}/a", end_id=2, file_bytes=2000)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)
     docs = sorted(([r.doc_id, r.text or ""] for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [r.doc_id for r in rows] == [d for d, _ in docs]
