@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,79 +29,106 @@ _MARKS = re.compile(
 _PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-])?header(?:$|\s)", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _MAIN = frozenset({"article", "main"})
+#: The same for elements that are an article by their tag: of readers, or of something else.
+_NOT_THE_MAIN = re.compile(r"(?:^|[\s_-])(?:comments?|comment-list|respond|replies|disqus|related|recommended|promo|sponsor(?:ed)?|ads?|adverts?|advertisement)(?:$|[\s_-])", re.IGNORECASE)
+_LISTS = frozenset({"table", "ul", "ol", "dl"})
+#: Open elements that the start of a tag ends, by that tag.
+_ENDED_BY: dict[str, list[str]] = {}
+for _ended, _by in _ENDS.items():
+    for _tag in _by:
+        _ENDED_BY.setdefault(_tag, []).append(_ended)
 
 
 @dataclass
 class Line:
-    """A block's text with what stands around it."""
+    """A block's text, with its tags, how much of it is in links, and the innermost container around it (-1: none)."""
 
     text: str
     tags: int
     linked: int
-    within: tuple[int, ...]
+    inside: int
     skipped: bool
 
+    @property
+    def ratio(self) -> float:
+        """Characters outside of links per tag."""
+        return 0.0 if self.skipped else max(0, len(self.text) - self.linked) / max(1, self.tags)
 
-@dataclass
-class _Open:
-    tag: str
-    number: int | None
-    skips: bool
-    unread: bool
+    @property
+    def mostly_links(self) -> bool:
+        return 2 * self.linked > len(self.text)
 
 
-@dataclass
 class _Lines(HTMLParser):
-    """Parser events gathered into lines: one for each block, its white space collapsed."""
+    """Parser events gathered into lines: one for each block, its white space collapsed.
 
-    lines: list[Line] = field(default_factory=list)
-    mains: set[int] = field(default_factory=set)
-    parents: list[int | None] = field(default_factory=list)
+    Places of open elements are kept by tag and by kind, so that each event
+    takes the same time however deeply elements are nested.
+    """
 
-    def __post_init__(self):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[_Open] = []
+        self.lines: list[Line] = []
+        #: Of every container: the one around it, and the outermost article or main element that it is in (-1: none).
+        self.parents: list[int] = []
+        self.mains: list[int] = []
+        self.open: list[str] = []
+        self.at: dict[str, list[int]] = {}  # places in ``open`` by tag; by kind under "#..."
+        self.containers: list[int] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
+
+    def _places(self, key: str) -> list[int]:
+        return self.at.setdefault(key, [])
+
+    def _last(self, key: str) -> int:
+        places = self.at.get(key)
+        return places[-1] if places else -1
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            within = tuple(o.number for o in self.open if o.number is not None)
-            self.lines.append(Line(text, self.tags, self.linked, within, any(o.skips for o in self.open)))
+            self.lines.append(Line(text, self.tags, self.linked, self.containers[-1] if self.containers else -1, self._last("#skips") >= 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _pop_to(self, depth: int) -> None:
-        if any(o.tag in _BLOCKS for o in self.open[depth:]):
+        if self._last("#block") >= depth:
             self._end_line()
-        self.links -= sum(o.tag == "a" for o in self.open[depth:])
-        del self.open[depth:]
+        while len(self.open) > depth:
+            self._places(self.open.pop()).pop()
+        for kind in ("#block", "#barrier", "#skips", "#unread"):
+            places = self._places(kind)
+            while places and places[-1] >= depth:
+                places.pop()
+        places = self._places("#container")
+        while places and places[-1] >= depth:
+            places.pop()
+            self.containers.pop()
 
     def _end_head(self) -> None:
-        head = next((i for i, o in enumerate(self.open) if o.tag == "head"), None)
-        if head is not None:
-            self._pop_to(head)
+        if self._places("head"):
+            self._pop_to(self.at["head"][0])
 
     def _marked(self, tag: str, attrs: dict[str, str]) -> bool:
         if tag in ("html", "body"):
             return False
         names = " ".join(attrs.get(k) or "" for k in ("class", "id", "role", "aria-label"))
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or "")
-        return bool(hidden or names.strip() and (_MARKS.search(names) or _PAGE_HEADER.search(names)) and tag not in _MAIN)
+        marks = _NOT_THE_MAIN.search(names) if tag in _MAIN else _MARKS.search(names) or _PAGE_HEADER.search(names)
+        return bool(hidden or marks)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "body" or tag not in _IN_HEAD and self.open and self.open[-1].tag == "head":
+        if tag == "body" or tag not in _IN_HEAD and self.open and self.open[-1] == "head":
             self._end_head()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if tag in _ENDS.get(self.open[i].tag, ()):
-                self._pop_to(i)
-                break
-            if self.open[i].tag in _CONTAINERS or self.open[i].tag in ("table", "ul", "ol", "dl"):
-                break
-        if tag in _MAIN:  # an element that was never closed doesn't swallow the article
-            bad = next((i for i, o in enumerate(self.open) if o.skips), None)
-            if bad is not None and self.open[bad].tag not in _MAIN:
+        ended = max((self._last(t) for t in _ENDED_BY.get(tag, ())), default=-1)
+        if ended >= 0 and ended >= self._last("#barrier"):
+            self._pop_to(ended)
+        given = {k: v or "" for k, v in attrs}
+        marked = self._marked(tag, given)
+        if tag in _MAIN and not marked and self._places("#skips"):  # an element that was never closed doesn't swallow the article
+            bad = self.at["#skips"][0]
+            if self.open[bad] not in _MAIN:
                 self._pop_to(bad)
         if tag in _BLOCKS:
             self._end_line()
@@ -110,37 +137,43 @@ class _Lines(HTMLParser):
             if tag in ("br", "hr", "wbr"):
                 self.parts.append("" if tag == "wbr" else " ")
             return
-        given = {k: v or "" for k, v in attrs}
-        number = None
+        around = self.containers[-1] if self.containers else -1
+        in_main = around >= 0 and self.mains[around] >= 0
+        place = len(self.open)
         if tag in _CONTAINERS:
             number = len(self.parents)
-            self.parents.append(next((o.number for o in reversed(self.open) if o.number is not None), None))
-            if tag in _MAIN or given.get("role") == "main" or given.get("itemprop") == "articleBody":
-                self.mains.add(number)
-        in_main = any(o.number in self.mains for o in self.open)
-        skips = tag in _BOILERPLATE or tag == "header" and not in_main or self._marked(tag, given)
-        self.links += tag == "a"
-        self.open.append(_Open(tag, number, skips, tag in _UNREAD))
+            self.parents.append(around)
+            is_main = tag in _MAIN or given.get("role") == "main" or given.get("itemprop") == "articleBody"
+            self.mains.append(self.mains[around] if in_main else number if is_main else -1)
+            self.containers.append(number)
+            self._places("#container").append(place)
+        self.open.append(tag)
+        self._places(tag).append(place)
+        for kind, is_one in (
+            ("#block", tag in _BLOCKS),
+            ("#barrier", tag in _CONTAINERS or tag in _LISTS),
+            ("#skips", tag in _BOILERPLATE or tag == "header" and not in_main or marked),
+            ("#unread", tag in _UNREAD),
+        ):
+            if is_one:
+                self._places(kind).append(place)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                self._pop_to(i)
-                return
-            if tag not in _BLOCKS and self.open[i].tag in _BLOCKS:
-                return
+        place = self._last(tag)
+        if place >= 0 and (tag in _BLOCKS or self._last("#block") <= place):
+            self._pop_to(place)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1].tag == "head" and data.strip():
+        if self.open and self.open[-1] == "head" and data.strip():
             self._end_head()
-        if any(o.unread for o in self.open):
+        if self._last("#unread") >= 0:
             return
         self.parts.append(data)
-        if self.links:
+        if self._last("a") >= 0:
             self.linked += len(data)
 
     def close(self) -> None:
@@ -156,71 +189,95 @@ def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndar
     return np.convolve(ratios, kernel, "full")[radius : radius + len(ratios)] / weights
 
 
-def content_lines(lines: list[Line], spread: float = 1.0) -> np.ndarray:
-    """Which lines the threshold takes for content: smoothed text-to-tag ratio at least ``spread`` standard deviations below the mean of those that count, and above the share of links."""
-    ratio = np.array([0.0 if x.skipped else (len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+def content_lines(lines: list[Line]) -> np.ndarray:
+    """Which lines the threshold takes for content: those whose smoothed text-to-tag ratio is at least its standard deviation over the page, or its mean if that is less."""
+    ratio = np.array([x.ratio for x in lines])
+    free = np.array([not x.skipped for x in lines], bool)
     if not ratio.any():
-        return np.array([not x.skipped for x in lines])
-    smooth = smoothed(np.maximum(ratio, 0))
-    threshold = min(spread * smooth.std(), smooth.mean()) if len(lines) > 1 else 0.0
-    return (smooth >= threshold) & np.array([not x.skipped for x in lines])
+        return np.zeros(len(lines), bool)
+    smooth = smoothed(ratio)
+    return (smooth >= min(smooth.std(), smooth.mean())) & free if len(lines) > 1 else free
+
+
+def menu_lines(lines: list[Line], good: np.ndarray) -> np.ndarray:
+    """Lines of clusters of neighbours that are mostly links, where less than half of a cluster is content."""
+    linked = np.array([x.mostly_links for x in lines], bool)
+    cluster = np.cumsum(np.r_[True, linked[1:] != linked[:-1]]) - 1
+    share = np.bincount(cluster, good) / np.bincount(cluster)
+    return linked & (share < 0.5)[cluster]
+
+
+def _weights(lines: list[Line], good: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Characters of content lines in each container, nested ones included; in the last place, those of the page."""
+    weight = np.zeros(len(parents) + 1)
+    for line, ok in zip(lines, good):
+        if ok:
+            weight[line.inside] += len(line.text)
+    for i in range(len(parents) - 1, -1, -1):  # a container's number is above those around it
+        weight[parents[i]] += weight[i]
+    return weight
+
+
+def _region(weight: np.ndarray, parents: list[int]) -> int:
+    """The innermost container with three quarters of the content around it, at every step inwards; -1: the page."""
+    best = np.full(len(weight), -1)
+    for i in range(len(parents) - 1, -1, -1):
+        if best[parents[i]] < 0 or weight[i] >= weight[best[parents[i]]]:
+            best[parents[i]] = i
+    region = -1
+    while best[region] >= 0 and weight[best[region]] >= 0.75 * weight[region] > 0:
+        region = int(best[region])
+    return region
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, one per line.
 
-    Lines are blocks of the page; scripts, forms, menus, headers, footers and
-    elements whose class or id names such things never count. Content lines
-    are those over the threshold; the regions are all outermost article or
-    main elements that hold some, else the innermost container with three
-    quarters of their text. In an article every line counts, however short; elsewhere the lines
-    from the first to the last content line that aren't mostly links.
+    Lines are blocks of the page. Each has a ratio of its text outside links
+    to its tags, which is smoothed over its neighbours; lines over the
+    threshold are content. What stands in scripts, forms, menus, headers,
+    footers or elements whose class or id names such things has ratio 0. The
+    content decides the regions: all outermost article or main elements that
+    hold some, else the innermost container with three quarters of it, from
+    its first to its last content line. In the regions, clusters of lines
+    that are mostly links go where less than half of them is content: these
+    are menus, whatever their tags. Other lines below the threshold stay, as
+    an article has short blocks too.
+
+    Null, empty and damaged pages have what can be read in them, "" if
+    nothing. The time grows with the page's length, however nested it is.
     """
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
-    lines = parser.lines
+    lines, mains = parser.lines, parser.mains
     if not lines:
         return ""
     good = content_lines(lines)
-    weight = np.zeros(len(parser.parents) + 1)
-    for line, ok in zip(lines, good):
-        if ok:
-            weight[list(line.within)] += len(line.text)
-            weight[-1] += len(line.text)
-    mains = [m for m in parser.mains if weight[m] > 0]
-    if mains:
-        outer = {m: next((a for a in _line_of(parser.parents, m) if a in parser.mains), m) for m in mains}
-        regions = set(outer.values())
-        return "\n".join(x.text for x in lines if regions.intersection(x.within) and not x.skipped)
-    region, children = None, {}
-    for i, parent in enumerate(parser.parents):
-        children.setdefault(parent, []).append(i)
-    here = weight[-1]
-    while (best := max(children.get(region, []), key=lambda i: weight[i], default=None)) is not None:
-        if weight[best] < 0.75 * here:
-            break
-        region, here = best, weight[best]
-    inside = [i for i, x in enumerate(lines) if region is None or region in x.within]
-    first = next((i for i in inside if good[i]), None)
-    if first is None:
-        return ""
-    last = next(i for i in reversed(inside) if good[i])
-    return "\n".join(lines[i].text for i in inside if first <= i <= last and not lines[i].skipped and 2 * lines[i].linked <= len(lines[i].text))
-
-
-def _line_of(parents: list[int | None], number: int) -> list[int]:
-    """The containers around one, outermost first, itself last."""
-    out: list[int] = []
-    at: int | None = number
-    while at is not None:
-        out.append(at)
-        at = parents[at]
-    return out[::-1]
+    main_of = [mains[x.inside] if x.inside >= 0 else -1 for x in lines]
+    regions = {m for m, ok in zip(main_of, good) if ok and m >= 0}
+    if not good.any():  # nothing but links: an article of these, or nothing
+        return "\n".join(x.text for x, m in zip(lines, main_of) if m >= 0 and not x.skipped)
+    if regions:
+        inside = [i for i, m in enumerate(main_of) if m in regions]
+    else:
+        region, within = _region(_weights(lines, good, parser.parents), parser.parents), np.zeros(len(mains) + 1, bool)
+        within[region] = True
+        for i, parent in enumerate(parser.parents):
+            within[i] |= within[parent] and (parent >= 0 or region == -1)
+        inside = [i for i, x in enumerate(lines) if within[x.inside] and (x.inside >= 0 or region == -1)]
+        content = [i for i in inside if good[i]]
+        inside = [i for i in inside if content[0] <= i <= content[-1]]
+    menu = menu_lines(lines, good)
+    return "\n".join(lines[i].text for i in inside if not lines[i].skipped and not menu[i])
 
 
 def with_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds text (empty where there is none) to every row; whole pages, null as empty. A column of that name is replaced."""
+    """Adds text (empty where there is none) to every row; a column of that name is replaced.
+
+    Whole pages of any length are read, null as empty; repeated rows get equal
+    texts; an empty table stays empty. Nothing is shuffled.
+    """
 
     @F.arrow_udf("string")
     def extract(htmls: pa.Array) -> pa.Array:

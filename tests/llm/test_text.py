@@ -1,5 +1,7 @@
 import base64
+import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +15,7 @@ from tokenizers import Tokenizer
 from marlstone.llm.bpe_sql import SqlBpe, encode_and_decode, ranks_rise, read_ranks
 from marlstone.llm.common import equal_spans, span_hashes, string_buffer
 from marlstone.llm.crc32c import crc32c_of
+from marlstone.llm import html_text
 from marlstone.llm.html_text import main_text, with_main_text
 from marlstone.llm.pieces import PieceCache, split_pieces
 from marlstone.llm.token_files import LibraryBpe, framed, read_token_files, unframed, write_token_files
@@ -210,6 +213,58 @@ def test_main_text_without_article():
     assert main_text(html) == "Title of it\nA paragraph of the main text that is long enough to count.\nAnd another one, which is also rather long, for good measure."
 
 
+def _slow_content(lines):
+    """The smoothed ratios' threshold in plain Python."""
+    ratio = [0 if x.skipped else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines]
+    smooth = []
+    for i in range(len(ratio)):
+        near = [(math.exp(-((i - j) ** 2) / 2), ratio[j]) for j in range(max(0, i - 2), min(len(ratio), i + 3))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    std = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+    return [x >= min(std, mean) and not line.skipped and any(ratio) or len(lines) == 1 and not line.skipped and any(ratio) for x, line in zip(smooth, lines)]
+
+
+def test_content_lines_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        lines = [html_text.Line("x" * rng.choice([1, 5, 40, 300]), rng.randint(0, 4), rng.choice([0, 0, 5, 300]), -1, rng.random() < 0.2) for _ in range(rng.randint(1, 15))]
+        assert html_text.content_lines(lines).tolist() == _slow_content(lines)
+
+
+LONG = "A paragraph of the text that is long enough to count as content, and then some more of it."
+LINKS = "".join(f"<li><a href={i}>Another story of the day {i}</a></li>" for i in range(6))
+UNMARKED = {
+    "links in an article": (f"<article><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><ul>{LINKS}</ul></article>", f"Title\n{LONG}\nShort.\n{LONG}"),
+    "a link between paragraphs": (f"<article><p>{LONG}</p><p><a href=1>See this</a></p><p>{LONG}</p></article>", f"{LONG}\nSee this\n{LONG}"),
+    "boxes around a text": (f"<div><ul>{LINKS}</ul></div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><p>ab</p><p>cd</p><p>ef</p><p>gh</p></div>", "\n".join([LONG] * 3)),
+}
+
+
+@pytest.mark.parametrize("name", UNMARKED)
+def test_the_ratio_decides_where_nothing_is_marked(name, monkeypatch):
+    html, want = UNMARKED[name]
+    assert main_text(f"<body>{html}</body>") == want
+    if name != "a link between paragraphs":
+        monkeypatch.setattr(html_text, "content_lines", lambda lines: np.array([not x.skipped for x in lines]))
+        assert main_text(f"<body>{html}</body>") != want
+    else:
+        monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios)
+        assert main_text(f"<body>{html}</body>") != want
+
+
+def test_readers_articles_are_not_the_article():
+    html = f"<main><article><p>{LONG}</p></article><section id=comments><article class=comment><p>{LONG} I say.</p></article></section></main><article class='teaser related'><p>{LONG} More.</p></article>"
+    assert main_text(html) == LONG
+
+
+def test_deep_pages_take_linear_time():
+    for tag in ("div", "b", "li", "ul", "p"):
+        start = time.perf_counter()
+        text = main_text(f"<body>{f'<{tag}>' * 20000}<p>{LONG}</p>{f'<{tag}>' * 20000}{f'</{tag}>' * 40000}</body>")
+        assert LONG in text and time.perf_counter() - start < 10
+
+
 def test_toxicity_held_out(spark, odd_docs):
     rng = random.Random(4)
     clean = [" ".join(rng.choice("lorem ipsum dolor sit amet consectetur elit sed".split()) for _ in range(rng.randint(3, 60))) for _ in range(600)]
