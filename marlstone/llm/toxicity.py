@@ -79,16 +79,17 @@ class ToxicityModel:
         return self.intercept + np.bincount(doc, dense[bucket], minlength=len(offsets) - 1)
 
 
-def _logistic(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
-    """Weights of the features, times their log-count ratios, and the intercept: full-batch Adam on the penalised logistic loss."""
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    scale, n = ratio[col], max(1, len(rows))
+def _logistic(doc: np.ndarray, col: np.ndarray, labels: np.ndarray, ratio: np.ndarray, config: ToxicityConfig) -> tuple[np.ndarray, float]:
+    """Weights of the features, times their log-count ratios, and the intercept: full-batch Adam on the penalised logistic loss.
+
+    ``doc`` and ``col`` are the rows and features of all ones in the matrix.
+    """
+    scale, n = ratio[col], max(1, len(labels))
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, n - labels.sum()))
     w, b = np.full(len(ratio), 0.1), 0.0
     m, v, step = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1), 0.05
     for t in range(1, config.rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(doc, w[col] * scale, minlength=len(rows)), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(doc, w[col] * scale, minlength=len(labels)), -30, 30)))
         err = (p - labels) * weight
         g = np.r_[np.bincount(col, err[doc] * scale, minlength=len(ratio)) + config.l2 * w, err.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -102,8 +103,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
 
     At most ``config.max_rows`` / 2 rows of each label, chosen by a hash of
     doc_id, are fitted; their texts are the only ones read into the fit. The
-    document counts of n-gram buckets are summed by Spark; the driver gets
-    ``max_features`` counts and the bucket lists of those rows.
+    document counts of n-gram buckets (at most 2 ** ``bits`` of them) are
+    summed by Spark; the driver gets ``max_features`` counts and the bucket
+    lists of those rows. Without labels, or in an empty table, every document
+    gets one low score. Null texts are empty; rows that repeat an id all count.
     """
     known = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -111,7 +114,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
     half = config.max_rows // 2
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half) for y in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    sample = checkpointed(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("label").cast("int").alias("label"))).coalesce(4)
+    sample = checkpointed(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("label").cast("int").alias("label")))
     everything = np.ones(1 << config.bits, bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +152,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
                 yield pa.record_batch([part["label"], pa.ListArray.from_arrays(ends, cols)], names=["label", "cols"])
 
     fit = sample.mapInArrow(features, "label int, cols array<int>").toArrow()
-    rows = [np.asarray(x, np.int64) for x in fit["cols"].to_pylist()]
-    weights, intercept = _logistic(rows, fit["label"].to_numpy(), ratios, config)
+    cols = fit["cols"].combine_chunks()
+    sizes = cols.value_lengths().to_numpy(zero_copy_only=False)
+    weights, intercept = _logistic(np.repeat(np.arange(len(cols)), sizes), cols.flatten().to_numpy(), fit["label"].to_numpy(), ratios, config)
     # fitted with both labels weighing the same; the true share of label 1 moves the intercept
     share = (n_pos + 0.5) / (n_pos + n_neg + 1.5)
     return ToxicityModel(config, buckets, weights.astype(np.float32), intercept + float(np.log(share / (1 - share))))
@@ -159,8 +163,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= 0.5) to every row.
 
-    Whole texts are scored, by the set of their n-grams; null and empty texts
-    get the score of no n-grams. Other columns pass through; columns of these
+    Whole texts of any length are scored, by the set of their n-grams; null
+    and empty texts get the score of no n-grams; repeated rows get one score
+    each, equal ones; an empty table stays empty. Other columns pass through; columns of these
     two names are replaced. The model is of fixed size (``max_features``).
     """
     docs = docs.drop("score", "predicted")
