@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import ascii_lower, mixed
+from marlstone.llm.common import ascii_lower, checkpointed, mixed
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -26,15 +26,23 @@ class UrlRule:
         return self.host + self.path
 
 
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
     """Adds host (A-Z lower-cased) and path; both empty where the url is null or has no ``://``."""
-    at = F.coalesce(F.instr(url, "://"), F.lit(0))
+    at, found = F.coalesce(F.instr(F.col(url), "://"), F.lit(0)), _fresh(pages, "_rest")
     rest = F.when(at > 0, F.substr(F.col(url), at + 3)).otherwise(F.lit(""))
     return (
-        pages.withColumn("_rest", rest)
-        .withColumn("host", ascii_lower(F.regexp_extract("_rest", r"\A[^/?#]*", 0)))
-        .withColumn("path", F.regexp_extract("_rest", r"\A[^/?#]*([^?#]*)", 1))
-        .drop("_rest")
+        pages.withColumn(found, rest)
+        .withColumn("host", ascii_lower(F.regexp_extract(found, r"\A[^/?#]*", 0)))
+        .withColumn("path", F.regexp_extract(found, r"\A[^/?#]*([^?#]*)", 1))
+        .drop(found)
     )
 
 
@@ -145,7 +153,7 @@ def url_verdicts(pages: DataFrame, rules: list[UrlRule], default: str = ALLOW, m
     verdict. The key universe is every candidate key of every row, so
     membership is exact for each of them; the filters (about ``max_keys`` keys
     at most) are the only thing sent to all tasks. A longer rule list is
-    joined by key instead. Null or odd urls have empty host and path and take
+    joined by key instead. Every row is judged alone, repeated ones too. Null or odd urls have empty host and path and take
     the default; an empty table stays empty; of columns that the input already
     has under these four names, the new ones replace the old.
     """
@@ -154,32 +162,35 @@ def url_verdicts(pages: DataFrame, rules: list[UrlRule], default: str = ALLOW, m
     lengths = sorted({len(r.path) for r in rules})
     if not rules:
         return keyed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    keyed = keyed.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    keys, side, best = (_fresh(keyed, c) for c in ("_keys", "_sides", "_best"))
+    keyed = keyed.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths))
     if len(rules) > max_keys:
-        return _by_join(keyed, verdict_of, default)
-    hosts_seen = with_host_and_path(pages.select("url")).select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
-    universe = hosts_seen.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct()
+        return _by_join(keyed, verdict_of, default, keys, best)
+    seen = with_host_and_path(pages.select("url")).select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
+    universe = checkpointed(seen.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct())
     cascades = [build_cascade(sorted(k for k, v in verdict_of.items() if v == side), universe, max_keys) for side in (ALLOW, BLOCK)]
 
     @F.arrow_udf("array<tinyint>")
     def sides(a: pa.Array, b: pa.Array) -> pa.Array:
         a, b = (x.fill_null([]) if x.null_count else x for x in (a, b))
         pairs = _pairs(a.flatten(), b.flatten())
-        side = np.where(cascades[0].has(pairs), 1, np.where(cascades[1].has(pairs), 2, 0)).astype(np.int8)
+        found = np.where(cascades[0].has(pairs), 1, np.where(cascades[1].has(pairs), 2, 0)).astype(np.int8)
         counts = np.r_[0, np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(counts), pa.array(side))
+        return pa.ListArray.from_arrays(pa.array(counts), pa.array(found))
 
-    a, b = F.transform("_keys", lambda k: _hashes(k)[0]), F.transform("_keys", lambda k: _hashes(k)[1])
-    hit = F.filter(F.arrays_zip(F.col("_keys").alias("key"), F.col("_sides").alias("side")), lambda x: x["side"] > 0)
-    best = F.array_min(F.transform(hit, lambda x: F.struct(-F.char_length(x["key"]), x["key"].alias("key"), x["side"].alias("side"))))
-    out = keyed.withColumn("_sides", sides(a, b)).withColumn("_best", best)
-    return out.withColumn("rule", F.col("_best.key")).withColumn("verdict", F.when(F.col("_best.side") == 1, ALLOW).when(F.col("_best.side") == 2, BLOCK).otherwise(F.lit(default))).drop("_keys", "_sides", "_best")
+    a, b = F.transform(keys, lambda k: _hashes(k)[0]), F.transform(keys, lambda k: _hashes(k)[1])
+    hit = F.filter(F.arrays_zip(F.col(keys).alias("key"), F.col(side).alias("side")), lambda x: x["side"] > 0)
+    first = F.array_min(F.transform(hit, lambda x: F.struct(-F.char_length(x["key"]), x["key"].alias("key"), x["side"].alias("side"))))
+    out = keyed.withColumn(side, sides(a, b)).withColumn(best, first)
+    verdict = F.when(F.col(f"{best}.side") == 1, ALLOW).when(F.col(f"{best}.side") == 2, BLOCK).otherwise(F.lit(default))
+    return out.withColumn("rule", F.col(f"{best}.key")).withColumn("verdict", verdict).drop(keys, side, best)
 
 
-def _by_join(keyed: DataFrame, verdict_of: dict[str, str], default: str) -> DataFrame:
+def _by_join(keyed: DataFrame, verdict_of: dict[str, str], default: str, keys: str, best: str) -> DataFrame:
     spark = keyed.sparkSession
     listed = spark.createDataFrame(list(verdict_of.items()), "key string, verdict string")
     longest = F.max_by(F.struct("key", "verdict"), F.struct(F.char_length("key"), "key"))
-    places = keyed.select("host", "path", F.explode("_keys").alias("key")).distinct()
-    found = places.join(listed, "key").groupBy("host", "path").agg(longest.alias("_best"))
-    return keyed.drop("_keys").join(found, ["host", "path"], "left").withColumn("rule", F.col("_best.key")).withColumn("verdict", F.coalesce("_best.verdict", F.lit(default))).drop("_best")
+    places = keyed.select("host", "path", F.explode(keys).alias("key")).distinct()
+    found = places.join(listed, "key").groupBy("host", "path").agg(longest.alias(best))
+    out = keyed.drop(keys).join(found, ["host", "path"], "left")
+    return out.withColumn("rule", F.col(f"{best}.key")).withColumn("verdict", F.coalesce(f"{best}.verdict", F.lit(default))).drop(best)
