@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from marlstone.llm.bpe_sql import SqlBpe, encode_and_decode, ranks_rise, read_ranks
 from marlstone.llm.common import equal_spans, span_hashes, string_buffer
 from marlstone.llm.crc32c import crc32c_of
-from marlstone.llm import html_text
+from marlstone.llm import html_text, toxicity
 from marlstone.llm.html_text import main_text, with_main_text
 from marlstone.llm.pieces import PieceCache, split_pieces
 from marlstone.llm.token_files import LibraryBpe, framed, read_token_files, unframed, write_token_files
@@ -165,9 +165,9 @@ URLS = {
 
 @pytest.mark.parametrize("limit", [1 << 20, 1])
 def test_url_rules(spark, limit):
-    df = spark.createDataFrame([(i, u, "old", 1) for i, u in enumerate(URLS)] * 2, "page_id int, url string, host string, rule int")
+    df = spark.createDataFrame([(i, u, "old", 1, 2, 3, 4, 5) for i, u in enumerate(URLS)] * 2, "page_id int, url string, host string, rule int, _keys int, _rest int, _sides int, _best int")
     got = url_verdicts(df, RULES, max_keys=limit).collect()
-    assert len(got) == 2 * len(URLS)
+    assert len(got) == 2 * len(URLS) and all((r._keys, r._rest, r._sides, r._best) == (2, 3, 4, 5) for r in got)
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == URLS[r.url]
     assert url_verdicts(df.filter("false"), RULES).count() == 0
@@ -279,6 +279,40 @@ def test_toxicity_held_out(spark, odd_docs):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in odd) and len(odd) == odd_docs.count()
 
 
+def test_toxicity_brute_force(spark):
+    """Features by their log-count ratios, and scores by the fitted weights, in plain Python."""
+    rng, config = random.Random(9), ToxicityConfig(sizes=(2, 3), bits=12, max_features=60, min_docs=2)
+    texts = [" ".join(rng.choice("lorem IPSUM dolor Été 日本 bad vile sed".split()) for _ in range(rng.randint(0, 9))) for _ in range(80)]
+    labels = [int("bad" in t or "vile" in t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = fit_toxicity(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, label int"), config)
+
+    def buckets(text):
+        points = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in text]
+        found = set()
+        for n in config.sizes:
+            for i in range(len(points) - n + 1):
+                h = sum((points[i + j] + 1) * pow(toxicity._STEP, j, 1 << 64) for j in range(n)) * (0xBF58476D1CE4E5B9 ^ (n << 1)) % (1 << 64)
+                found.add(h >> (64 - config.bits))
+        return found
+
+    of = [buckets(t) for t in texts]
+    size = [labels.count(0), labels.count(1)]
+    strength = {}
+    for b in set().union(*of):
+        n = [sum(b in x for x, label in zip(of, labels) if label == y) for y in (0, 1)]
+        if sum(n) >= config.min_docs:
+            ratio = math.log(((n[1] + 1) / (size[1] + 2)) / ((n[0] + 1) / (size[0] + 2)))
+            strength[b] = round(ratio**2 * sum(n), 9)
+    best = sorted(strength, key=lambda b: (-strength[b], b))
+    least = strength[best[config.max_features - 1]]
+    assert {b for b in best if strength[b] > least} <= set(model.buckets.tolist()) <= {b for b in best if strength[b] >= least} and len(model.buckets) == config.max_features
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    for r in toxicity_scores(docs, model).collect():
+        z = model.intercept + sum(weight.get(b, 0) for b in of[r.doc_id])
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-5
+
+
 def test_toxicity_without_labels(spark, odd_docs, no_docs):
     model = fit_toxicity(odd_docs, spark.createDataFrame([], "doc_id long, label int"))
     assert {r.predicted for r in toxicity_scores(odd_docs, model).collect()} == {0}
