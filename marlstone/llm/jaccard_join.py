@@ -15,8 +15,8 @@ from marlstone.llm.common import MESSAGE_DDL, checkpointed, messages, mixed, pac
 from marlstone.llm.graph import components
 from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets_twice
 
-#: Bytes of text at once; signatures that a task holds before it passes them on; bytes of sets, and sets, in a verified block.
-_SLICE, _HELD, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 2_000_000, 8 << 20, 2000
+#: Bytes of text at once; signatures that a task holds before it passes them on, and in a group; bytes of sets, and sets, in a verified block.
+_SLICE, _HELD, _GROUP, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 500_000, 1_000_000, 8 << 20, 2000
 #: Bits of the filter that keeps texts which aren't candidates out of a shuffle (32 MB, for 2**27 keys).
 FILTER_BITS = 1 << 28
 _LOWEST = np.iinfo(np.int64).min
@@ -189,7 +189,7 @@ def _from_message(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles: int) -> DataFrame:
     """Edges (a, b) between nodes that connect whatever links connect.
 
-    Keys are dealt to groups of about ``_HELD`` signatures as packed arrays. A
+    Keys are dealt to groups of about ``_GROUP`` signatures as packed arrays. A
     group tells for each key that several nodes have how many these are.
     Linked nodes have more than ``spare`` keys in common, so each node may
     leave out as many: its most frequent ones (in one order of all keys, the
@@ -202,7 +202,7 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
     to the task's other nodes. So is a key that many nodes of a group have.
     """
     per_shingle = 2 * (similarity.den - similarity.num) / similarity.num + 0.05
-    groups = pieces_for(int(n_shingles * per_shingle), _HELD, shuffle_partitions(docs.sparkSession))
+    groups = pieces_for(int(n_shingles * per_shingle), _GROUP, shuffle_partitions(docs.sparkSession))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
