@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marlstone.llm.common import row_slices, string_buffer
-from marlstone.llm.pieces import PieceCache
+from marlstone.llm.pieces import PieceCache, split_pieces
 
 #: Bytes of text at once, bytes of words in a query.
 _SLICE, _QUERY = 1 << 20, 1 << 18
@@ -96,7 +96,11 @@ class SqlBpe:
                 self.twos[t[0] << 8 | t[1]] = True
             for i in range(len(t) - 2):
                 self.threes[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
-        self.cache = PieceCache(self.encode, limit=1_000_000)
+        self.cache = PieceCache(self.encode, limit=1_000_000, split=self._split)
+
+    def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = self._parts(data, split_pieces(data, offsets)[0])
+        return parts, np.r_[parts[1:], len(data)]
 
     def _parts(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """First bytes of the parts of words that start at ``begin``: words, cut where no token can lie across.
