@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import row_slices, string_buffer
+from marlstone.llm.common import row_slices, string_buffer, trimmed
 from marlstone.llm.pieces import PieceCache, split_pieces
 
 #: Bytes of text at once, bytes of words in a query.
@@ -186,4 +186,4 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, slice_bytes: int = _SLIC
                 yield pa.RecordBatch.from_arrays([*part.columns, packed, decoded], names=[*part.schema.names, "ids", "decoded"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}ids binary, decoded binary")
+    return docs.mapInArrow(trimmed(run), f"{kept}ids binary, decoded binary")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +203,35 @@ def row_slices(batch: pa.RecordBatch, text: str, each: int):
         a = b
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that a reused task process doesn't keep an earlier task's peak."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that trims behind its last one."""
+
+    def and_trim(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return and_trim
+
+
+def trimmed_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group that trims behind it; for groups of some megabytes."""
+
+    def and_trim(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return and_trim
+
+
 _CODEC = "zstd"
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, byte_words, checkpointed, equal_spans, span_hashes, string_buffer
+from marlstone.llm.common import LOWER, byte_words, checkpointed, equal_spans, span_hashes, string_buffer, trimmed
 
 #: Bytes of text under one index, bytes of benchmark text in a block.
 SHARD_BYTES, PHRASE_BYTES = 8 << 20, 8 << 20
@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
                 yield from _shard(shard, sent.value).to_batches()
 
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(*_ADDED).schema)
-        docs = docs.mapInArrow(index, f"{kept}, {_DDL}")
+        docs = docs.mapInArrow(trimmed(index), f"{kept}, {_DDL}")
         if (i + 1) % _AT_ONCE == 0 and i + 1 < blocks:
             docs = checkpointed(docs)
     return docs

@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import MESSAGE_DDL, checkpointed, messages, mixed, packed, pieces_for, row_slices, shuffle_partitions, string_buffer, unpacked
+from marlstone.llm.common import MESSAGE_DDL, checkpointed, messages, mixed, packed, pieces_for, row_slices, shuffle_partitions, string_buffer, trimmed, trimmed_group, unpacked
 from marlstone.llm.graph import components
 from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets_twice
 
 #: Bytes of text at once; signatures that a task holds before it passes them on, and in a group; bytes of sets, and sets, in a verified block.
-_SLICE, _HELD, _GROUP, BLOCK_BYTES, BLOCK_SETS = 2 << 20, 500_000, 1_000_000, 8 << 20, 2000
+_SLICE, _HELD, _GROUP, BLOCK_BYTES, BLOCK_SETS = 1 << 20, 500_000, 1_000_000, 8 << 20, 2000
 #: Bits of the filter that keeps texts which aren't candidates out of a shuffle (32 MB, for 2**27 keys).
 FILTER_BITS = 1 << 28
 _LOWEST = np.iinfo(np.int64).min
@@ -152,7 +152,7 @@ def _named_documents(docs: DataFrame, similarity: Similarity, also: list[str]) -
                     cells = [part["doc_id"], part["rank"], pa.array(np.diff(ends)), pa.array(node), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
                     yield pa.RecordBatch.from_arrays([*cells, *(part[c] for c in also)], names=["doc_id", "rank", "n_shingles", "node", "a", "b", *also])
 
-        named = checkpointed(docs.mapInArrow(name, f"doc_id bigint, rank bigint, n_shingles bigint, node bigint, a bigint, b bigint{kept}"))
+        named = checkpointed(docs.mapInArrow(trimmed(name), f"doc_id bigint, rank bigint, n_shingles bigint, node bigint, a bigint, b bigint{kept}"))
         different = F.struct("n_shingles", "a", "b")
         if named.groupBy("node").agg(F.min(different).alias("lo"), F.max(different).alias("hi")).filter("lo <> hi").isEmpty():
             return named, salt
@@ -240,7 +240,7 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
         zero = np.zeros(len(pairs), np.int32)
         return pa.table([*map(pa.array, cells), pa.array(np.r_[zero, count[shared]].astype(np.int32)), pa.array(np.r_[zero, spare[shared]].astype(np.int32))], names=["a", "b", "n", "spare"])
 
-    met = checkpointed(docs.mapInArrow(sign, MESSAGE_DDL).groupBy("to").applyInArrow(meet, "a bigint, b bigint, n int, spare int"))
+    met = checkpointed(docs.mapInArrow(trimmed(sign), MESSAGE_DDL).groupBy("to").applyInArrow(trimmed_group(meet), "a bigint, b bigint, n int, spare int"))
     rare = met.filter("n > 0").groupBy("b", F.col("a").bitwiseAND(int(_SCHEME)).alias("scheme")).agg(F.sort_array(F.collect_list(F.struct("n", "a"))).alias("keys"), F.max("spare").alias("spare"))
     kept = rare.select(F.col("b").alias("node"), F.explode(F.slice("keys", F.lit(1), F.greatest(F.size("keys") - F.col("spare"), F.lit(0)))).alias("k"))
     stars = kept.groupBy("k.a").agg(F.min("node").alias("least"), F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")  # at most _OFTEN
@@ -386,7 +386,7 @@ def _links(docs: DataFrame, firsts: DataFrame, clusters: DataFrame, similarity:
                 found += [(names[i], names[k]) for i, k in links]
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("g", "unit").applyInArrow(verify, "a bigint, b bigint")
+    return dealt.groupBy("g", "unit").applyInArrow(trimmed_group(verify), "a bigint, b bigint")
 
 
 def similar_documents(docs: DataFrame, similarity: Similarity = Similarity(), block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS, also: tuple[str, ...] = ()) -> DataFrame:

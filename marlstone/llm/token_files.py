@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import checkpointed, pieces_for, row_slices, shuffle_partitions, string_buffer, text_bytes
+from marlstone.llm.common import checkpointed, pieces_for, row_slices, shuffle_partitions, string_buffer, text_bytes, trimmed
 from marlstone.llm.crc32c import crc32c_of
 from marlstone.llm.pieces import PieceCache
 
@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return checkpointed(dealt.mapInArrow(write, _MANIFEST))
+    return checkpointed(dealt.mapInArrow(trimmed(write), _MANIFEST))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -202,4 +202,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
                         a = b
 
-    return spread.mapInArrow(read, "doc_id bigint, start bigint, ids binary")
+    return spread.mapInArrow(trimmed(read), "doc_id bigint, start bigint, ids binary")

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import checkpointed, code_points, powers, row_slices, string_buffer
+from marlstone.llm.common import checkpointed, code_points, powers, row_slices, string_buffer, trim, trimmed
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text scored at once; counted at once, where every n-gram is held.
-_SLICE, _FIT_SLICE = 2 << 20, 1 << 19
+_SLICE, _FIT_SLICE = 1 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
 
     seen = sample.groupBy("label").count().collect()
     m_pos, m_neg = (next((r["count"] for r in seen if r.label == y), 0) for y in (1, 0))
-    sums = sample.mapInArrow(count, "bucket bigint, pos bigint, neg bigint").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = sample.mapInArrow(trimmed(count), "bucket bigint, pos bigint, neg bigint").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rate = lambda k, n: (F.col(k) + config.alpha) / (n + 2 * config.alpha)
     ratio = F.log(rate("pos", m_pos) / rate("neg", m_neg)).alias("ratio")
     strength = F.pow("ratio", F.lit(2)) * (F.col("pos") + F.col("neg"))
@@ -151,7 +151,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = To
                 ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.record_batch([part["label"], pa.ListArray.from_arrays(ends, cols)], names=["label", "cols"])
 
-    fit = sample.mapInArrow(features, "label int, cols array<int>").toArrow()
+    fit = sample.mapInArrow(trimmed(features), "label int, cols array<int>").toArrow()
     cols = fit["cols"].combine_chunks()
     sizes = cols.value_lengths().to_numpy(zero_copy_only=False)
     weights, intercept = _logistic(np.repeat(np.arange(len(cols)), sizes), cols.flatten().to_numpy(), fit["label"].to_numpy(), ratios, config)
@@ -176,6 +176,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text: str = "text") -
         out, batch = [np.empty(0)], pa.record_batch([texts], names=["t"])
         for part in row_slices(batch, "t", _SLICE):
             out.append(1 / (1 + np.exp(-np.clip(sent.value.logits(part["t"]), -700, 700))))
+        trim()
         return pa.array(np.concatenate(out))
 
     scored = docs.withColumn("score", score(F.col(text)))
