@@ -190,8 +190,8 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
     """Edges (a, b) between nodes that connect whatever links connect.
 
     Keys are dealt to groups of about ``_GROUP`` signatures as packed arrays. A
-    group tells for each key that several nodes have how many these are.
-    Linked nodes have more than ``spare`` keys in common, so each node may
+    group tells the nodes that share a key how many these are (a second
+    exchange, by node); the keys that nodes keep meet again in a third. Linked nodes have more than ``spare`` keys in common, so each node may
     leave out as many: its most frequent ones (in one order of all keys, the
     rarest common key then stays on both sides). What documents share by a
     common passage alone is mostly left out so, and connects nothing. Of the
@@ -204,6 +204,15 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
     per_shingle = 2 * (similarity.den - similarity.num) / similarity.num + 0.05
     groups = pieces_for(int(n_shingles * per_shingle), _GROUP, shuffle_partitions(docs.sparkSession))
 
+    def home(nodes: np.ndarray) -> np.ndarray:
+        return (mixed(nodes.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+    def dealt(to: np.ndarray, kind: int, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
+        """A message for each group with its part of the arrays."""
+        o = np.argsort(to, kind="stable")
+        cut = np.flatnonzero(np.r_[True, to[o][1:] != to[o][:-1]][: len(o)])
+        return [(int(to[o[i]]), kind, packed(*(x[o[i:j]] for x in arrays))) for i, j in zip(cut, np.r_[cut[1:], len(o)])]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -212,10 +221,7 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
             a, b = _spokes(nodes, first, frequent)
             sent = first | ~frequent
             rows = [(g, 0, body) for g, body in _to_groups((keys | np.where(frequent, _FREQUENT, np.uint64(0)))[sent], nodes[sent], spare[sent], groups)]
-            home = mixed(b.view(np.uint64)) % np.uint64(groups)  # edges are dealt by their second node
-            for g in np.unique(home).tolist():
-                rows.append((int(g), 1, packed(a[home == g], b[home == g])))
-            yield from messages(rows).to_batches()
+            yield from messages(rows + dealt(home(b), 1, a, b)).to_batches()  # edges are dealt by their second node
 
         for batch in batches:
             for part in row_slices(batch, "text", _SLICE):
@@ -235,17 +241,39 @@ def _candidates(docs: DataFrame, similarity: Similarity, salt: int, n_shingles:
         edges = [_spokes(nodes, first, frequent), *(unpacked(x, np.int64, np.int64) for k, x in zip(kinds, bodies) if k == 1)]
         pairs = np.unique(np.stack([np.concatenate([x for x, _ in edges]), np.concatenate([y for _, y in edges])], axis=1), axis=0)
         shared = (count > 1) & ~frequent
-        keys = (me << np.uint64(40) | keys[shared]).view(np.int64)
-        cells = [np.r_[pairs[:, 0], keys], np.r_[pairs[:, 1], nodes[shared]]]
-        zero = np.zeros(len(pairs), np.int32)
-        return pa.table([*map(pa.array, cells), pa.array(np.r_[zero, count[shared]].astype(np.int32)), pa.array(np.r_[zero, spare[shared]].astype(np.int32))], names=["a", "b", "n", "spare"])
-
-    met = checkpointed(docs.mapInArrow(trimmed(sign), MESSAGE_DDL).groupBy("to").applyInArrow(trimmed_group(meet), "a bigint, b bigint, n int, spare int"))
-    rare = met.filter("n > 0").groupBy("b", F.col("a").bitwiseAND(int(_SCHEME)).alias("scheme")).agg(F.sort_array(F.collect_list(F.struct("n", "a"))).alias("keys"), F.max("spare").alias("spare"))
-    kept = rare.select(F.col("b").alias("node"), F.explode(F.slice("keys", F.lit(1), F.greatest(F.size("keys") - F.col("spare"), F.lit(0)))).alias("k"))
-    stars = kept.groupBy("k.a").agg(F.min("node").alias("least"), F.collect_set("node").alias("nodes")).filter("size(nodes) > 1")  # at most _OFTEN
-    joined = stars.select(F.col("least").alias("a"), F.explode("nodes").alias("b")).filter("a <> b")
-    return met.filter("n = 0").select("a", "b").unionByName(joined)
+        keys = me << np.uint64(40) | keys[shared]
+        rows = dealt(home(nodes[shared]), 0, keys, nodes[shared], count[shared].astype(np.int32), spare[shared])
+        return messages(rows + dealt(home(pairs[:, 1]), 1, pairs[:, 0], pairs[:, 1]))
+
+    def leave_out(table: pa.Table) -> pa.Table:
+        told = [unpacked(x, np.uint64, np.int64, np.int32, np.uint8) for k, x in zip(table["sender"].to_pylist(), table["body"].to_pylist()) if k == 0]
+        rows = [(t, k, x) for t, k, x in zip(table["to"].to_pylist(), table["sender"].to_pylist(), table["body"].to_pylist()) if k == 1]
+        if told:
+            keys, nodes, count, spare = (np.concatenate(x) for x in zip(*told))
+            scheme = keys & _SCHEME
+            o = np.lexsort((keys, count, scheme, nodes))
+            keys, nodes, spare, scheme = keys[o], nodes[o], spare[o], scheme[o]
+            new = np.r_[True, (nodes[1:] != nodes[:-1]) | (scheme[1:] != scheme[:-1])]
+            first = np.flatnonzero(new)
+            of, size = np.cumsum(new) - 1, np.diff(np.r_[first, len(o)])
+            kept = np.arange(len(o)) - first[of] < size[of] - spare  # the rarest come first
+            rows += dealt((keys[kept] >> np.uint64(40)).astype(np.int64), 0, keys[kept], nodes[kept])
+        return messages(rows)
+
+    def join(table: pa.Table) -> pa.Table:
+        told = [(k, unpacked(x, np.uint64 if k == 0 else np.int64, np.int64)) for k, x in zip(table["sender"].to_pylist(), table["body"].to_pylist())]
+        edges = [x for k, x in told if k == 1]
+        if kept := [x for k, x in told if k == 0]:
+            keys, nodes = (np.concatenate(x) for x in zip(*kept))
+            o = np.lexsort((nodes, keys))
+            edges.append(_spokes(nodes[o], np.r_[True, keys[o][1:] != keys[o][:-1]], np.ones(len(o), bool)))
+        a, b = (np.concatenate(x) for x in zip(*edges)) if edges else (np.empty(0, np.int64),) * 2
+        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    met = docs.mapInArrow(trimmed(sign), MESSAGE_DDL).groupBy("to").applyInArrow(trimmed_group(meet), MESSAGE_DDL)
+    kept = met.groupBy("to").applyInArrow(trimmed_group(leave_out), MESSAGE_DDL)
+    return kept.groupBy("to").applyInArrow(trimmed_group(join), "a bigint, b bigint")
 
 
 def _forest(sets: list[np.ndarray], sides: np.ndarray, inner: bool, similarity: Similarity) -> list[tuple[int, int]]:
