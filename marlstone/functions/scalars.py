@@ -72,6 +72,14 @@ def guarded_ratio(top: Column, bottom: Column, most: float = 1e15, digits: int =
     return F.when(F.abs(ratio) < most, F.round(ratio, digits))
 
 
+def guarded_corr(x: str | Column, y: str | Column, least: float = 1e-12) -> Column:
+    """Pearson correlation of the pairs without nulls; null where one side is (almost) constant. An aggregate."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    across = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when((F.stddev_pop(x) > least) & (F.stddev_pop(y) > least), F.try_divide(F.covar_pop(x, y), across))
+
+
 def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 

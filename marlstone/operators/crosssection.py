@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.scalars import clipped
+from marlstone.functions.scalars import clipped, guarded_corr
 
 
 def winsorised(df: DataFrame, values: Sequence[str], by: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -79,7 +79,7 @@ def row_mean(columns: Sequence[str]) -> Column:
 
 
 def information_coefficient(df: DataFrame, factors: Sequence[str], forward: str, by: Sequence[str], least: int = 5) -> DataFrame:
-    """Per group and factor: Spearman and Pearson correlation with the forward return, and rows; null under ``least``."""
+    """Per group and factor: Spearman and Pearson correlation with the forward return, and rows; null under ``least`` rows or where one side is constant."""
     long = df.select(*by, F.col(forward).alias("_y"), F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("_x")) for f in factors])).alias("_f"))
     long = long.select(*by, "_f.factor", "_f._x", "_y").filter("_x is not null and _y is not null")
     keys = [*by, "factor"]
@@ -90,8 +90,8 @@ def information_coefficient(df: DataFrame, factors: Sequence[str], forward: str,
     ranked = long.withColumn("_rx", average_rank("_x")).withColumn("_ry", average_rank("_y"))
     n = F.count("*")
     return ranked.groupBy(*keys).agg(
-        F.when(n >= least, F.corr("_rx", "_ry")).alias("ic_spearman"),
-        F.when(n >= least, F.corr("_x", "_y")).alias("ic_pearson"),
+        F.when(n >= least, guarded_corr("_rx", "_ry")).alias("ic_spearman"),
+        F.when(n >= least, guarded_corr("_x", "_y")).alias("ic_pearson"),
         n.alias("n"),
     )
 

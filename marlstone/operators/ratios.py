@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalars import guarded_ratio
@@ -30,7 +30,8 @@ def derived(wide: DataFrame, shares_mode: str = "outstanding") -> DataFrame:
 
     ``shares_mode`` "reference" takes equity over book value first, which is 1
     where the book value itself is filled from equity; "outstanding" takes the
-    reported number of shares first.
+    reported number of shares first. A missing ebitda stays missing: only the
+    operating margin falls back on another field.
     """
     c = F.col
     filled = (
@@ -38,7 +39,6 @@ def derived(wide: DataFrame, shares_mode: str = "outstanding") -> DataFrame:
         .withColumn("eps", F.coalesce("diluted_eps", "basic_eps"))
         .withColumn("free_cash_flow", F.coalesce(c("free_cash_flow"), c("operating_cash_flow") - F.abs("capital_expenditure")))
         .withColumn("book_value", F.coalesce("book_value", "stockholders_equity"))
-        .withColumn("ebitda", F.coalesce(c("ebitda"), c("operating_income")))
     )
     implied = F.try_divide(F.nullif(c("stockholders_equity"), F.lit(0.0)), c("book_value"))
     implied, known = F.when(implied > 0, implied), F.when(c("shares_outstanding") > 0, c("shares_outstanding"))
@@ -80,6 +80,25 @@ def ratio_rows(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     return unpivoted(wide.select(*keys, *[v.alias(k) for k, v in ratios.items()]), keys, list(ratios))
 
 
+GROWTH = {"earnings_growth_hist": "eps", "revenue_growth_hist": "total_revenue", "net_income_growth_hist": "net_income", "ocf_growth_hist": "operating_cash_flow"}
+
+
+def growth_rows(wide: DataFrame, entity: Sequence[str], date: str, least: float = 0.001, most: float = 100.0) -> DataFrame:
+    """Change against the entity's report before over that one's size, in rows (over ``derived`` columns).
+
+    Left out where either value is missing, the one before is not above
+    ``least`` in size, or the change is not below ``most``.
+    """
+    before = Window.partitionBy(*entity).orderBy(date)
+
+    def change(field: str) -> Column:
+        old = F.lag(field).over(before)
+        rate = F.try_divide(F.col(field) - old, F.abs(old))
+        return F.when((F.abs(old) > least) & (F.abs(rate) < most), F.round(rate, 6))
+
+    return unpivoted(wide.select(*entity, date, *[change(f).alias(k) for k, f in GROWTH.items()]), [*entity, date], list(GROWTH))
+
+
 def gap_filled(facts: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``facts`` and those rows of ``extra`` whose key they lack (add if missing)."""
     return facts.unionByName(extra.join(facts.select(*keys).distinct(), list(keys), "left_anti").select(*facts.columns))

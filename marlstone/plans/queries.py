@@ -787,7 +787,11 @@ r AS (
   SELECT symbol, report_date, 'debt_to_assets_hist', total_debt / nullif(total_assets, 0) FROM w UNION ALL
   SELECT symbol, report_date, 'debt_to_equity_hist', total_debt / nullif(stockholders_equity, 0) FROM w UNION ALL
   SELECT symbol, report_date, 'equity_ratio_hist', stockholders_equity / nullif(total_assets, 0) FROM w)
-SELECT symbol, report_date, field_name, round(v, 6) AS field_value FROM r WHERE abs(v) < 1e15""",
+SELECT symbol, report_date, field_name, round(v, 6) AS field_value FROM r WHERE abs(v) < 1e15
+UNION ALL SELECT symbol, report_date, field_name, round(v, 6) FROM (
+  SELECT symbol, report_date, field_name, CASE WHEN abs(p) > 0.001 THEN (x - p) / abs(p) END AS v FROM (
+    SELECT symbol, report_date, 'revenue_growth_hist' AS field_name, total_revenue AS x, lag(total_revenue) OVER o AS p FROM w WINDOW o AS (PARTITION BY symbol ORDER BY report_date)
+    UNION ALL SELECT symbol, report_date, 'net_income_growth_hist', net_income, lag(net_income) OVER o FROM w WINDOW o AS (PARTITION BY symbol ORDER BY report_date))) WHERE abs(v) < 100""",
         "fundamentals",
     )
 )
@@ -795,7 +799,7 @@ def historical_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in _FIELD_OF.items() for x in pair])
     facts = views.fundamentals(spark, sf_dir).withColumn("field_name", F.coalesce(F.element_at(names, F.col("field_name")), F.col("field_name")))
     wide = ratios.derived(ratios.wide_facts(facts, ["symbol", "report_date"]).withColumn("price", F.lit(None).cast("double")))
-    return ratios.ratio_rows(wide, ["symbol", "report_date"])
+    return ratios.ratio_rows(wide, ["symbol", "report_date"]).unionByName(ratios.growth_rows(wide, ["symbol"], "report_date"))
 
 
 _BOOST = (
@@ -876,7 +880,7 @@ def weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0.0)
     score = F.col("g.a") * F.coalesce("momentum", zero) + F.col("g.b") * F.coalesce("value", zero)
     rows = z.join(_forward(spark, sf_dir).select("symbol", "month", "y"), ["symbol", "month"]).filter("y is not null").withColumn("g", grid).select("g.variant", "month", score.alias("x"), "y")
-    ic = rows.groupBy("variant", "month").agg(F.corr("x", "y").alias("ic"), F.count("*").alias("k"), F.stddev_pop("x").alias("s")).filter("k >= 5 and s > 1e-12")
+    ic = rows.groupBy("variant", "month").agg(scalars.guarded_corr("x", "y").alias("ic"), F.count("*").alias("k"), F.stddev_pop("x").alias("s")).filter("k >= 5 and s > 1e-12")
     return stats.ic_summary(ic, "ic", ["variant"]).select("variant", r6("mean_ic"), r6("ic_ir"), "n")
 
 
@@ -967,7 +971,7 @@ def sector_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [("a", "b"), ("a", "c"), ("b", "c")]
-    one = _parts(spark, sf_dir).agg(*[F.corr(x, y).alias(f"{x}{y}") for x, y in pairs])
+    one = _parts(spark, sf_dir).agg(*[scalars.guarded_corr(x, y).alias(f"{x}{y}") for x, y in pairs])
     return one.select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"{x}{y}").alias("corr")) for x, y in pairs])).alias("r")).select("r.x", "r.y", r6("r.corr", "corr"))
 
 

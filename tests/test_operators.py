@@ -176,3 +176,22 @@ def test_stream_round_trip(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         events.consume(stream, lambda df, _: got.extend(df.collect()), str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(tuple(r) for r in got) == [("1", 1, "a", 2.0), ("2", 2, "b", 3.0)]
+
+
+def test_flat_groups_have_no_correlation(spark):
+    rows = [("flat", float(i), 1.0) for i in range(6)] + [("both", float(i), 2.0 * i + (i == 3)) for i in range(6)] + [("gap", 1.0, float(i)) for i in range(6)] + [("gap", None, 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r.g: r.c for r in df.groupBy("g").agg(scalars.guarded_corr("x", "y").alias("c")).collect()}
+    assert got["flat"] is None and got["gap"] is None and abs(got["both"] - df.filter("g = 'both'").corr("x", "y")) < 1e-12
+    ic = {r.g: (r.ic_spearman, r.ic_pearson, r.n) for r in xs.information_coefficient(df, ["x"], "y", ["g"]).collect()}
+    assert ic["flat"] == (None, None, 6) and ic["gap"] == (None, None, 6) and ic["both"][0] == 1.0
+
+
+def test_growth_against_the_report_before(spark):
+    facts = [("A", "2024-03-31", "diluted_eps", 2.0), ("A", "2024-06-30", "basic_eps", 2.5), ("A", "2024-03-31", "total_revenue", 0.0), ("A", "2024-06-30", "total_revenue", 5.0)]
+    facts += [("A", "2024-03-31", "net_income", -10.0), ("A", "2024-06-30", "net_income", 5.0), ("A", "2024-03-31", "operating_cash_flow", 0.01), ("A", "2024-06-30", "operating_cash_flow", 9.0), ("A", "2024-06-30", "operating_income", 3.0)]
+    df = spark.createDataFrame(facts, "symbol string, report_date string, field_name string, field_value double")
+    wide = ratios.derived(ratios.wide_facts(df, ["symbol", "report_date"]).withColumn("price", F.lit(25.0)))
+    assert {(r.field_name, r.field_value) for r in ratios.growth_rows(wide, ["symbol"], "report_date").collect()} == {("earnings_growth_hist", 0.25), ("net_income_growth_hist", 1.5)}
+    names = {r.field_name for r in ratios.ratio_rows(wide, ["symbol", "report_date"]).filter("report_date = '2024-06-30'").collect()}
+    assert "operating_margin_hist" in names and not names & {"ebitda_margin_hist", "ev_to_ebitda_hist"}
