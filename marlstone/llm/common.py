@@ -129,8 +129,8 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-#: Bytes of a span that are taken eight at a time; longer spans are rare and taken one by one.
-_SHORT = 64
+#: Bytes of a span that are taken eight at a time (longer spans are rare and taken one by one), and spans at once.
+_SHORT, _AT_ONCE = 64, 1 << 15
 
 
 def _eights(size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -150,26 +150,32 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     identity makes structured strings collide; whoever needs identity
     compares bytes (``equal_spans``) or two seeds.
     """
-    size = ends - starts
-    first = np.uint64((seed * int(_MIX_2) + 1) % (1 << 64))
-    out = mixed(size.astype(np.uint64) * _MIX_1 + first)
-    words = _words(data)
-    for at, live, mask in _eights(size):
-        out[live] = mixed(out[live] ^ (words[starts[live] + at] & mask))
-    key = seed.to_bytes(8, "little")
-    for i in np.flatnonzero(size > _SHORT).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
-    return out
+    first, key = np.uint64((seed * int(_MIX_2) + 1) % (1 << 64)), seed.to_bytes(8, "little")
+    words, found = _words(data), np.empty(len(starts), np.uint64)
+    for lo in range(0, len(starts), _AT_ONCE):
+        start, end = starts[lo : lo + _AT_ONCE], ends[lo : lo + _AT_ONCE]
+        size = end - start
+        out = mixed(size.astype(np.uint64) * _MIX_1 + first)
+        for at, live, mask in _eights(size):
+            out[live] = mixed(out[live] ^ (words[start[live] + at] & mask))
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+        found[lo : lo + _AT_ONCE] = out
+    return found
 
 
 def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ``a`` and ``b`` hold the same ``size[i]`` bytes from ``a_starts[i]`` and ``b_starts[i]`` on."""
-    out, left, right = np.ones(len(size), bool), _words(a), _words(b)
-    for at, live, mask in _eights(size):
-        out[live] &= (left[a_starts[live] + at] ^ right[b_starts[live] + at]) & mask == 0
-    for i in np.flatnonzero(size > _SHORT).tolist():
-        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
-    return out
+    found, left, right = np.empty(len(size), bool), _words(a), _words(b)
+    for lo in range(0, len(size), _AT_ONCE):
+        x, y, n = a_starts[lo : lo + _AT_ONCE], b_starts[lo : lo + _AT_ONCE], size[lo : lo + _AT_ONCE]
+        out = np.ones(len(n), bool)
+        for at, live, mask in _eights(n):
+            out[live] &= (left[x[live] + at] ^ right[y[live] + at]) & mask == 0
+        for i in np.flatnonzero(n > _SHORT).tolist():
+            out[i] = np.array_equal(a[x[i] : x[i] + n[i]], b[y[i] : y[i] + n[i]])
+        found[lo : lo + _AT_ONCE] = out
+    return found
 
 
 #: A-Z lower-cased, every other byte as it is.
