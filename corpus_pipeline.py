@@ -120,7 +120,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: The first and third stages have no SQL; tests hold the pipeline against brute force.
+#: The first, third and last stages have no SQL; tests check single stages on odd rows.
 ORACLE_SQL = None
 
 
