@@ -14,7 +14,7 @@ from marlstone.llm.common import row_slices, string_buffer, trimmed
 from marlstone.llm.pieces import PieceCache, split_pieces
 
 #: Bytes of text at once, bytes of words in a query.
-_SLICE, _QUERY = 1 << 20, 1 << 18
+_SLICE, _QUERY = 1 << 19, 1 << 18
 
 #: Rows are tokens of words by their first byte ``i`` and the byte behind them.
 #: Each step joins the tokens of words that still change to the tokens behind
@@ -96,7 +96,7 @@ class SqlBpe:
                 self.twos[t[0] << 8 | t[1]] = True
             for i in range(len(t) - 2):
                 self.threes[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
-        self.cache = PieceCache(self.encode, limit=1_000_000, split=self._split)
+        self.cache = PieceCache(self.encode, limit=300_000, split=self._split)
 
     def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = self._parts(data, split_pieces(data, offsets)[0])
