@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import LOWER, byte_words, checkpointed, equal_spans, span_hashes, string_buffer, trimmed
 
 #: Bytes of text under one index, bytes of benchmark text in a block.
-SHARD_BYTES, PHRASE_BYTES = 8 << 20, 8 << 20
+SHARD_BYTES, PHRASE_BYTES = 4 << 20, 8 << 20
 #: Blocks of benchmark text that one stage holds at most.
 _AT_ONCE = 4
 
