@@ -51,7 +51,7 @@ def vix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("symbol"), F.col("doc_id").alias("ordinal"), F.substring("text", 1, 120).alias("title"))
+    return d.select(F.col("source").alias("symbol"), F.col("doc_id").alias("ordinal"), F.col("text").alias("title"))
 
 
 def strategy_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ SELECT sector, month, round(avg(p) / any_value(m), 6) AS fx FROM (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ) GROUP BY 1, 2""",
     "vix": "SELECT ts::DATE AS day, round(avg(value), 6) AS close FROM events GROUP BY 1",
-    "news": "SELECT source AS symbol, doc_id AS ordinal, left(text, 120) AS title FROM documents",
+    "news": "SELECT source AS symbol, doc_id AS ordinal, text AS title FROM documents",
     "strategy_returns": """
 SELECT strategy, month, r, bench FROM (
   SELECT strategy, month, round(p / lag(p) OVER (PARTITION BY strategy ORDER BY month) - 1, 6) AS r FROM (
