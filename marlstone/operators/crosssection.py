@@ -59,13 +59,17 @@ def residualised(df: DataFrame, factors: Sequence[str], by: Sequence[str], least
     return out.drop("_whole", "_n")
 
 
-def composite(df: DataFrame, weights: dict[str, float], by: Sequence[str], name: str = "composite") -> DataFrame:
-    """Sum of weight * z with null as 0; the weight of factors that nobody in the group has goes to the others."""
+def composite(df: DataFrame, weights: dict[str, float | Column], by: Sequence[str], name: str = "composite") -> DataFrame:
+    """Sum of weight * z with null as 0; the weight of factors that nobody in the group has goes to the others.
+
+    A weight may be a column that is constant in a group.
+    """
     w = Window.partitionBy(*by)
     missing: Column = F.lit(0.0)
     total: Column = F.lit(0.0)
     for f, weight in weights.items():
-        missing = missing + F.when(F.count(f).over(w) == 0, F.lit(weight)).otherwise(0.0)
+        weight = weight if isinstance(weight, Column) else F.lit(weight)
+        missing = missing + F.when(F.count(f).over(w) == 0, weight).otherwise(0.0)
         total = total + F.coalesce(F.col(f), F.lit(0.0)) * weight
     out = df.withColumn("_missing", missing)
     scale = F.when((F.col("_missing") > 0) & (F.col("_missing") < 0.999), 1 / (1 - F.col("_missing"))).otherwise(1.0)
@@ -104,15 +108,15 @@ def dispersion(df: DataFrame, values: Sequence[str], by: Sequence[str], share: f
     return out.groupBy(*by).agg(*cells)
 
 
-def dynamic_weights(base: dict[str, float], spread: DataFrame, regime: DataFrame, by: Sequence[str], tilt: dict[str, dict[str, float]], gamma: float = 0.5, lam: float = 0.5) -> DataFrame:
-    """w (1 + lambda tilt)(1 + gamma dispersion), not below 0, adding up to 1; one row per group."""
+def dynamic_weights(base: dict[str, float], spread: DataFrame, regime: DataFrame, by: Sequence[str], tilt: dict[str, dict[str, float]], gamma: float | Column = 0.5, lam: float | Column = 0.5, keep: Sequence[str] = ()) -> DataFrame:
+    """w (1 + lambda tilt)(1 + gamma dispersion), not below 0, adding up to 1; one row per group (of ``spread``, whose columns ``keep`` stay)."""
     joined = spread.join(regime, list(by))
     raw = {}
     for f, w in base.items():
         lean = F.coalesce(*[F.when(F.col("regime") == r, F.lit(t.get(f, 0.0))) for r, t in tilt.items()], F.lit(0.0))
         raw[f] = F.greatest(F.lit(w) * (1 + lam * lean) * (1 + gamma * F.col(f)), F.lit(0.0))
     total = sum(raw.values(), F.lit(0.0))
-    return joined.select(*by, "regime", *[F.coalesce(F.try_divide(c, total), F.lit(w)).alias(f"w_{f}") for (f, c), w in zip(raw.items(), base.values())])
+    return joined.select(*by, *keep, "regime", *[F.coalesce(F.try_divide(c, total), F.lit(w)).alias(f"w_{f}") for (f, c), w in zip(raw.items(), base.values())])
 
 
 def legs(df: DataFrame, score: str, by: Sequence[str], share: float = 0.2, band: float = 0.05) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,3 +65,34 @@ def liquidity_filter(adv: DataFrame, column: str, least: float, share: float = 0
     """Rows at or above both the floor and the ``share`` quantile of the column."""
     cut = adv.agg(F.percentile(column, F.lit(share)).alias("_q"))  # one row
     return adv.crossJoin(F.broadcast(cut)).filter(F.col(column) >= F.greatest(F.lit(least), F.col("_q"))).drop("_q")
+
+
+def company_summary(tables: dict[str, tuple[DataFrame, str, str]], key: str = "symbol") -> DataFrame:
+    """Rows and first and last date of every entity in each table, given as name: (rows, key, date); an entity without rows isn't listed."""
+    parts = [
+        df.groupBy(F.col(k).alias(key)).agg(F.count("*").alias("records"), F.min(d).cast("date").alias("first_date"), F.max(d).cast("date").alias("last_date")).select(key, F.lit(name).alias("table_name"), "records", "first_date", "last_date")
+        for name, (df, k, d) in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).filter(F.col(key).isNotNull())
+
+
+def rate_quality(rates: DataFrame, close: str) -> DataFrame:
+    """Rows, rows without a rate and rows whose rate isn't positive."""
+    return rates.agg(F.count("*").alias("total"), F.count_if(F.col(close).isNull()).alias("null_close"), F.count_if(F.col(close) <= 0).alias("non_positive_rate"))
+
+
+def validate_factors(scores: DataFrame, factors: Sequence[str], by: Sequence[str], tolerance: float = 0.5) -> DataFrame:
+    """Per factor: groups, groups whose mean is beyond the tolerance, and whether at most half of all are."""
+    means = scores.groupBy(*by).agg(*[F.avg(f).alias(f) for f in factors])
+    long = means.select(F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("m")) for f in factors])).alias("x")).select("x.*")
+    beyond = F.count_if(F.abs("m") > tolerance)
+    return long.groupBy("factor").agg(F.count("*").alias("groups"), beyond.alias("beyond"), (beyond / F.count("*") <= 0.5).alias("passed"))
+
+
+def validate_regimes(rows: DataFrame, percentile: str, regime: str, weights: Sequence[str], labels: Sequence[str] = ("LOW", "NORMAL", "HIGH"), tolerance: float = 1e-3) -> DataFrame:
+    """Rows, and those with a percentile outside 0..1, an unknown label, or weights that don't add up to 1."""
+    total = sum((F.coalesce(F.col(w), F.lit(0.0)) for w in weights), F.lit(0.0))
+    inside = F.coalesce(F.col(percentile).between(0, 1), F.lit(False))
+    known = F.coalesce(F.col(regime).isin(*labels), F.lit(False))
+    bad = [F.count_if(~inside).alias("bad_percentile"), F.count_if(~known).alias("bad_label"), F.count_if(F.abs(total - 1) > tolerance).alias("bad_weights")]
+    return rows.agg(F.count("*").alias("n"), *bad)

@@ -33,6 +33,11 @@ def performance(series: DataFrame, ret: str, by: Sequence[str], periods: int = 1
     )
 
 
+def calmar(ann_return: Column, max_drawdown: Column) -> Column:
+    """Annual return per deepest drawdown; infinite where there is none."""
+    return F.when(max_drawdown < 0, ann_return / F.abs(max_drawdown)).otherwise(float("inf"))
+
+
 def versus_benchmark(series: DataFrame, ret: str, benchmark: str, by: Sequence[str], periods: int = 12) -> DataFrame:
     """Information ratio, tracking error, mean active return and beta."""
     active = F.col(ret) - F.col(benchmark)
@@ -46,8 +51,9 @@ def versus_benchmark(series: DataFrame, ret: str, benchmark: str, by: Sequence[s
 
 
 def block_start(path: Column, block: Column, n: Column, seed: int) -> Column:
-    """A block's first row: a fixed hash of path and block, so that any engine draws the same."""
-    return (path * 7919 + block * 104729 + seed) % n
+    """A block's first row: a digest of path, block and seed, so that any engine draws the same and no two paths share a pattern."""
+    digest = F.md5(F.concat_ws("-", path.cast("string"), block.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % n
 
 
 def bootstrap_sharpe(series: DataFrame, ret: str, by: Sequence[str], on: str, block: int = 6, paths: int = 1000, seed: int = 42, periods: int = 12) -> DataFrame:
@@ -59,7 +65,7 @@ def bootstrap_sharpe(series: DataFrame, ret: str, by: Sequence[str], on: str, bl
     rows = series.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(on)) - 1)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
     drawn = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    start = block_start(F.col("path").cast("long"), F.floor(F.col("k") / block), F.col("n"), seed)
+    start = block_start(F.col("path").cast("long"), F.floor(F.col("k") / block).cast("long"), F.col("n"), seed)
     picked = drawn.withColumn("i", ((start + F.col("k") % block) % F.col("n")).cast("int"))
     sharpe = picked.join(rows.select(*by, "i", ret), [*by, "i"]).groupBy(*by, "path").agg(F.when(F.stddev_samp(ret) > 1e-12, F.avg(ret) / F.stddev_samp(ret) * periods**0.5).otherwise(0.0).alias("s"))
     return sharpe.groupBy(*by).agg(F.avg("s").alias("mean"), F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"), F.count("*").alias("paths"))
@@ -70,43 +76,58 @@ def monte_carlo_paths(series: DataFrame, ret: str, by: Sequence[str], on: str, b
     rows = series.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(on)) - 1)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
     drawn = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    start = block_start(F.col("path").cast("long"), F.floor(F.col("step") / block), F.col("n"), seed)
+    start = block_start(F.col("path").cast("long"), F.floor(F.col("step") / block).cast("long"), F.col("n"), seed)
     picked = drawn.withColumn("i", ((start + F.col("step") % block) % F.col("n")).cast("int")).join(rows.select(*by, "i", ret), [*by, "i"])
     return picked.select(*by, "path", F.col("step").cast("int").alias("step"), cumulative_growth(F.col(ret), [*by, "path"], "step").alias("nav"))
 
 
 def permutation_gap(series: DataFrame, ret: str, group: str, first: str, second: str, on: str, rounds: int = 1000, seed: int = 42, periods: int = 12) -> DataFrame:
-    """Two-sided p value of the gap between two series' Sharpe ratios, by shuffling their pooled rows."""
-    pool = series.filter(F.col(group).isin(first, second)).withColumn("i", F.row_number().over(Window.orderBy(group, on)))
-    size = pool.filter(F.col(group) == first).count()
-    order = F.row_number().over(Window.partitionBy("round").orderBy((F.col("i").cast("long") * 7919 + F.col("round").cast("long") * 104729 * (F.col("i") + seed)) % 1000003, "i"))
-    dealt = pool.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds)))).withColumn("side", F.when(F.col("round") == 0, F.col(group) == first).otherwise(order <= size))
+    """Two-sided p value of the gap between two series' Sharpe ratios, by shuffling their pooled rows.
+
+    A round sorts the pool by a digest of row and round; the first ones are
+    dealt to the first series, as many as it has rows.
+    """
+    pool = series.filter(F.col(group).isin(first, second)).withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(on)))
+    dealt = pool.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    key = F.md5(F.concat_ws("-", F.col(group).cast("string"), F.col("_i").cast("string"), F.col("round").cast("string"), F.lit(str(seed))).cast("binary"))
+    one = Window.partitionBy("round")
+    own = F.count_if(F.col(group) == first).over(one)
+    dealt = dealt.withColumn("side", F.when(F.col("round") == 0, F.col(group) == first).otherwise(F.row_number().over(one.orderBy(key)) <= own))
     ratio = lambda side: F.avg(F.when(side, F.col(ret))) / F.stddev_samp(F.when(side, F.col(ret))) * periods**0.5
-    gaps = dealt.groupBy("round").agg((ratio(F.col("side")) - ratio(~F.col("side"))).alias("gap"))
-    seen = gaps.agg(F.max(F.when(F.col("round") == 0, F.col("gap"))).alias("gap"), F.collect_list(F.when(F.col("round") > 0, F.col("gap"))).alias("drawn"))
-    return seen.select("gap", (F.size(F.filter("drawn", lambda g: F.abs(g) >= F.abs(F.col("gap")))) / F.size("drawn")).alias("p_value"), F.size("drawn").alias("rounds"))
+    gaps = dealt.groupBy("round").agg(F.round(ratio(F.col("side")) - ratio(~F.col("side")), 9).alias("gap"))
+    seen = gaps.agg(F.max(F.when(F.col("round") == 0, F.col("gap"))).alias("seen"))
+    both = gaps.filter("round > 0").crossJoin(F.broadcast(seen))  # the right side is one row
+    return both.groupBy(F.col("seen").alias("gap")).agg((F.count_if(F.abs("gap") >= F.abs("seen")) / F.count("*")).alias("p_value"), F.count("*").alias("rounds"))
 
 
-def cpcv_splits(n_dates: DataFrame, on: str, groups: int = 6, purge: int = 0, embargo: int = 0) -> DataFrame:
+def cpcv_splits(n_dates: DataFrame, on: str, groups: int = 12, purge: int = 2, embargo: int = 1) -> DataFrame:
     """Combinatorial splits with two test groups: (split, g1, g2, date number, role).
 
-    ``n_dates`` numbers dates 0, 1, ... in ``on``. Train rows within ``purge``
-    before or ``embargo`` after a test group are left out.
+    ``n_dates`` numbers dates 0, 1, ... in ``on``. Group g has the dates from
+    floor(g n / groups) on. Train rows within ``purge`` of a test group on
+    either side, and ``embargo`` more behind it, are left out.
     """
-    total = n_dates.agg((F.max(on) + 1).alias("n")).first()["n"] or 0
-    cell = lambda i: F.floor(i * groups / total) if total else i
-    spark = n_dates.sparkSession
     pairs = [(k, a, b) for k, (a, b) in enumerate((a, b) for a in range(groups) for b in range(a + 1, groups))]
-    splits = F.broadcast(spark.createDataFrame(pairs, "split int, g1 int, g2 int"))
-    first = lambda g: F.ceil(g * total / groups)
-    i = F.col(on)
-    test = (cell(i) == F.col("g1")) | (cell(i) == F.col("g2"))
-    near = F.lit(False)
+    splits = F.broadcast(n_dates.sparkSession.createDataFrame(pairs, "split int, g1 int, g2 int"))
+    n, i = F.col("_n"), F.col(on)
+    test, near = F.lit(False), F.lit(False)
     for g in ("g1", "g2"):
-        lo, hi = first(F.col(g)), first(F.col(g) + 1)
-        near = near | ((i >= lo - purge) & (i < lo)) | ((i >= hi) & (i < hi + embargo))
+        lo, hi = F.floor(F.col(g) * n / groups), F.floor((F.col(g) + 1) * n / groups)
+        test = test | ((i >= lo) & (i < hi))
+        near = near | ((i >= lo - purge) & (i < lo)) | ((i >= hi) & (i < hi + purge + embargo))
     role = F.when(test, "test").when(near, "left_out").otherwise("train")
-    return n_dates.select(on).crossJoin(splits).select("split", "g1", "g2", on, role.alias("role"))
+    total = F.broadcast(n_dates.agg((F.max(on) + 1).alias("_n")))
+    return n_dates.select(on).crossJoin(total).crossJoin(splits).select("split", "g1", "g2", on, role.alias("role"))
+
+
+def held_out_folds(series: DataFrame, by: Sequence[str], on: str, groups: int = 12) -> DataFrame:
+    """Each row once for every split (of ``cpcv_splits``) that tests it, with the split's number; ``on`` numbers rows 0, 1, ... in each series."""
+    pairs = [(a, b) for a in range(groups) for b in range(a + 1, groups)]
+    splits = F.array(*[F.struct(F.lit(k).alias("split"), F.lit(a).alias("g1"), F.lit(b).alias("g2")) for k, (a, b) in enumerate(pairs)])
+    n, i = F.col("_n"), F.col(on)
+    inside = lambda g: (i >= F.floor(g * n / groups)) & (i < F.floor((g + 1) * n / groups))
+    counted = series.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    return counted.withColumn("_s", F.explode(F.filter(splits, lambda s: inside(s["g1"]) | inside(s["g2"])))).select(*series.columns, "_s.split")
 
 
 def fama_macbeth(df: DataFrame, x: Sequence[str], y: str, by: Sequence[str], least: int = 10) -> DataFrame:
@@ -126,6 +147,25 @@ def fama_macbeth(df: DataFrame, x: Sequence[str], y: str, by: Sequence[str], lea
     )
 
 
+def two_factor_fit(df: DataFrame, x: Sequence[str], y: str, by: Sequence[str], least: int = 10) -> DataFrame:
+    """``fama_macbeth`` with t values (equal variances) and R squared about the mean, from the same sums."""
+    a, b = x
+    cells = {"aa": (a, a), "ab": (a, b), "bb": (b, b), "ay": (a, y), "by": (b, y), "yy": (y, y)}
+    ok = df.filter(" and ".join(f"{c} is not null" for c in (*x, y)))
+    s = ok.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), *[F.sum(F.col(p) * F.col(q)).alias(k) for k, (p, q) in cells.items()])
+    c = {k: F.col(k) for k in (*cells, "n", "sy")}
+    det = c["aa"] * c["bb"] - c["ab"] * c["ab"]
+    fit = s.filter(c["n"] >= least).withColumn("_a", F.try_divide(c["bb"] * c["ay"] - c["ab"] * c["by"], det)).withColumn("_b", F.try_divide(c["aa"] * c["by"] - c["ab"] * c["ay"], det))
+    left = F.greatest(c["yy"] - F.col("_a") * c["ay"] - F.col("_b") * c["by"], F.lit(0.0))
+    noise = left / F.greatest(c["n"] - 2, F.lit(1))
+    error = lambda other: F.sqrt(F.greatest(noise * F.try_divide(c[other], det), F.lit(0.0)))
+    return fit.select(
+        *by, "n", F.col("_a").alias(f"beta_{a}"), F.col("_b").alias(f"beta_{b}"),
+        F.try_divide(F.col("_a"), error("bb")).alias(f"t_{a}"), F.try_divide(F.col("_b"), error("aa")).alias(f"t_{b}"),
+        (1 - F.try_divide(left, c["yy"] - c["sy"] * c["sy"] / c["n"])).alias("r_squared"),
+    )
+
+
 def t_statistics(betas: DataFrame, columns: Sequence[str], least: int = 3) -> DataFrame:
     """Mean, t value and rows of each column."""
     long = betas.select(F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("b")) for c in columns])).alias("f")).select("f.*").filter("b is not null")
@@ -155,20 +195,35 @@ def max_aum(capacity: DataFrame, weight: str, illiquidity: str, by: Sequence[str
     return capacity.groupBy(*by).agg(F.min(F.try_divide(F.lit(budget_bp), F.when(need > 0, need))).alias("max_aum"))
 
 
-def probabilistic_sharpe(sharpe: float, threshold: float, n: int, skew: float, kurtosis: float) -> float:
-    """Probability that the true ratio exceeds the threshold; ``kurtosis`` is excess kurtosis."""
-    if n < 10:
-        return float("nan")
-    inner = 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe**2
-    return NormalDist().cdf((sharpe - threshold) * math.sqrt(n - 1) / math.sqrt(inner)) if inner > 0 else float("nan")
+def normal_cdf(x: Column, far: float = 7.0, terms: int = 160) -> Column:
+    """The standard normal distribution function by its power series, to about 1e-12; 0 or 1 beyond ``far``."""
+    # the square travels in the state: a column that only the lambda's body names would be resolved as an alias of the same select first
+    start = F.struct(x.alias("s"), x.alias("t"), (x * x).alias("q"))
+
+    def add(a: Column, k: Column) -> Column:
+        t = a["t"] * a["q"] / (2 * k + 1)
+        return F.struct((a["s"] + t).alias("s"), t.alias("t"), a["q"].alias("q"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, add, lambda a: a["s"])
+    return F.when(x > far, 1.0).when(x < -far, 0.0).when(x.isNotNull(), 0.5 + series * F.exp(-x * x / 2) / (2 * math.pi) ** 0.5)
+
+
+def probabilistic_sharpe(sharpe: Column, threshold: Column | float, n: Column, skew: Column, kurtosis: Column, floor: float = 1e-12, least: int = 10) -> Column:
+    """Probability that the true ratio of a period exceeds the threshold; ``kurtosis`` is excess kurtosis. Null under ``least`` rows."""
+    spread = F.sqrt(F.greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe, F.lit(floor)))
+    return F.when(n >= least, normal_cdf((sharpe - threshold) * F.sqrt(n - 1) / spread))
+
+
+def luckiest_sharpe(trials: int, gamma: float = 0.5772) -> float:
+    """Expected best ratio of ``trials`` strategies without skill (in deviations)."""
+    z = NormalDist().inv_cdf
+    return (1 - gamma) * z(1 - 1 / trials) + gamma * z(1 - 1 / (trials * math.e)) if trials > 1 else 0.0
 
 
 def minimum_backtest_length(target: float = 1.0, trials: int = 15, alpha: float = 0.05, gamma: float = 0.5772) -> float:
     """Periods needed before the target ratio beats the best of ``trials`` lucky ones."""
-    z = NormalDist().inv_cdf
-    luck = (1 - gamma) * z(1 - 1 / trials) + gamma * z(1 - 1 / (trials * math.e))
-    threshold = luck / math.sqrt(252)
-    return math.inf if target <= threshold else (z(1 - alpha) / (target - threshold)) ** 2
+    threshold = luckiest_sharpe(trials, gamma) / math.sqrt(252)
+    return math.inf if target <= threshold else (NormalDist().inv_cdf(1 - alpha) / (target - threshold)) ** 2
 
 
 def sector_attribution(books: DataFrame, weight: str, sector: str, by: Sequence[str]) -> DataFrame:

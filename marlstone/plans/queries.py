@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -683,14 +682,14 @@ def tail_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         """, rows AS (SELECT strategy, r, row_number() OVER (PARTITION BY strategy ORDER BY month) - 1 AS i FROM strategy_returns),
 n AS (SELECT strategy, count(*) AS n FROM rows GROUP BY 1),
-d AS (SELECT strategy, p.path, ((p.path * 7919 + (k.k // 6) * 104729 + 42) % n + k.k % 6) % n AS i FROM n, (SELECT unnest(range(200)) AS path) p, (SELECT unnest(range(1000)) AS k) k WHERE k.k < n),
+d AS (SELECT strategy, p.path, (('0x' || md5(concat_ws('-', p.path, k.k // 6, 42))[1:12])::BIGINT % n + k.k % 6) % n AS i FROM n, (SELECT unnest(range(2000)) AS path) p, (SELECT unnest(range((SELECT max(n) FROM n))) AS k) k WHERE k.k < n),
 s AS (SELECT strategy, path, avg(r) / stddev_samp(r) * sqrt(12) AS s FROM d JOIN rows USING (strategy, i) GROUP BY 1, 2)
 SELECT strategy, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high, count(*) AS paths FROM s GROUP BY 1""",
         "strategy_returns",
     )
 )
 def bootstrap_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = stats.bootstrap_sharpe(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month", paths=200)
+    b = stats.bootstrap_sharpe(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month", paths=2000)
     return b.select("strategy", r6("mean"), r6("low"), r6("high"), "paths")
 
 
@@ -698,37 +697,48 @@ def bootstrap_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         """, rows AS (SELECT strategy, r, row_number() OVER (PARTITION BY strategy ORDER BY month) - 1 AS i FROM strategy_returns),
 n AS (SELECT strategy, count(*) AS n FROM rows GROUP BY 1),
-d AS (SELECT strategy, p.path, k.k AS step, ((p.path * 7919 + (k.k // 6) * 104729 + 42) % n + k.k % 6) % n AS i FROM n, (SELECT unnest(range(20)) AS path) p, (SELECT unnest(range(1000)) AS k) k WHERE k.k < n)
+d AS (SELECT strategy, p.path, k.k AS step, (('0x' || md5(concat_ws('-', p.path, k.k // 6, 42))[1:12])::BIGINT % n + k.k % 6) % n AS i FROM n, (SELECT unnest(range(1000)) AS path) p, (SELECT unnest(range((SELECT max(n) FROM n))) AS k) k WHERE k.k < n)
 SELECT strategy, path::INTEGER AS path, step::INTEGER AS step, round(exp(sum(ln(1 + r)) OVER (PARTITION BY strategy, path ORDER BY step)), 6) AS nav FROM d JOIN rows USING (strategy, i)""",
         "strategy_returns",
     )
 )
 def monte_carlo_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.monte_carlo_paths(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month", paths=20).select("strategy", "path", "step", r6("nav"))
+    return stats.monte_carlo_paths(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month", paths=1000).select("strategy", "path", "step", r6("nav"))
 
 
-@query()
+@query(
+    with_views(
+        """, pool AS (SELECT strategy, r, row_number() OVER (PARTITION BY strategy ORDER BY month) AS i FROM strategy_returns WHERE strategy IN ('1-URGENT', '5-LOW')),
+dealt AS (SELECT round, r, CASE WHEN round = 0 THEN strategy = '1-URGENT'
+    ELSE row_number() OVER (PARTITION BY round ORDER BY md5(concat_ws('-', strategy, i, round, 42))) <= (SELECT count(*) FROM pool WHERE strategy = '1-URGENT') END AS side
+  FROM pool, (SELECT unnest(range(10001)) AS round) rounds),
+gaps AS (SELECT round, round((avg(r) FILTER (side) / stddev_samp(r) FILTER (side) - avg(r) FILTER (NOT side) / stddev_samp(r) FILTER (NOT side)) * sqrt(12), 9) AS gap FROM dealt GROUP BY 1)
+SELECT round(s.gap, 6) AS gap, avg((abs(g.gap) >= abs(s.gap))::INTEGER) AS p_value, count(*) AS rounds
+FROM gaps g, (SELECT gap FROM gaps WHERE round = 0) s WHERE g.round > 0 GROUP BY s.gap""",
+        "strategy_returns",
+    )
+)
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.permutation_gap(views.strategy_returns(spark, sf_dir), "r", "strategy", "1-URGENT", "5-LOW", "month", rounds=200)
+    found = stats.permutation_gap(views.strategy_returns(spark, sf_dir), "r", "strategy", "1-URGENT", "5-LOW", "month", rounds=10000)
     return found.select(r6("gap"), "p_value", "rounds")
 
 
 @query(
     with_views(
         """, d AS (SELECT DISTINCT month FROM strategy_returns), i AS (SELECT row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM d),
-c AS (SELECT i, n, floor(i * 6 / n)::INTEGER AS g FROM i), g AS (SELECT unnest(range(6)) AS g),
-s AS (SELECT a.g AS g1, b.g AS g2, row_number() OVER (ORDER BY a.g, b.g) - 1 AS split FROM g a JOIN g b ON a.g < b.g)
-SELECT split::INTEGER AS split, g1::INTEGER AS g1, g2::INTEGER AS g2, i::INTEGER AS i, CASE WHEN g = g1 OR g = g2 THEN 'test'
-  WHEN (i >= ceil(g1 * n / 6) - 1 AND i < ceil(g1 * n / 6)) OR (i >= ceil((g1 + 1) * n / 6) AND i < ceil((g1 + 1) * n / 6) + 2)
-    OR (i >= ceil(g2 * n / 6) - 1 AND i < ceil(g2 * n / 6)) OR (i >= ceil((g2 + 1) * n / 6) AND i < ceil((g2 + 1) * n / 6) + 2) THEN 'left_out' ELSE 'train' END AS role
-FROM c, s""",
+g AS (SELECT unnest(range(12)) AS g),
+e AS (SELECT g, floor(g * n / 12) AS lo, floor((g + 1) * n / 12) AS hi FROM g, (SELECT max(n) AS n FROM i)),
+s AS (SELECT a.g AS g1, a.lo AS lo1, a.hi AS hi1, b.g AS g2, b.lo AS lo2, b.hi AS hi2, row_number() OVER (ORDER BY a.g, b.g) - 1 AS split FROM e a JOIN e b ON a.g < b.g)
+SELECT split::INTEGER AS split, g1::INTEGER AS g1, g2::INTEGER AS g2, i::INTEGER AS i, CASE WHEN (i >= lo1 AND i < hi1) OR (i >= lo2 AND i < hi2) THEN 'test'
+  WHEN (i >= lo1 - 2 AND i < hi1 + 3) OR (i >= lo2 - 2 AND i < hi2 + 3) THEN 'left_out' ELSE 'train' END AS role
+FROM i, s""",
         "strategy_returns",
     )
 )
 def cpcv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = views.strategy_returns(spark, sf_dir).select("month").distinct()
     numbered = months.select((F.row_number().over(Window.orderBy("month")) - 1).alias("i"))
-    return stats.cpcv_splits(numbered, "i", groups=6, purge=1, embargo=2)
+    return stats.cpcv_splits(numbered, "i")
 
 
 @query(
@@ -1035,15 +1045,256 @@ def bandit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.bandit_replay(s, ["one", "z"], "r", ["strategy"], "month").select("strategy", "month", "arm", r6("mean"))
 
 
-@query()
+#: The normal distribution function in SQL, by logarithms of the same series' terms.
+NORMAL_SQL = """, cdf(z, p) AS (SELECT z, CASE WHEN z > 7 THEN 1 WHEN z < -7 THEN 0 WHEN z = 0 THEN 0.5 ELSE
+  0.5 + sign(z) * sum(exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1) - z * z / 2)) / sqrt(2 * pi()) END
+  FROM (SELECT DISTINCT z FROM zs WHERE z IS NOT NULL), (SELECT unnest(range(161))::DOUBLE AS k) GROUP BY z)
+"""
+_MOMENTS = """, m AS (SELECT strategy, count(*) AS n, avg(r) / stddev_samp(r) AS sr, kurtosis_pop(r) AS k,
+  (avg(r*r*r) - 3 * avg(r) * avg(r*r) + 2 * pow(avg(r), 3)) / pow(stddev_pop(r), 3) AS sk FROM strategy_returns GROUP BY 1)"""
+
+
+@query(
+    with_views(
+        _MOMENTS
+        + """, zs AS (SELECT strategy, sr, CASE WHEN n >= 10 THEN sr * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (k - 1) / 4 * sr * sr, 1e-12)) END AS z FROM m)"""
+        + NORMAL_SQL
+        + "SELECT strategy, round(sr, 6) AS sharpe, round(p, 6) AS psr FROM zs LEFT JOIN cdf USING (z)",
+        "strategy_returns",
+    )
+)
 def probabilistic_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly = stats.performance(views.strategy_returns(spark, sf_dir), "r", ["strategy"], periods=1)
+    psr = stats.probabilistic_sharpe(F.col("sharpe"), 0.0, F.col("n"), F.col("skew"), F.col("excess_kurtosis"))
+    return monthly.select("strategy", r6("sharpe"), r6(psr, "psr"))
+
+
+_LUCK = stats.luckiest_sharpe(15)
+
+
+@query(
+    with_views(
+        _MOMENTS
+        + f""", zs AS (SELECT *, CASE WHEN n >= 10 THEN (sr - {_LUCK!r} / sqrt(12)) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (k - 1) / 4 * sr * sr, 1e-12)) END AS z FROM m)"""
+        + NORMAL_SQL
+        + f""", nav AS (SELECT strategy, month, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY month)) AS nav FROM strategy_returns),
+dd AS (SELECT strategy, min(d) AS d FROM (SELECT strategy, nav / max(nav) OVER (PARTITION BY strategy ORDER BY month) - 1 AS d FROM nav) GROUP BY 1),
+a AS (SELECT strategy, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 AS a FROM strategy_returns GROUP BY 1)
+SELECT strategy, n, round(a, 6) AS ann_return, round(d, 6) AS max_drawdown, round(a / abs(d), 6) AS calmar, round(sr * sqrt(12), 6) AS sharpe,
+  round({_LUCK!r}, 6) AS threshold, round(p, 6) AS deflated_sharpe
+FROM zs JOIN dd USING (strategy) JOIN a USING (strategy) LEFT JOIN cdf USING (z)""",
+        "strategy_returns",
+    )
+)
+def inference_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per strategy: return, drawdown, Calmar ratio, and its Sharpe ratio deflated by 15 trials."""
+    series = views.strategy_returns(spark, sf_dir)
+    m = stats.performance(series, "r", ["strategy"])
+    deepest = ts.drawdowns(series, "r", ["strategy"], "month").groupBy("strategy").agg(F.min("drawdown").alias("max_drawdown"))
+    a_month = F.col("sharpe") / 12**0.5
+    deflated = stats.probabilistic_sharpe(a_month, F.lit(_LUCK / 12**0.5), F.col("n"), F.col("skew"), F.col("excess_kurtosis"))
+    return m.join(deepest, "strategy").select(
+        "strategy", "n", r6("ann_return"), r6("max_drawdown"), r6(stats.calmar(F.col("ann_return"), F.col("max_drawdown")), "calmar"), r6("sharpe"),
+        r6(F.lit(_LUCK), "threshold"), r6(deflated, "deflated_sharpe"),
+    )
+
+
+# ---------------------------------------------------------------- sensitivity to the weights' parameters
+
+_GAMMAS, _LAMBDAS = (0.0, 0.25, 0.5, 0.75, 1.0), (0.05, 0.1, 0.15)
+_LEANS = {"LOW": {"momentum": 1.0}, "HIGH": {"momentum": -1.0, "value": 1.0}}
+
+_REGIME = """, gb AS (SELECT month, any_value(bench) AS v FROM strategy_returns WHERE bench IS NOT NULL GROUP BY 1),
+gseen AS (SELECT x.month, count(*) AS n, count(*) FILTER (y.v < x.v) AS under, count(*) FILTER (y.v = x.v) AS same FROM gb x JOIN gb y ON y.month <= x.month GROUP BY 1),
+regime AS (SELECT month, CASE WHEN n < 20 THEN 0.5 ELSE (under + (same + 1) / 2) / n END AS percentile, CASE WHEN n < 20 THEN 'NORMAL' WHEN (under + (same + 1) / 2) / n < 0.3 THEN 'LOW' WHEN (under + (same + 1) / 2) / n > 0.8 THEN 'HIGH' ELSE 'NORMAL' END AS regime FROM gseen)"""
+
+_GRID = (
+    _REGIME
+    + f""", dq AS (SELECT month, quantile_cont(momentum, 0.25) AS ml, quantile_cont(momentum, 0.75) AS mh, quantile_cont(value, 0.25) AS vl, quantile_cont(value, 0.75) AS vh FROM z GROUP BY 1),
+disp AS (SELECT month, CASE WHEN count(momentum) >= 10 THEN avg(momentum) FILTER (momentum >= mh) - avg(momentum) FILTER (momentum <= ml) ELSE 0 END AS m,
+  CASE WHEN count(value) >= 10 THEN avg(value) FILTER (value >= vh) - avg(value) FILTER (value <= vl) ELSE 0 END AS v,
+  count(momentum) AS cm, count(value) AS cv FROM z JOIN dq USING (month) GROUP BY 1),
+gw AS (SELECT month, cm, cv, gamma, lam, greatest(0.6::DOUBLE * (1 + lam * CASE regime WHEN 'LOW' THEN 1 WHEN 'HIGH' THEN -1 ELSE 0 END) * (1 + gamma * m), 0) AS m,
+    greatest(0.4::DOUBLE * (1 + lam * CASE regime WHEN 'HIGH' THEN 1 ELSE 0 END) * (1 + gamma * v), 0) AS v
+  FROM disp JOIN regime USING (month), (SELECT unnest({list(_GAMMAS)})::DOUBLE AS gamma) a, (SELECT unnest({list(_LAMBDAS)})::DOUBLE AS lam) b),
+gs AS (SELECT month, gamma, lam, m / (m + v) AS m, v / (m + v) AS v, (cm = 0)::INTEGER * m / (m + v) + (cv = 0)::INTEGER * v / (m + v) AS missing FROM gw),
+gcomp AS (SELECT gamma, lam, symbol, month, round((m * coalesce(momentum, 0) + v * coalesce(value, 0)) * CASE WHEN missing > 0 AND missing < 0.999 THEN 1 / (1 - missing) ELSE 1 END, 9) AS c FROM z JOIN gs USING (month)),
+gcut AS (SELECT gamma, lam, month, quantile_cont(c, 0.2) AS lo, quantile_cont(c, 0.8) AS hi FROM gcomp GROUP BY ALL),
+gleg AS (SELECT gamma, lam, symbol, month, c, CASE WHEN c >= hi THEN 1 WHEN c <= lo THEN -1 END AS side FROM gcomp JOIN gcut USING (gamma, lam, month)),
+gup AS (SELECT *, greatest(side * (c - median(c) OVER (PARTITION BY gamma, lam, month, side)), 0) AS u FROM gleg WHERE side IS NOT NULL),
+gbook AS (SELECT gamma, lam, symbol, month, (year(month) * 12 + month(month))::INTEGER AS k,
+  CASE WHEN sum(u) OVER x > 0 THEN u / sum(u) OVER x ELSE 1.0 / count(*) OVER x END * 0.5 * side AS weight FROM gup WINDOW x AS (PARTITION BY gamma, lam, month, side)),
+gturn AS (SELECT gamma, lam, k, sum(abs(new - old)) / 2 AS turnover FROM (
+  SELECT gamma, lam, k, symbol, sum(new) AS new, sum(old) AS old FROM (
+    SELECT gamma, lam, k, symbol, weight AS new, 0.0 AS old FROM gbook UNION ALL SELECT gamma, lam, k + 1, symbol, 0.0, weight FROM gbook) GROUP BY ALL) GROUP BY ALL),
+gnet AS (SELECT gamma, lam, k, sum(weight * coalesce(y, 0)) - any_value(turnover) * 2 * 20 / 1e4 AS r FROM gbook JOIN gturn USING (gamma, lam, k) LEFT JOIN fwd USING (symbol, month) GROUP BY ALL),
+gnum AS (SELECT gamma, lam, r, k - min(k) OVER () AS i FROM gnet WHERE k < (SELECT max(k) FROM gnet)),
+gall AS (SELECT gamma, lam, count(*) AS n, avg(r) / stddev_samp(r) AS sr, kurtosis_pop(r) AS kurt, (avg(r*r*r) - 3 * avg(r) * avg(r*r) + 2 * pow(avg(r), 3)) / pow(stddev_pop(r), 3) AS sk FROM gnum GROUP BY ALL),
+zs AS (SELECT gamma, lam, n, CASE WHEN n >= 10 THEN (sr - {_LUCK!r} / sqrt(12)) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) END AS z FROM gall)"""
+    + NORMAL_SQL
+    + """, ge AS (SELECT g, floor(g * n / 12) AS lo, floor((g + 1) * n / 12) AS hi FROM (SELECT unnest(range(12)) AS g), (SELECT max(n) AS n FROM gall)),
+gp AS (SELECT a.lo AS lo1, a.hi AS hi1, b.lo AS lo2, b.hi AS hi2, row_number() OVER (ORDER BY a.g, b.g) - 1 AS split FROM ge a JOIN ge b ON a.g < b.g),
+fold AS (SELECT gamma, lam, split, i, r, exp(sum(ln(1 + r)) OVER (PARTITION BY gamma, lam, split ORDER BY i)) AS nav FROM gnum JOIN gp ON (i >= lo1 AND i < hi1) OR (i >= lo2 AND i < hi2)),
+fdd AS (SELECT *, nav / max(nav) OVER (PARTITION BY gamma, lam, split ORDER BY i) - 1 AS d FROM fold),
+cell AS (SELECT gamma, lam, split::INTEGER AS split, count(*) AS n, CASE WHEN stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(12) ELSE 0 END AS sharpe, min(d) AS max_drawdown FROM fdd GROUP BY ALL)
+"""
+)
+
+
+def _grid_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gamma, lam, i, r): net returns of the book under every pair of parameters, from one scored panel."""
+    z = _composites(spark, sf_dir).select("symbol", "month", "momentum", "value")
+    bench = views.strategy_returns(spark, sf_dir).filter("bench is not null").groupBy("month").agg(F.first("bench").alias("v"))
+    regime = ts.regimes(bench, "v", "month").select("month", "regime")
+    cells = F.explode(F.array(*[F.struct(F.lit(g).alias("gamma"), F.lit(x).alias("lam")) for g in _GAMMAS for x in _LAMBDAS]))
+    points = xs.dispersion(z, ["momentum", "value"], ["month"]).withColumn("cell", cells).select("month", "momentum", "value", "cell.*")
+    weights = xs.dynamic_weights(_WEIGHTS, points, regime, ["month"], _LEANS, F.col("gamma"), F.col("lam"), keep=("gamma", "lam")).drop("regime")
+    by = ["gamma", "lam", "month"]
+    scored = xs.composite(z.join(weights, "month"), {f: F.col(f"w_{f}") for f in _WEIGHTS}, by).withColumn("composite", F.round("composite", 9))
+    side = F.when(F.col("long_core"), 1).when(F.col("short_core"), -1)
+    book = pf.score_weights(xs.legs(scored, "composite", by).withColumn("side", side), "composite", "side", by)
+    book = book.select(*by, "symbol", (F.year("month") * 12 + F.month("month")).alias("k"), "weight")
+    gross = pf.portfolio_returns(book, _forward(spark, sf_dir).select("symbol", "month", "y"), "weight", "y", ["month"], "symbol", ["gamma", "lam", "k"])
+    turned = pf.turnover(pf.book_changes(book, "weight", ["gamma", "lam"], "symbol", "k"), ["gamma", "lam", "k"])
+    net = gross.join(turned, ["gamma", "lam", "k"]).withColumn("r", F.col("port_ret") - pf.cost_drag(F.col("turnover"), 20))
+    one = Window.partitionBy("gamma", "lam")
+    numbered = net.withColumn("i", F.col("k") - F.min("k").over(one)).withColumn("_last", F.max("k").over(one))
+    return numbered.filter("k < _last").select("gamma", "lam", "i", "r")  # the last book has no return yet
+
+
+@query(with_views(_FLAGSHIP + _GRID + "SELECT gamma, lam, split, cell.n, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(p, 6) AS deflated_sharpe FROM cell JOIN zs USING (gamma, lam) LEFT JOIN cdf USING (z)", "returns", "universe", "fundamentals", "strategy_returns"))
+def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratio and drawdown of every test fold for every pair of parameters, and the pair's deflated ratio over the whole sample."""
+    one = Window.partitionBy("gamma", "lam")
+    sd = F.stddev_samp("r").over(one)
+    whole = _grid_returns(spark, sf_dir).withColumns({"_sr": F.when(sd > 1e-12, F.avg("r").over(one) / sd).otherwise(0.0), "_n": F.count("*").over(one), "_sk": F.skewness("r").over(one), "_k": F.kurtosis("r").over(one)})
+    deflated = stats.probabilistic_sharpe(F.col("_sr"), F.lit(_LUCK / 12**0.5), F.col("_n"), F.col("_sk"), F.col("_k"))
+    rows = whole.select("gamma", "lam", "i", "r", deflated.alias("deflated"))
+    folds = ts.drawdowns(stats.held_out_folds(rows, ["gamma", "lam"], "i"), "r", ["gamma", "lam", "split"], "i")
+    fold_sd = F.stddev_samp("r")
+    sharpe = F.when(fold_sd > 1e-12, F.avg("r") / fold_sd * 12**0.5).otherwise(0.0)
+    out = folds.groupBy("gamma", "lam", "split").agg(F.count("*").alias("n"), r6(sharpe, "sharpe"), r6(F.min("drawdown"), "max_drawdown"), r6(F.first("deflated"), "deflated_sharpe"))
+    return out
+
+
+@query(with_views(_FLAGSHIP + _GRID + """, mean AS (SELECT gamma, lam, round(avg(round(sharpe, 6)), 6) AS s FROM cell GROUP BY ALL)
+SELECT gamma, max(s) FILTER (lam = 0.05) AS l_0_05, max(s) FILTER (lam = 0.1) AS l_0_1, max(s) FILTER (lam = 0.15) AS l_0_15, max(s) = (SELECT max(s) FROM mean) AS has_best FROM mean GROUP BY 1""", "returns", "universe", "fundamentals", "strategy_returns"))
+def sensitivity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ratio of the folds, a row for each gamma and a column for each lambda; the best cell's row is marked."""
+    mean = sensitivity_grid(spark, sf_dir).groupBy("gamma", "lam").agg(r6(F.avg("sharpe"), "s"))
+    wide = mean.groupBy("gamma").pivot("lam", list(_LAMBDAS)).agg(F.max("s"))
+    names = {str(x): f"l_{str(x).replace('.', '_')}" for x in _LAMBDAS}
+    best = F.greatest(*[F.col(f"`{x}`") for x in names])
+    return wide.select("gamma", *[F.col(f"`{x}`").alias(n) for x, n in names.items()], (best == F.max(best).over(Window.partitionBy(F.lit(0)))).alias("has_best"))
+
+
+@query(
+    with_views(
+        _REGIME + """SELECT count(*) AS n, count(*) FILTER (percentile NOT BETWEEN 0 AND 1) AS bad_percentile, count(*) FILTER (regime NOT IN ('LOW', 'NORMAL', 'HIGH')) AS bad_label, count(*) FILTER (regime = 'HIGH') AS bad_weights FROM regime""",
+        "strategy_returns",
+    )
+)
+def regime_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validator over regimes whose weights are wrong in one of them (HIGH), so that it has something to find."""
+    bench = views.strategy_returns(spark, sf_dir).filter("bench is not null").groupBy("month").agg(F.first("bench").alias("v"))
+    rows = ts.regimes(bench, "v", "month").withColumn("a", F.when(F.col("regime") == "HIGH", 0.9).otherwise(0.6)).withColumn("b", F.lit(0.4))
+    return quality.validate_regimes(rows, "percentile", "regime", ["a", "b"])
 
-    @F.pandas_udf("double")
-    def psr(sharpe: pd.Series, n: pd.Series, skew: pd.Series, kurtosis: pd.Series) -> pd.Series:
-        return pd.Series([stats.probabilistic_sharpe(a, 0.0, int(b), c, d) for a, b, c, d in zip(sharpe, n, skew, kurtosis)])
 
-    return monthly.select("strategy", r6("sharpe"), r6(psr("sharpe", "n", "skew", "excess_kurtosis"), "psr"))
+@query(
+    with_views(
+        _FLAGSHIP + """, mean AS (SELECT avg(momentum) AS momentum, avg(value) AS value FROM z GROUP BY month, sector),
+long AS (SELECT 'momentum' AS factor, momentum AS m FROM mean UNION ALL SELECT 'value', value FROM mean)
+SELECT factor, count(*) AS groups, count(*) FILTER (abs(m) > 0.5) AS beyond, count(*) FILTER (abs(m) > 0.5) / count(*) <= 0.5 AS passed FROM long GROUP BY 1""",
+        "returns", "universe", "fundamentals",
+    )
+)
+def factor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.validate_factors(_composites(spark, sf_dir), ["momentum", "value"], ["month", "sector"])
+
+
+@query(
+    with_views(
+        """SELECT symbol, 'prices' AS table_name, count(*) AS records, min(month) AS first_date, max(month) AS last_date FROM prices GROUP BY 1
+UNION ALL SELECT symbol, 'fundamentals', count(*), min(report_date), max(report_date) FROM fundamentals GROUP BY 1""",
+        "prices", "fundamentals",
+    )
+)
+def company_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.company_summary({"prices": (views.prices(spark, sf_dir), "symbol", "month"), "fundamentals": (views.fundamentals(spark, sf_dir), "symbol", "report_date")})
+
+
+@query(with_views("SELECT count(*) AS total, count(*) FILTER (fx IS NULL) AS null_close, count(*) FILTER (fx <= 0) AS non_positive_rate FROM fx", "fx"))
+def fx_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_quality(views.fx(spark, sf_dir), "fx")
+
+
+@query(
+    with_views(
+        """, held AS (SELECT field_name, count(DISTINCT symbol) AS symbols FROM fundamentals SEMI JOIN universe USING (symbol) GROUP BY 1)
+SELECT field_name, symbols, round(100.0 * symbols / (SELECT count(*) FROM universe), 6) AS pct FROM held""",
+        "fundamentals", "universe",
+    )
+)
+def universe_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the universe that has each field."""
+    universe = views.universe(spark, sf_dir)
+    held = views.fundamentals(spark, sf_dir).join(universe.select("symbol"), "symbol", "left_semi").groupBy("field_name").agg(F.count_distinct("symbol").alias("symbols"))
+    total = F.broadcast(universe.agg(F.count("*").alias("_n")))  # one row
+    return held.crossJoin(total).select("field_name", "symbols", r6(100 * F.try_divide(F.col("symbols"), F.col("_n")), "pct"))
+
+
+_FORWARD_SQL = """, ok AS (SELECT month, momentum AS a, reversal AS b, y FROM (
+    SELECT symbol, month, momentum, ret AS reversal, lead(ret) OVER (PARTITION BY symbol ORDER BY month) AS y FROM returns)
+  WHERE momentum IS NOT NULL AND reversal IS NOT NULL AND y IS NOT NULL),
+s AS (SELECT month, count(*) AS n, sum(a*a) aa, sum(a*b) ab, sum(b*b) bb, sum(a*y) ay, sum(b*y) b_y FROM ok GROUP BY 1 HAVING count(*) >= 10),
+f AS (SELECT month, n, aa, bb, aa * bb - ab * ab AS det, (bb * ay - ab * b_y) / (aa * bb - ab * ab) AS m, (aa * b_y - ab * ay) / (aa * bb - ab * ab) AS v FROM s)"""
+
+
+@query(
+    with_views(
+        _FORWARD_SQL + """, e AS (SELECT month, sum(pow(y - m * a - v * b, 2)) AS sse, sum(pow(y - my, 2)) AS sst FROM (SELECT *, avg(y) OVER (PARTITION BY month) AS my FROM ok) JOIN f USING (month) GROUP BY 1)
+SELECT month, n, round(m, 6) AS beta_momentum, round(v, 6) AS beta_reversal, round(m / sqrt(sse / (n - 2) * bb / det), 4) AS t_momentum,
+  round(v / sqrt(sse / (n - 2) * aa / det), 4) AS t_reversal, round(1 - sse / sst, 6) AS r_squared FROM f JOIN e USING (month)""",
+        "returns",
+    )
+)
+def factor_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's cross-sectional regression with t values and R squared."""
+    fit = stats.two_factor_fit(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
+    four = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    return fit.select("month", "n", r6("beta_momentum"), r6("beta_reversal"), four("t_momentum"), four("t_reversal"), r6("r_squared"))
+
+
+@query(
+    with_views(
+        _FORWARD_SQL + """, b AS (SELECT month, 'momentum' AS factor, m AS beta FROM f UNION ALL SELECT month, 'reversal', v FROM f)
+SELECT month, factor, round(sum(beta) OVER (PARTITION BY factor ORDER BY month), 6) AS premium FROM b""",
+        "returns",
+    )
+)
+def cumulative_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sum of each factor's monthly premium."""
+    betas = stats.fama_macbeth(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
+    long = betas.select("month", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"beta_{f}").alias("beta")) for f in ("momentum", "reversal")])).alias("x")).select("month", "x.*")
+    w = Window.partitionBy("factor").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return long.select("month", "factor", r6(F.sum("beta").over(w), "premium"))
+
+
+@query(
+    with_views(
+        """, rate AS (SELECT sector, month, fx / lag(fx) OVER (PARTITION BY sector ORDER BY month) AS k FROM fx)
+SELECT month, count(*) AS symbols, round(avg((1 + coalesce(ret, 0)) * CASE WHEN k > 0 THEN k ELSE 1 END - 1), 6) AS equal_weight
+FROM returns JOIN universe USING (symbol) LEFT JOIN rate USING (sector, month) GROUP BY 1""",
+        "returns", "universe", "fx",
+    )
+)
+def equal_weight_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's mean return of all symbols in one currency; a rate that is missing or not positive counts as unchanged."""
+    rate = views.fx(spark, sf_dir).withColumn("k", F.try_divide(F.col("fx"), F.lag("fx").over(Window.partitionBy("sector").orderBy("month")))).drop("fx")
+    own = _returns(spark, sf_dir).join(views.universe(spark, sf_dir), "symbol").join(rate, ["sector", "month"], "left")
+    usd = (1 + F.coalesce("ret", F.lit(0.0))) * F.when(F.col("k") > 0, F.col("k")).otherwise(1.0) - 1
+    return own.groupBy("month").agg(F.count("*").alias("symbols"), r6(F.avg(usd), "equal_weight"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")

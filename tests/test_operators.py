@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -162,10 +163,32 @@ def test_islands_and_drawdown(spark):
     assert rows(ts.islands(lab, "v", ["k"], "t"), "start") == [("x", "a", 0, 1, 2), ("x", "b", 2, 3, 2), ("x", "a", 4, 4, 1)]
 
 
-def test_sharpe_probabilities():
-    assert stats.probabilistic_sharpe(0.5, 0.5, 60, 0.0, 3.0) == pytest.approx(0.5)
-    assert math.isnan(stats.probabilistic_sharpe(1.0, 0.0, 5, 0.0, 0.0))
+def test_sharpe_probabilities(spark):
+    zero, half = F.lit(0.0), F.lit(0.5)
+    psr = spark.range(1).select(stats.probabilistic_sharpe(half, 0.5, F.lit(60), zero, F.lit(3.0)).alias("even"), stats.probabilistic_sharpe(F.lit(1.0), 0.0, F.lit(5), zero, zero).alias("short")).first()
+    assert psr.even == pytest.approx(0.5) and psr.short is None
     assert stats.minimum_backtest_length(0.0) == math.inf
+    z = [-9.0, -6.5, -2.0, -1e-9, 0.0, 0.3, 1.96, 4.0, 6.9, 8.0]
+    # the alias hides the column for whatever comes later in the same select
+    got = spark.createDataFrame([(x,) for x in z], "z double").select((F.col("z") * 0).alias("z"), stats.normal_cdf(F.col("z")).alias("p")).collect()
+    assert [r.p for r in got] == pytest.approx([NormalDist().cdf(x) for x in z], abs=1e-10)
+
+
+def test_paths_differ_beyond_the_series_length(spark):
+    series = spark.createDataFrame([("a", i, 0.01 * (i % 7) - 0.02) for i in range(24)], "s string, i int, r double")
+    paths = stats.monte_carlo_paths(series, "r", ["s"], "i", block=3, paths=200).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("step", F.round("nav", 9)))).alias("navs"))
+    assert paths.select("navs").distinct().count() == 200
+
+
+@pytest.mark.parametrize(("n", "groups", "purge", "embargo"), [(25, 4, 2, 1), (83, 12, 2, 1), (10, 3, 0, 0), (7, 3, 1, 2)])
+def test_cpcv_splits(spark, n, groups, purge, embargo):
+    got = stats.cpcv_splits(spark.range(n).select(F.col("id").cast("int").alias("i")), "i", groups, purge, embargo).collect()
+    edges = [g * n // groups for g in range(groups + 1)]
+    for r in got:
+        held = {j for g in (r.g1, r.g2) for j in range(edges[g], edges[g + 1])}
+        out = {j for g in (r.g1, r.g2) for j in (*range(edges[g] - purge, edges[g]), *range(edges[g + 1], edges[g + 1] + purge + embargo))}
+        assert r.role == ("test" if r.i in held else "left_out" if r.i in out else "train")
+    assert len(got) == n * groups * (groups - 1) // 2
 
 
 def test_stream_round_trip(spark, tmp_path):
