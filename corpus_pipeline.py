@@ -120,7 +120,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: The first, third and last stages have no SQL; tests check single stages on odd rows.
+#: The first, third and last stages have no SQL; tests hold the whole run against plain Python.
 ORACLE_SQL = None
 
 
