@@ -46,6 +46,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the step tables that ``df`` reads; for tables of ``checkpointed`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = path.rsplit("/", 2)
+        if folder[1] == "steps":
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """Names for columns that are added for a while: each with as many underscores in front as no column of ``df`` has."""
+    taken, found = {c.lower() for c in df.columns}, {}
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own = f"_{own}"
+        found[name] = own
+    return found
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

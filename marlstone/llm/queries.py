@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.bpe_sql import encode_and_decode
@@ -14,8 +14,11 @@ from marlstone.llm.chat_format import prefix_target_examples, read_back
 from marlstone.llm.common import shared_folder, table
 from marlstone.llm.decontaminate import contamination
 from marlstone.llm.exact_dedup import exact_dedup
+from marlstone.llm.fill_middle import FimConfig, fill_in_middle, restored
 from marlstone.llm.html_text import with_main_text
+from marlstone.llm.importance import ImportanceConfig, fit_gains, importance_ranks, importance_scores
 from marlstone.llm.jaccard_join import Similarity, similar_documents
+from marlstone.llm.pii import BASE, personal_data
 from marlstone.llm.suffix_dedup import repeated_spans
 from marlstone.llm.token_files import read_token_files, write_token_files
 from marlstone.llm.toxicity import ToxicityConfig, fit_toxicity, held_out, toxicity_scores
@@ -116,6 +119,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, config = table(spark, sf_dir, "documents").select("doc_id", "text"), ImportanceConfig()
+    scored = importance_scores(docs, fit_gains(docs, table(spark, sf_dir, "benchmark"), config), config).drop("text")
+    return importance_ranks(scored, config).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = FimConfig()
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), config)
+    back = F.sha2(restored("output", "form", config), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -127,6 +156,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_main_text": op9_main_text,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_pii": op13_pii,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -206,5 +238,42 @@ pair AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM sh p JOIN sh q
 link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
 reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+""",
+    "op11_importance_resample": rf"""
+WITH crc AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) r(b))),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+f AS (SELECT r, unnest(w) AS x FROM d),
+words AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM b)),
+hashed AS (
+  SELECT x, xor(list_reduce([('0x' || substr(h, 2 * i - 1, 2))::BIGINT for i in range(1, len(h) // 2 + 1)], lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k
+  FROM words, crc),
+s AS (SELECT k, count(*) AS n FROM f JOIN hashed USING (x) GROUP BY k),
+g AS (SELECT k, count(*) AS n FROM b JOIN hashed USING (x) GROUP BY k),
+gain AS (
+  SELECT h.k, floor(1000 * ln((coalesce(g.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM g) + 10000))))::BIGINT AS v
+  FROM (SELECT DISTINCT k FROM hashed) h LEFT JOIN s USING (k) LEFT JOIN g USING (k)),
+weights AS (SELECT r, sum(v)::BIGINT AS weight FROM f JOIN hashed USING (x) JOIN gain USING (k) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (SELECT *, n_features >= 20 AS enough, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS p FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND p <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN p END AS rank FROM ranked
+""",
+    "op12_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    [('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 8 * i - 7, 8))::BIGINT for i in range(1, 5)] AS h FROM documents
+), cut AS (
+  SELECT *, len(u)::BIGINT AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), part AS (
+  SELECT *, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m, array_to_string(list_slice(u, b + 1, n), '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM part
 """,
 }
