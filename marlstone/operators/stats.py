@@ -130,42 +130,6 @@ def held_out_folds(series: DataFrame, by: Sequence[str], on: str, groups: int =
     return counted.withColumn("_s", F.explode(F.filter(splits, lambda s: inside(s["g1"]) | inside(s["g2"])))).select(*series.columns, "_s.split")
 
 
-def fama_macbeth(df: DataFrame, x: Sequence[str], y: str, by: Sequence[str], least: int = 10) -> DataFrame:
-    """Cross-sectional slopes of y on one or two factors without an intercept, per group, from normal-equation sums."""
-    a, b = x
-    ok = df.filter(" and ".join(f"{c} is not null" for c in (*x, y)))
-    s = ok.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        *[F.sum(F.col(p) * F.col(q)).alias(k) for p, q, k in ((a, a, "aa"), (a, b, "ab"), (b, b, "bb"), (a, y, "ay"), (b, y, "by"))],
-    )
-    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    return s.filter(F.col("n") >= least).select(
-        *by,
-        "n",
-        F.try_divide(F.col("bb") * F.col("ay") - F.col("ab") * F.col("by"), det).alias(f"beta_{a}"),
-        F.try_divide(F.col("aa") * F.col("by") - F.col("ab") * F.col("ay"), det).alias(f"beta_{b}"),
-    )
-
-
-def two_factor_fit(df: DataFrame, x: Sequence[str], y: str, by: Sequence[str], least: int = 10) -> DataFrame:
-    """``fama_macbeth`` with t values (equal variances) and R squared about the mean, from the same sums."""
-    a, b = x
-    cells = {"aa": (a, a), "ab": (a, b), "bb": (b, b), "ay": (a, y), "by": (b, y), "yy": (y, y)}
-    ok = df.filter(" and ".join(f"{c} is not null" for c in (*x, y)))
-    s = ok.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), *[F.sum(F.col(p) * F.col(q)).alias(k) for k, (p, q) in cells.items()])
-    c = {k: F.col(k) for k in (*cells, "n", "sy")}
-    det = c["aa"] * c["bb"] - c["ab"] * c["ab"]
-    fit = s.filter(c["n"] >= least).withColumn("_a", F.try_divide(c["bb"] * c["ay"] - c["ab"] * c["by"], det)).withColumn("_b", F.try_divide(c["aa"] * c["by"] - c["ab"] * c["ay"], det))
-    left = F.greatest(c["yy"] - F.col("_a") * c["ay"] - F.col("_b") * c["by"], F.lit(0.0))
-    noise = left / F.greatest(c["n"] - 2, F.lit(1))
-    error = lambda other: F.sqrt(F.greatest(noise * F.try_divide(c[other], det), F.lit(0.0)))
-    return fit.select(
-        *by, "n", F.col("_a").alias(f"beta_{a}"), F.col("_b").alias(f"beta_{b}"),
-        F.try_divide(F.col("_a"), error("bb")).alias(f"t_{a}"), F.try_divide(F.col("_b"), error("aa")).alias(f"t_{b}"),
-        (1 - F.try_divide(left, c["yy"] - c["sy"] * c["sy"] / c["n"])).alias("r_squared"),
-    )
-
-
 def t_statistics(betas: DataFrame, columns: Sequence[str], least: int = 3) -> DataFrame:
     """Mean, t value and rows of each column."""
     long = betas.select(F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("b")) for c in columns])).alias("f")).select("f.*").filter("b is not null")
@@ -232,35 +196,6 @@ def sector_attribution(books: DataFrame, weight: str, sector: str, by: Sequence[
     return own.withColumn("allocation", F.col("sector_weight") - 1 / F.count("*").over(Window.partitionBy(*by)))
 
 
-def hac_regression(series: DataFrame, y: str, x: str, by: Sequence[str], on: str, lags: int = 4) -> DataFrame:
-    """Intercept and slope of y on x per series with Newey-West errors, from window sums: alpha, beta, t_alpha, t_beta, n."""
-    w, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(on)
-    fitted = series.withColumns({"_b": F.covar_samp(y, x).over(w) / F.var_samp(x).over(w), "_mx": F.avg(x).over(w), "_my": F.avg(y).over(w)})
-    fitted = fitted.withColumn("_e", F.col(y) - F.col("_my") - F.col("_b") * (F.col(x) - F.col("_mx")))
-    cells = {}
-    for lag in range(lags + 1):
-        e = F.col("_e") * F.lag("_e", lag).over(order)
-        x2 = F.lag(x, lag).over(order)
-        cells |= {f"_o{lag}": e, f"_p{lag}": e * (F.col(x) + x2), f"_q{lag}": e * F.col(x) * x2}
-    moved = fitted.withColumns(cells)
-
-    def meat(kind: str) -> Column:
-        """Element of the lag-weighted sum: o for (1,1), p for (1,x), q for (x,x)."""
-        total = F.sum(f"_{kind}0") * (0.5 if kind == "p" else 1.0)
-        for lag in range(1, lags + 1):
-            total = total + F.coalesce(F.sum(f"_{kind}{lag}"), F.lit(0.0)) * ((1 - lag / (lags + 1)) * (1.0 if kind == "p" else 2.0))
-        return total
-
-    s = moved.groupBy(*by).agg(
-        F.count("*").alias("n"), F.first("_b").alias("beta"), (F.first("_my") - F.first("_b") * F.first("_mx")).alias("alpha"),
-        F.sum(x).alias("sx"), F.sum(F.col(x) * F.col(x)).alias("sxx"), meat("o").alias("m11"), meat("p").alias("m12"), meat("q").alias("m22"),
-    )
-    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    var_a = (F.col("sxx") * F.col("sxx") * F.col("m11") - 2 * F.col("sxx") * F.col("sx") * F.col("m12") + F.col("sx") * F.col("sx") * F.col("m22")) / (det * det)
-    var_b = (F.col("sx") * F.col("sx") * F.col("m11") - 2 * F.col("n") * F.col("sx") * F.col("m12") + F.col("n") * F.col("n") * F.col("m22")) / (det * det)
-    return s.select(*by, "n", "alpha", "beta", F.try_divide(F.col("alpha"), F.sqrt(var_a)).alias("t_alpha"), F.try_divide(F.col("beta"), F.sqrt(var_b)).alias("t_beta"))
-
-
 def earnings_stability(series: DataFrame, value: str, by: Sequence[str], on: str, rows: int = 12, most: float = 100.0) -> DataFrame:
     """1 / deviation of the growth between the last ``rows`` values, at most ``most``; needs three values and two growths."""
     w = Window.partitionBy(*by).orderBy(F.col(on).desc())

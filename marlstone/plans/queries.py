@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalars
 from marlstone.operators import crosssection as xs
 from marlstone.operators import portfolio as pf
-from marlstone.operators import leaves, quality, ratios, relational, stats, text
+from marlstone.operators import leaves, quality, ratios, regression, relational, stats, text
 from marlstone.operators import timeseries as ts
 from marlstone.plans import views
 from marlstone.plans.views import with_views
@@ -490,7 +490,7 @@ UNION ALL SELECT 'beta_reversal', round(avg(r), 6), round(avg(r) / (stddev_samp(
     )
 )
 def fama_macbeth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    betas = stats.fama_macbeth(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
+    betas = regression.cross_section_fit(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
     return stats.t_statistics(betas, ["beta_momentum", "beta_reversal"]).select("factor", r6("mean"), r6("t_stat"), "n")
 
 
@@ -926,8 +926,9 @@ SELECT strategy, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta,
     )
 )
 def hac_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = stats.hac_regression(views.strategy_returns(spark, sf_dir), "r", "bench", ["strategy"], "month", lags=4)
-    return m.select("strategy", "n", r6("alpha"), r6("beta"), r6("t_alpha"), r6("t_beta"))
+    fit = regression.hac_fit(views.strategy_returns(spark, sf_dir), ["bench"], "r", ["strategy"], "month", lags=4)
+    cell = lambda factor, c: F.max(F.when(F.col("factor") == factor, F.col(c)))
+    return fit.groupBy("strategy", "n").agg(r6(cell("alpha", "beta"), "alpha"), r6(cell("bench", "beta"), "beta"), r6(cell("alpha", "t"), "t_alpha"), r6(cell("bench", "t"), "t_beta"))
 
 
 @query(
@@ -1261,7 +1262,7 @@ SELECT month, n, round(m, 6) AS beta_momentum, round(v, 6) AS beta_reversal, rou
 )
 def factor_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each month's cross-sectional regression with t values and R squared."""
-    fit = stats.two_factor_fit(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
+    fit = regression.cross_section_fit(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
     four = lambda c: (F.round(c, 4) + 0.0).alias(c)
     return fit.select("month", "n", r6("beta_momentum"), r6("beta_reversal"), four("t_momentum"), four("t_reversal"), r6("r_squared"))
 
@@ -1275,7 +1276,7 @@ SELECT month, factor, round(sum(beta) OVER (PARTITION BY factor ORDER BY month),
 )
 def cumulative_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sum of each factor's monthly premium."""
-    betas = stats.fama_macbeth(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
+    betas = regression.cross_section_fit(_forward(spark, sf_dir), ["momentum", "reversal"], "y", ["month"])
     long = betas.select("month", F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"beta_{f}").alias("beta")) for f in ("momentum", "reversal")])).alias("x")).select("month", "x.*")
     w = Window.partitionBy("factor").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return long.select("month", "factor", r6(F.sum("beta").over(w), "premium"))
@@ -1305,3 +1306,68 @@ def stream_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = events.decoded(events.read_messages(spark, f"{folder}/topic"), "event_id bigint, event_type string, value double")
     events.consume(stream, lambda df, _: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# ---------------------------------------------------------------- factor regressions
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regression.month_end_join(views.factor_five(spark, sf_dir), views.factor_momentum(spark, sf_dir), "month")
+
+
+_SIX = ["mkt_rf", "smb", "hml", "rmw", "cma", "mom"]
+
+
+@query(with_views(f"SELECT month_end, {', '.join(f'round({c}, 8) AS {c}' for c in [*_SIX, 'rf'])} FROM factors", "factors"))
+def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five factors and the riskless rate joined with momentum on month ends, as decimals."""
+    return _factors(spark, sf_dir).select("month_end", *[F.round(c, 8).alias(c) for c in [*_SIX, "rf"]])
+
+
+#: Gauss-Jordan elimination and the lag-weighted sum of score products, on matrices kept as (row, column, value) rows.
+_FACTOR_REGRESSION = f""", base AS (
+  SELECT strategy, month, r - rf AS y, {", ".join(_SIX)} FROM strategy_returns JOIN factors ON last_day(month) = month_end
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _SIX)} AND r IS NOT NULL AND rf IS NOT NULL),
+obs AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY month) AS t, count(*) OVER (PARTITION BY strategy) AS n FROM base),
+x AS (SELECT strategy, t, y, unnest(range(7)) AS i, unnest([1.0, {", ".join(_SIX)}]) AS v FROM obs WHERE n >= 10),
+xx AS (SELECT a.strategy, a.i, b.i AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (strategy, t) GROUP BY 1, 2, 3),
+elim(strategy, p, i, j, v) AS (
+  SELECT strategy, 0, i, j, v FROM xx UNION ALL SELECT DISTINCT strategy, 0, i, j, (i + 7 = j)::INTEGER::DOUBLE FROM (SELECT DISTINCT strategy, i FROM xx), range(7, 14) r(j)
+  UNION ALL
+  SELECT strategy, p + 1, i, j, CASE WHEN i = p THEN v / piv ELSE v - vip * vpj / piv END FROM (
+    SELECT *, max(v) FILTER (i = p AND j = p) OVER (PARTITION BY strategy) AS piv, max(v) FILTER (j = p) OVER (PARTITION BY strategy, i) AS vip, max(v) FILTER (i = p) OVER (PARTITION BY strategy, j) AS vpj
+    FROM elim WHERE p < 7)),
+inv AS (SELECT strategy, i, j - 7 AS j, v FROM elim WHERE p = 7 AND j >= 7),
+xy AS (SELECT strategy, i AS j, sum(v * y) AS v FROM x GROUP BY 1, 2),
+beta AS (SELECT inv.strategy, i, sum(inv.v * xy.v) AS beta FROM inv JOIN xy USING (strategy, j) GROUP BY 1, 2),
+res AS (SELECT strategy, t, any_value(y) - sum(v * beta) AS e, any_value(y) AS y FROM x JOIN beta USING (strategy, i) GROUP BY 1, 2),
+u AS (SELECT strategy, t, i, v * e AS u FROM x JOIN res USING (strategy, t)),
+meat AS (
+  SELECT a.strategy, a.i, b.i AS j, sum(a.u * b.u * CASE WHEN a.t = b.t THEN 1 ELSE 1 - abs(a.t - b.t) / 5 END) AS v
+  FROM u a JOIN u b ON a.strategy = b.strategy AND b.t BETWEEN a.t - 4 AND a.t + 4 GROUP BY 1, 2, 3),
+var AS (SELECT l.strategy, l.i, sum(l.v * meat.v * r.v) AS var FROM inv l JOIN meat ON meat.strategy = l.strategy AND meat.i = l.j JOIN inv r ON r.strategy = l.strategy AND r.i = l.i AND r.j = meat.j GROUP BY 1, 2),
+fit AS (SELECT strategy, 1 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2, count(*) AS n FROM res GROUP BY 1)
+"""
+_NAMES = ["alpha", *_SIX]
+
+
+@query(
+    with_views(
+        _FACTOR_REGRESSION
+        + f"""SELECT strategy, ([{", ".join(f"'{c}'" for c in _NAMES)}])[i + 1] AS factor, round(beta, 6) AS beta, round(sqrt(var), 6) AS se, round(beta / sqrt(var), 4) AS t,
+  round(beta - 1.96 * sqrt(var), 6) AS low, round(beta + 1.96 * sqrt(var), 6) AS high, round(r2, 6) AS r_squared, n,
+  CASE WHEN i = 0 THEN round(12 * beta, 6) END AS yearly, CASE WHEN i = 0 THEN round(pow(1 + beta, 12) - 1, 6) END AS yearly_compound
+FROM beta JOIN var USING (strategy, i) JOIN fit USING (strategy)""",
+        "strategy_returns",
+        "factors",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def factor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every strategy on five factors and momentum: loadings with Newey-West errors, t values and intervals, and the yearly alpha."""
+    both = views.strategy_returns(spark, sf_dir).withColumn("month_end", F.last_day("month")).join(_factors(spark, sf_dir), "month_end")
+    fit = regression.hac_fit(both.withColumn("y", F.col("r") - F.col("rf")), _SIX, "y", ["strategy"], "month")
+    own = F.col("factor") == "alpha"
+    return fit.select(
+        "strategy", "factor", r6("beta"), r6("se"), F.round("t", 4).alias("t"), r6("low"), r6("high"), r6("r_squared"), "n",
+        F.when(own, F.round(12 * F.col("beta"), 6)).alias("yearly"), F.when(own, F.round(regression.compounded(F.col("beta")), 6)).alias("yearly_compound"),
+    )

@@ -65,6 +65,31 @@ def strategy_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(bench, "month").filter("r is not null").select("strategy", "month", "r", "bench")
 
 
+def _segment_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, name, change): monthly change of the mean order value of each market segment, and of all orders (name ``ALL``)."""
+    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
+    own = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.trunc("o_orderdate", "MM").alias("month"), F.explode(F.array("c_mktsegment", F.lit("ALL"))).alias("name"), "o_totalprice")
+    monthly = own.groupBy("month", "name").agg(F.avg("o_totalprice").alias("p"))
+    return monthly.withColumn("change", F.try_divide(F.col("p"), F.lag("p").over(Window.partitionBy("name").orderBy("month"))) - 1)
+
+
+def factor_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ym, mkt_rf, smb, hml, rmw, cma, rf) in percent, as factor files have them: spreads between segments' changes of order value."""
+    wide = _segment_changes(spark, sf_dir).groupBy("month").agg(*[F.max(F.when(F.col("name") == name, F.col("change"))).alias(k) for k, name in zip("mabfhx", ("ALL", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))])
+    rf = load(spark, sf_dir, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg((F.avg("l_tax") / 12).alias("rf"))
+    cells = {"mkt_rf": F.col("m") - F.col("rf"), "smb": F.col("a") - F.col("b"), "hml": F.col("f") - F.col("h"), "rmw": F.col("x") - F.col("m"), "cma": F.col("b") - F.col("h"), "rf": F.col("rf")}
+    return wide.join(rf, "month").select((F.year("month") * 100 + F.month("month")).alias("ym"), *[F.round(100 * v, 6).alias(k) for k, v in cells.items()])
+
+
+def factor_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, mom) in percent: change of the mean price of large lots less that of small ones."""
+    big = F.col("l_quantity") > 25
+    monthly = load(spark, sf_dir, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg(F.avg(F.when(big, F.col("l_extendedprice"))).alias("h"), F.avg(F.when(~big, F.col("l_extendedprice"))).alias("l"))
+    # one row a month: a window without a key
+    change = lambda c: F.try_divide(F.col(c), F.lag(c).over(Window.orderBy("month"))) - 1
+    return monthly.select("month", F.round(100 * (change("h") - change("l")), 6).alias("mom"))
+
+
 SQL = {
     "prices": """
 SELECT l_suppkey AS symbol, date_trunc('month', l_shipdate)::DATE AS month,
@@ -93,6 +118,25 @@ SELECT strategy, month, r, bench FROM (
   SELECT month, round(p / lag(p) OVER (ORDER BY month) - 1, 6) AS bench FROM (
     SELECT date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) AS p FROM orders GROUP BY 1)
 ) USING (month) WHERE r IS NOT NULL""",
+    "factor_five": """
+SELECT (year(month) * 100 + month(month))::INTEGER AS ym, round(100 * (m - rf), 6) AS mkt_rf, round(100 * (a - b), 6) AS smb, round(100 * (f - h), 6) AS hml,
+  round(100 * (x - m), 6) AS rmw, round(100 * (b - h), 6) AS cma, round(100 * rf, 6) AS rf
+FROM (
+  SELECT month, max(c) FILTER (name = 'ALL') AS m, max(c) FILTER (name = 'AUTOMOBILE') AS a, max(c) FILTER (name = 'BUILDING') AS b, max(c) FILTER (name = 'FURNITURE') AS f,
+    max(c) FILTER (name = 'HOUSEHOLD') AS h, max(c) FILTER (name = 'MACHINERY') AS x
+  FROM (
+    SELECT month, name, p / lag(p) OVER (PARTITION BY name ORDER BY month) - 1 AS c FROM (
+      SELECT date_trunc('month', o_orderdate)::DATE AS month, c_mktsegment AS name, avg(o_totalprice) AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+      UNION ALL SELECT date_trunc('month', o_orderdate)::DATE, 'ALL', avg(o_totalprice) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+  ) GROUP BY month
+) JOIN (SELECT date_trunc('month', l_shipdate)::DATE AS month, avg(l_tax) / 12 AS rf FROM lineitem GROUP BY 1) USING (month)""",
+    "factor_momentum": """
+SELECT month, round(100 * ((h / lag(h) OVER (ORDER BY month) - 1) - (l / lag(l) OVER (ORDER BY month) - 1)), 6) AS mom FROM (
+  SELECT date_trunc('month', l_shipdate)::DATE AS month, avg(l_extendedprice) FILTER (l_quantity > 25) AS h, avg(l_extendedprice) FILTER (l_quantity <= 25) AS l
+  FROM lineitem GROUP BY 1)""",
+    "factors": """
+SELECT last_day(strptime(ym::VARCHAR || '01', '%Y%m%d'))::DATE AS month_end, mkt_rf / 100 AS mkt_rf, smb / 100 AS smb, hml / 100 AS hml, rmw / 100 AS rmw, cma / 100 AS cma, rf / 100 AS rf, mom / 100 AS mom
+FROM factor_five JOIN factor_momentum ON last_day(strptime(ym::VARCHAR || '01', '%Y%m%d')) = last_day(factor_momentum.month)""",
     "panel": """
 SELECT symbol, months.month, months.row, px, volume FROM (SELECT DISTINCT symbol FROM prices)
 CROSS JOIN (
@@ -105,7 +149,7 @@ SELECT symbol, month, row, px, px / lag(px) OVER w - 1 AS ret, lag(px, 1) OVER w
 ) WINDOW w AS (PARTITION BY symbol ORDER BY month)""",
 }
 
-_NEEDS = {"panel": ["prices"], "returns": ["prices", "panel"]}
+_NEEDS = {"factors": ["factor_five", "factor_momentum"], "panel": ["prices"], "returns": ["prices", "panel"]}
 
 
 def with_views(query: str, *views: str) -> str:

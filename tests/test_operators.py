@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalars
 from marlstone.operators import crosssection as xs
 from marlstone.operators import portfolio as pf
-from marlstone.operators import quality, ratios, relational, stats, text
+from marlstone.operators import quality, ratios, regression, relational, stats, text
 from marlstone.operators import timeseries as ts
 from marlstone.sources import parsers
 from marlstone.streaming import events
@@ -218,3 +218,77 @@ def test_growth_against_the_report_before(spark):
     assert {(r.field_name, r.field_value) for r in ratios.growth_rows(wide, ["symbol"], "report_date").collect()} == {("earnings_growth_hist", 0.25), ("net_income_growth_hist", 1.5)}
     names = {r.field_name for r in ratios.ratio_rows(wide, ["symbol", "report_date"]).filter("report_date = '2024-06-30'").collect()}
     assert "operating_margin_hist" in names and not names & {"ebitda_margin_hist", "ev_to_ebitda_hist"}
+
+
+# regression on any number of columns
+
+
+def _plain_hac(x, y, lags):
+    """Coefficients and Newey-West errors by matrix algebra."""
+    x = np.column_stack([np.ones(len(y)), x])
+    inv = np.linalg.inv(x.T @ x)
+    beta = inv @ x.T @ y
+    u = x * (y - x @ beta)[:, None]
+    meat = u.T @ u
+    for lag in range(1, lags + 1):
+        g = u[lag:].T @ u[:-lag]
+        meat += (1 - lag / (lags + 1)) * (g + g.T)
+    return beta, np.sqrt(np.diag(inv @ meat @ inv)), 1 - ((y - x @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+
+@pytest.mark.parametrize("k", [1, 4, 6])
+def test_hac_fit_matches_matrix_algebra(spark, k):
+    rng = np.random.default_rng(k)
+    rows, want = [], {}
+    for s in ("p", "q"):
+        x = rng.normal(size=(60, k)) * np.logspace(-3, 2, k)
+        y = 0.01 + x @ rng.normal(size=k) + np.cumsum(rng.normal(size=60)) * 0.1
+        want[s] = _plain_hac(x, y, 4)
+        rows += [(s, t, float(y[t]), *map(float, x[t])) for t in range(60)]
+        rows += [(s, 30, None, *map(float, x[0])), (s, 31, float("nan"), *map(float, x[0]))]  # left out
+    names = [f"x{i}" for i in range(k)]
+    df = spark.createDataFrame(rows + [("short", t, 1.0 * t, *[0.5 * t] * k) for t in range(5)], f"s string, t int, y double, {', '.join(f'{n} double' for n in names)}")
+    got = regression.hac_fit(df, names, "y", ["s"], "t").collect()
+    assert {r.s for r in got} == {"p", "q"}
+    for r in got:
+        beta, se, r2 = want[r.s]
+        i = (["alpha", *names]).index(r.factor)
+        assert r.beta == pytest.approx(beta[i], rel=1e-6) and r.se == pytest.approx(se[i], rel=1e-6) and r.r_squared == pytest.approx(r2, rel=1e-8)
+        assert r.t == pytest.approx(beta[i] / se[i], rel=1e-6) and r.n == 60
+        assert r.low == pytest.approx(beta[i] - 1.96 * se[i], rel=1e-5, abs=1e-9)
+
+
+def test_hac_fit_of_dependent_or_constant_columns_has_no_slopes(spark):
+    rows = [("a", t, float(t % 7), float(t), 2.0 * t) for t in range(40)] + [("b", t, float(t % 5), float(t), 3.0) for t in range(40)]
+    df = spark.createDataFrame(rows, "s string, t int, y double, x double, z double")
+    got = regression.hac_fit(df, ["x", "z"], "y", ["s"], "t").collect()
+    assert len(got) == 6 and all(r.beta is None and r.t is None for r in got)
+    assert regression.hac_fit(df.filter("false"), ["x", "z"], "y", ["s"], "t").count() == 0
+
+
+@pytest.mark.parametrize("k", [2, 3, 4])
+def test_cross_section_fit_finds_the_slopes(spark, k):
+    rng = np.random.default_rng(k)
+    slopes, rows = np.linspace(0.5, -0.3, k), []
+    for day in range(3):
+        x = rng.normal(size=(300, k))
+        y = x @ slopes + 0.1 * rng.normal(size=300)
+        rows += [(day, float(y[i]), *map(float, x[i])) for i in range(300)]
+    names = [f"x{i}" for i in range(k)]
+    got = regression.cross_section_fit(spark.createDataFrame(rows, f"d int, y double, {', '.join(f'{n} double' for n in names)}"), names, "y", ["d"]).collect()
+    for r in got:
+        x = np.array([row[2:] for row in rows if row[0] == r.d])
+        y = np.array([row[1] for row in rows if row[0] == r.d])
+        beta, left, *_ = np.linalg.lstsq(x, y, rcond=None)
+        t = beta / np.sqrt(left[0] / (300 - k) * np.diag(np.linalg.inv(x.T @ x)))
+        for i, n in enumerate(names):
+            assert r[f"beta_{n}"] == pytest.approx(beta[i]) and r[f"t_{n}"] == pytest.approx(t[i])
+            assert abs(r[f"beta_{n}"] - slopes[i]) < 0.1
+        assert r.r_squared == pytest.approx(1 - left[0] / ((y - y.mean()) ** 2).sum())
+
+
+def test_month_end_join(spark):
+    five = spark.createDataFrame([(202401, 1.5), (202402, -2.0), (202404, 1.0)], "ym int, mkt double")
+    mom = spark.createDataFrame([("2024-01-31", 3.0), ("2024-02-01", 4.0), ("2024-03-15", 5.0)], "d string, mom double").withColumn("d", F.to_date("d"))
+    got = regression.month_end_join(five, mom, "d").orderBy("month_end").collect()
+    assert [(str(r.month_end), r.mkt, r.mom) for r in got] == [("2024-01-31", pytest.approx(0.015), pytest.approx(0.03)), ("2024-02-29", pytest.approx(-0.02), pytest.approx(0.04))]
