@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -13,8 +14,12 @@ from pyspark.sql import DataFrame
 from marlstone.llm.common import row_slices, string_buffer, trimmed
 from marlstone.llm.pieces import PieceCache, split_pieces
 
-#: Bytes of text at once, bytes of words in a query.
-_SLICE, _QUERY = 1 << 19, 1 << 18
+#: Bytes of text at once, bytes of words in a query, ids in a query that decodes.
+_SLICE, _QUERY, _IDS = 1 << 19, 1 << 18, 1 << 17
+#: Parts of words longer than this are encoded in windows of as many bytes, which are then joined.
+_WINDOW = 64
+#: Bytes of parts and pairs of tokens that a task process remembers.
+_CACHE_BYTES, _PAIRS = 8 << 20, 1 << 18
 
 #: Rows are tokens of words by their first byte ``i`` and the byte behind them.
 #: Each step joins the tokens of words that still change to the tokens behind
@@ -96,7 +101,11 @@ class SqlBpe:
                 self.twos[t[0] << 8 | t[1]] = True
             for i in range(len(t) - 2):
                 self.threes[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
-        self.cache = PieceCache(self.encode, limit=300_000, split=self._split)
+        self.tokens, self.sizes = [b""] * (max(ranks.values()) + 1), np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, r in ranks.items():
+            self.tokens[r], self.sizes[r] = t, len(t)
+        self.apart: dict[tuple[int, int], bool] = {}
+        self.cache = PieceCache(self.encode, limit=300_000, split=self._split, most_bytes=_CACHE_BYTES)
 
     def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = self._parts(data, split_pieces(data, offsets)[0])
@@ -121,23 +130,98 @@ class SqlBpe:
         data = np.frombuffer(b"".join(words), np.uint8)
         begin = np.cumsum([0, *map(len, words)])
         parts = self._parts(data, begin[:-1])
-        end, ids, counts, a = np.r_[parts[1:], len(data)], [], [], 0
-        while a < len(parts):
-            b = max(a + 1, int(np.searchsorted(end, parts[a] + _QUERY, side="right")))
-            sizes = end[a:b] - parts[a:b]
-            word = np.repeat(np.arange(b - a, dtype=np.int32), sizes)
-            i = (np.arange(len(word)) - np.repeat(parts[a:b] - parts[a], sizes)).astype(np.int32)
-            tokens = self.byte_ids[data[parts[a] : end[b - 1]]]
+        sizes = np.diff(np.r_[parts, len(data)])
+        windows = -(-sizes // _WINDOW)
+        first = np.cumsum(windows) - windows
+        starts = np.repeat(parts, windows) + (np.arange(int(windows.sum())) - np.repeat(first, windows)) * _WINDOW
+        ids, counts = self._encode_spans(data, starts, np.r_[starts[1:], len(data)])
+        if (windows > 1).any():
+            ids = self._joined(ids, counts, parts)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), begin, side="right"))
+
+    def _encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some spans of bytes, each encoded alone, end to end, and their number in each; a query for each ``_QUERY`` bytes."""
+        sizes, ids, counts, a = ends - starts, [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+        filled = np.cumsum(sizes)
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(filled, filled[a] - sizes[a] + _QUERY, side="right")))
+            size = sizes[a:b]
+            word = np.repeat(np.arange(b - a, dtype=np.int32), size)
+            i = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            tokens = self.byte_ids[data[np.repeat(starts[a:b], size) + i]]
             self.db.register("bytes_of_words", pa.table([pa.array(word), pa.array(i), pa.array(tokens)], ["word", "i", "token"]))
             out = self.db.sql(_ENCODE).to_arrow_table()
             self.db.unregister("bytes_of_words")
             ids.append(out["token"].to_numpy())
             counts.append(np.bincount(out["word"].to_numpy(), minlength=b - a))
             a = b
-        filled = np.r_[0, np.cumsum(np.concatenate(counts))]
-        return np.concatenate(ids), np.diff(filled[np.searchsorted(parts, begin)])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _stand_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each pair of tokens, encoded together, stays these two."""
+        if len(self.apart) > _PAIRS:
+            self.apart.clear()
+        pairs = list(zip(left.tolist(), right.tolist()))
+        new = [p for p in dict.fromkeys(pairs) if p not in self.apart]
+        if new:
+            spans = [self.tokens[a] + self.tokens[b] for a, b in new]
+            ends = np.cumsum([len(x) for x in spans])
+            ids, counts = self._encode_spans(np.frombuffer(b"".join(spans), np.uint8), np.r_[0, ends[:-1]], ends)
+            first = np.cumsum(counts) - counts
+            self.apart.update((p, bool(n == 2 and ids[k] == p[0] and ids[k + 1] == p[1])) for p, n, k in zip(new, counts.tolist(), first.tolist()))
+        return np.array([self.apart[p] for p in pairs], bool)
+
+    def _joined(self, ids: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Ids of parts from those of their windows.
+
+        A row of tokens is the encoding of its bytes just if each two
+        neighbours, encoded together, stay as they are. Inside a window that
+        holds; so only pairs at seams are looked at. Around a seam whose pair
+        doesn't stay, some tokens on either side are encoded anew together, and the
+        ends of that stretch are the next seams; from round to round it is
+        twice as many.
+        """
+        seam = np.zeros(len(ids) + 1, bool)  # whether the pair before a token has to be looked at
+        seam[np.cumsum(counts) - counts] = True
+        whole = np.r_[np.cumsum(self.sizes[ids]) - self.sizes[ids], int(self.sizes[ids].sum())]
+        reach = 2
+        while True:
+            edge = np.searchsorted(whole, np.r_[parts, whole[-1]])  # first tokens of parts
+            seam[edge] = False
+            at = np.flatnonzero(seam)
+            at = at[~self._stand_apart(ids[at - 1], ids[at])] if len(at) else at
+            if not len(at):
+                return ids
+            part = np.searchsorted(edge, at, side="right") - 1
+            low, high = np.maximum(at - reach, edge[part]), np.minimum(at + reach, edge[part + 1])
+            apart = np.r_[True, low[1:] >= np.maximum.accumulate(high)[:-1]]
+            low, high = low[apart], np.maximum.reduceat(high, np.flatnonzero(apart))
+            data = np.frombuffer(b"".join(self.tokens[t] for a, b in zip(low, high) for t in ids[a:b].tolist()), np.uint8)
+            ends = np.cumsum(whole[high] - whole[low])
+            new, n = self._encode_spans(data, np.r_[0, ends[:-1]], ends)
+            taken, pieces, marks, done = np.cumsum(n) - n, [], [], 0
+            for a, b, k, m in zip(low.tolist(), high.tolist(), taken.tolist(), n.tolist()):
+                pieces += [ids[done:a], new[k : k + m]]
+                marks += [np.zeros(a - done, bool), np.r_[True, np.zeros(m - 1, bool)]]
+                done = b
+            seam = np.concatenate([*marks, np.zeros(len(ids) - done + 1, bool)])
+            ids = np.concatenate([*pieces, ids[done:]])
+            seam[np.searchsorted(np.cumsum(self.sizes[ids]), whole[high], side="right")] = True  # the tokens behind the stretches
+            whole = np.r_[np.cumsum(self.sizes[ids]) - self.sizes[ids], whole[-1]]
+            reach *= 2
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Bytes of each row of ids; long rows are decoded in stretches, a query for each ``_IDS`` ids."""
+        cuts = np.union1d(offsets, np.arange(0, len(ids) + 1, _IDS))
+        out, a = [], 0
+        while a < len(cuts) - 1:
+            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + _IDS, side="right")) - 1)
+            out += self._decode_rows(ids[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+            a = b
+        first = np.searchsorted(cuts, offsets)
+        return [b"".join(out[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+
+    def _decode_rows(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         counts = np.diff(offsets)
         doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         rows = pa.table([pa.array(doc), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids.astype(np.int32))], ["doc", "i", "id"])
@@ -150,6 +234,11 @@ class SqlBpe:
         return texts
 
 
+@cache
+def _sound(path: str) -> bool:
+    return ranks_rise(read_ranks(path))
+
+
 _open: dict[str, SqlBpe] = {}
 
 
@@ -167,13 +256,17 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, slice_bytes: int = _SLIC
     separately and without special tokens, so their strings are ordinary text;
     null and empty texts have no ids; repeated rows are encoded alike; an empty
     table gives no rows. Different pieces of a slice of rows are encoded once,
-    and kept (up to a bound) for the task process's next slices. A query holds
-    a row for each byte of its words: those of one piece at least, if no cut
-    is possible in it. ``ranks_path`` is a vocabulary file that every executor
-    has, for which ``ranks_rise``. Columns of these two names are replaced,
+    and kept (up to a bound of pieces and bytes) for the task process's next
+    slices. A query holds a row for each byte of 0.25 MB of words; words longer than
+    that are encoded in windows, so that a task needs memory for its text and
+    ids, some numbers for each byte of them, and those rows. ``ranks_path`` is a
+    vocabulary file that driver and executors have; one for which ``ranks_rise``
+    doesn't hold is an error. Columns of these two names are replaced,
     others pass through; nothing is shuffled.
     """
     docs = docs.drop("ids", "decoded")
+    if not _sound(ranks_path):
+        raise ValueError(f"{ranks_path}: a token is reached by a step of a higher rank than its own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path)

@@ -73,11 +73,11 @@ class PieceCache:
     ``encode`` takes a list of pieces as bytes and returns the ids of all, end
     to end, with their counts. Pieces are found by a hash and then compared
     byte by byte; a piece whose hash another one has is looked up by its bytes.
-    ``split`` cuts texts into pieces, or into parts that are encoded apart. About ``limit`` pieces are kept, so memory is bounded whatever the texts hold.
+    ``split`` cuts texts into pieces, or into parts that are encoded apart. About ``limit`` pieces of ``most_bytes`` in all are kept beside a call's own, so memory is bounded whatever the texts hold.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000, split: Callable = split_pieces, hashes_of: Callable = span_hashes):
-        self.encode, self.limit, self.split, self.hashes_of = encode, limit, split, hashes_of
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000, split: Callable = split_pieces, hashes_of: Callable = span_hashes, most_bytes: int = 64 << 20):
+        self.encode, self.limit, self.split, self.hashes_of, self.most_bytes = encode, limit, split, hashes_of, most_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -100,7 +100,7 @@ class PieceCache:
         """Token ids of all texts end to end, and n + 1 offsets of the texts in them."""
         begin, end = self.split(data, offsets)
         hashes, first, which = np.unique(self.hashes_of(data, begin, end), return_index=True, return_inverse=True)
-        if len(self.counts) > self.limit:
+        if len(self.counts) > self.limit or len(self.bytes) > self.most_bytes:
             self._clear()
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)

@@ -1,7 +1,10 @@
 import base64
 import math
 import random
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -62,6 +65,61 @@ def test_pieces_with_one_hash_are_told_apart():
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [coding.encode_ordinary(t) for t in texts]
 
 
+_LONG = """
+import resource, sys
+import numpy as np, public_tokenizers, pyarrow as pa, random
+from marlstone.llm.bpe_sql import SqlBpe
+from marlstone.llm.common import string_buffer
+bpe, n = SqlBpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), 4_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in ("a" * n, " " * n, "ab-" * (n // 3)):
+    data, offsets = string_buffer(pa.array([text]))
+    ids, ends = bpe.cache.ids_of(data, offsets)
+    assert bpe.decode(ids, ends) == [text.encode()]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_memory_of_pieces_of_4_mb():
+    """A task process's peak over that of the loaded vocabulary, in MB."""
+    done = subprocess.run([sys.executable, "-c", _LONG], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 500
+
+
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_long_pieces_match_tiktoken(vocabulary):
+    rng, n = random.Random(6), 60_000
+    path = public_tokenizers.path(vocabulary)
+    coding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    bpe = SqlBpe(path)
+    letters = ["a", "ab", "aab", " ", "-", "=", "é", "中", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "0123456789", "-=*#.", "的一是不了人我在", "\n", "\t", "aaaaaaab"]
+    texts = [chars * (n // len(chars) + k) for k, chars in enumerate(letters)]
+    texts += ["".join(rng.choice(chars) for _ in range(n)) for chars in letters] + ["x" * k for k in range(60, 140)]
+    texts += ["".join(rng.choice("ab") * rng.randint(1, 90) for _ in range(800))]
+    data, offsets = string_buffer(pa.array(texts))
+    ids, ends = bpe.cache.ids_of(data, offsets)
+    for text, a, b in zip(texts, ends[:-1], ends[1:]):
+        want = [i for piece in regex.findall(public_tokenizers.PATTERN, text) for i in coding._core_bpe.encode_single_piece(piece.encode())]
+        assert ids[a:b].tolist() == want, text[:50]
+    assert bpe.decode(ids, ends) == [t.encode() for t in texts]
+
+
+def test_a_piece_of_4_mb_matches_tiktoken():
+    coding, bpe = _tiktoken(), SqlBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for text in ("a" * 4_000_000, " " * 4_000_000, "".join(random.Random(7).choice("etaoin") for _ in range(400_000))):
+        data, offsets = string_buffer(pa.array([text]))
+        assert bpe.cache.ids_of(data, offsets)[0].tolist() == coding._core_bpe.encode_single_piece(text.encode())
+
+
+def test_a_vocabulary_whose_ranks_fall_is_an_error(spark, tmp_path):
+    path = tmp_path / "falling.tiktoken"
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 290}
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
+    with pytest.raises(ValueError, match="higher rank"):
+        encode_and_decode(spark.createDataFrame([(1, "x")], "doc_id long, text string"), str(path))
+
+
 def test_ranks_rise():
     """The vocabulary's tokens take no step above their own rank, so places of one pair may be contracted together."""
     assert ranks_rise(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
