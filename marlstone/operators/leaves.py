@@ -13,16 +13,83 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def shrunk_covariance(x: np.ndarray) -> np.ndarray:
-    """Sample covariance (divisor T) shrunk towards a multiple of the identity by the optimal intensity."""
+def shrinkage(x: np.ndarray) -> float:
+    """The optimal intensity of shrinking the sample covariance (divisor T) towards a multiple of the identity."""
     x = x - x.mean(axis=0)
     t, n = x.shape
     s = x.T @ x / t
     mu = np.trace(s) / n
     d2 = ((s - mu * np.eye(n)) ** 2).sum() / n
     b2 = min(d2, sum(((np.outer(row, row) - s) ** 2).sum() for row in x) / (t * t * n))
-    share = 0.0 if d2 == 0 else b2 / d2
-    return share * mu * np.eye(n) + (1 - share) * s
+    return 0.0 if d2 == 0 else b2 / d2
+
+
+def shrunk_covariance(x: np.ndarray) -> np.ndarray:
+    """Sample covariance (divisor T) shrunk by ``shrinkage``."""
+    share, s = shrinkage(x), np.atleast_2d(np.cov(x, rowvar=False, ddof=0))
+    return share * np.trace(s) / len(s) * np.eye(len(s)) + (1 - share) * s
+
+
+def noise_density(x: np.ndarray, variance: float, q: float) -> np.ndarray:
+    """Density of the eigenvalues that pure noise has, where ``q`` is observations per column."""
+    low, high = (variance * (1 + s * q**-0.5) ** 2 for s in (-1, 1))
+    return q / (2 * np.pi * variance * x) * np.sqrt(np.maximum((high - x) * (x - low), 0))
+
+
+def noise_variance(eigenvalues: np.ndarray, q: float, bins: int = 50, points: int = 200, rounds: int = 4) -> float:
+    """The variance whose noise density is nearest to the histogram of the eigenvalues inside its support.
+
+    The squared distance jumps as eigenvalues come into the support, so
+    it is searched on a grid of ``points`` variances, and ``rounds`` times more
+    around the best; 1 (all of a correlation matrix is noise) where no support holds five eigenvalues.
+    """
+
+    def distance(variance: float) -> float:
+        low, high = (variance * (1 + s * q**-0.5) ** 2 for s in (-1, 1))
+        inside = eigenvalues[(eigenvalues >= low) & (eigenvalues <= high)]
+        if len(inside) < 5:
+            return np.inf
+        found, edges = np.histogram(inside, bins=bins, range=(low, high), density=True)
+        middle = np.maximum((edges[1:] + edges[:-1]) / 2, 1e-12)
+        return float(np.mean((found - noise_density(middle, variance, q)) ** 2))
+
+    low, high = 1e-3, max(1.0, float(eigenvalues.max()))
+    best, least = 1.0, np.inf
+    for _ in range(rounds + 1):
+        grid = np.linspace(low, high, points)
+        far = np.array([distance(v) for v in grid])
+        at = int(np.argmin(far))
+        if far[at] < least:
+            best, least = float(grid[at]), far[at]
+        step = grid[1] - grid[0]
+        low, high = max(1e-3, best - step), best + step
+    return best
+
+
+def denoised_covariance(x: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Covariance without the noise of its correlations' small eigenvalues, then shrunk; with the noise edge and the eigenvalues below it.
+
+    Correlation eigenvalues under the upper edge of the fitted noise density
+    are replaced by their mean, which keeps the trace; the diagonal is made 1
+    again and scaled by the deviations. What is left is shrunk towards a
+    multiple of the identity by the intensity of ``shrunk_covariance``'s estimate.
+    """
+    t, n = x.shape
+    sample = np.atleast_2d(np.cov(x, rowvar=False))
+    sd = np.sqrt(np.diag(sample))
+    sd[sd == 0] = 1e-10
+    values, vectors = np.linalg.eigh(np.clip(sample / np.outer(sd, sd), -1, 1))
+    q = t / n
+    edge = noise_variance(values, q) * (1 + q**-0.5) ** 2
+    noise = values < edge
+    if noise.any():
+        values = np.where(noise, values[noise].mean(), values)
+    clean = (vectors * values) @ vectors.T
+    scale = np.sqrt(np.maximum(np.diag(clean), 1e-12))
+    clean = clean / np.outer(scale, scale) * np.outer(sd, sd)
+    share = shrinkage(x)
+    out = (1 - share) * clean + share * np.trace(clean) / n * np.eye(n)
+    return (out + out.T) / 2, float(edge), int(noise.sum())
 
 
 def _onto_capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
@@ -34,12 +101,12 @@ def _onto_capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
     return np.clip(v - hi, 0, cap)
 
 
-def minimum_variance(x: np.ndarray, cap: float = 1.0, before: np.ndarray | None = None, penalty: float = 0.0, rounds: int = 500) -> np.ndarray:
+def minimum_variance(x: np.ndarray, cap: float = 1.0, before: np.ndarray | None = None, penalty: float = 0.0, rounds: int = 500, covariance=shrunk_covariance) -> np.ndarray:
     """Weights of least variance (plus a penalty on change), by projected gradient; equal where a cap is infeasible."""
     n = x.shape[1]
     if n * cap <= 1 or len(x) < 2:
         return np.full(n, 1 / n)
-    cov, w = shrunk_covariance(x), np.full(n, 1 / n)
+    cov, w = covariance(x), np.full(n, 1 / n)
     old = w if before is None else before
     step = 1 / (2 * (np.linalg.eigvalsh(cov)[-1] + penalty) + 1e-18)
     for _ in range(rounds):
@@ -77,7 +144,10 @@ def risk_parity_tree(x: np.ndarray) -> np.ndarray:
 
 
 def leg_weights(returns: DataFrame, by: Sequence[str], symbol: str, on: str, ret: str, method: str = "minimum_variance", cap: float = 0.25, least: int = 20) -> DataFrame:
-    """(by, symbol, weight): each group's weights from its returns; names with too few rows are left out, gaps count as 0."""
+    """(by, symbol, weight): each group's weights from its returns; names with too few rows are left out, gaps count as 0.
+
+    ``method`` is ``minimum_variance`` (on the shrunk covariance), ``denoised`` (on the denoised one) or ``risk_parity``.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         wide = group.pivot_table(index=on, columns=symbol, values=ret).sort_index()
@@ -85,13 +155,33 @@ def leg_weights(returns: DataFrame, by: Sequence[str], symbol: str, on: str, ret
         if wide.shape[1] == 0:
             return pd.DataFrame({**{b: [] for b in by}, symbol: [], "weight": []})
         x = wide.to_numpy(float)
-        w = minimum_variance(x, cap) if method == "minimum_variance" else risk_parity_tree(x)
+        if method == "risk_parity":
+            w = risk_parity_tree(x)
+        else:
+            w = minimum_variance(x, cap, covariance=shrunk_covariance if method == "minimum_variance" or x.shape[1] < 2 else lambda x: denoised_covariance(x)[0])
         return pd.DataFrame({**{b: group[b].iloc[0] for b in by}, symbol: wide.columns.to_numpy(), "weight": w})
 
     kinds = {f.name: f.dataType.simpleString() for f in returns.schema}
     return returns.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in (*by, symbol)), "weight double"]))
 
 
+def leg_covariances(returns: DataFrame, by: Sequence[str], symbol: str, on: str, ret: str, least: int = 20) -> DataFrame:
+    """(by, a, b, covariance, edge, noise): the denoised covariance of each group's names (a <= b), the noise edge and how many eigenvalues lie below it."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot_table(index=on, columns=symbol, values=ret).sort_index()
+        wide = wide.loc[:, wide.notna().sum() >= least].fillna(0.0)
+        if wide.shape[1] < 2:
+            return pd.DataFrame({**{b: [] for b in by}, "a": [], "b": [], "covariance": [], "edge": [], "noise": []})
+        cov, edge, noise = denoised_covariance(wide.to_numpy(float))
+        i, j = np.triu_indices(len(cov))
+        names = wide.columns.to_numpy()
+        return pd.DataFrame({**{b: group[b].iloc[0] for b in by}, "a": names[i], "b": names[j], "covariance": cov[i, j], "edge": edge, "noise": noise})
+
+    kinds = {f.name: f.dataType.simpleString() for f in returns.schema}
+    return returns.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), f"a {kinds[symbol]}, b {kinds[symbol]}, covariance double, edge double, noise int"]))
+
+
 def scaled_navs(series: DataFrame, ret: str, by: Sequence[str], on: str, rows: int = 12) -> DataFrame:
     """(by, on, scale, nav): returns scaled by the drawdown of the NAV that the scaled returns themselves have made.
 
@@ -113,29 +203,43 @@ def scaled_navs(series: DataFrame, ret: str, by: Sequence[str], on: str, rows: i
     return series.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in (*by, on)), "scale double", "nav double"]))
 
 
-def bandit_replay(series: DataFrame, context: Sequence[str], reward: str, by: Sequence[str], on: str, arms: int = 8, warm: int = 6, v: float = 0.25, seed: int = 42) -> DataFrame:
-    """(by, on, arm, mean): linear Thompson sampling replayed over each series.
+#: Weights of momentum and value of each arm; the other factors have none (fixed values).
+ARMS = ((0.50, 0.50), (0.60, 0.40), (0.70, 0.30), (0.40, 0.60), (0.30, 0.70), (0.80, 0.20), (0.20, 0.80), (0.55, 0.45))
+
+
+def bandit_replay(series: DataFrame, context: str, rewards: str, by: Sequence[str], on: str, seed: str, warm: int = 6, v: float = 0.25, prior: float = 1.0) -> DataFrame:
+    """(by, on, arm, reward, best, mean, means, stds): linear Thompson sampling replayed over each series.
 
-    Arm 0 is played for the first ``warm`` dates; then the arm whose sampled
-    weights promise most for the context. The reward updates the played arm's
-    A += x x' and R += x r.
+    ``context`` is an array of numbers, ``rewards`` one of what every arm would
+    have earned on that date. Arm 0 is played for the first ``warm`` dates,
+    then the arm whose sampled weights promise most for the context; samples
+    are N(mean, v^2 A^-1) with A = I / prior + sum x x' and mean = A^-1 sum x r
+    over the dates an arm was played. Only the played arm's reward is learned.
+    ``best`` is the highest reward of the date; means and stds are those of all arms'
+    weights before the date's update. Nulls count as 0. Each series has its ``seed``
+    (a column that is constant in it) and is one sequential pass over a row a date, so many series or seeds are replayed side by side.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(on)
-        rng, d = np.random.default_rng(seed), len(context)
-        a, r = np.stack([np.eye(d)] * arms), np.zeros((arms, d))
-        played, means = [], []
-        for x, gain in zip(group[list(context)].fillna(0.0).to_numpy(float), group[reward].fillna(0.0)):
+        x = np.nan_to_num(np.array(group[context].tolist(), float))
+        paid = np.nan_to_num(np.array(group[rewards].tolist(), float))
+        rng, d, arms = np.random.default_rng(int(group[seed].iloc[0])), x.shape[1], paid.shape[1]
+        a, r, rows = np.stack([np.eye(d) / prior] * arms), np.zeros((arms, d)), []
+        for t in range(len(x)):
             inverse = np.linalg.inv(a)
             mean = np.einsum("kij,kj->ki", inverse, r)
-            drawn = [rng.multivariate_normal(m, v * v * s) for m, s in zip(mean, inverse)]
-            arm = 0 if len(played) < warm else int(np.argmax(np.array(drawn) @ x))
-            played.append(arm)
-            means.append(float(mean[arm] @ x))
-            a[arm] += np.outer(x, x)
-            r[arm] += x * gain
-        return group[[*by, on]].assign(arm=played, mean=means)
+            arm = 0
+            if t >= warm:
+                noise = np.einsum("kij,kj->ki", np.linalg.cholesky(inverse), rng.standard_normal((arms, d)))
+                arm = int(np.argmax((mean + v * noise) @ x[t]))
+            stds = np.sqrt(np.abs(np.einsum("kii->ki", inverse)))
+            rows.append((arm, paid[t, arm], paid[t].max(), float(mean[arm] @ x[t]), mean.tolist(), stds.tolist()))
+            a[arm] += np.outer(x[t], x[t])
+            r[arm] += x[t] * paid[t, arm]
+        found = pd.DataFrame(rows, columns=["arm", "reward", "best", "mean", "means", "stds"])
+        return pd.concat([group[[*by, on]].reset_index(drop=True), found], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}
-    return series.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in (*by, on)), "arm int", "mean double"]))
+    fields = "arm int, reward double, best double, mean double, means array<array<double>>, stds array<array<double>>"
+    return series.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in (*by, on)), fields]))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalars
 from marlstone.operators import crosssection as xs
 from marlstone.operators import portfolio as pf
-from marlstone.operators import leaves, quality, ratios, regression, relational, stats, text
+from marlstone.operators import factors, leaves, quality, ratios, regression, relational, stats, text
 from marlstone.operators import timeseries as ts
 from marlstone.plans import views
 from marlstone.plans.views import with_views
-from marlstone.session import shared_folder
+from marlstone.session import checkpointed, shared_folder
 from marlstone.sources.tables import as_json, export_rows, load
 from marlstone.streaming import events
 
@@ -494,39 +494,81 @@ def fama_macbeth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.t_statistics(betas, ["beta_momentum", "beta_reversal"]).select("factor", r6("mean"), r6("t_stat"), "n")
 
 
-_WEIGHTS = {"momentum": 0.6, "value": 0.4}
+_WEIGHTS = {"momentum": 0.30, "value": 0.30, "quality": 0.25, "sentiment": 0.15}
+_FOUR = list(_WEIGHTS)
 
-_FLAGSHIP = """, fund AS (SELECT symbol, avg(field_value) AS v FROM fundamentals GROUP BY 1),
-raw AS (SELECT r.symbol, r.month, u.sector, momentum, v / px AS value, ret FROM returns r JOIN universe u USING (symbol) LEFT JOIN fund f USING (symbol)),
+
+def _pivot_sql(fields: Sequence[str]) -> str:
+    return ", ".join(f"max(v) FILTER (field_name = '{f}') AS {f}" for f in fields)
+
+
+def _first_sql(*candidates: str) -> str:
+    """The first candidate that has a value anywhere in the month, for all of it."""
+    return "CASE " + " ".join(f"WHEN count({c}) OVER m > 0 THEN {c}" for c in candidates) + " END"
+
+
+def _each(template: str, by: Sequence[str] = tuple(_FOUR)) -> str:
+    return ", ".join(template.replace("@", f) for f in by)
+
+
+#: Scores known at each month's start, their z values by month and sector (z), and forward returns (fwd).
+_PANEL = f""", cal AS (SELECT DISTINCT month FROM returns),
+rp AS (SELECT month, symbol, field_name, arg_max(field_value, snapshot_date) AS v FROM cal JOIN ratio_facts ON snapshot_date <= month - 45 GROUP BY ALL),
+rw AS (SELECT month, symbol, {_pivot_sql(factors.RATIO_FIELDS)} FROM rp GROUP BY 1, 2),
+fp AS (SELECT month, symbol, field_name, arg_max(field_value, report_date) AS v FROM cal JOIN statement_facts ON report_date <= month - 45 GROUP BY ALL),
+fw AS (SELECT month, symbol, {_pivot_sql(factors.STATEMENT_FIELDS)} FROM fp GROUP BY 1, 2),
+mood AS (SELECT month, symbol, arg_max(score, day) AS sentiment FROM cal JOIN sentiment_facts ON day <= month GROUP BY 1, 2),
+picked AS (
+  SELECT symbol, month, sector, momentum, ret, sentiment,
+    {_first_sql("book_to_price_hist", "book_to_price", "(book_value_per_share / nullif(px, 0))")} AS v1,
+    {_first_sql("earnings_to_price_hist", "earnings_to_price", "(diluted_eps / nullif(px, 0))")} AS v2,
+    {_first_sql("cashflow_to_price_hist", "cashflow_to_price", "(free_cash_flow / nullif(px, 0))")} AS v3,
+    {_first_sql("roe_hist", "roe_computed", "return_on_equity", "(net_income / nullif(stockholders_equity, 0))")} AS q1,
+    {_first_sql("profit_margin_hist", "operating_margin_hist", "earnings_stability", "(net_income / nullif(total_revenue, 0))")} AS q2,
+    {_first_sql("(1 / (abs(debt_to_equity_hist) + 0.1))", "debt_to_equity_inv", "(1 / (abs(total_debt) / nullif(abs(stockholders_equity), 0) + 0.1))")} AS q3
+  FROM returns JOIN universe USING (symbol) LEFT JOIN rw USING (symbol, month) LEFT JOIN fw USING (symbol, month) LEFT JOIN mood USING (symbol, month)
+  WINDOW m AS (PARTITION BY month)),
+raw AS (SELECT symbol, month, sector, momentum, list_avg([v1, v2, v3]) AS value, list_avg([q1, q2, q3]) AS quality, sentiment FROM picked),
 ok AS (SELECT * FROM raw WHERE momentum IS NOT NULL),
-q AS (SELECT month, sector, quantile_cont(momentum, 0.025) AS ml, quantile_cont(momentum, 0.975) AS mh, quantile_cont(value, 0.025) AS vl, quantile_cont(value, 0.975) AS vh FROM ok GROUP BY 1, 2),
-w AS (SELECT symbol, month, sector, least(greatest(momentum, ml), mh) AS momentum, CASE WHEN value IS NOT NULL THEN least(greatest(value, vl), vh) END AS value FROM ok JOIN q USING (month, sector)),
+q AS (SELECT month, sector, {_each("quantile_cont(@, 0.025) AS @_l, quantile_cont(@, 0.975) AS @_h")} FROM ok GROUP BY 1, 2),
+w AS (SELECT symbol, month, sector, {_each("CASE WHEN @ IS NOT NULL THEN least(greatest(@, @_l), @_h) END AS @")} FROM ok JOIN q USING (month, sector)),
 z AS (SELECT symbol, month, sector,
-  CASE WHEN count(momentum) OVER s < 5 OR stddev_pop(momentum) OVER s = 0 THEN 0 ELSE (momentum - avg(momentum) OVER s) / stddev_pop(momentum) OVER s END AS momentum,
-  CASE WHEN value IS NULL THEN NULL WHEN count(value) OVER s < 5 OR stddev_pop(value) OVER s = 0 THEN 0 ELSE (value - avg(value) OVER s) / stddev_pop(value) OVER s END AS value
+  {_each("CASE WHEN @ IS NULL THEN NULL WHEN count(@) OVER s < 5 OR stddev_pop(@) OVER s = 0 THEN 0 ELSE (@ - avg(@) OVER s) / stddev_pop(@) OVER s END AS @")}
   FROM w WINDOW s AS (PARTITION BY month, sector)),
-cov AS (SELECT month, CASE WHEN count(value) = 0 THEN 1 / 0.6 WHEN count(momentum) = 0 THEN 1 / 0.4 ELSE 1 END AS k FROM z GROUP BY 1),
-comp AS (SELECT symbol, month, sector, round((0.6 * coalesce(momentum, 0) + 0.4 * coalesce(value, 0)) * k, 9) AS composite FROM z JOIN cov USING (month)),
+fwd AS (SELECT symbol, month, lead(ret) OVER (PARTITION BY symbol ORDER BY month) AS y FROM returns),
+held AS (SELECT month, {_each("count(@) AS c_@")} FROM z GROUP BY 1)"""
+
+_FLAGSHIP = (
+    _PANEL
+    + f""",
+cov AS (SELECT month, {" + ".join(f"(c_{f} = 0)::INTEGER * {w}::DOUBLE" for f, w in _WEIGHTS.items())} AS missing FROM held),
+comp AS (SELECT symbol, month, sector, round(({" + ".join(f"{w}::DOUBLE * coalesce({f}, 0)" for f, w in _WEIGHTS.items())}) * CASE WHEN missing > 0 AND missing < 0.999 THEN 1 / (1 - missing) ELSE 1 END, 9) AS composite FROM z JOIN cov USING (month)),
 cut AS (SELECT month, quantile_cont(composite, 0.2) AS lo, quantile_cont(composite, 0.8) AS hi FROM comp GROUP BY 1),
 leg AS (SELECT symbol, month, composite, CASE WHEN composite >= hi THEN 1 WHEN composite <= lo THEN -1 END AS side FROM comp JOIN cut USING (month)),
 mid AS (SELECT *, median(composite) OVER (PARTITION BY month, side) AS m FROM leg WHERE side IS NOT NULL),
 up AS (SELECT *, greatest(side * (composite - m), 0) AS u FROM mid),
 book AS (SELECT symbol, month, side, CASE WHEN sum(u) OVER x > 0 THEN u / sum(u) OVER x ELSE 1.0 / count(*) OVER x END * 0.5 * side AS weight FROM up WINDOW x AS (PARTITION BY month, side)),
-fwd AS (SELECT symbol, month, lead(ret) OVER (PARTITION BY symbol ORDER BY month) AS y FROM returns),
 num AS (SELECT DISTINCT month, (year(month) * 12 + month(month))::INTEGER AS k FROM book),
 nb AS (SELECT k, symbol, weight FROM book JOIN num USING (month)),
 mx AS (SELECT max(k) AS m FROM nb),
 turn AS (SELECT coalesce(a.k, b.k + 1) AS k, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) / 2 AS turnover
   FROM nb a FULL JOIN nb b ON a.k = b.k + 1 AND a.symbol = b.symbol GROUP BY 1)
 """
+)
+_PANEL_VIEWS = ("returns", "universe", "ratio_facts", "statement_facts", "sentiment_facts")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, month, sector, momentum, value, quality, sentiment): z values by month and sector of what was known then."""
+    prices = _returns(spark, sf_dir).join(views.universe(spark, sf_dir), "symbol").select("symbol", "month", "sector", "px", "momentum")
+    facts = (f(spark, sf_dir) for f in (views.ratio_facts, views.statement_facts, views.sentiment_facts))
+    last = load(spark, sf_dir, "lineitem").agg(F.trunc(F.max("l_shipdate"), "MM"))
+    raw = factors.factor_panel(prices, *facts, last).filter("momentum is not null")
+    return xs.zscored(xs.winsorised(raw, _FOUR, ["month", "sector"]), _FOUR, ["month", "sector"]).select("symbol", "month", "sector", *_FOUR)
 
 
 def _composites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    worth = views.fundamentals(spark, sf_dir).groupBy("symbol").agg(F.avg("field_value").alias("v"))
-    raw = _returns(spark, sf_dir).join(views.universe(spark, sf_dir), "symbol").join(worth, "symbol", "left").filter("momentum is not null")
-    raw = raw.select("symbol", "month", "sector", "momentum", F.try_divide(F.col("v"), F.col("px")).alias("value"))
-    z = xs.zscored(xs.winsorised(raw, ["momentum", "value"], ["month", "sector"]), ["momentum", "value"], ["month", "sector"])
-    return xs.composite(z, _WEIGHTS, ["month"]).withColumn("composite", F.round("composite", 9))
+    return xs.composite(_scores(spark, sf_dir), _WEIGHTS, ["month"]).withColumn("composite", F.round("composite", 9))
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,7 +579,7 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("symbol", "month", (F.year("month") * 12 + F.month("month")).alias("k"), "sector", "composite", "weight")
 
 
-@query(with_views(_FLAGSHIP + "SELECT symbol, month, round(weight, 6) AS weight FROM book", "returns", "universe", "fundamentals"))
+@query(with_views(_FLAGSHIP + "SELECT symbol, month, round(weight, 6) AS weight FROM book", *_PANEL_VIEWS))
 def factor_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _book(spark, sf_dir).select("symbol", "month", r6("weight"))
 
@@ -548,9 +590,7 @@ def factor_book(spark: SparkSession, sf_dir: str) -> DataFrame:
         + """, port AS (SELECT b.month, sum(weight * coalesce(y, 0)) AS gross_ret FROM book b LEFT JOIN fwd USING (symbol, month) GROUP BY 1)
 SELECT p.month, round(gross_ret, 6) AS gross_ret, round(turnover, 6) AS turnover, round(gross_ret - turnover * 2 * 20 / 1e4, 6) AS net_ret
 FROM port p JOIN num USING (month) JOIN turn USING (k)""",
-        "returns",
-        "universe",
-        "fundamentals",
+        *_PANEL_VIEWS,
     )
 )
 def factor_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,9 +609,7 @@ def factor_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
         _FLAGSHIP
         + """SELECT month, round(sum(abs(weight)), 6) AS gross, round(sum(weight), 6) + 0.0 AS net, round(sum(weight * weight), 6) AS hhi,
   count(*) FILTER (weight > 0) AS n_long, count(*) FILTER (weight < 0) AS n_short FROM book GROUP BY 1""",
-        "returns",
-        "universe",
-        "fundamentals",
+        *_PANEL_VIEWS,
     )
 )
 def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,9 +624,7 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM nb a FULL JOIN nb b ON a.k = b.k + 1 AND a.symbol = b.symbol)
 SELECT k, symbol, CASE WHEN o = 0 THEN 'open' WHEN n = 0 THEN 'close' ELSE 'adjust' END AS action, CASE WHEN n > o THEN 'buy' ELSE 'sell' END AS side,
   round(abs(n - o) * 1e6, 2) AS notional, round(5 * sqrt(abs(n - o)), 6) AS impact_bp FROM led, mx WHERE abs(n - o) > 1e-12 AND k <= m""",
-        "returns",
-        "universe",
-        "fundamentals",
+        *_PANEL_VIEWS,
     )
 )
 def trade_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -602,9 +638,7 @@ def trade_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         _FLAGSHIP
         + """, own AS (SELECT month, sector, sum(abs(weight)) AS sector_weight FROM book JOIN universe USING (symbol) GROUP BY 1, 2)
 SELECT month, sector, round(sector_weight, 6) AS sector_weight, round(sector_weight - 1.0 / count(*) OVER (PARTITION BY month), 6) AS allocation FROM own""",
-        "returns",
-        "universe",
-        "fundamentals",
+        *_PANEL_VIEWS,
     )
 )
 def sector_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -620,9 +654,7 @@ m AS (SELECT symbol, month, datediff('month', DATE '1990-01-01', month) AS i, co
 b AS (SELECT *, CASE WHEN NOT band OR lag(band) OVER w IS NOT TRUE OR lag(i) OVER w <> i - 1 THEN 1 ELSE 0 END AS br FROM m WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 g AS (SELECT *, sum(br) OVER (PARTITION BY symbol ORDER BY i) AS run FROM b)
 SELECT symbol, month, band AND max(core::INTEGER) OVER (PARTITION BY symbol, run ORDER BY i) = 1 AS member FROM g""",
-        "returns",
-        "universe",
-        "fundamentals",
+        *_PANEL_VIEWS,
     )
 )
 def leg_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -859,9 +891,7 @@ def sentiment_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 bt AS (SELECT p.month, round(gross_ret, 6) AS g, round(turnover, 6) AS t FROM port p JOIN num USING (month) JOIN turn USING (k)),
 net AS (SELECT bp::DOUBLE AS basis_points, g - t * 2 * bp / 1e4 AS r FROM bt, (SELECT unnest([10, 20, 50, 100]) AS bp))
 SELECT basis_points, round(avg(r) / stddev_samp(r) * sqrt(12), 6) AS sharpe, round(exp(sum(ln(1 + r)) * 12 / count(*)) - 1, 6) AS ann_return FROM net GROUP BY 1""",
-        "returns",
-        "universe",
-        "fundamentals",
+        *_PANEL_VIEWS,
     )
 )
 def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -869,31 +899,6 @@ def cost_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.performance(net, "net", ["basis_points"]).select("basis_points", r6("sharpe"), r6("ann_return"))
 
 
-_VARIANTS = {"static": (0.6, 0.4), "momentum_only": (1.0, 0.0), "value_only": (0.0, 1.0), "equal": (0.5, 0.5)}
-
-
-@query(
-    with_views(
-        _FLAGSHIP
-        + f""", v AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {a}, {b})" for k, (a, b) in _VARIANTS.items())}) t(variant, a, b)),
-s AS (SELECT variant, z.month, a::DOUBLE * coalesce(momentum, 0) + b::DOUBLE * coalesce(value, 0) AS x, y FROM z JOIN fwd USING (symbol, month), v WHERE y IS NOT NULL),
-c AS (SELECT variant, month, corr(x, y) AS ic FROM s GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_pop(x) > 1e-12)
-SELECT variant, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, count(*) AS n FROM c GROUP BY 1""",
-        "returns",
-        "universe",
-        "fundamentals",
-    )
-)
-def weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = _composites(spark, sf_dir).select("symbol", "month", "momentum", "value")
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in _VARIANTS.items()]))
-    zero = F.lit(0.0)
-    score = F.col("g.a") * F.coalesce("momentum", zero) + F.col("g.b") * F.coalesce("value", zero)
-    rows = z.join(_forward(spark, sf_dir).select("symbol", "month", "y"), ["symbol", "month"]).filter("y is not null").withColumn("g", grid).select("g.variant", "month", score.alias("x"), "y")
-    ic = rows.groupBy("variant", "month").agg(scalars.guarded_corr("x", "y").alias("ic"), F.count("*").alias("k"), F.stddev_pop("x").alias("s")).filter("k >= 5 and s > 1e-12")
-    return stats.ic_summary(ic, "ic", ["variant"]).select("variant", r6("mean_ic"), r6("ic_ir"), "n")
-
-
 _WINDOWS = [("early", "1995-01-01", "1996-12-31"), ("middle", "1997-01-01", "1998-12-31"), ("late", "1999-01-01", "2000-12-31")]
 
 
@@ -1035,17 +1040,23 @@ def risk_parity_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.leg_weights(own, ["sector"], "symbol", "month", "ret", method="risk_parity").select("sector", "symbol", r6("weight"))
 
 
-@query()
+@query(
+    with_views(
+        """, placed AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY month) AS i FROM strategy_returns),
+path(strategy, i, navs, scale) AS (
+  SELECT DISTINCT strategy, 0::BIGINT, [1.0::DOUBLE], 1.0::DOUBLE FROM placed
+  UNION ALL
+  SELECT strategy, i, list_append(navs, navs[-1] * (1 + s * r)), s FROM (
+    SELECT p.strategy, d.i, d.r, p.navs, CASE WHEN p.navs[-1] / list_max(p.navs[-13:]) - 1 <= -0.10 THEN 0.5 WHEN p.navs[-1] / list_max(p.navs[-13:]) - 1 <= -0.05 THEN 0.75 ELSE 1 END::DOUBLE AS s
+    FROM path p JOIN placed d ON d.strategy = p.strategy AND d.i = p.i + 1))
+SELECT strategy, month, scale, round(navs[-1], 6) AS nav FROM path JOIN placed USING (strategy, i)""",
+        "strategy_returns",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def scaled_navs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.scaled_navs(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month").select("strategy", "month", "scale", r6("nav"))
 
 
-@query()
-def bandit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ts.trailing_z(views.strategy_returns(spark, sf_dir), "bench", ["strategy"], "month", rows=24).withColumn("one", F.lit(1.0))
-    return leaves.bandit_replay(s, ["one", "z"], "r", ["strategy"], "month").select("strategy", "month", "arm", r6("mean"))
-
-
 #: The normal distribution function in SQL, by logarithms of the same series' terms.
 NORMAL_SQL = """, cdf(z, p) AS (SELECT z, CASE WHEN z > 7 THEN 1 WHEN z < -7 THEN 0 WHEN z = 0 THEN 0.5 ELSE
   0.5 + sign(z) * sum(exp((2 * k + 1) * ln(abs(z)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1) - z * z / 2)) / sqrt(2 * pi()) END
@@ -1103,34 +1114,52 @@ def inference_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sensitivity to the weights' parameters
 
 _GAMMAS, _LAMBDAS = (0.0, 0.25, 0.5, 0.75, 1.0), (0.05, 0.1, 0.15)
-_LEANS = {"LOW": {"momentum": 1.0}, "HIGH": {"momentum": -1.0, "value": 1.0}}
+_LEANS = {"LOW": {"momentum": 1.0}, "HIGH": {"momentum": -1.0, "value": 1.0, "quality": 1.0}}
 
 _REGIME = """, gb AS (SELECT month, any_value(bench) AS v FROM strategy_returns WHERE bench IS NOT NULL GROUP BY 1),
 gseen AS (SELECT x.month, count(*) AS n, count(*) FILTER (y.v < x.v) AS under, count(*) FILTER (y.v = x.v) AS same FROM gb x JOIN gb y ON y.month <= x.month GROUP BY 1),
 regime AS (SELECT month, CASE WHEN n < 20 THEN 0.5 ELSE (under + (same + 1) / 2) / n END AS percentile, CASE WHEN n < 20 THEN 'NORMAL' WHEN (under + (same + 1) / 2) / n < 0.3 THEN 'LOW' WHEN (under + (same + 1) / 2) / n > 0.8 THEN 'HIGH' ELSE 'NORMAL' END AS regime FROM gseen)"""
 
+
+def _lean_sql(factor: str) -> str:
+    return "CASE regime " + "".join(f"WHEN '{r}' THEN {t[factor]} " for r, t in _LEANS.items() if factor in t) + "ELSE 0 END"
+
+
+_DISPERSION = f""", dq AS (SELECT month, {_each("quantile_cont(@, 0.25) AS @_l, quantile_cont(@, 0.75) AS @_h")} FROM z GROUP BY 1),
+disp AS (SELECT month, {_each("CASE WHEN count(@) >= 10 THEN avg(@) FILTER (@ >= @_h) - avg(@) FILTER (@ <= @_l) ELSE 0 END AS d_@")} FROM z JOIN dq USING (month) GROUP BY 1)"""
+
+
+def _dynamic_sql(name: str, by: str, cells: str) -> str:
+    """A table of weights for every month and row of ``cells`` (``by``, gamma, lam)."""
+    raw = ", ".join(f"greatest({w}::DOUBLE * (1 + lam * {_lean_sql(f) if any(f in t for t in _LEANS.values()) else 0}) * (1 + gamma * d_{f}), 0) AS r_{f}" for f, w in _WEIGHTS.items())
+    total = " + ".join(f"r_{f}" for f in _FOUR)
+    shares = ", ".join(f"coalesce(r_{f} / nullif({total}, 0), {w}) AS w_{f}" for f, w in _WEIGHTS.items())
+    return f""", {name} AS (SELECT {by}, month, {shares} FROM (SELECT {by}, month, {raw} FROM disp JOIN regime USING (month), ({cells}) cells))"""
+
+
+def _books_sql(p: str, by: str) -> str:
+    """From weights ``pw`` (by, month, w_...) to books and net returns ``pnum`` (by, month, i, r, turnover)."""
+    return f""", {p}comp AS (SELECT {by}, symbol, month, round(({" + ".join(f"w_{f} * coalesce({f}, 0)" for f in _FOUR)}) * CASE WHEN missing > 0 AND missing < 0.999 THEN 1 / (1 - missing) ELSE 1 END, 9) AS c
+  FROM z JOIN (SELECT {p}w.*, {" + ".join(f"(c_{f} = 0)::INTEGER * w_{f}" for f in _FOUR)} AS missing FROM {p}w JOIN held USING (month)) USING (month)),
+{p}cut AS (SELECT {by}, month, quantile_cont(c, 0.2) AS lo, quantile_cont(c, 0.8) AS hi FROM {p}comp GROUP BY ALL),
+{p}leg AS (SELECT {by}, symbol, month, c, CASE WHEN c >= hi THEN 1 WHEN c <= lo THEN -1 END AS side FROM {p}comp JOIN {p}cut USING ({by}, month)),
+{p}up AS (SELECT *, greatest(side * (c - median(c) OVER (PARTITION BY {by}, month, side)), 0) AS u FROM {p}leg WHERE side IS NOT NULL),
+{p}book AS (SELECT {by}, symbol, month, (year(month) * 12 + month(month))::INTEGER AS k,
+  CASE WHEN sum(u) OVER x > 0 THEN u / sum(u) OVER x ELSE 1.0 / count(*) OVER x END * 0.5 * side AS weight FROM {p}up WINDOW x AS (PARTITION BY {by}, month, side)),
+{p}turn AS (SELECT {by}, k, sum(abs(new - old)) / 2 AS turnover FROM (
+  SELECT {by}, k, symbol, sum(new) AS new, sum(old) AS old FROM (
+    SELECT {by}, k, symbol, weight AS new, 0.0 AS old FROM {p}book UNION ALL SELECT {by}, k + 1, symbol, 0.0, weight FROM {p}book) GROUP BY ALL) GROUP BY ALL),
+{p}net AS (SELECT {by}, month, k, any_value(turnover) AS turnover, sum(weight * coalesce(y, 0)) - any_value(turnover) * 2 * 20 / 1e4 AS r FROM {p}book JOIN {p}turn USING ({by}, k) LEFT JOIN fwd USING (symbol, month) GROUP BY ALL),
+{p}num AS (SELECT {by}, month, r, turnover, k - min(k) OVER () AS i FROM {p}net WHERE k < (SELECT max(k) FROM {p}net))"""
+
+
+_CELLS = f"SELECT gamma, lam FROM (SELECT unnest({list(_GAMMAS)})::DOUBLE AS gamma) a, (SELECT unnest({list(_LAMBDAS)})::DOUBLE AS lam) b"
 _GRID = (
     _REGIME
-    + f""", dq AS (SELECT month, quantile_cont(momentum, 0.25) AS ml, quantile_cont(momentum, 0.75) AS mh, quantile_cont(value, 0.25) AS vl, quantile_cont(value, 0.75) AS vh FROM z GROUP BY 1),
-disp AS (SELECT month, CASE WHEN count(momentum) >= 10 THEN avg(momentum) FILTER (momentum >= mh) - avg(momentum) FILTER (momentum <= ml) ELSE 0 END AS m,
-  CASE WHEN count(value) >= 10 THEN avg(value) FILTER (value >= vh) - avg(value) FILTER (value <= vl) ELSE 0 END AS v,
-  count(momentum) AS cm, count(value) AS cv FROM z JOIN dq USING (month) GROUP BY 1),
-gw AS (SELECT month, cm, cv, gamma, lam, greatest(0.6::DOUBLE * (1 + lam * CASE regime WHEN 'LOW' THEN 1 WHEN 'HIGH' THEN -1 ELSE 0 END) * (1 + gamma * m), 0) AS m,
-    greatest(0.4::DOUBLE * (1 + lam * CASE regime WHEN 'HIGH' THEN 1 ELSE 0 END) * (1 + gamma * v), 0) AS v
-  FROM disp JOIN regime USING (month), (SELECT unnest({list(_GAMMAS)})::DOUBLE AS gamma) a, (SELECT unnest({list(_LAMBDAS)})::DOUBLE AS lam) b),
-gs AS (SELECT month, gamma, lam, m / (m + v) AS m, v / (m + v) AS v, (cm = 0)::INTEGER * m / (m + v) + (cv = 0)::INTEGER * v / (m + v) AS missing FROM gw),
-gcomp AS (SELECT gamma, lam, symbol, month, round((m * coalesce(momentum, 0) + v * coalesce(value, 0)) * CASE WHEN missing > 0 AND missing < 0.999 THEN 1 / (1 - missing) ELSE 1 END, 9) AS c FROM z JOIN gs USING (month)),
-gcut AS (SELECT gamma, lam, month, quantile_cont(c, 0.2) AS lo, quantile_cont(c, 0.8) AS hi FROM gcomp GROUP BY ALL),
-gleg AS (SELECT gamma, lam, symbol, month, c, CASE WHEN c >= hi THEN 1 WHEN c <= lo THEN -1 END AS side FROM gcomp JOIN gcut USING (gamma, lam, month)),
-gup AS (SELECT *, greatest(side * (c - median(c) OVER (PARTITION BY gamma, lam, month, side)), 0) AS u FROM gleg WHERE side IS NOT NULL),
-gbook AS (SELECT gamma, lam, symbol, month, (year(month) * 12 + month(month))::INTEGER AS k,
-  CASE WHEN sum(u) OVER x > 0 THEN u / sum(u) OVER x ELSE 1.0 / count(*) OVER x END * 0.5 * side AS weight FROM gup WINDOW x AS (PARTITION BY gamma, lam, month, side)),
-gturn AS (SELECT gamma, lam, k, sum(abs(new - old)) / 2 AS turnover FROM (
-  SELECT gamma, lam, k, symbol, sum(new) AS new, sum(old) AS old FROM (
-    SELECT gamma, lam, k, symbol, weight AS new, 0.0 AS old FROM gbook UNION ALL SELECT gamma, lam, k + 1, symbol, 0.0, weight FROM gbook) GROUP BY ALL) GROUP BY ALL),
-gnet AS (SELECT gamma, lam, k, sum(weight * coalesce(y, 0)) - any_value(turnover) * 2 * 20 / 1e4 AS r FROM gbook JOIN gturn USING (gamma, lam, k) LEFT JOIN fwd USING (symbol, month) GROUP BY ALL),
-gnum AS (SELECT gamma, lam, r, k - min(k) OVER () AS i FROM gnet WHERE k < (SELECT max(k) FROM gnet)),
-gall AS (SELECT gamma, lam, count(*) AS n, avg(r) / stddev_samp(r) AS sr, kurtosis_pop(r) AS kurt, (avg(r*r*r) - 3 * avg(r) * avg(r*r) + 2 * pow(avg(r), 3)) / pow(stddev_pop(r), 3) AS sk FROM gnum GROUP BY ALL),
+    + _DISPERSION
+    + _dynamic_sql("gw", "gamma, lam", _CELLS)
+    + _books_sql("g", "gamma, lam")
+    + f""", gall AS (SELECT gamma, lam, count(*) AS n, avg(r) / stddev_samp(r) AS sr, kurtosis_pop(r) AS kurt, (avg(r*r*r) - 3 * avg(r) * avg(r*r) + 2 * pow(avg(r), 3)) / pow(stddev_pop(r), 3) AS sk FROM gnum GROUP BY ALL),
 zs AS (SELECT gamma, lam, n, CASE WHEN n >= 10 THEN (sr - {_LUCK!r} / sqrt(12)) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (kurt - 1) / 4 * sr * sr, 1e-12)) END AS z FROM gall)"""
     + NORMAL_SQL
     + """, ge AS (SELECT g, floor(g * n / 12) AS lo, floor((g + 1) * n / 12) AS hi FROM (SELECT unnest(range(12)) AS g), (SELECT max(n) AS n FROM gall)),
@@ -1142,28 +1171,47 @@ cell AS (SELECT gamma, lam, split::INTEGER AS split, count(*) AS n, CASE WHEN st
 )
 
 
-def _grid_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(gamma, lam, i, r): net returns of the book under every pair of parameters, from one scored panel."""
-    z = _composites(spark, sf_dir).select("symbol", "month", "momentum", "value")
+def _market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = views.strategy_returns(spark, sf_dir).filter("bench is not null").groupBy("month").agg(F.first("bench").alias("v"))
-    regime = ts.regimes(bench, "v", "month").select("month", "regime")
-    cells = F.explode(F.array(*[F.struct(F.lit(g).alias("gamma"), F.lit(x).alias("lam")) for g in _GAMMAS for x in _LAMBDAS]))
-    points = xs.dispersion(z, ["momentum", "value"], ["month"]).withColumn("cell", cells).select("month", "momentum", "value", "cell.*")
-    weights = xs.dynamic_weights(_WEIGHTS, points, regime, ["month"], _LEANS, F.col("gamma"), F.col("lam"), keep=("gamma", "lam")).drop("regime")
-    by = ["gamma", "lam", "month"]
-    scored = xs.composite(z.join(weights, "month"), {f: F.col(f"w_{f}") for f in _WEIGHTS}, by).withColumn("composite", F.round("composite", 9))
+    return ts.regimes(bench, "v", "month").select("month", "percentile", "regime")
+
+
+def _variant_books(scores: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, month, symbol, k, weight): a book for every row of ``weights`` (by, month, w_...), all from one panel of scores."""
+    keys = [*by, "month"]
+    scored = xs.composite(scores.join(F.broadcast(weights), "month"), {f: F.col(f"w_{f}") for f in _FOUR}, keys).withColumn("composite", F.round("composite", 9))
     side = F.when(F.col("long_core"), 1).when(F.col("short_core"), -1)
-    book = pf.score_weights(xs.legs(scored, "composite", by).withColumn("side", side), "composite", "side", by)
-    book = book.select(*by, "symbol", (F.year("month") * 12 + F.month("month")).alias("k"), "weight")
-    gross = pf.portfolio_returns(book, _forward(spark, sf_dir).select("symbol", "month", "y"), "weight", "y", ["month"], "symbol", ["gamma", "lam", "k"])
-    turned = pf.turnover(pf.book_changes(book, "weight", ["gamma", "lam"], "symbol", "k"), ["gamma", "lam", "k"])
-    net = gross.join(turned, ["gamma", "lam", "k"]).withColumn("r", F.col("port_ret") - pf.cost_drag(F.col("turnover"), 20))
-    one = Window.partitionBy("gamma", "lam")
+    book = pf.score_weights(xs.legs(scored, "composite", keys).withColumn("side", side), "composite", "side", keys)
+    return book.select(*keys, "symbol", (F.year("month") * 12 + F.month("month")).alias("k"), "weight")
+
+
+def _variant_returns(spark: SparkSession, sf_dir: str, scores: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, month, i, r, turnover): net returns of ``_variant_books``."""
+    book = _variant_books(scores, weights, by)
+    gross = pf.portfolio_returns(book, _forward(spark, sf_dir).select("symbol", "month", "y"), "weight", "y", ["month"], "symbol", [*by, "month", "k"])
+    turned = pf.turnover(pf.book_changes(book, "weight", by, "symbol", "k"), [*by, "k"])
+    net = gross.join(turned, [*by, "k"]).withColumn("r", F.col("port_ret") - pf.cost_drag(F.col("turnover"), 20))
+    one = Window.partitionBy(*by)
     numbered = net.withColumn("i", F.col("k") - F.min("k").over(one)).withColumn("_last", F.max("k").over(one))
-    return numbered.filter("k < _last").select("gamma", "lam", "i", "r")  # the last book has no return yet
+    return numbered.filter("k < _last").select(*by, "month", "i", "r", "turnover")  # the last book has no return yet
+
+
+def _dynamic(spark: SparkSession, sf_dir: str, scores: DataFrame, cells: Column, keep: Sequence[str]) -> DataFrame:
+    """Weights of every month and cell (a struct with gamma, lam and ``keep``)."""
+    points = xs.dispersion(scores, _FOUR, ["month"]).withColumn("cell", F.explode(cells)).select("month", *_FOUR, "cell.*")
+    regime = _market_regime(spark, sf_dir).select("month", "regime")
+    return xs.dynamic_weights(_WEIGHTS, points, regime, ["month"], _LEANS, F.col("gamma"), F.col("lam"), keep=keep).drop("regime")
+
+
+def _grid_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gamma, lam, i, r): net returns of the book under every pair of parameters, from one scored panel."""
+    scores = _scores(spark, sf_dir)
+    cells = F.array(*[F.struct(F.lit(g).alias("gamma"), F.lit(x).alias("lam")) for g in _GAMMAS for x in _LAMBDAS])
+    weights = _dynamic(spark, sf_dir, scores, cells, ("gamma", "lam"))
+    return _variant_returns(spark, sf_dir, scores, weights, ["gamma", "lam"])
 
 
-@query(with_views(_FLAGSHIP + _GRID + "SELECT gamma, lam, split, cell.n, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(p, 6) AS deflated_sharpe FROM cell JOIN zs USING (gamma, lam) LEFT JOIN cdf USING (z)", "returns", "universe", "fundamentals", "strategy_returns"))
+@query(with_views(_PANEL + _GRID + "SELECT gamma, lam, split, cell.n, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(p, 6) AS deflated_sharpe FROM cell JOIN zs USING (gamma, lam) LEFT JOIN cdf USING (z)", *_PANEL_VIEWS, "strategy_returns"))
 def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratio and drawdown of every test fold for every pair of parameters, and the pair's deflated ratio over the whole sample."""
     one = Window.partitionBy("gamma", "lam")
@@ -1178,8 +1226,8 @@ def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(with_views(_FLAGSHIP + _GRID + """, mean AS (SELECT gamma, lam, round(avg(round(sharpe, 6)), 6) AS s FROM cell GROUP BY ALL)
-SELECT gamma, max(s) FILTER (lam = 0.05) AS l_0_05, max(s) FILTER (lam = 0.1) AS l_0_1, max(s) FILTER (lam = 0.15) AS l_0_15, max(s) = (SELECT max(s) FROM mean) AS has_best FROM mean GROUP BY 1""", "returns", "universe", "fundamentals", "strategy_returns"))
+@query(with_views(_PANEL + _GRID + """, mean AS (SELECT gamma, lam, round(avg(round(sharpe, 6)), 6) AS s FROM cell GROUP BY ALL)
+SELECT gamma, max(s) FILTER (lam = 0.05) AS l_0_05, max(s) FILTER (lam = 0.1) AS l_0_1, max(s) FILTER (lam = 0.15) AS l_0_15, max(s) = (SELECT max(s) FROM mean) AS has_best FROM mean GROUP BY 1""", *_PANEL_VIEWS, "strategy_returns"))
 def sensitivity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean ratio of the folds, a row for each gamma and a column for each lambda; the best cell's row is marked."""
     mean = sensitivity_grid(spark, sf_dir).groupBy("gamma", "lam").agg(r6(F.avg("sharpe"), "s"))
@@ -1197,21 +1245,20 @@ def sensitivity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def regime_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validator over regimes whose weights are wrong in one of them (HIGH), so that it has something to find."""
-    bench = views.strategy_returns(spark, sf_dir).filter("bench is not null").groupBy("month").agg(F.first("bench").alias("v"))
-    rows = ts.regimes(bench, "v", "month").withColumn("a", F.when(F.col("regime") == "HIGH", 0.9).otherwise(0.6)).withColumn("b", F.lit(0.4))
+    rows = _market_regime(spark, sf_dir).withColumn("a", F.when(F.col("regime") == "HIGH", 0.9).otherwise(0.6)).withColumn("b", F.lit(0.4))
     return quality.validate_regimes(rows, "percentile", "regime", ["a", "b"])
 
 
 @query(
     with_views(
-        _FLAGSHIP + """, mean AS (SELECT avg(momentum) AS momentum, avg(value) AS value FROM z GROUP BY month, sector),
-long AS (SELECT 'momentum' AS factor, momentum AS m FROM mean UNION ALL SELECT 'value', value FROM mean)
+        _PANEL + f""", mean AS (SELECT {_each("avg(@) AS @")} FROM z GROUP BY month, sector),
+long AS ({" UNION ALL ".join(f"SELECT '{f}' AS factor, {f} AS m FROM mean" for f in _FOUR)})
 SELECT factor, count(*) AS groups, count(*) FILTER (abs(m) > 0.5) AS beyond, count(*) FILTER (abs(m) > 0.5) / count(*) <= 0.5 AS passed FROM long GROUP BY 1""",
-        "returns", "universe", "fundamentals",
+        *_PANEL_VIEWS,
     )
 )
 def factor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.validate_factors(_composites(spark, sf_dir), ["momentum", "value"], ["month", "sector"])
+    return quality.validate_factors(_scores(spark, sf_dir), _FOUR, ["month", "sector"])
 
 
 @query(
@@ -1324,9 +1371,10 @@ def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _factors(spark, sf_dir).select("month_end", *[F.round(c, 8).alias(c) for c in [*_SIX, "rf"]])
 
 
-#: Gauss-Jordan elimination and the lag-weighted sum of score products, on matrices kept as (row, column, value) rows.
-_FACTOR_REGRESSION = f""", base AS (
-  SELECT strategy, month, r - rf AS y, {", ".join(_SIX)} FROM strategy_returns JOIN factors ON last_day(month) = month_end
+def _regression_sql(source: str, key: str, day: str = "month") -> str:
+    """Gauss-Jordan elimination and the lag-weighted sum of score products, on matrices kept as (row, column, value) rows."""
+    return f""", base AS (
+  SELECT {key} AS strategy, {day} AS month, r - rf AS y, {", ".join(_SIX)} FROM {source} JOIN factors ON last_day({day}) = month_end
   WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _SIX)} AND r IS NOT NULL AND rf IS NOT NULL),
 obs AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY month) AS t, count(*) OVER (PARTITION BY strategy) AS n FROM base),
 x AS (SELECT strategy, t, y, unnest(range(7)) AS i, unnest([1.0, {", ".join(_SIX)}]) AS v FROM obs WHERE n >= 10),
@@ -1348,6 +1396,9 @@ meat AS (
 var AS (SELECT l.strategy, l.i, sum(l.v * meat.v * r.v) AS var FROM inv l JOIN meat ON meat.strategy = l.strategy AND meat.i = l.j JOIN inv r ON r.strategy = l.strategy AND r.i = l.i AND r.j = meat.j GROUP BY 1, 2),
 fit AS (SELECT strategy, 1 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2, count(*) AS n FROM res GROUP BY 1)
 """
+
+
+_FACTOR_REGRESSION = _regression_sql("strategy_returns", "strategy")
 _NAMES = ["alpha", *_SIX]
 
 
@@ -1371,3 +1422,91 @@ def factor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
         "strategy", "factor", r6("beta"), r6("se"), F.round("t", 4).alias("t"), r6("low"), r6("high"), r6("r_squared"), "n",
         F.when(own, F.round(12 * F.col("beta"), 6)).alias("yearly"), F.when(own, F.round(regression.compounded(F.col("beta")), 6)).alias("yearly_compound"),
     )
+
+
+# ---------------------------------------------------------------- backtests of variants
+
+_ABLATION = {
+    "full_4factor": (0.30, 0.30, 0.25, 0.15),
+    "no_momentum": (0.00, 0.44, 0.35, 0.21),
+    "no_value": (0.44, 0.00, 0.35, 0.21),
+    "no_quality": (0.40, 0.40, 0.00, 0.20),
+    "no_sentiment": (0.35, 0.35, 0.30, 0.00),
+    "no_sentiment_3factor": (0.35, 0.35, 0.30, 0.00),
+    "mom_val_only": (0.50, 0.50, 0.00, 0.00),
+    "mom_val_qual": (0.40, 0.40, 0.20, 0.00),
+}  # weights of momentum, value, quality, sentiment (fixed values)
+#: Dispersion's and the regime's strength.
+_COMPARED = {"static": (0.0, 0.0), "vix_only": (0.0, 0.15), "dispersion_only": (0.5, 0.0), "combined": (0.5, 0.15)}
+
+_JUDGED = """, ew AS (SELECT month, avg(coalesce(y, 0)) AS bench FROM fwd GROUP BY 1),
+vnav AS (SELECT variant, month, i, r, turnover, bench, exp(sum(ln(1 + r)) OVER (PARTITION BY variant ORDER BY i)) AS nav FROM vnum JOIN ew USING (month)),
+judged AS (
+  SELECT variant, count(*) AS n, CASE WHEN stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(12) ELSE 0 END AS sharpe_net, min(nav / peak - 1) AS max_dd,
+    CASE WHEN stddev_samp(r - bench) > 0 THEN avg(r - bench) * 12 / (stddev_samp(r - bench) * sqrt(12)) ELSE 0 END AS info_ratio, avg(r) AS mean_monthly, stddev_samp(r) * sqrt(12) AS vol, avg(turnover) * 12 AS turnover
+  FROM (SELECT *, max(nav) OVER (PARTITION BY variant ORDER BY i) AS peak FROM vnav) GROUP BY 1)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str, returns: DataFrame) -> DataFrame:
+    """Per variant: ratio, deepest drawdown, information ratio against all symbols in equal weights, yearly volatility and turnover."""
+    equal = _forward(spark, sf_dir).groupBy("month").agg(F.avg(F.coalesce("y", F.lit(0.0))).alias("bench"))
+    both = ts.drawdowns(returns.join(equal, "month"), "r", ["variant"], "i")
+    sd, active = F.stddev_samp("r"), F.col("r") - F.col("bench")
+    return both.groupBy("variant").agg(
+        F.count("*").alias("n"),
+        F.when(sd > 1e-12, F.avg("r") / sd * 12**0.5).otherwise(0.0).alias("sharpe_net"),
+        F.min("drawdown").alias("max_dd"),
+        F.when(F.stddev_samp(active) > 0, F.avg(active) * 12 / (F.stddev_samp(active) * 12**0.5)).otherwise(0.0).alias("info_ratio"),
+        F.avg("r").alias("mean_monthly"),
+        (sd * 12**0.5).alias("vol"),
+        (F.avg("turnover") * 12).alias("turnover"),
+    )
+
+
+@query(
+    with_views(
+        _PANEL
+        + f""", vw AS (SELECT variant, month, {", ".join(f"w_{f}::DOUBLE AS w_{f}" for f in _FOUR)} FROM (SELECT DISTINCT month FROM z), (VALUES {", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in _ABLATION.items())}) t(variant, {", ".join(f"w_{f}" for f in _FOUR)}))"""
+        + _books_sql("v", "variant")
+        + _JUDGED
+        + _regression_sql("vnum", "variant", "(month + INTERVAL 1 MONTH)::DATE")
+        + """SELECT variant, j.n, round(sharpe_net, 6) AS sharpe_net, round(max_dd, 6) AS max_dd, round(info_ratio, 6) AS info_ratio, round(turnover, 6) AS turnover, round(beta, 6) AS alpha, round(beta / sqrt(var), 4) AS alpha_t
+FROM judged j LEFT JOIN (SELECT strategy AS variant, beta, var FROM beta JOIN var USING (strategy, i) WHERE i = 0) USING (variant)""",
+        *_PANEL_VIEWS,
+        "factors",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight backtests, each with its own factor weights, from one scored panel; alpha is that of the regression on six factors."""
+    scores = _scores(spark, sf_dir)
+    rows = F.array(*[F.struct(F.lit(k).alias("variant"), *[F.lit(w).alias(f"w_{f}") for f, w in zip(_FOUR, v)]) for k, v in _ABLATION.items()])
+    weights = scores.select("month").distinct().withColumn("v", F.explode(rows)).select("month", "v.*")
+    returns = checkpointed(_variant_returns(spark, sf_dir, scores, weights, ["variant"]))
+    own = returns.withColumn("month_end", F.last_day(F.add_months("month", 1))).join(_factors(spark, sf_dir), "month_end").withColumn("y", F.col("r") - F.col("rf"))
+    alpha = regression.hac_fit(own, _SIX, "y", ["variant"], "month_end").filter("factor = 'alpha'").select("variant", F.col("beta").alias("alpha"), F.round("t", 4).alias("alpha_t"))
+    judged = _judged(spark, sf_dir, returns).join(alpha, "variant", "left")
+    return judged.select("variant", "n", r6("sharpe_net"), r6("max_dd"), r6("info_ratio"), r6("turnover"), r6("alpha"), "alpha_t")
+
+
+@query(
+    with_views(
+        _PANEL
+        + _REGIME
+        + _DISPERSION
+        + _dynamic_sql("vw", "variant", f"SELECT * FROM (VALUES {', '.join(f"('{k}', {g}::DOUBLE, {x}::DOUBLE)" for k, (g, x) in _COMPARED.items())}) t(variant, gamma, lam)")
+        + _books_sql("v", "variant")
+        + _JUDGED
+        + "SELECT variant, n, round(sharpe_net, 6) AS sharpe_net, round(max_dd, 6) AS max_dd, round(info_ratio, 6) AS info_ratio, round(mean_monthly, 6) AS mean_monthly, round(vol, 6) AS vol FROM judged",
+        *_PANEL_VIEWS,
+        "strategy_returns",
+    )
+)
+def static_or_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same book with fixed weights, weights that follow the regime, the dispersion, or both."""
+    scores = _scores(spark, sf_dir)
+    cells = F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(g).alias("gamma"), F.lit(x).alias("lam")) for k, (g, x) in _COMPARED.items()])
+    returns = _variant_returns(spark, sf_dir, scores, _dynamic(spark, sf_dir, scores, cells, ("variant",)), ["variant"])
+    return _judged(spark, sf_dir, returns).select("variant", "n", r6("sharpe_net"), r6("max_dd"), r6("info_ratio"), r6("mean_monthly"), r6("vol"))
+
+
+from marlstone.plans import strategies  # noqa: E402, F401 (registers its queries)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.sources.tables import load
@@ -24,6 +24,12 @@ def prices_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prices_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, day, px): the symbols of ``prices``, by day."""
+    li = load(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("px"))
+
+
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (load(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("s_suppkey").alias("symbol"), F.col("r_name").alias("sector"), F.col("n_name").alias("country"))
@@ -90,6 +96,50 @@ def factor_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.select("month", F.round(100 * (change("h") - change("l")), 6).alias("mom"))
 
 
+def _quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's quarter, dated by its last day, with the sums that ratios and statements are made of."""
+    li, price = load(spark, sf_dir, "lineitem"), F.col("l_extendedprice")
+    rows = li.groupBy(F.col("l_suppkey").alias("symbol"), F.trunc("l_shipdate", "quarter").alias("quarter")).agg(
+        F.sum(price).alias("p"), F.sum("l_quantity").alias("q"), F.sum(price * F.col("l_discount")).alias("pd"), F.sum(price * F.col("l_tax")).alias("pt"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t")
+    )
+    return rows.withColumn("day", F.last_day(F.add_months("quarter", 2)))
+
+
+def _facts(rows: DataFrame, cells: dict[str, Column], on: str) -> DataFrame:
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("field_name"), F.round(v, 6).alias("field_value")) for k, v in cells.items()]))
+    return rows.select("symbol", F.col("day").alias(on), long.alias("f")).select("symbol", on, "f.*").filter("field_value is not null")
+
+
+def ratio_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, snapshot_date, field_name, field_value): ratios of which some begin late and some lack symbols, as archives do."""
+    p, since = {c: F.col(c) for c in ("p", "q", "d", "t")}, lambda day, v: F.when(F.col("quarter") >= F.lit(day).cast("date"), v)
+    cells = {
+        "book_to_price_hist": F.when(F.col("symbol") % 5 != 0, F.try_divide(p["q"] * 1000, p["p"])),
+        "earnings_to_price": p["d"],
+        "roe_hist": since("1997-01-01", p["t"]),
+        "debt_to_equity_hist": since("1996-07-01", F.try_divide(p["d"], p["t"])),
+        "operating_margin_hist": since("1998-01-01", p["d"] - p["t"]),
+    }
+    return _facts(_quarterly(spark, sf_dir), cells, "snapshot_date")
+
+
+def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, report_date, field_name, field_value): quarterly statements."""
+    p, q, pd, pt = (F.col(c) for c in ("p", "q", "pd", "pt"))
+    cells = {
+        "book_value_per_share": F.try_divide(pt, q), "diluted_eps": F.try_divide(pd, q), "free_cash_flow": pd - pt, "net_income": pd,
+        "stockholders_equity": p - pd, "total_debt": pt, "total_revenue": p,
+    }
+    return _facts(_quarterly(spark, sf_dir), cells, "report_date")
+
+
+def sentiment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, day, score): a monthly score from 0 to 100."""
+    li = load(spark, sf_dir, "lineitem")
+    mark = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "R", 0.0).otherwise(0.5)
+    return li.groupBy(F.col("l_suppkey").alias("symbol"), F.last_day("l_shipdate").alias("day")).agg(F.round(100 * F.avg(mark), 6).alias("score"))
+
+
 SQL = {
     "prices": """
 SELECT l_suppkey AS symbol, date_trunc('month', l_shipdate)::DATE AS month,
@@ -137,6 +187,26 @@ SELECT month, round(100 * ((h / lag(h) OVER (ORDER BY month) - 1) - (l / lag(l)
     "factors": """
 SELECT last_day(strptime(ym::VARCHAR || '01', '%Y%m%d'))::DATE AS month_end, mkt_rf / 100 AS mkt_rf, smb / 100 AS smb, hml / 100 AS hml, rmw / 100 AS rmw, cma / 100 AS cma, rf / 100 AS rf, mom / 100 AS mom
 FROM factor_five JOIN factor_momentum ON last_day(strptime(ym::VARCHAR || '01', '%Y%m%d')) = last_day(factor_momentum.month)""",
+    "quarterly": """
+SELECT l_suppkey AS symbol, date_trunc('quarter', l_shipdate)::DATE AS quarter, last_day(date_trunc('quarter', l_shipdate)::DATE + INTERVAL 2 MONTH)::DATE AS day,
+  sum(l_extendedprice) AS p, sum(l_quantity) AS q, sum(l_extendedprice * l_discount) AS pd, sum(l_extendedprice * l_tax) AS pt, avg(l_discount) AS d, avg(l_tax) AS t
+FROM lineitem GROUP BY 1, 2""",
+    "ratio_facts": """
+SELECT symbol, day AS snapshot_date, field_name, round(v, 6) AS field_value FROM (
+  SELECT symbol, day, 'book_to_price_hist' AS field_name, q * 1000 / nullif(p, 0) AS v FROM quarterly WHERE symbol % 5 <> 0
+  UNION ALL SELECT symbol, day, 'earnings_to_price', d FROM quarterly
+  UNION ALL SELECT symbol, day, 'roe_hist', t FROM quarterly WHERE quarter >= DATE '1997-01-01'
+  UNION ALL SELECT symbol, day, 'debt_to_equity_hist', d / nullif(t, 0) FROM quarterly WHERE quarter >= DATE '1996-07-01'
+  UNION ALL SELECT symbol, day, 'operating_margin_hist', d - t FROM quarterly WHERE quarter >= DATE '1998-01-01'
+) WHERE v IS NOT NULL""",
+    "statement_facts": """
+SELECT symbol, day AS report_date, field_name, round(v, 6) AS field_value FROM (
+  SELECT symbol, day, unnest(['book_value_per_share', 'diluted_eps', 'free_cash_flow', 'net_income', 'stockholders_equity', 'total_debt', 'total_revenue']) AS field_name,
+    unnest([pt / nullif(q, 0), pd / nullif(q, 0), pd - pt, pd, p - pd, pt, p]) AS v FROM quarterly
+) WHERE v IS NOT NULL""",
+    "sentiment_facts": """
+SELECT l_suppkey AS symbol, last_day(l_shipdate)::DATE AS day, round(100 * avg(CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'R' THEN 0.0 ELSE 0.5 END), 6) AS score
+FROM lineitem GROUP BY 1, 2""",
     "panel": """
 SELECT symbol, months.month, months.row, px, volume FROM (SELECT DISTINCT symbol FROM prices)
 CROSS JOIN (
@@ -149,7 +219,7 @@ SELECT symbol, month, row, px, px / lag(px) OVER w - 1 AS ret, lag(px, 1) OVER w
 ) WINDOW w AS (PARTITION BY symbol ORDER BY month)""",
 }
 
-_NEEDS = {"factors": ["factor_five", "factor_momentum"], "panel": ["prices"], "returns": ["prices", "panel"]}
+_NEEDS = {"ratio_facts": ["quarterly"], "statement_facts": ["quarterly"], "factors": ["factor_five", "factor_momentum"], "panel": ["prices"], "returns": ["prices", "panel"]}
 
 
 def with_views(query: str, *views: str) -> str:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -32,3 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: it must be a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-"))
     return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: a small result that several branches of a plan use."""
+    path = f"{shared_folder(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
