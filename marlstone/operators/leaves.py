@@ -39,9 +39,11 @@ def noise_density(x: np.ndarray, variance: float, q: float) -> np.ndarray:
 def noise_variance(eigenvalues: np.ndarray, q: float, bins: int = 50, points: int = 200, rounds: int = 4) -> float:
     """The variance whose noise density is nearest to the histogram of the eigenvalues inside its support.
 
-    The squared distance jumps as eigenvalues come into the support, so
-    it is searched on a grid of ``points`` variances, and ``rounds`` times more
-    around the best; 1 (all of a correlation matrix is noise) where no support holds five eigenvalues.
+    Densities are compared in units of the variance, since a wider support has
+    lower ones everywhere and would always seem nearer. The squared distance
+    jumps as eigenvalues come into the support, so it is searched on a grid of ``points``
+    variances, and ``rounds`` times more around the best; 1 (all of a correlation matrix is
+    noise) where no support holds five eigenvalues.
     """
 
     def distance(variance: float) -> float:
@@ -51,7 +53,7 @@ def noise_variance(eigenvalues: np.ndarray, q: float, bins: int = 50, points: in
             return np.inf
         found, edges = np.histogram(inside, bins=bins, range=(low, high), density=True)
         middle = np.maximum((edges[1:] + edges[:-1]) / 2, 1e-12)
-        return float(np.mean((found - noise_density(middle, variance, q)) ** 2))
+        return float(np.mean((variance * (found - noise_density(middle, variance, q))) ** 2))
 
     low, high = 1e-3, max(1.0, float(eigenvalues.max()))
     best, least = 1.0, np.inf

@@ -96,11 +96,6 @@ def exposures(books: DataFrame, weight: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def gross_capped(books: DataFrame, weight: str, by: Sequence[str], most: float = 2.0) -> DataFrame:
-    gross = F.sum(F.abs(weight)).over(Window.partitionBy(*by))
-    return books.withColumn(weight, F.col(weight) * F.least(F.lit(1.0), F.try_divide(F.lit(most), gross)))
-
-
 def portfolio_returns(books: DataFrame, returns: DataFrame, weight: str, ret: str, on: Sequence[str], symbol: str, by: Sequence[str]) -> DataFrame:
     """Sum of weight * return, a missing return as 0."""
     joined = books.join(returns.select(*on, symbol, ret), [*on, symbol], "left")
@@ -120,8 +115,3 @@ def vol_scalar(deviation: Column, rows: Column, target: float = 0.10, periods: i
     """target / annualised deviation within limits; 1 where there are too few rows."""
     scaled = F.try_divide(F.lit(target), deviation * periods**0.5)
     return F.when((rows < least) | scaled.isNull(), F.lit(1.0)).otherwise(F.greatest(F.least(scaled, F.lit(high)), F.lit(low)))
-
-
-def drawdown_scalar(drawdown: Column, half: float = -0.10, quarter: float = -0.05) -> Column:
-    """1, 0.75 or 0.5 by the drawdown from the recent peak."""
-    return F.when(drawdown <= half, 0.5).when(drawdown <= quarter, 0.75).otherwise(1.0)

@@ -56,29 +56,39 @@ def block_start(path: Column, block: Column, n: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % n
 
 
+def _resampled(series: DataFrame, ret: str, by: Sequence[str], on: str, block: int, paths: int, seed: int) -> DataFrame:
+    """(by, path, step, ret): circular block resamples; a digest is taken for each block, whose rows are then counted out."""
+    rows = series.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(on)) - 1)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    blocks = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))))
+    drawn = blocks.withColumn("start", block_start(F.col("path").cast("long"), F.col("b").cast("long"), F.col("n"), seed))
+    inside = F.sequence(F.lit(0), F.least(F.lit(block), (F.col("n") - F.col("b") * block).cast("int")) - 1)
+    picked = drawn.withColumn("j", F.explode(inside)).select(*by, "path", (F.col("b") * block + F.col("j")).cast("int").alias("step"), ((F.col("start") + F.col("j")) % F.col("n")).cast("int").alias("i"))
+    return picked.join(rows.select(*by, "i", ret), [*by, "i"]).drop("i")
+
+
 def bootstrap_sharpe(series: DataFrame, ret: str, by: Sequence[str], on: str, block: int = 6, paths: int = 1000, seed: int = 42, periods: int = 12) -> DataFrame:
     """Sharpe ratios of circular block resamples: mean and 95 % interval per series.
 
     A resample is rows of the series joined by index, so paths are spread over
     all tasks and only one number per path is gathered.
     """
-    rows = series.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(on)) - 1)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    drawn = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    start = block_start(F.col("path").cast("long"), F.floor(F.col("k") / block).cast("long"), F.col("n"), seed)
-    picked = drawn.withColumn("i", ((start + F.col("k") % block) % F.col("n")).cast("int"))
-    sharpe = picked.join(rows.select(*by, "i", ret), [*by, "i"]).groupBy(*by, "path").agg(F.when(F.stddev_samp(ret) > 1e-12, F.avg(ret) / F.stddev_samp(ret) * periods**0.5).otherwise(0.0).alias("s"))
+    sd = F.stddev_samp(ret)
+    sharpe = _resampled(series, ret, by, on, block, paths, seed).groupBy(*by, "path").agg(F.when(sd > 1e-12, F.avg(ret) / sd * periods**0.5).otherwise(0.0).alias("s"))
     return sharpe.groupBy(*by).agg(F.avg("s").alias("mean"), F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"), F.count("*").alias("paths"))
 
 
-def monte_carlo_paths(series: DataFrame, ret: str, by: Sequence[str], on: str, block: int = 6, paths: int = 100, seed: int = 42) -> DataFrame:
+def monte_carlo_paths(series: DataFrame, ret: str, by: Sequence[str], on: str, block: int = 6, paths: int = 10_000, seed: int = 42) -> DataFrame:
     """NAV along every circular block path: (by, path, step, nav)."""
-    rows = series.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(on)) - 1)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    drawn = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    start = block_start(F.col("path").cast("long"), F.floor(F.col("step") / block).cast("long"), F.col("n"), seed)
-    picked = drawn.withColumn("i", ((start + F.col("step") % block) % F.col("n")).cast("int")).join(rows.select(*by, "i", ret), [*by, "i"])
-    return picked.select(*by, "path", F.col("step").cast("int").alias("step"), cumulative_growth(F.col(ret), [*by, "path"], "step").alias("nav"))
+    picked = _resampled(series, ret, by, on, block, paths, seed)
+    return picked.select(*by, "path", "step", cumulative_growth(F.col(ret), [*by, "path"], "step").alias("nav"))
+
+
+def path_bands(paths: DataFrame, by: Sequence[str], points: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """(by, step, paths, mean, p05, ...): percentiles of all paths' NAV at each step, exact, gathered by step."""
+    cells = F.percentile("nav", F.lit(list(points)))
+    out = paths.groupBy(*by, "step").agg(F.count("*").alias("paths"), F.avg("nav").alias("mean"), cells.alias("_q"))
+    return out.select(*by, "step", "paths", "mean", *[F.col("_q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(points)])
 
 
 def permutation_gap(series: DataFrame, ret: str, group: str, first: str, second: str, on: str, rounds: int = 1000, seed: int = 42, periods: int = 12) -> DataFrame:
@@ -153,10 +163,24 @@ def amihud(df: DataFrame, ret: str, volume: str, by: Sequence[str]) -> DataFrame
     return df.groupBy(*by).agg(F.avg(F.abs(ret) / v).alias("illiquidity"), F.avg(volume).alias("adv"))
 
 
-def max_aum(capacity: DataFrame, weight: str, illiquidity: str, by: Sequence[str], budget_bp: float = 15.0) -> DataFrame:
-    """The largest fund that keeps every position's impact within the budget."""
+def capacity_frame(book: DataFrame, liquidity: DataFrame, weight: str, on: Sequence[str]) -> DataFrame:
+    """Positions whose illiquidity and dollar volume are known."""
+    return book.join(liquidity, list(on)).filter(f"{weight} is not null and illiquidity is not null and adv is not null")
+
+
+def capacity(frame: DataFrame, weight: str, illiquidity: str, by: Sequence[str], budget_bp: float = 15.0, aum: float = 1e6) -> DataFrame:
+    """Per book: the largest fund that keeps every position's impact within the budget, positions, median illiquidity, and all impact at ``aum``.
+
+    A position's impact is |weight| * fund * illiquidity, in basis points; positions under 1e-6 don't count.
+    """
     need = F.abs(weight) * F.col(illiquidity) * 1e4
-    return capacity.groupBy(*by).agg(F.min(F.try_divide(F.lit(budget_bp), F.when(need > 0, need))).alias("max_aum"))
+    there = F.abs(weight) > 1e-6
+    return frame.groupBy(*by).agg(
+        F.min(F.when(there & (F.col(illiquidity) > 0), F.try_divide(F.lit(budget_bp), need))).alias("max_aum"),
+        F.count_if(there).alias("n_stocks"),
+        F.median(illiquidity).alias("median_illiquidity"),
+        F.sum(need * aum).alias("impact_bp"),
+    )
 
 
 def normal_cdf(x: Column, far: float = 7.0, terms: int = 160) -> Column:

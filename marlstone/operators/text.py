@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,10 +39,10 @@ def _weights(table: dict[str, float]) -> Column:
 def lexicon_boost(text: Column, words: dict[str, float] = WORD_WEIGHTS, phrases: dict[str, float] = PHRASE_WEIGHTS, most: float = 0.5) -> Column:
     """Sum of the weights of all words and of the phrases that occur, within +-``most``; null and blank text: 0."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    split = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    bare = F.transform(split, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
-    table = _weights(words)
-    total = F.aggregate(bare, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(table, w), F.lit(0.0)))
+    # only words of the table leave the regular expression, so no array of all words is made
+    edge, table = f"[{re.escape(PUNCTUATION)}]*", _weights(words)
+    known = F.regexp_extract_all(low, F.lit(rf"(?:^|\s){edge}({'|'.join(map(re.escape, words))}){edge}(?=\s|$)"), F.lit(1))
+    total = F.aggregate(known, F.lit(0.0), lambda a, w: a + F.element_at(table, w))
     for phrase, weight in phrases.items():
         total = total + F.when(F.contains(low, F.lit(phrase)), weight).otherwise(0.0)
     return F.greatest(F.least(total, F.lit(most)), F.lit(-most))
@@ -53,12 +54,12 @@ def scored_headlines(news: DataFrame, title: str = "title", base: Column | None
     ``base`` is a general-purpose score in [-1, 1] that the caller supplies;
     without one it is 0.
     """
-    boost = F.round(lexicon_boost(F.col(title)), 4)
     general = F.lit(0.0) if base is None else base
     blank = F.trim(F.coalesce(F.col(title), F.lit(""))) == ""
-    score = F.when(blank, 0.0).otherwise(F.round(F.greatest(F.least(general + 0.35 * lexicon_boost(F.col(title)), F.lit(1.0)), F.lit(-1.0)), 4))
+    score = F.when(blank, 0.0).otherwise(F.round(F.greatest(F.least(general + 0.35 * F.col("_boost"), F.lit(1.0)), F.lit(-1.0)), 4))
     label = F.when(F.col("sentiment") >= 0.05, "positive").when(F.col("sentiment") <= -0.05, "negative").otherwise("neutral")
-    return news.withColumn("boost", boost).withColumn("sentiment", score).withColumn("label", label)
+    once = news.withColumn("_boost", lexicon_boost(F.col(title)))
+    return once.withColumn("boost", F.round("_boost", 4)).withColumn("sentiment", score).withColumn("label", label).drop("_boost")
 
 
 def sentiment_summary(scored: DataFrame, by: Sequence[str]) -> DataFrame:

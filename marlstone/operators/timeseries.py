@@ -91,16 +91,26 @@ def rank_pct(value: str, by: Sequence[str]) -> Column:
 def regimes(series: DataFrame, value: str, on: str, by: Sequence[str] = (), least: int = 20, low: float = 0.30, high: float = 0.80) -> DataFrame:
     """For every date: the percentile of its value among all values so far, and the regime it means.
 
-    The rank of the latest value is a conditional count over the rows before
-    it. Each series is an index with a row a day, gathered in one array.
+    A value's rank among those before it is counted as in a merge sort: for
+    each power of two, rows of the second half of a block of dates count the first
+    half's lesser values. A row takes part once for each power (n log n rows in
+    all, dealt by block), and no row holds another's values. Null values
+    are under none and above none.
     """
-    pairs = series.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(on, value))).alias("_s"))
-    rows = pairs.select(*by, "_s", F.posexplode("_s").alias("_i", "_x"))
-    upto = F.slice("_s", F.lit(1), F.col("_i") + 1)
-    under = F.size(F.filter(upto, lambda x: x[value] < F.col(f"_x.{value}")))
-    same = F.size(F.filter(upto, lambda x: x[value] == F.col(f"_x.{value}")))
-    pct = F.when(F.col("_i") + 1 >= least, (under + (same + 1) / 2) / (F.col("_i") + 1)).otherwise(0.5)
-    out = rows.select(*by, F.col(f"_x.{on}").alias(on), F.col(f"_x.{value}").alias(value), pct.alias("percentile"), (F.col("_i") + 1 >= least).alias("_enough"))
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(on)
+    rows = series.select(*by, on, value).withColumn("_i", (F.row_number().over(order) - 1).cast("long"))
+    last = F.max("_i").over(Window.partitionBy(*(by or [F.lit(0)])))
+    levels = F.when(last > 0, F.sequence(F.lit(0), F.length(F.bin(last)) - 1)).otherwise(F.array(F.lit(0)))
+    merged = rows.withColumn("_levels", levels).withColumn("_level", F.explode("_levels"))
+    merged = merged.withColumn("_left", F.expr(f"(shiftright(_i, _level) & 1) = 0 and `{value}` is not null").cast("long")).withColumn("_block", F.expr("shiftright(_i, _level + 1)"))
+    block = Window.partitionBy(*by, "_level", "_block")
+    same_here = F.sum("_left").over(Window.partitionBy(*by, "_level", "_block", value))
+    upto = F.sum("_left").over(block.orderBy(value))
+    right = F.expr(f"(shiftright(_i, _level) & 1) = 1 and `{value}` is not null")
+    counted = merged.withColumns({"_under": F.when(right, upto - same_here).otherwise(0), "_same": F.when(right, same_here).otherwise(0)})
+    found = counted.groupBy(*by, on, value, "_i").agg(F.sum("_under").alias("_under"), (F.sum("_same") + F.col(value).isNotNull().cast("int")).alias("_same"))
+    pct = F.when(F.col("_i") + 1 >= least, (F.col("_under") + (F.col("_same") + 1) / 2) / (F.col("_i") + 1)).otherwise(0.5)
+    out = found.select(*by, on, value, pct.alias("percentile"), (F.col("_i") + 1 >= least).alias("_enough"))
     name = F.when(~F.col("_enough"), "NORMAL").when(F.col("percentile") < low, "LOW").when(F.col("percentile") > high, "HIGH").otherwise("NORMAL")
     return out.withColumn("regime", name).drop("_enough")
 

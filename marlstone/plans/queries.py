@@ -729,13 +729,18 @@ def bootstrap_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_views(
         """, rows AS (SELECT strategy, r, row_number() OVER (PARTITION BY strategy ORDER BY month) - 1 AS i FROM strategy_returns),
 n AS (SELECT strategy, count(*) AS n FROM rows GROUP BY 1),
-d AS (SELECT strategy, p.path, k.k AS step, (('0x' || md5(concat_ws('-', p.path, k.k // 6, 42))[1:12])::BIGINT % n + k.k % 6) % n AS i FROM n, (SELECT unnest(range(1000)) AS path) p, (SELECT unnest(range((SELECT max(n) FROM n))) AS k) k WHERE k.k < n)
-SELECT strategy, path::INTEGER AS path, step::INTEGER AS step, round(exp(sum(ln(1 + r)) OVER (PARTITION BY strategy, path ORDER BY step)), 6) AS nav FROM d JOIN rows USING (strategy, i)""",
+d AS (SELECT strategy, p.path, k.k AS step, (('0x' || md5(concat_ws('-', p.path, k.k // 6, 42))[1:12])::BIGINT % n + k.k % 6) % n AS i FROM n, (SELECT unnest(range(10000)) AS path) p, (SELECT unnest(range((SELECT max(n) FROM n))) AS k) k WHERE k.k < n),
+navs AS (SELECT strategy, path, step, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy, path ORDER BY step)) AS nav FROM d JOIN rows USING (strategy, i))
+SELECT strategy, step::INTEGER AS step, count(*) AS paths, round(avg(nav), 6) AS mean, round(quantile_cont(nav, 0.05), 6) AS p05, round(quantile_cont(nav, 0.25), 6) AS p25, round(median(nav), 6) AS p50,
+  round(quantile_cont(nav, 0.75), 6) AS p75, round(quantile_cont(nav, 0.95), 6) AS p95 FROM navs GROUP BY 1, 2""",
         "strategy_returns",
     )
 )
 def monte_carlo_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.monte_carlo_paths(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month", paths=1000).select("strategy", "path", "step", r6("nav"))
+    """Bands of 10,000 resampled NAV paths."""
+    paths = stats.monte_carlo_paths(views.strategy_returns(spark, sf_dir), "r", ["strategy"], "month")
+    bands = stats.path_bands(paths, ["strategy"])
+    return bands.select("strategy", "step", "paths", *[r6(c) for c in bands.columns[3:]])
 
 
 @query(

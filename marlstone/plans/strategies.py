@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import crosssection as xs
-from marlstone.operators import leaves, risk
+from marlstone.operators import benchmarks, leaves, quality, regime_model, risk, stats
 from marlstone.operators import timeseries as ts
 from marlstone.plans import queries as q
 from marlstone.plans import views
 from marlstone.plans.queries import query, r6
 from marlstone.plans.views import with_views
+from marlstone.sources.tables import load
 from marlstone.session import checkpointed
 
 _FOUR = q._FOUR
@@ -181,3 +182,96 @@ def denoised_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def denoised_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum-variance legs on denoised covariances."""
     return leaves.leg_weights(_leg_returns(spark, sf_dir), ["sector"], "symbol", "month", "ret", method="denoised").select("sector", "symbol", r6("weight"))
+
+
+# ---------------------------------------------------------------- two-state regimes
+
+
+@query()
+def two_state_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each priority's weekly order value at every month's start, by a model fitted to what was known."""
+    o = load(spark, sf_dir, "orders")
+    week = F.to_date(F.date_trunc("week", "o_orderdate"))
+    weekly = o.groupBy(F.col("o_orderpriority").alias("strategy"), week.alias("week")).agg(F.avg("o_totalprice").alias("level"))
+    months = o.select(F.trunc("o_orderdate", "MM").alias("month")).distinct()
+    return regime_model.two_state_regimes(weekly, "level", ["strategy"], "week", months).select("strategy", F.col("as_of").alias("month"), "n", r6("probability"), "regime")
+
+
+# ---------------------------------------------------------------- capacity and checks of books
+
+
+@query(
+    with_views(
+        q._FLAGSHIP
+        + """, dd AS (SELECT symbol, day, px * volume AS dollars, px / lag(px) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM (
+  SELECT l_suppkey AS symbol, l_shipdate::DATE AS day, round(avg(l_extendedprice / l_quantity), 6) AS px, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)),
+liq AS (SELECT symbol, avg(abs(ret) / nullif(dollars, 0)) AS ill, avg(dollars) AS adv FROM dd GROUP BY 1)
+SELECT month, round(min(CASE WHEN abs(weight) > 1e-6 AND ill > 0 THEN 15 / (abs(weight) * ill * 1e4) END), 2) AS max_aum, count(*) FILTER (abs(weight) > 1e-6) AS n_stocks,
+  round(median(ill) * 1e6, 6) AS median_illiquidity, round(sum(abs(weight) * 1e6 * ill * 1e4), 6) AS impact_bp
+FROM book JOIN liq USING (symbol) GROUP BY 1""",
+        *q._PANEL_VIEWS,
+    )
+)
+def book_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest fund that each month's book can carry within 15 basis points a name, and its impact at a million."""
+    days = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("px"), F.sum("l_quantity").alias("volume"))
+    change = F.try_divide(F.col("px"), F.lag("px").over(Window.partitionBy("symbol").orderBy("day"))) - 1
+    liquid = stats.amihud(days.select("symbol", (F.col("px") * F.col("volume")).alias("dollars"), change.alias("ret")), "ret", "dollars", ["symbol"])
+    frame = stats.capacity_frame(q._book(spark, sf_dir), liquid, "weight", ["symbol"])
+    out = stats.capacity(frame, "weight", "illiquidity", ["month"])
+    return out.select("month", F.round("max_aum", 2).alias("max_aum"), "n_stocks", r6(F.col("median_illiquidity") * 1e6, "median_illiquidity"), r6("impact_bp"))
+
+
+@query(
+    with_views(
+        q._FLAGSHIP
+        + """, bw AS (SELECT month, count(*) FILTER ((side = 1 AND weight < 0) OR (side = -1 AND weight > 0)) AS wrong_sign, count(*) FILTER (abs(weight) > 0.1 + 1e-9) AS over_cap FROM book GROUP BY 1)
+SELECT month, wrong_sign, over_cap, wrong_sign = 0 AND over_cap = 0 AS valid, ws.rows, ws.missing, ws.extreme FROM bw JOIN (
+  SELECT month, count(*) AS rows, count(*) FILTER (y IS NULL) AS missing, count(*) FILTER (abs(y) > 0.5) AS extreme FROM book LEFT JOIN fwd USING (symbol, month) GROUP BY 1) ws USING (month)""",
+        *q._PANEL_VIEWS,
+    )
+)
+def book_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month's book: weights of the wrong sign or over a tenth, and returns that are missing or beyond a half."""
+    book = q._book(spark, sf_dir).withColumn("leg", F.when(F.col("weight") >= 0, "long").otherwise("short"))
+    ahead = book.join(q._forward(spark, sf_dir).select("symbol", "month", "y"), ["symbol", "month"], "left")
+    return quality.validate_weights(book, "weight", "leg", ["month"], 0.1).join(quality.validate_returns(ahead, "y", ["month"]), "month")
+
+
+# ---------------------------------------------------------------- benchmarks and legs
+
+
+@query(
+    with_views(
+        q._FLAGSHIP
+        + """, uni AS (SELECT month, avg(coalesce(y, 0)) AS bench FROM fwd GROUP BY 1)
+SELECT month, CASE side WHEN 1 THEN 'long' ELSE 'short' END AS leg, round(sum(abs(weight) / g * coalesce(y, 0)), 6) AS leg_return, round(sum(abs(weight) / g * coalesce(y, 0)) - any_value(bench), 6) AS leg_alpha
+FROM (SELECT *, sum(abs(weight)) OVER (PARTITION BY month, side) AS g FROM book) b LEFT JOIN fwd USING (symbol, month) JOIN uni USING (month) GROUP BY month, side""",
+        *q._PANEL_VIEWS,
+    )
+)
+def leg_alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leg's return at full weight, and what it is beyond the mean of all symbols."""
+    ahead = q._forward(spark, sf_dir).select("symbol", "month", "y")
+    universe = ahead.groupBy("month").agg(F.avg(F.coalesce("y", F.lit(0.0))).alias("bench"))
+    legs = q._book(spark, sf_dir).withColumn("leg", F.when(F.col("weight") >= 0, "long").otherwise("short"))
+    paid = legs.join(ahead, ["symbol", "month"], "left").groupBy("month", "leg").agg((F.sum(F.abs("weight") * F.coalesce("y", F.lit(0.0))) / F.sum(F.abs("weight"))).alias("leg_return"))
+    return paid.join(universe, "month").select("month", "leg", r6("leg_return"), r6(F.col("leg_return") - F.col("bench"), "leg_alpha"))
+
+
+@query(
+    (
+        """WITH days AS (SELECT o_orderdate::DATE AS day, round(avg(o_totalprice), 6) AS close FROM orders GROUP BY 1),
+idx AS (SELECT date_trunc('month', day)::DATE AS month, round(arg_max(close, day) / arg_min(close, day) - 1, 6) AS index_return FROM days GROUP BY 1),
+rates AS (SELECT l_shipdate::DATE AS day, round(avg(l_tax), 6) AS rate FROM lineitem GROUP BY 1),
+rf AS (SELECT month, coalesce(arg_max(rate, rates.day), 0) AS rf FROM idx LEFT JOIN rates ON rates.day < month GROUP BY 1)
+SELECT month, index_return, round(rf, 6) AS rf, round(0.5 * (pow(1 + rf, 1 / 12) - 1) + 0.5 * index_return, 6) AS blend FROM idx JOIN rf USING (month)"""
+    )
+)
+def index_and_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index's return from a month's first to its last day, the latest riskless rate before the month, and half of each."""
+    days = load(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 6).alias("close"))
+    index = days.groupBy(F.trunc("day", "MM").alias("month")).agg(F.round(F.try_divide(F.max_by("close", "day"), F.min_by("close", "day")) - 1, 6).alias("index_return"))
+    rates = load(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.round(F.avg("l_tax"), 6).alias("rate"))
+    both = benchmarks.latest_rate(index, rates, "month", "day", "rate")
+    return both.select("month", "index_return", r6("rf"), r6(benchmarks.cash_market_blend(F.col("rf"), F.col("index_return"), 1), "blend"))
