@@ -11,14 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import MESSAGE_DDL, checkpointed, messages, mixed, packed, pieces_for, row_slices, shuffle_partitions, string_buffer, trimmed, trimmed_group, unpacked
+from marlstone.llm.common import MESSAGE_DDL, checkpointed, fresh_names, messages, mixed, packed, pieces_for, row_slices, shuffle_partitions, string_buffer, trimmed, trimmed_group, unpacked
 from marlstone.llm.graph import components
 from marlstone.llm.shingles import parity_sketches, set_prints, shingle_sets_twice
 
 #: Bytes of text at once; signatures that a task holds before it passes them on, and in a group; bytes of sets, and sets, in a verified block.
 _SLICE, _HELD, _GROUP, BLOCK_BYTES, BLOCK_SETS = 1 << 20, 500_000, 1_000_000, 8 << 20, 2000
-#: Bits of the filter that keeps texts which aren't candidates out of a shuffle (32 MB, for 2**27 keys).
-FILTER_BITS = 1 << 28
+#: Bits of the filter that keeps texts which aren't candidates out of a shuffle (2**20 rows of words, for 2**25 keys).
+FILTER_BITS = 1 << 26
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -318,10 +318,11 @@ def likely_rows(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = F
 def split_likely(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame | None]:
     """The rows whose ``key`` (never null) may be in ``wanted``, and all others (None: no others can be told).
 
-    Tasks set two bits for each wanted key; the driver gets their words, of
-    ``most_bits`` bits at most whatever the input. With so many keys that such
-    a filter would pass most rows, all rows are likely and the join does the
-    work.
+    Two bits are set for each wanted key, and each row looks its two up, all
+    by joins with the filter's words, a table of ``most_bits`` / 64 rows at most whatever the
+    input: it is broadcast, and no Python runs. With so many keys that such a filter
+    would pass most rows, one shuffle of all rows is cheaper than passes for a part of the
+    keys each; then all rows are likely and the join does the work.
     """
     n = wanted.count()
     bits = min(most_bits, 1 << max(6, (16 * n - 1).bit_length()))
@@ -329,19 +330,20 @@ def split_likely(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int =
         return rows.filter("false"), rows
     if 2 * n > bits:
         return rows, None
-    places = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in (1, 2)]
-    at = wanted.select(F.explode(F.array(*places)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
-    table = np.zeros(bits >> 6, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    sent = rows.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def has(a: pa.Array, b: pa.Array) -> pa.Array:
-        both = [(sent.value[x >> 6] >> (x & 63)) & 1 for x in (a.to_numpy(), b.to_numpy())]
-        return pa.array((both[0] & both[1]).astype(bool))
-
-    return rows.filter(has(*places)), rows.filter(~has(*places))
+
+    def place(i: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits))
+
+    at = wanted.select(F.explode(F.array(place(1), place(2))).alias("at"))
+    words = checkpointed(at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")))
+    marked, there = rows, F.lit(True)
+    for i in (1, 2):
+        names = fresh_names(marked, "word", "bits", "at")
+        word, bit, own = names["word"], names["bits"], names["at"]
+        marked = marked.withColumn(own, place(i)).join(F.broadcast(words.toDF(word, bit)), F.shiftright(own, 6) == F.col(word), "left")
+        there = there & (F.expr(f"coalesce(shiftright({bit}, CAST({own} & 63 AS INT)) & 1, 0)") == 1)
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.filter(there).select(*kept), marked.filter(~there).select(*kept)
 
 
 def _units(placed: DataFrame, packs: int) -> DataFrame:
