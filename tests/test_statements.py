@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from marlstone.operators import snapshot
 from marlstone.sources import statements as st
 
 
@@ -86,3 +87,47 @@ def test_broken_and_empty_feeds(spark, items, rules):
     rows = spark.createDataFrame([("not json",), ("{}",), (None,), ('{"symbol": "X"}',)], "value string")
     assert st.statement_facts(items(rows), rules).count() == 0
     assert st.statement_facts(items(rows.filter("false")), rules).count() == 0
+
+
+# snapshots
+
+
+def _feeds(spark, rows):
+    return spark.createDataFrame(rows, "symbol string, info map<string,string>, metric map<string,string>, fast map<string,string>")
+
+
+FACTS = "symbol string, report_date string, field_name string, field_value double, period_type string"
+
+
+def test_snapshot_takes_one_feed_and_fills_the_rest(spark):
+    info = {"marketCap": "1000", "bookValue": "4", "trailingEps": "2", "sharesOutstanding": "50", "currentPrice": "20", "regularMarketPrice": "0", "netIncomeToCommon": "30", "debtToEquity": "0", "beta": "NaN", "trailingPE": "x", "operatingCashflow": "100"}
+    feeds = _feeds(spark, [("A", info, {"beta": "9"}, None), ("B", {}, {"beta": "1.5"}, {"market_cap": "7"}), ("C.L", {}, {"beta": "1.5"}, {"market_cap": "7", "shares": "0"}), ("D", None, None, None)])
+    facts = [(s, d, f, v, "quarterly") for s in ("A", "D") for d, f, v in [
+        ("2024-03-31", "total_debt", 6.0), ("2024-03-31", "stockholders_equity", 3.0), ("2024-06-30", "net_income", 5.0), ("2024-06-30", "total_revenue", 20.0), ("2024-06-30", "stockholders_equity", 10.0),
+        ("2024-06-30", "operating_cash_flow", 8.0), ("2024-06-30", "capital_expenditure", -3.0), ("2024-06-30", "basic_eps", 2.0), ("2024-03-31", "diluted_eps", 1.0), ("2024-03-31", "total_revenue", 0.0005),
+        ("2024-06-30", "ebitda", 4.0), ("2024-06-30", "total_assets", 9.0), ("2024-06-30", "total_liabilities", 3.0), ("2024-06-30", "gross_profit", 8.0), ("2024-06-30", "operating_income", 2.0)]]
+    facts += [("D", "2024-09-30", "net_income", 1.0, "annual"), ("D", "2024-06-30", "total_debt", None, "quarterly")]
+    prices = spark.createDataFrame([("A", 20.0), ("D", 12.0)], "symbol string, price double")
+    got = {}
+    for r in snapshot.snapshot_ratios(feeds, spark.createDataFrame(facts, FACTS), prices, spark.createDataFrame([("D", 5.0)], "symbol string, shares double")).collect():
+        got.setdefault(r.symbol, {})[r.field_name] = (r.field_value, r.source)
+    a, d = got["A"], got["D"]
+    assert a["market_cap"] == (1000, "info") and a["dividend_yield"] == (0, "default") and a["book_to_price"] == (0.2, "derived") and a["earnings_to_price"] == (0.1, "derived")
+    assert a["cashflow_to_price"] == (0.1, "derived") and a["roe_computed"] == (30 / 200, "derived")
+    assert a["debt_to_equity"] == (0, "info") and a["debt_to_equity_inv"] == (0.5, "statements")  # of the last quarter with debt and equity
+    assert "beta" not in a and a["pe_ratio_trailing"] == (10, "statements") and a["earnings_growth"] == (1, "statements") and "revenue_growth" not in a
+    assert got["B"] == {"beta": (1.5, "metric")} and got["C.L"] == {"market_cap": (7, "fast")}
+    assert d["shares_outstanding"] == (5, "statements") and d["market_cap"] == (60, "statements") and d["book_value_per_share"] == (2, "statements") and d["price_to_book"] == (6, "statements")
+    assert d["free_cash_flow"] == (5, "statements") and d["total_revenue_ttm"] == (80, "statements") and d["current_ratio"] == (3, "statements") and d["gross_margin"] == (0.4, "statements") and d["operating_margin"] == (0.1, "statements")
+    assert d["return_on_equity"] == (0.5, "statements") and d["profit_margin"] == (0.25, "statements") and d["operating_cash_flow"] == (8, "statements")
+    assert "ev_to_ebitda" not in d and "dividend_yield" not in d
+
+
+def test_snapshot_maps_have_the_surveyed_sizes():
+    assert len(snapshot.INFO) == 28 and len(snapshot.METRIC) == 21 and len(snapshot.FAST) == 4
+
+
+def test_snapshot_of_an_empty_table(spark):
+    none = _feeds(spark, [("A", None, None, None)]).filter("false")
+    facts = spark.createDataFrame([("A", "2024-01-01", "x", 1.0, "quarterly")], FACTS)
+    assert snapshot.snapshot_ratios(none, facts, spark.createDataFrame([("A", 1.0)], "symbol string, price double")).count() == 0
