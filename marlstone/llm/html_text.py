@@ -13,24 +13,31 @@ from pyspark.sql import functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNREAD = frozenset("script style template noscript iframe svg math canvas object head title select option button textarea audio video map dialog".split())
-_BOILERPLATE = frozenset("nav footer aside form menu fieldset label".split())
+_BOILERPLATE = frozenset("nav footer aside menu fieldset label".split())
 _CONTAINERS = frozenset("html body article main section div td blockquote center".split())
-_BLOCKS = _CONTAINERS | _BOILERPLATE | frozenset("p h1 h2 h3 h4 h5 h6 header ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption address hr hgroup details summary".split())
+_BLOCKS = _CONTAINERS | _BOILERPLATE | frozenset("form p h1 h2 h3 h4 h5 h6 header ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption address hr hgroup details summary".split())
 #: What may stand in a head; anything else ends one that was left open.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: An open element that the start of another ends.
 _ENDS = {"p": _BLOCKS - {"td"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Words in class, id or role that mark what isn't the article.
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|footer|sidebar|aside|complementary|contentinfo|banner|ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?"
-    r"|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|sign-up|login|search|share|sharing|social|related|recommended|recommendations|comments?|comment-list|respond|replies|disqus|discussion|popup|modal|overlay|widget|toolbar|pagination|pager|tags|skip-link)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in class, id or role that mark what may not be the article.
+_MARKS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside complementary contentinfo banner ad ads advert adverts advertisement advertising adsense"
+    " sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login search share sharing social related recommended"
+    " recommendations comment comments respond replies disqus discussion popup modal overlay widget toolbar pagination pager tags".split()
 )
+#: What may stand beside such a word in one name (``site-footer``, ``related-posts``); ``has-sidebar`` or ``market-share`` mark nothing.
+_BESIDE = frozenset("site page main global top bottom left right primary secondary post posts article articles blog user reader readers list section area container wrapper wrap box block bar form links link inner outer body buttons button slot unit item items panel row col skip to up sign reply in us".split())
 _PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-])?header(?:$|\s)", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _MAIN = frozenset({"article", "main"})
 #: The same for elements that are an article by their tag: of readers, or of something else.
-_NOT_THE_MAIN = re.compile(r"(?:^|[\s_-])(?:comments?|comment-list|respond|replies|disqus|related|recommended|promo|sponsor(?:ed)?|ads?|adverts?|advertisement)(?:$|[\s_-])", re.IGNORECASE)
+_NOT_THE_MAIN = frozenset("comment comments respond replies disqus related recommended promo sponsor sponsored ad ads advert adverts advertisement".split())
+#: Ends of constructs, with the starts that nothing ends behind the last of them.
+_CLOSED_BY = ((re.compile(r"--!?>"), "<!--"), (re.compile(r"\]>"), "<!["))
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
+#: Characters per tag from which a line counts as prose.
+_PROSE = 20
 _LISTS = frozenset({"table", "ul", "ol", "dl"})
 #: Open elements that the start of a tag ends, by that tag.
 _ENDED_BY: dict[str, list[str]] = {}
@@ -39,15 +46,34 @@ for _ended, _by in _ENDS.items():
         _ENDED_BY.setdefault(_tag, []).append(_ended)
 
 
+def marked_name(names: str, marks: frozenset[str]) -> bool:
+    """Whether one of the names, split at hyphens and underscores, has a word of ``marks`` and otherwise only words that stand beside them."""
+    for name in names.lower().split():
+        words = [w for w in re.split("[_-]+", name) if w]
+        if any(w in marks for w in words) and all(w in marks or w in _BESIDE or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def closed(html: str) -> str:
+    """The page without starts of comments, sections and tags that nothing ends: the parser would look for each one's end anew."""
+    for end, start in _CLOSED_BY:
+        last = max((m.end() for m in end.finditer(html)), default=0)
+        html = html[:last] + html[last:].replace(start, "")
+    last = html.rfind(">") + 1
+    return html[:last] + _TAG_START.split(html[last:], maxsplit=1)[0]
+
+
 @dataclass
 class Line:
-    """A block's text, with its tags, how much of it is in links, and the innermost container around it (-1: none)."""
+    """A block's text, with its tags, how much of it is in links, and the innermost container and innermost marked element around it (-1: none)."""
 
     text: str
     tags: int
     linked: int
     inside: int
     skipped: bool
+    mark: int = -1
 
     @property
     def ratio(self) -> float:
@@ -75,6 +101,9 @@ class _Lines(HTMLParser):
         self.open: list[str] = []
         self.at: dict[str, list[int]] = {}  # places in ``open`` by tag; by kind under "#..."
         self.containers: list[int] = []
+        #: Of every element that its names mark: the one around it; and those that are open.
+        self.mark_parents: list[int] = []
+        self.marks: list[int] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -88,7 +117,7 @@ class _Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.containers[-1] if self.containers else -1, self._last("#skips") >= 0))
+            self.lines.append(Line(text, self.tags, self.linked, self.containers[-1] if self.containers else -1, self._last("#skips") >= 0, self.marks[-1] if self.marks else -1))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _pop_to(self, depth: int) -> None:
@@ -104,6 +133,10 @@ class _Lines(HTMLParser):
         while places and places[-1] >= depth:
             places.pop()
             self.containers.pop()
+        places = self._places("#marked")
+        while places and places[-1] >= depth:
+            places.pop()
+            self.marks.pop()
 
     def _end_head(self) -> None:
         if self._places("head"):
@@ -113,9 +146,7 @@ class _Lines(HTMLParser):
         if tag in ("html", "body"):
             return False
         names = " ".join(attrs.get(k) or "" for k in ("class", "id", "role", "aria-label"))
-        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or "")
-        marks = _NOT_THE_MAIN.search(names) if tag in _MAIN else _MARKS.search(names) or _PAGE_HEADER.search(names)
-        return bool(hidden or marks)
+        return tag == "form" or (marked_name(names, _NOT_THE_MAIN) if tag in _MAIN else marked_name(names, _MARKS) or bool(_PAGE_HEADER.search(names)))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body" or tag not in _IN_HEAD and self.open and self.open[-1] == "head":
@@ -125,8 +156,9 @@ class _Lines(HTMLParser):
         if ended >= 0 and ended >= self._last("#barrier"):
             self._pop_to(ended)
         given = {k: v or "" for k, v in attrs}
+        hidden = "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
         marked = self._marked(tag, given)
-        if tag in _MAIN and not marked and self._places("#skips"):  # an element that was never closed doesn't swallow the article
+        if tag in _MAIN and not marked and not hidden and self._places("#skips"):  # an element that was never closed doesn't swallow the article
             bad = self.at["#skips"][0]
             if self.open[bad] not in _MAIN:
                 self._pop_to(bad)
@@ -149,10 +181,15 @@ class _Lines(HTMLParser):
             self._places("#container").append(place)
         self.open.append(tag)
         self._places(tag).append(place)
+        if marked:
+            number = len(self.mark_parents)
+            self.mark_parents.append(self.marks[-1] if self.marks else -1)
+            self.marks.append(number)
+            self._places("#marked").append(place)
         for kind, is_one in (
             ("#block", tag in _BLOCKS),
             ("#barrier", tag in _CONTAINERS or tag in _LISTS),
-            ("#skips", tag in _BOILERPLATE or tag == "header" and not in_main or marked),
+            ("#skips", tag in _BOILERPLATE or tag == "header" and not in_main or hidden),
             ("#unread", tag in _UNREAD),
         ):
             if is_one:
@@ -182,6 +219,32 @@ class _Lines(HTMLParser):
         self._end_line()
 
 
+def without_marked(lines: list[Line], parents: list[int]) -> None:
+    """Skips the lines in elements that their names mark, but for elements that hold half of the page's text outside links or more, in lines of prose (by their ratio) for the most part.
+
+    A name is a guess: what holds most of a page isn't beside its article.
+    Elements in such a one are judged by themselves.
+    """
+    if not parents:
+        return
+    weight, prose, page = np.zeros(len(parents) + 1), np.zeros(len(parents) + 1), 0
+    for line in lines:
+        if not line.skipped:
+            own = max(0, len(line.text) - line.linked)
+            weight[line.mark] += own
+            prose[line.mark] += own if line.ratio >= _PROSE else 0
+            page += own
+    weight[-1] = prose[-1] = 0
+    for i in range(len(parents) - 1, -1, -1):
+        weight[parents[i]] += weight[i]
+        prose[parents[i]] += prose[i]
+    gone = np.zeros(len(parents) + 1, bool)
+    for i, parent in enumerate(parents):
+        gone[i] = gone[parent] and parent >= 0 or not page or 2 * weight[i] < page or 2 * prose[i] < weight[i]
+    for line in lines:
+        line.skipped |= line.mark >= 0 and bool(gone[line.mark])
+
+
 def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing; at the ends, the weights of what is there."""
     kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma**2))
@@ -235,8 +298,9 @@ def main_text(html: str | None) -> str:
 
     Lines are blocks of the page. Each has a ratio of its text outside links
     to its tags, which is smoothed over its neighbours; lines over the
-    threshold are content. What stands in scripts, forms, menus, headers,
-    footers or elements whose class or id names such things has ratio 0. The
+    threshold are content. What stands in scripts, menus, headers and
+    footers has ratio 0, and so have forms and elements whose class or id
+    names such things, unless they hold half of the page's text, as prose. The
     content decides the regions: all outermost article or main elements that
     hold some, else the innermost container with three quarters of it, from
     its first to its last content line. In the regions, clusters of lines
@@ -248,9 +312,10 @@ def main_text(html: str | None) -> str:
     nothing. The time grows with the page's length, however nested it is.
     """
     parser = _Lines()
-    parser.feed(html or "")
+    parser.feed(closed(html or ""))
     parser.close()
     lines, mains = parser.lines, parser.mains
+    without_marked(lines, parser.mark_parents)
     if not lines:
         return ""
     good = content_lines(lines)

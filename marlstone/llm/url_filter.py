@@ -46,9 +46,10 @@ def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys by which a rule could fit: the host and its parent domains, each with the path's prefixes of the rules' lengths."""
-    labels = F.split(host, r"\.")
+def candidate_keys(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """All keys by which a rule could fit: the host and its parent domains of at most ``labels`` labels, each with the path's prefixes of the rules' lengths."""
+    every = F.split(host, r"\.")
+    labels = F.when(F.size(every) > labels, F.slice(every, -labels, labels)).otherwise(every)
     hosts = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
     heads = F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(heads, lambda p: F.concat(h, p))))
@@ -150,7 +151,8 @@ def url_verdicts(pages: DataFrame, rules: list[UrlRule], default: str = ALLOW, m
     A rule fits its host and all subdomains where the path starts with the
     rule's path; the longest fitting rule wins (of equally long ones, the
     first in string order). No rule: null ``rule`` and the ``default``
-    verdict. The key universe is every candidate key of every row, so
+    verdict. The key universe is every candidate key of every row (parent
+    domains with no more labels than a rule's host has, however many the host has), so
     membership is exact for each of them; the filters (about ``max_keys`` keys
     at most) are the only thing sent to all tasks. A longer rule list is
     joined by key instead. Every row is judged alone, repeated ones too. Null or odd urls have empty host and path and take
@@ -159,15 +161,15 @@ def url_verdicts(pages: DataFrame, rules: list[UrlRule], default: str = ALLOW, m
     """
     keyed = with_host_and_path(pages)
     verdict_of = {r.key: r.verdict for r in sorted(rules, key=lambda r: r.verdict)}
-    lengths = sorted({len(r.path) for r in rules})
+    lengths, labels = sorted({len(r.path) for r in rules}), max((r.host.count(".") + 1 for r in rules), default=1)
     if not rules:
         return keyed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     keys, side, best = (_fresh(keyed, c) for c in ("_keys", "_sides", "_best"))
-    keyed = keyed.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths))
+    keyed = keyed.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths, labels))
     if len(rules) > max_keys:
         return _by_join(keyed, verdict_of, default, keys, best)
     seen = with_host_and_path(pages.select("url")).select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
-    universe = checkpointed(seen.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct())
+    universe = checkpointed(seen.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths, labels)).alias("key")).distinct())
     cascades = [build_cascade(sorted(k for k, v in verdict_of.items() if v == side), universe, max_keys) for side in (ALLOW, BLOCK)]
 
     @F.arrow_udf("array<tinyint>")

@@ -375,3 +375,12 @@ def test_toxicity_without_labels(spark, odd_docs, no_docs):
     model = fit_toxicity(odd_docs, spark.createDataFrame([], "doc_id long, label int"))
     assert {r.predicted for r in toxicity_scores(odd_docs, model).collect()} == {0}
     assert toxicity_scores(no_docs, model).count() == 0
+
+
+def test_urls_with_very_many_labels(spark):
+    rules = [UrlRule("block", "b.c", "/"), UrlRule("allow", "a.b.c", "/x"), UrlRule("block", "d", "/")]
+    hosts = ["l." * 20_000 + "b.c", "l." * 20_000 + "a.b.c", "l." * 20_000 + "d", "c", "b.c", "xb.c", "." * 50, "l." * 5000]
+    start = time.perf_counter()
+    got = [(r.rule, r.verdict) for r in url_verdicts(spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "i long, url string"), rules).orderBy("i").collect()]
+    assert got == [("b.c/", "block"), ("a.b.c/x", "allow"), ("d/", "block"), (None, "allow"), ("b.c/", "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    assert time.perf_counter() - start < 60
