@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,11 @@ from marlstone.operators import snapshot
 from marlstone.plans import views
 from marlstone.plans.queries import query, r6
 from marlstone.plans.views import with_views
+from marlstone.session import shared_folder
+from marlstone.sources import archive
 from marlstone.sources import statements as st
+from marlstone.sources.tables import load
+from marlstone.streaming.incremental import IncrementalStore, latest_facts, run_metrics
 
 # ---------------------------------------------------------------- statements
 
@@ -113,3 +119,63 @@ def snapshot_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = views.statement_facts(spark, sf_dir).withColumn("period_type", F.lit("quarterly"))
     prices = views.prices_by_day(spark, sf_dir).groupBy("symbol").agg(F.max_by("px", "day").alias("price"))
     return snapshot.snapshot_ratios(feeds, facts, prices).select("symbol", "field_name", r6("field_value"), "source")
+
+
+# ---------------------------------------------------------------- incremental loads
+
+_RUNS = """WITH e AS (SELECT event_id, event_type AS source, ts::DATE AS day, value, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS v FROM events),
+one AS (SELECT *, CASE WHEN v IS NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM e WHERE day < DATE '2024-01-16'),
+mark AS (SELECT source, max(day) AS m FROM one WHERE status = 'SUCCESS' GROUP BY 1),
+two AS (SELECT e.*, CASE WHEN v IS NULL THEN 'FAILED' WHEN day < m - 5 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status FROM e LEFT JOIN mark USING (source) WHERE day >= DATE '2024-01-06'),
+logged AS (SELECT '0' AS run_id, source, status, day, event_id FROM one UNION ALL SELECT '1', source, status, day, event_id FROM two)
+"""
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> IncrementalStore:
+    """A store after two runs: the first days of the events, then later ones and some of the first again."""
+    folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
+    e = load(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source"), F.to_date("ts").alias("day"), F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value"))
+    store = IncrementalStore(spark, f"{folder}/store", e.schema, ["source"], "day")
+    for part in (e.filter("day < DATE '2024-01-16'"), e.filter("day >= DATE '2024-01-06'")):
+        part.write.mode("append").parquet(f"{folder}/input")
+        store.run(f"{folder}/input", lambda: F.col("value").isNotNull())
+    return store
+
+
+@query(_RUNS + "SELECT run_id, source, status, count(*) AS rows_affected, min(day) AS date_range_start, max(day) AS date_range_end, 'daily' AS run_frequency, min(CASE WHEN status = 'FAILED' THEN 'invalid row: ' END) AS error_head FROM logged GROUP BY 1, 2, 3")
+def incremental_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log of two incremental runs over growing input."""
+    log = _two_runs(spark, sf_dir).log()
+    return log.select("run_id", "source", "status", "rows_affected", "date_range_start", "date_range_end", "run_frequency", F.substring("error_message", 1, 13).alias("error_head"))
+
+
+@query(
+    _RUNS
+    + """, kept AS (SELECT source, count(DISTINCT event_id) AS facts, round(sum(DISTINCT event_id)) AS ids FROM logged WHERE status = 'SUCCESS' GROUP BY 1),
+m AS (SELECT source, count(DISTINCT run_id || status) AS entries, count(*) FILTER (status = 'SUCCESS') AS loaded, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status = 'FAILED') AS failed,
+  round(100 * count(*) FILTER (status = 'SUCCESS') / count(*), 1) AS pct_loaded, max(day) FILTER (status = 'SUCCESS') AS last_success FROM logged GROUP BY 1)
+SELECT source, facts, ids::BIGINT AS ids, entries, loaded, skipped, failed, pct_loaded, last_success FROM kept JOIN m USING (source)"""
+)
+def incremental_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source after two runs: facts (each once), watermark, and rows loaded, skipped and failed."""
+    store = _two_runs(spark, sf_dir)
+    facts = latest_facts(store.facts(), ["event_id"]).groupBy("source").agg(F.count("*").alias("facts"), F.sum("event_id").alias("ids"))
+    return facts.join(run_metrics(store.log(), ["source"]), "source").join(store.watermarks(), "source")
+
+
+# ---------------------------------------------------------------- archive
+
+
+@query(
+    """SELECT event_type, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total, round(min(value), 6) AS least FROM events
+WHERE (props->>'$.k')::DOUBLE >= 50 AND event_type IN ('click', 'purchase') AND event_id % 50 <> 0 GROUP BY 1"""
+)
+def archive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents without a schema, inserted, found by conditions on paths and read back; not finite values are null and satisfy nothing."""
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    e = load(spark, sf_dir, "events")
+    k = F.when(F.col("event_id") % 50 == 0, F.lit('{"k": NaN}')).otherwise(F.col("props"))
+    text = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "note": "NaN, \\"Infinity\\"", "value": '), F.col("value").cast("string"), F.lit(', "props": '), k, F.lit("}"))
+    archive.insert(e.select("event_id", text.alias("value")), folder)
+    found = archive.find(spark, folder, {"props.k": {"$gte": 50}, "type": {"$in": ["click", "purchase"]}, "note": 'NaN, "Infinity"', "missing": {"$exists": False}})
+    return found.groupBy(archive.at("type", "string").alias("event_type")).agg(F.count("*").alias("n"), F.sum(archive.at("props.k", "long")).alias("total"), r6(F.min(archive.at("value", "double")), "least"))
