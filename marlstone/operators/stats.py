@@ -110,6 +110,23 @@ def permutation_gap(series: DataFrame, ret: str, group: str, first: str, second:
     return both.groupBy(F.col("seen").alias("gap")).agg((F.count_if(F.abs("gap") >= F.abs("seen")) / F.count("*")).alias("p_value"), F.count("*").alias("rounds"))
 
 
+def sign_flips(series: DataFrame, value: str, by: Sequence[str], on: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """(by, mean, p_value): whether a mean differs from 0, by flipping the signs of rows at random.
+
+    A row's sign in a round is the last bit of a digest of its number, the round
+    and the seed. p counts the rounds whose mean is at least as far from 0, and the
+    observed one, so it is never 0. Rounds are spread over tasks; a sum comes back for each.
+    """
+    rows = series.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(on)))
+    thrown = rows.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    digest = F.md5(F.concat_ws("-", *[F.col(b).cast("string") for b in by], F.col("_i").cast("string"), F.col("_round").cast("string"), F.lit(str(seed))).cast("binary"))
+    flip = F.conv(F.substring(digest, 32, 1), 16, 10).cast("int") % 2 == 1
+    means = thrown.groupBy(*by, "_round").agg(F.avg(F.when(flip, -F.col(value)).otherwise(F.col(value))).alias("_m"))
+    seen = rows.groupBy(*by).agg(F.avg(value).alias("mean"))
+    far = F.round(F.abs("_m"), 12) >= F.round(F.abs("mean"), 12)
+    return means.join(seen, list(by)).groupBy(*by, "mean").agg(((F.count_if(far) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
 def cpcv_splits(n_dates: DataFrame, on: str, groups: int = 12, purge: int = 2, embargo: int = 1) -> DataFrame:
     """Combinatorial splits with two test groups: (split, g1, g2, date number, role).
 

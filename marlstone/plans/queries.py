@@ -1089,30 +1089,59 @@ def probabilistic_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LUCK = stats.luckiest_sharpe(15)
 
 
+_THRESHOLDS = (0.0, 0.5, 1.0)
+
+
 @query(
     with_views(
         _MOMENTS
-        + f""", zs AS (SELECT *, CASE WHEN n >= 10 THEN (sr - {_LUCK!r} / sqrt(12)) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (k - 1) / 4 * sr * sr, 1e-12)) END AS z FROM m)"""
+        + f""", asked(label, threshold) AS (VALUES ('p0', 0.0), ('p1', 0.5), ('p2', 1.0), ('deflated', {_LUCK!r})),
+zs AS (SELECT strategy, label, CASE WHEN n >= 10 THEN (sr - threshold / sqrt(12)) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (k - 1) / 4 * sr * sr, 1e-12)) END AS z FROM m, asked)"""
         + NORMAL_SQL
-        + f""", nav AS (SELECT strategy, month, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY month)) AS nav FROM strategy_returns),
-dd AS (SELECT strategy, min(d) AS d FROM (SELECT strategy, nav / max(nav) OVER (PARTITION BY strategy ORDER BY month) - 1 AS d FROM nav) GROUP BY 1),
-a AS (SELECT strategy, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 AS a FROM strategy_returns GROUP BY 1)
-SELECT strategy, n, round(a, 6) AS ann_return, round(d, 6) AS max_drawdown, round(a / abs(d), 6) AS calmar, round(sr * sqrt(12), 6) AS sharpe,
-  round({_LUCK!r}, 6) AS threshold, round(p, 6) AS deflated_sharpe
-FROM zs JOIN dd USING (strategy) JOIN a USING (strategy) LEFT JOIN cdf USING (z)""",
+        + f""", psr AS (SELECT strategy, max(p) FILTER (label = 'p0') AS p0, max(p) FILTER (label = 'p1') AS p1, max(p) FILTER (label = 'p2') AS p2, max(p) FILTER (label = 'deflated') AS deflated FROM zs LEFT JOIN cdf USING (z) GROUP BY 1),
+nav AS (SELECT strategy, month, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY month)) AS nav FROM strategy_returns),
+dd AS (SELECT strategy, month, nav / max(nav) OVER (PARTITION BY strategy ORDER BY month) - 1 AS drawdown FROM nav),
+t AS (SELECT strategy, min(drawdown) AS d, arg_min(month, drawdown) AS trough, max(month) AS e FROM dd GROUP BY 1),
+dur AS (SELECT strategy, any_value(d) AS d, datediff('month', trough, coalesce(min(dd.month) FILTER (dd.month > trough AND drawdown >= -1e-8), any_value(e)))::INTEGER AS months FROM t JOIN dd USING (strategy) GROUP BY strategy, trough),
+a AS (SELECT strategy, exp(sum(ln(1 + r)) * 12 / count(*)) - 1 AS a, stddev_samp(r) * sqrt(12) AS vol, avg(r) * sqrt(12) / stddev_samp(r) FILTER (r < 0) AS sortino, avg((r > 0)::DOUBLE) AS hit, max(r) AS best, min(r) AS worst FROM strategy_returns GROUP BY 1),
+ex AS (SELECT strategy, CASE WHEN stddev_samp(r - rf) > 1e-12 THEN avg(r - rf) / stddev_samp(r - rf) * sqrt(12) ELSE 0 END AS excess FROM strategy_returns JOIN factors ON last_day(month) = month_end GROUP BY 1),
+q AS (SELECT strategy, quantile_cont(r, 0.01) AS q, count(*) AS n FROM strategy_returns GROUP BY 1),
+tail AS (SELECT strategy, -any_value(q) AS var, -avg(r) FILTER (r <= q) AS es, any_value(q.n) AS n FROM strategy_returns JOIN q USING (strategy) GROUP BY 1),
+rows AS (SELECT strategy, r, r - bench AS active, row_number() OVER (PARTITION BY strategy ORDER BY month) AS i FROM strategy_returns),
+size AS (SELECT strategy, count(*) AS n FROM rows GROUP BY 1),
+draw AS (SELECT strategy, p.path, (('0x' || md5(concat_ws('-', p.path, k.k // 3, 42))[1:12])::BIGINT % n + k.k % 3) % n + 1 AS i FROM size, (SELECT unnest(range(2000)) AS path) p, (SELECT unnest(range((SELECT max(n) FROM size))) AS k) k WHERE k.k < n),
+sharpes AS (SELECT strategy, path, avg(r) / stddev_samp(r) * sqrt(12) AS s FROM draw JOIN rows USING (strategy, i) GROUP BY 1, 2),
+boot AS (SELECT strategy, quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM sharpes GROUP BY 1),
+flips AS (SELECT strategy, round, avg(CASE WHEN ('0x' || md5(concat_ws('-', strategy, i, round, 42))[32:32])::INTEGER % 2 = 1 THEN -active ELSE active END) AS m FROM rows, (SELECT unnest(range(1, 2001)) AS round) x WHERE active IS NOT NULL GROUP BY 1, 2),
+flipped AS (SELECT strategy, (count(*) FILTER (round(abs(m), 12) >= round(abs(mean), 12)) + 1) / (count(*) + 1) AS p_value, any_value(mean) AS mean FROM flips JOIN (SELECT strategy, avg(active) AS mean FROM rows GROUP BY 1) USING (strategy) GROUP BY 1)
+SELECT strategy, m.n, round(a, 6) AS ann_return, round(vol, 6) AS ann_vol, round(sr * sqrt(12), 6) AS sharpe, round(excess, 6) AS excess_sharpe, round(low, 6) AS sharpe_low, round(high, 6) AS sharpe_high, round(sortino, 6) AS sortino,
+  round(a / abs(d), 6) AS calmar, round(d, 6) AS max_drawdown, months AS drawdown_months, round(sk, 6) AS skew, round(k, 6) AS excess_kurtosis, round(CASE WHEN tail.n >= 30 THEN var ELSE 0.02 END, 6) AS var_99, round(CASE WHEN tail.n >= 30 THEN es ELSE 0.025 END, 6) AS es_99,
+  round(hit, 6) AS hit_rate, best, worst, round(p0, 6) AS psr_0, round(p1, 6) AS psr_0_5, round(p2, 6) AS psr_1, round({_LUCK!r}::DOUBLE, 6) AS threshold, round(deflated, 6) AS deflated_sharpe,
+  round(mean * 12, 6) AS active_return, round(p_value, 6) AS active_p_value
+FROM m JOIN psr USING (strategy) JOIN dur USING (strategy) JOIN a USING (strategy) JOIN ex USING (strategy) JOIN tail USING (strategy) JOIN boot USING (strategy) JOIN flipped USING (strategy)""",
         "strategy_returns",
+        "factors",
     )
 )
 def inference_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per strategy: return, drawdown, Calmar ratio, and its Sharpe ratio deflated by 15 trials."""
+    """Per strategy all figures with what they are worth: resampled interval of the Sharpe ratio, its probability beyond thresholds and luck, and a sign-flip test of the active return."""
     series = views.strategy_returns(spark, sf_dir)
     m = stats.performance(series, "r", ["strategy"])
-    deepest = ts.drawdowns(series, "r", ["strategy"], "month").groupBy("strategy").agg(F.min("drawdown").alias("max_drawdown"))
+    falls = ts.drawdown_durations(series, "r", ["strategy"], "month")
+    riskless = series.withColumn("month_end", F.last_day("month")).join(_factors(spark, sf_dir).select("month_end", "rf"), "month_end").withColumn("x", F.col("r") - F.col("rf"))
+    excess = stats.performance(riskless, "x", ["strategy"]).select("strategy", F.col("sharpe").alias("excess_sharpe"))
+    tails = pf.tail_risk(series, "r", ["strategy"], confidence=0.99).select("strategy", F.col("var").alias("var_99"), F.col("es").alias("es_99"))
+    spread = stats.bootstrap_sharpe(series, "r", ["strategy"], "month", block=3, paths=2000).select("strategy", F.col("low").alias("sharpe_low"), F.col("high").alias("sharpe_high"))
+    active = stats.sign_flips(series.withColumn("active", F.col("r") - F.col("bench")), "active", ["strategy"], "month").select("strategy", (F.col("mean") * 12).alias("active_return"), F.col("p_value").alias("active_p_value"))
+    whole = m
+    for part in (falls, excess, tails, spread, active):
+        whole = whole.join(part, "strategy")
     a_month = F.col("sharpe") / 12**0.5
-    deflated = stats.probabilistic_sharpe(a_month, F.lit(_LUCK / 12**0.5), F.col("n"), F.col("skew"), F.col("excess_kurtosis"))
-    return m.join(deepest, "strategy").select(
-        "strategy", "n", r6("ann_return"), r6("max_drawdown"), r6(stats.calmar(F.col("ann_return"), F.col("max_drawdown")), "calmar"), r6("sharpe"),
-        r6(F.lit(_LUCK), "threshold"), r6(deflated, "deflated_sharpe"),
+    beyond = lambda x: stats.probabilistic_sharpe(a_month, F.lit(x / 12**0.5), F.col("n"), F.col("skew"), F.col("excess_kurtosis"))
+    return whole.select(
+        "strategy", "n", *map(r6, ("ann_return", "ann_vol", "sharpe", "excess_sharpe", "sharpe_low", "sharpe_high", "sortino")), r6(stats.calmar(F.col("ann_return"), F.col("max_drawdown")), "calmar"), r6("max_drawdown"),
+        F.col("duration_months").alias("drawdown_months"), *map(r6, ("skew", "excess_kurtosis", "var_99", "es_99", "hit_rate")), "best", "worst",
+        *[r6(beyond(x), f"psr_{x:g}".replace(".", "_")) for x in _THRESHOLDS], r6(F.lit(_LUCK), "threshold"), r6(beyond(_LUCK), "deflated_sharpe"), r6("active_return"), r6("active_p_value"),
     )
 
 

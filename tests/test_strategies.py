@@ -324,3 +324,18 @@ def test_capacity(spark):
     liquid = spark.createDataFrame([("a", 1e-9, 5.0), ("b", 4e-9, 5.0), ("c", 1e-3, 5.0), ("d", None, 5.0)], "symbol string, illiquidity double, adv double")
     row = stats.capacity(stats.capacity_frame(book, liquid, "weight", ["symbol"]), "weight", "illiquidity", ["month"]).first()
     assert row.max_aum == pytest.approx(15 / (0.5 * 4e-9 * 1e4)) and row.n_stocks == 2 and row.median_illiquidity == 4e-9
+
+
+def test_sign_flips_match_a_loop(spark):
+    import hashlib
+
+    rng = random.Random(13)
+    data = {"x": [rng.gauss(0.3, 1) for _ in range(30)], "y": [rng.gauss(0, 1) for _ in range(20)] + [None]}
+    rows = [(s, i, v) for s, vs in data.items() for i, v in enumerate(vs)]
+    got = {r.s: r for r in stats.sign_flips(spark.createDataFrame(rows, "s string, i int, v double"), "v", ["s"], "i", rounds=50).collect()}
+    for s, values in data.items():
+        values, count = [v for v in values if v is not None], 0
+        for k in range(1, 51):
+            signs = [-1 if int(hashlib.md5(f"{s}-{i}-{k}-42".encode()).hexdigest()[31], 16) % 2 else 1 for i in range(1, len(values) + 1)]
+            count += abs(np.mean(np.multiply(signs, values))) >= abs(np.mean(values)) - 1e-12
+        assert got[s].p_value == pytest.approx((count + 1) / 51) and got[s]["mean"] == pytest.approx(np.mean(values))
