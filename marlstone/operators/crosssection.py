@@ -133,6 +133,12 @@ def legs(df: DataFrame, score: str, by: Sequence[str], share: float = 0.2, band:
     )
 
 
+def absolute_momentum(legs: DataFrame, momentum: str, long: Sequence[str] = ("long_core", "long_band")) -> DataFrame:
+    """Long membership only where momentum is known and above 0."""
+    rises = F.coalesce(F.col(momentum) > 0, F.lit(False))
+    return legs.withColumns({c: F.col(c) & rises for c in long})
+
+
 def held_members(df: DataFrame, core: str, stay: str, by: Sequence[str], on: str, name: str) -> DataFrame:
     """Membership with hysteresis: in from a date in the core until the first date that isn't in the band.
 

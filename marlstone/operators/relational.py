@@ -31,6 +31,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def latest_rows(df: DataFrame, keys: Sequence[str], on: str, n: int) -> DataFrame:
+    """The ``n`` rows of every key with the largest ``on``; a limited rank, so a key sends few rows from each task."""
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(on).desc()))
+    return df.withColumn("_back", back).filter(F.col("_back") <= n).drop("_back")
+
+
 def point_in_time(facts: DataFrame, keys: Sequence[str], on: str, order: Sequence[str], as_of: Sequence[date], lag_days: int = 0) -> DataFrame:
     """For every date of ``as_of``, each key's latest fact dated at most ``lag_days`` before it.
 

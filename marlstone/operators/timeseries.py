@@ -135,3 +135,10 @@ def trailing_z(series: DataFrame, value: str, by: Sequence[str], on: str, rows:
     w = Window.partitionBy(*by).orderBy(on).rowsBetween(-(rows - 1), 0)
     z = (F.col(value) - F.avg(value).over(w)) / F.greatest(F.stddev_samp(value).over(w), F.lit(1e-6))
     return series.withColumn(name, F.when(F.count(value).over(w) > more_than, z))
+
+
+def quarters(span: DataFrame, first: str, last: str) -> DataFrame:
+    """(quarter_start, quarter_end, middle) of every calendar quarter between the dates of one row."""
+    starts = F.explode(F.sequence(F.trunc(first, "quarter"), F.trunc(last, "quarter"), F.expr("interval 3 months")))
+    out = span.select(starts.alias("quarter_start")).withColumn("quarter_end", F.last_day(F.add_months("quarter_start", 2)))
+    return out.withColumn("middle", F.date_add("quarter_start", F.floor(F.datediff("quarter_end", "quarter_start") / 2).cast("int")))

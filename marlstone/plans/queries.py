@@ -1543,4 +1543,4 @@ def static_or_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, returns).select("variant", "n", r6("sharpe_net"), r6("max_dd"), r6("info_ratio"), r6("mean_monthly"), r6("vol"))
 
 
-from marlstone.plans import feeds, strategies  # noqa: E402, F401 (they register their queries)
+from marlstone.plans import feeds, reports, strategies  # noqa: E402, F401 (they register their queries)

@@ -67,3 +67,19 @@ def info_ratios(raw: DataFrame, fields: dict[str, str], key: str = "symbol", inf
     """A map of snapshot fields as rows: key, field_name, field_value; what isn't a finite number is left out."""
     pairs = F.array(*[F.struct(F.lit(name).alias("field_name"), safe_float(F.element_at(info, F.lit(given))).alias("field_value")) for given, name in fields.items()])
     return raw.select(key, F.explode(pairs).alias("p")).select(key, "p.*").filter("field_value is not null")
+
+
+def event_articles(raw: DataFrame, text: str = "value") -> DataFrame:
+    """Articles of an event feed ({title, seendate: 20240131T120000Z, domain, url, language, sourcecountry}): those in English or of no language, with a title."""
+    a = F.from_json(text, "title string, seendate string, domain string, url string, language string, sourcecountry string")
+    out = raw.withColumn("_a", a).filter(F.coalesce(F.lower("_a.language"), F.lit("")).isin("", "english") & (F.coalesce("_a.title", F.lit("")) != ""))
+    seen = F.try_to_timestamp("_a.seendate", F.lit("yyyyMMdd'T'HHmmss'Z'"))
+    return out.select("*", F.col("_a.title").alias("title"), F.coalesce("_a.domain", F.lit("")).alias("publisher"), seen.alias("published"), F.coalesce("_a.url", F.lit("")).alias("link")).drop("_a")
+
+
+def listed_articles(raw: DataFrame, text: str = "value") -> DataFrame:
+    """Articles of a listing feed ({title, publishedAt, source: {name}, url}): those whose title isn't blank or removed."""
+    a = F.from_json(text, "title string, publishedAt string, source struct<name: string>, url string")
+    title = F.trim(F.coalesce(a["title"], F.lit("")))
+    out = raw.withColumns({"_a": a, "title": title}).filter(~F.col("title").isin("", "[Removed]"))
+    return out.select("*", F.coalesce("_a.source.name", F.lit("unknown")).alias("publisher"), F.try_to_timestamp("_a.publishedAt").alias("published"), F.coalesce("_a.url", F.lit("")).alias("link")).drop("_a")
