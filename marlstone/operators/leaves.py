@@ -155,7 +155,7 @@ def leg_weights(returns: DataFrame, by: Sequence[str], symbol: str, on: str, ret
         wide = group.pivot_table(index=on, columns=symbol, values=ret).sort_index()
         wide = wide.loc[:, wide.notna().sum() >= least].fillna(0.0)
         if wide.shape[1] == 0:
-            return pd.DataFrame({**{b: [] for b in by}, symbol: [], "weight": []})
+            return group.iloc[:0][[*by, symbol]].assign(weight=0.0)
         x = wide.to_numpy(float)
         if method == "risk_parity":
             w = risk_parity_tree(x)
@@ -168,14 +168,21 @@ def leg_weights(returns: DataFrame, by: Sequence[str], symbol: str, on: str, ret
 
 
 def leg_covariances(returns: DataFrame, by: Sequence[str], symbol: str, on: str, ret: str, least: int = 20) -> DataFrame:
-    """(by, a, b, covariance, edge, noise): the denoised covariance of each group's names (a <= b), the noise edge and how many eigenvalues lie below it."""
+    """(by, a, b, covariance, edge, noise): the denoised covariance of each group's names (a <= b), the noise edge and how many eigenvalues lie below it.
+
+    A group's only name has its variance and no edge; names with too few rows are left out.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         wide = group.pivot_table(index=on, columns=symbol, values=ret).sort_index()
         wide = wide.loc[:, wide.notna().sum() >= least].fillna(0.0)
-        if wide.shape[1] < 2:
-            return pd.DataFrame({**{b: [] for b in by}, "a": [], "b": [], "covariance": [], "edge": [], "noise": []})
-        cov, edge, noise = denoised_covariance(wide.to_numpy(float))
+        if wide.shape[1] == 0:
+            none = group.iloc[:0]
+            return none[[*by]].assign(a=none[symbol], b=none[symbol], covariance=0.0, edge=0.0, noise=0)
+        if wide.shape[1] == 1:  # nothing to be correlated with
+            cov, edge, noise = np.array([[wide.to_numpy(float).var(ddof=1)]]), np.nan, 0
+        else:
+            cov, edge, noise = denoised_covariance(wide.to_numpy(float))
         i, j = np.triu_indices(len(cov))
         names = wide.columns.to_numpy()
         return pd.DataFrame({**{b: group[b].iloc[0] for b in by}, "a": names[i], "b": names[j], "covariance": cov[i, j], "edge": edge, "noise": noise})

@@ -248,6 +248,15 @@ def test_leg_weights_against_direct_solutions(spark):
     assert len(rows) == 10 and all(r.covariance == pytest.approx(want[int(r.a), int(r.b)]) for r in rows)
 
 
+def test_legs_of_one_name_or_none(spark):
+    rows = [("one", t, "a", float(t % 3)) for t in range(30)] + [("few", t, "b", 1.0) for t in range(5)]
+    df = spark.createDataFrame(rows, "sector string, t int, name string, r double")
+    got = leaves.leg_covariances(df, ["sector"], "name", "t", "r").collect()
+    assert [(r.sector, r.a, r.b, r.noise) for r in got] == [("one", "a", "a", 0)] and got[0].covariance == pytest.approx(np.var([t % 3 for t in range(30)], ddof=1))
+    for method in ("minimum_variance", "denoised", "risk_parity"):
+        assert [tuple(r) for r in leaves.leg_weights(df, ["sector"], "name", "t", "r", method=method).collect()] == [("one", "a", 1.0)]
+
+
 def test_capped_weights_match_a_loop(spark):
     for w in ([0.5, 0.3, 0.2], [0.9, 0.04, 0.03, 0.03], [0.04] * 25):
         df = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(w)], "g string, i int, w double")
