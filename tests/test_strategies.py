@@ -257,6 +257,70 @@ def test_legs_of_one_name_or_none(spark):
         assert [tuple(r) for r in leaves.leg_weights(df, ["sector"], "name", "t", "r", method=method).collect()] == [("one", "a", 1.0)]
 
 
+def _plain_risk_parity(x):
+    n, cov = x.shape[1], np.cov(x, rowvar=False)
+    distance = np.round((1 - np.corrcoef(x, rowvar=False)) / 2, 12)
+    clusters = [[i] for i in range(n)]
+    while len(clusters) > 1:
+        _, i, j = min((distance[np.ix_(a, b)].min(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
+        clusters[i] = clusters[i] + clusters.pop(j)
+    weights, todo = np.ones(n), [clusters[0]]
+    while todo:
+        part = todo.pop()
+        if len(part) > 1:
+            halves = part[: len(part) // 2], part[len(part) // 2 :]
+            own = [1 / np.diag(cov)[h] / (1 / np.diag(cov)[h]).sum() for h in halves]
+            risk = [w @ cov[np.ix_(h, h)] @ w for w, h in zip(own, halves)]
+            for h, other in zip(halves, risk[::-1]):
+                weights[h] *= other / sum(risk)
+            todo += halves
+    return weights
+
+
+def test_legs_in_blocks_match_whole_matrices(spark, monkeypatch):
+    """More names than dates, in many blocks, with copies; gaps count as 0."""
+    monkeypatch.setattr(leaves, "_BLOCK", 7)
+    monkeypatch.setattr(leaves, "_PAIRS", 5)
+    rng = np.random.default_rng(12)
+    x, _ = _one_factor(rng, 25, 40)
+    x[:, 30:33] = x[:, 3:6]
+    x[4, 7] = 0.0
+    rows = [(g, t, 100 + i, float(x[t, i])) for g, names in (("a", 40), (None, 3)) for t in range(25) for i in range(names) if (t, i) != (4, 7)]
+    df = spark.createDataFrame(rows, "sector string, t int, name int, r double")
+    for g, names in (("a", 40), (None, 3)):
+        own, cov = x[:, :names], leaves.denoised_covariance(x[:, :names])
+        for method, want in (("minimum_variance", leaves.minimum_variance(own, 0.5)), ("denoised", leaves.minimum_variance(own, 0.5, covariance=lambda y: leaves.denoised_covariance(y)[0])), ("risk_parity", _plain_risk_parity(own))):
+            got = {r.name: r.weight for r in leaves.leg_weights(df, ["sector"], "name", "t", "r", method=method, cap=0.5).collect() if r.sector == g}
+            assert [got[100 + i] for i in range(names)] == pytest.approx(list(want), abs=1e-9)
+        pairs = {(r.a, r.b): r for r in leaves.leg_covariances(df, ["sector"], "name", "t", "r").collect() if r.sector == g}
+        assert pairs.keys() == {(100 + i, 100 + j) for i in range(names) for j in range(i, names)}
+        assert all(r.covariance == pytest.approx(cov[0][a - 100, b - 100], abs=1e-9) and r.edge == pytest.approx(cov[1]) and r.noise == cov[2] for (a, b), r in pairs.items())
+
+
+def test_legs_hold_no_matrix_of_names():
+    """Tasks of a leg hold rows of names and sums of dates, so that 20,000 names (a matrix of 3.2 GB) are weighed in a few hundred MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    x, z = leaves._normalised(rng.normal(size=(20_000, 30)))
+    tracemalloc.start()
+    found = leaves.moments(x.T @ x, z.T @ z, len(x))
+    load = z @ found["basis"]
+    own = np.full(len(x), found["floor"])
+    assert leaves.largest_eigenvalue(own, load) >= found["floor"]
+    w = leaves._descended(len(x), lambda w: own * w + load @ (w @ load), leaves.largest_eigenvalue(own, load), 0.25, rounds=5)
+    assert w.sum() == pytest.approx(1) and leaves.bisected(x, np.arange(len(x))).sum() == pytest.approx(1)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_largest_eigenvalue_without_the_matrix():
+    rng = np.random.default_rng(14)
+    for n, k in ((1, 1), (6, 2), (40, 3), (5, 0)):
+        own, load = rng.uniform(0.1, 2, n), rng.normal(size=(n, k))
+        assert leaves.largest_eigenvalue(own, load) == pytest.approx(np.linalg.eigvalsh(np.diag(own) + load @ load.T)[-1])
+
+
 def test_capped_weights_match_a_loop(spark):
     for w in ([0.5, 0.3, 0.2], [0.9, 0.04, 0.03, 0.03], [0.04] * 25):
         df = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(w)], "g string, i int, w double")
