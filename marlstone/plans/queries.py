@@ -558,25 +558,30 @@ turn AS (SELECT coalesce(a.k, b.k + 1) AS k, sum(abs(coalesce(a.weight, 0) - coa
 _PANEL_VIEWS = ("returns", "universe", "ratio_facts", "statement_facts", "sentiment_facts")
 
 
+#: What a book earns; a missing return counts as 0.
+_PAID = F.sum(F.col("weight") * F.coalesce("y", F.lit(0.0))).alias("port_ret")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, month, sector, momentum, value, quality, sentiment): z values by month and sector of what was known then."""
-    prices = _returns(spark, sf_dir).join(views.universe(spark, sf_dir), "symbol").select("symbol", "month", "sector", "px", "momentum")
+    """(symbol, month, sector, y, momentum, value, quality, sentiment): z values by month and sector of what was known then, and the next month's return."""
+    ahead = F.lead("ret").over(Window.partitionBy("symbol").orderBy("month")).alias("y")
+    prices = _returns(spark, sf_dir).select("symbol", "month", "px", "momentum", ahead).join(views.universe(spark, sf_dir), "symbol").select("symbol", "month", "sector", "px", "momentum", "y")
     facts = (f(spark, sf_dir) for f in (views.ratio_facts, views.statement_facts, views.sentiment_facts))
     last = load(spark, sf_dir, "lineitem").agg(F.trunc(F.max("l_shipdate"), "MM"))
     raw = factors.factor_panel(prices, *facts, last).filter("momentum is not null")
-    return xs.zscored(xs.winsorised(raw, _FOUR, ["month", "sector"]), _FOUR, ["month", "sector"]).select("symbol", "month", "sector", *_FOUR)
+    return xs.zscored(xs.winsorised(raw, _FOUR, ["month", "sector"]), _FOUR, ["month", "sector"]).select("symbol", "month", "sector", "y", *_FOUR)
 
 
 def _composites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xs.composite(_scores(spark, sf_dir), _WEIGHTS, ["month"]).withColumn("composite", F.round("composite", 9))
 
 
-def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _book(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     side = F.when(F.col("long_core"), 1).when(F.col("short_core"), -1)
     marked = xs.legs(_composites(spark, sf_dir), "composite", ["month"]).withColumn("side", side)
     book = pf.score_weights(marked, "composite", "side", ["month"])
     # months have no gaps, so they can be numbered by the calendar
-    return book.select("symbol", "month", (F.year("month") * 12 + F.month("month")).alias("k"), "sector", "composite", "weight")
+    return book.select("symbol", "month", (F.year("month") * 12 + F.month("month")).alias("k"), "sector", "composite", "weight", *more)
 
 
 @query(with_views(_FLAGSHIP + "SELECT symbol, month, round(weight, 6) AS weight FROM book", *_PANEL_VIEWS))
@@ -595,9 +600,8 @@ FROM port p JOIN num USING (month) JOIN turn USING (k)""",
 )
 def factor_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices to net monthly returns: scores, legs, weights, next month's return, turnover and costs."""
-    book = _book(spark, sf_dir)
-    ahead = _forward(spark, sf_dir).select("symbol", "month", "y")
-    gross = pf.portfolio_returns(book, ahead, "weight", "y", ["month"], "symbol", ["month", "k"])
+    book = checkpointed(_book(spark, sf_dir, "y"))
+    gross = book.groupBy("month", "k").agg(_PAID)
     changes = pf.book_changes(book, "weight", [], "symbol", "k")
     both = gross.join(pf.turnover(changes, ["k"]), "k")
     net = F.col("port_ret") - pf.cost_drag(F.col("turnover"), 20)
@@ -1211,18 +1215,28 @@ def _market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _variant_books(scores: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, month, symbol, k, weight): a book for every row of ``weights`` (by, month, w_...), all from one panel of scores."""
-    keys = [*by, "month"]
-    scored = xs.composite(scores.join(F.broadcast(weights), "month"), {f: F.col(f"w_{f}") for f in _FOUR}, keys).withColumn("composite", F.round("composite", 9))
-    side = F.when(F.col("long_core"), 1).when(F.col("short_core"), -1)
-    book = pf.score_weights(xs.legs(scored, "composite", keys).withColumn("side", side), "composite", "side", keys)
-    return book.select(*keys, "symbol", (F.year("month") * 12 + F.month("month")).alias("k"), "weight")
-
+    """(by, month, symbol, y, k, weight): a book for every row of ``weights`` (by, month, w_...), all from one panel of scores.
 
-def _variant_returns(spark: SparkSession, sf_dir: str, scores: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
+    What nobody has in a month is counted before the weights multiply the
+    panel; of the many books' rows only a score is shuffled, for both legs in one window.
+    """
+    keys = [*by, "month"]
+    held = scores.groupBy("month").agg(*[F.count(f).alias(f"_{f}") for f in _FOUR])
+    missing = sum((F.when(F.col(f"_{f}") == 0, F.col(f"w_{f}")).otherwise(0.0) for f in _FOUR), F.lit(0.0))
+    scale = F.when((F.col("_missing") > 0) & (F.col("_missing") < 0.999), 1 / (1 - F.col("_missing"))).otherwise(1.0)
+    few = weights.join(held, "month").withColumn("_missing", missing).select(*keys, *[f"w_{f}" for f in _FOUR], scale.alias("_scale"))
+    total = sum((F.coalesce(F.col(f), F.lit(0.0)) * F.col(f"w_{f}") for f in _FOUR), F.lit(0.0))
+    scored = scores.join(F.broadcast(few), "month").select(*keys, "symbol", "y", F.round(total * F.col("_scale"), 9).alias("composite"))
+    side = F.when(F.col("long_core"), 1).when(F.col("short_core"), -1).alias("side")
+    legs = xs.legs(scored, "composite", keys).select(*keys, "symbol", "y", "composite", side)
+    book = pf.score_weights(legs, "composite", "side", keys)
+    return book.select(*keys, "symbol", "y", (F.year("month") * 12 + F.month("month")).alias("k"), "weight")
+
+
+def _variant_returns(scores: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, month, i, r, turnover): net returns of ``_variant_books``."""
-    book = _variant_books(scores, weights, by)
-    gross = pf.portfolio_returns(book, _forward(spark, sf_dir).select("symbol", "month", "y"), "weight", "y", ["month"], "symbol", [*by, "month", "k"])
+    book = checkpointed(_variant_books(scores, weights, by))
+    gross = book.groupBy(*by, "month", "k").agg(_PAID)
     turned = pf.turnover(pf.book_changes(book, "weight", by, "symbol", "k"), [*by, "k"])
     net = gross.join(turned, [*by, "k"]).withColumn("r", F.col("port_ret") - pf.cost_drag(F.col("turnover"), 20))
     one = Window.partitionBy(*by)
@@ -1239,10 +1253,10 @@ def _dynamic(spark: SparkSession, sf_dir: str, scores: DataFrame, cells: Column,
 
 def _grid_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gamma, lam, i, r): net returns of the book under every pair of parameters, from one scored panel."""
-    scores = _scores(spark, sf_dir)
+    scores = checkpointed(_scores(spark, sf_dir))
     cells = F.array(*[F.struct(F.lit(g).alias("gamma"), F.lit(x).alias("lam")) for g in _GAMMAS for x in _LAMBDAS])
     weights = _dynamic(spark, sf_dir, scores, cells, ("gamma", "lam"))
-    return _variant_returns(spark, sf_dir, scores, weights, ["gamma", "lam"])
+    return _variant_returns(scores, weights, ["gamma", "lam"])
 
 
 @query(with_views(_PANEL + _GRID + "SELECT gamma, lam, split, cell.n, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, round(p, 6) AS deflated_sharpe FROM cell JOIN zs USING (gamma, lam) LEFT JOIN cdf USING (z)", *_PANEL_VIEWS, "strategy_returns"))
@@ -1512,10 +1526,10 @@ FROM judged j LEFT JOIN (SELECT strategy AS variant, beta, var FROM beta JOIN va
 )
 def weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight backtests, each with its own factor weights, from one scored panel; alpha is that of the regression on six factors."""
-    scores = _scores(spark, sf_dir)
+    scores = checkpointed(_scores(spark, sf_dir))
     rows = F.array(*[F.struct(F.lit(k).alias("variant"), *[F.lit(w).alias(f"w_{f}") for f, w in zip(_FOUR, v)]) for k, v in _ABLATION.items()])
     weights = scores.select("month").distinct().withColumn("v", F.explode(rows)).select("month", "v.*")
-    returns = checkpointed(_variant_returns(spark, sf_dir, scores, weights, ["variant"]))
+    returns = checkpointed(_variant_returns(scores, weights, ["variant"]))
     own = returns.withColumn("month_end", F.last_day(F.add_months("month", 1))).join(_factors(spark, sf_dir), "month_end").withColumn("y", F.col("r") - F.col("rf"))
     alpha = regression.hac_fit(own, _SIX, "y", ["variant"], "month_end").filter("factor = 'alpha'").select("variant", F.col("beta").alias("alpha"), F.round("t", 4).alias("alpha_t"))
     judged = _judged(spark, sf_dir, returns).join(alpha, "variant", "left")
@@ -1537,9 +1551,9 @@ def weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def static_or_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same book with fixed weights, weights that follow the regime, the dispersion, or both."""
-    scores = _scores(spark, sf_dir)
+    scores = checkpointed(_scores(spark, sf_dir))
     cells = F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(g).alias("gamma"), F.lit(x).alias("lam")) for k, (g, x) in _COMPARED.items()])
-    returns = _variant_returns(spark, sf_dir, scores, _dynamic(spark, sf_dir, scores, cells, ("variant",)), ["variant"])
+    returns = _variant_returns(scores, _dynamic(spark, sf_dir, scores, cells, ("variant",)), ["variant"])
     return _judged(spark, sf_dir, returns).select("variant", "n", r6("sharpe_net"), r6("max_dd"), r6("info_ratio"), r6("mean_monthly"), r6("vol"))
 
 

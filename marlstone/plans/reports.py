@@ -140,4 +140,4 @@ def momentum_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rolling_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each factor's mean rank correlation of the three months before."""
-    return strategies._rolled_ics(spark, sf_dir, q._scores(spark, sf_dir)).select("month", "factor", r6("ic", "ic_before"))
+    return strategies._rolled_ics(q._scores(spark, sf_dir)).select("month", "factor", r6("ic", "ic_before"))

@@ -43,17 +43,16 @@ context AS (
 _ENTRIES = ["level_z", "low", "normal", "high", *(f"d_{f}" for f in _FOUR), *(f"ic_{f}" for f in _FOUR)]
 
 
-def _rolled_ics(spark: SparkSession, sf_dir: str, scores: DataFrame, rows: int = 3) -> DataFrame:
+def _rolled_ics(scores: DataFrame, rows: int = 3) -> DataFrame:
     """(month, factor, ic): mean rank correlation of the ``rows`` months before, whose returns are known."""
-    ahead = q._forward(spark, sf_dir).select("symbol", "month", "y")
-    ic = xs.information_coefficient(scores.join(ahead, ["symbol", "month"]), _FOUR, "y", ["month"])
+    ic = xs.information_coefficient(scores, _FOUR, "y", ["month"])
     w = Window.partitionBy("factor").orderBy("month").rowsBetween(-rows, -1)
     return ic.select("month", "factor", F.avg("ic_spearman").over(w).alias("ic"))
 
 
 def _context(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
     """What is known when a month's weights are chosen: 12 numbers."""
-    wide = _rolled_ics(spark, sf_dir, scores).groupBy("month").agg(*[F.coalesce(F.max(F.when(F.col("factor") == f, F.col("ic"))), F.lit(0.0)).alias(f"ic_{f}") for f in _FOUR])
+    wide = _rolled_ics(scores).groupBy("month").agg(*[F.coalesce(F.max(F.when(F.col("factor") == f, F.col("ic"))), F.lit(0.0)).alias(f"ic_{f}") for f in _FOUR])
     bench = views.strategy_returns(spark, sf_dir).filter("bench is not null").groupBy("month").agg(F.first("bench").alias("v")).withColumn("one", F.lit(0))
     level = ts.trailing_z(bench, "v", ["one"], "month", rows=24).select("month", F.coalesce("z", F.lit(0.0)).alias("level_z"))
     spread = xs.dispersion(scores, _FOUR, ["month"]).select("month", *[F.col(f).alias(f"d_{f}") for f in _FOUR])
@@ -62,27 +61,27 @@ def _context(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
     return both.select("month", *[r6(c) for c in _ENTRIES])
 
 
-def _arm_returns(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
+def _arm_returns(scores: DataFrame) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).alias("arm"), F.lit(m).alias("w_momentum"), F.lit(v).alias("w_value"), F.lit(0.0).alias("w_quality"), F.lit(0.0).alias("w_sentiment")) for k, (m, v) in enumerate(leaves.ARMS)])
     weights = scores.select("month").distinct().withColumn("v", F.explode(rows)).select("month", "v.*")
-    return q._variant_returns(spark, sf_dir, scores, weights, ["arm"]).select("arm", "month", r6("r", "reward"))
+    return q._variant_returns(scores, weights, ["arm"]).select("arm", "month", r6("r", "reward"))
 
 
 @query(with_views(q._PANEL + _ARMS + q._books_sql("a", "arm") + "SELECT arm, month, round(r, 6) AS reward FROM anum", *q._PANEL_VIEWS))
 def bandit_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each arm's book would have earned, net of its own costs, in every month: one plan for all arms."""
-    return _arm_returns(spark, sf_dir, q._scores(spark, sf_dir))
+    return _arm_returns(checkpointed(q._scores(spark, sf_dir)))
 
 
 @query(with_views(q._PANEL + _CONTEXT + f"SELECT month, {', '.join(_ENTRIES)} FROM context", *q._PANEL_VIEWS, "strategy_returns"))
 def bandit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 12 numbers that a month's arm is chosen by."""
-    return _context(spark, sf_dir, q._scores(spark, sf_dir))
+    return _context(spark, sf_dir, checkpointed(q._scores(spark, sf_dir)))
 
 
 def _replayed(spark: SparkSession, sf_dir: str, seeds: int = 20) -> DataFrame:
     scores = checkpointed(q._scores(spark, sf_dir))
-    paid = _arm_returns(spark, sf_dir, scores).groupBy("month").agg(F.transform(F.sort_array(F.collect_list(F.struct("arm", "reward"))), lambda x: x["reward"]).alias("rewards"))
+    paid = _arm_returns(scores).groupBy("month").agg(F.transform(F.sort_array(F.collect_list(F.struct("arm", "reward"))), lambda x: x["reward"]).alias("rewards"))
     dates = _context(spark, sf_dir, scores).select("month", F.array(*_ENTRIES).alias("context")).join(paid, "month")
     seeded = dates.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     return leaves.bandit_replay(seeded, "context", "rewards", ["seed"], "month", "seed")
@@ -139,15 +138,16 @@ SELECT variant, month, round(drawdown, 6) AS drawdown, round(scale, 6) AS scale,
 
 def _compared_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of fixed and dynamic weights, written once: scalars, steps and changes all read them."""
-    scores = q._scores(spark, sf_dir)
+    scores = checkpointed(q._scores(spark, sf_dir))
     cells = F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(g).alias("gamma"), F.lit(x).alias("lam")) for k, (g, x) in q._COMPARED.items()])
-    return checkpointed(q._variant_books(scores, q._dynamic(spark, sf_dir, scores, cells, ("variant",)), ["variant"]))
+    return checkpointed(q._variant_books(scores, q._dynamic(spark, sf_dir, scores, cells, ("variant",)), ["variant"]).drop("y"))
 
 
 def _scalars(spark: SparkSession, sf_dir: str, books: DataFrame) -> DataFrame:
     days = views.prices_by_day(spark, sf_dir)
     daily = days.select("symbol", "day", (F.try_divide(F.col("px"), F.lag("px").over(Window.partitionBy("symbol").orderBy("day"))) - 1).alias("ret"))
-    return risk.risk_scalars(risk.trailing_book_returns(books, daily, ["variant"], "month", _TRAIL_DAYS), ["variant", "month"])
+    trail = checkpointed(risk.trailing_book_returns(books, daily, ["variant"], "month", _TRAIL_DAYS))
+    return risk.risk_scalars(trail, ["variant", "month"])
 
 
 @query(with_views(q._PANEL + _OVERLAY + "SELECT variant, month, n, round(var, 6) AS var, round(es, 6) AS es, round(var_scalar, 6) AS var_scalar, round(vol_scalar, 6) AS vol_scalar FROM scal", *q._PANEL_VIEWS, "strategy_returns"))
