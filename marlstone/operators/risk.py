@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +16,49 @@ from marlstone.operators.portfolio import book_changes, tail_risk, vol_scalar
 LEVELS = (1.0, 0.75, 0.5)
 
 
-def trailing_book_returns(book: DataFrame, daily: DataFrame, by: Sequence[str], on: str, days: int = 1096) -> DataFrame:
+def trailing_book_returns(book: DataFrame, daily: DataFrame, by: Sequence[str], on: str, days: int = 1096, names: int = 2000) -> DataFrame:
     """(by, on, day, r): what a book would have returned on each of the ``days`` before its date, a missing return as 0.
 
     ``book`` has (by, on, symbol, weight), ``daily`` (symbol, day, ret). Both
-    are dealt by symbol and met within the window there, so that daily rows
-    are shuffled once and not once for every date that looks back on them.
+    are dealt by symbol into blocks of about ``names``, and a block's weights (books x
+    symbols) times its returns (symbols x days) is its part of every book's
+    days: a daily row is not repeated for the dates and books that look back on it.
     """
-    d = daily.select(F.col("symbol").alias("_s"), "day", "ret")
-    seen = book.join(d, (F.col("symbol") == F.col("_s")) & (F.col("day") < F.col(on)) & (F.col("day") >= F.date_sub(on, days)))
-    return seen.groupBy(*by, on, "day").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("r"))
+    blocks = max(1, -(-book.agg(F.approx_count_distinct("symbol")).first()[0] // names))
+    block = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).alias("_block")
+    held = book.filter(F.col("symbol").isNotNull() & F.col(on).isNotNull()).select(block, *by, on, F.unix_date(on).alias("_on"), "symbol", F.col("weight").cast("double").alias("weight"))
+    paid = daily.filter("symbol is not null and day is not null").select(block, "symbol", F.unix_date("day").alias("day"), F.coalesce(F.col("ret").cast("double"), F.lit(0.0)).alias("ret"))
+
+    def part(_, b: pa.Table, d: pa.Table) -> pa.Table:
+        if not len(b) or not len(d):
+            return pa.table({**{c: b[c].slice(0, 0) for c in (*by, on)}, "day": pa.array([], pa.date32()), "r": pa.array([], pa.float64())})
+        codes = [np.asarray(b[c].combine_chunks().dictionary_encode().indices.fill_null(-1)) for c in by]
+        _, first, row = np.unique(np.column_stack([*codes, np.asarray(b["_on"])]), axis=0, return_index=True, return_inverse=True)
+        row, keys = row.ravel(), b.select([*by, on]).take(pa.array(first))
+        symbols = b["symbol"].combine_chunks().unique()
+        name, other = (np.asarray(pc.fill_null(pc.index_in(x["symbol"].combine_chunks(), symbols), -1)) for x in (b, d))
+        d, other = d.filter(pa.array(other >= 0)), other[other >= 0]
+        seen, day = np.unique(np.asarray(d["day"]), return_inverse=True)
+        weight, ret = np.asarray(b["weight"]), np.asarray(d["ret"])
+        w, r = np.zeros((len(first), len(symbols))), np.zeros((len(symbols), len(seen)))
+        there = [np.zeros(m.shape, np.float32) for m in (w, r)]
+        np.add.at(w, (row, name), weight)
+        np.add.at(r, (other, day), ret)
+        there[0][row, name], there[1][other, day] = 1, 1
+        # what isn't a finite number stays with its own symbol's books and days
+        odd = np.flatnonzero(~(np.isfinite(w).all(axis=0) & np.isfinite(r).all(axis=1)))
+        out = np.delete(w, odd, axis=1) @ np.delete(r, odd, axis=0)
+        for k in odd:
+            rows, columns = np.flatnonzero(there[0][:, k]), np.flatnonzero(there[1][k])
+            out[np.ix_(rows, columns)] += np.outer(w[rows, k], r[k, columns])
+        since = np.asarray(b["_on"])[first][:, None] - seen[None, :]
+        i, j = np.nonzero((there[0] @ there[1] > 0) & (since > 0) & (since <= days))
+        keys = keys.take(pa.array(i))
+        return pa.table({**{c: keys[c] for c in (*by, on)}, "day": pa.array(seen[j].astype("int32")).cast(pa.date32()), "r": pa.array(out[i, j])})
+
+    kinds = {f.name: f.dataType.simpleString() for f in book.schema}
+    parts = held.groupBy("_block").cogroup(paid.groupBy("_block")).applyInArrow(part, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, on)), "day date, r double"]))
+    return parts.groupBy(*by, on, "day").agg(F.sum("r").alias("r"))
 
 
 def risk_scalars(trail: DataFrame, by: Sequence[str], budget: float = 0.02, target: float = 0.10, recent: int = 60, confidence: float = 0.99) -> DataFrame:

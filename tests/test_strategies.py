@@ -135,6 +135,45 @@ def test_trailing_book_returns_and_scalars(spark):
         assert row.vol_scalar == pytest.approx(np.clip(0.1 / (np.std(series[-60:], ddof=1) * 252**0.5), 0.3, 1.5))
 
 
+def test_trailing_book_returns_in_blocks_of_symbols(spark):
+    """Each symbol in a block of its own; a return that isn't finite stays with its own days, and no daily row is repeated for the dates that look back on it."""
+    start, rng = D(2020, 1, 1), random.Random(15)
+    book = [(v, m, s, rng.uniform(-1, 1)) for v in ("p", None) for m in (D(2020, 2, 1), D(2020, 3, 1)) for s in "abcd" if (v, s) != ("p", "d")]
+    daily = [(s, start + dt.timedelta(days=i), float("inf") if (s, i) == ("d", 40) else rng.gauss(0, 1)) for s in "abdx" for i in range(0, 60, 2 if s == "a" else 3)]
+    frames = spark.createDataFrame(book, "variant string, month date, symbol string, weight double"), spark.createDataFrame(daily, "symbol string, day date, ret double")
+    want = {}
+    for v, m, s, w in book:
+        for t, day, r in daily:
+            if s == t and m - dt.timedelta(days=30) <= day < m:
+                want[v, m, day] = want.get((v, m, day), 0.0) + w * r
+    for names in (1, 2000):
+        trail = risk.trailing_book_returns(*frames, ["variant"], "month", days=30, names=names)
+        got = {(r.variant, r.month, r.day): r.r for r in trail.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "Join" not in trail._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variant_books_shuffle_scores_once(spark):
+    """Of the many books only one score a symbol goes to the legs' window: no factor, and no window that counts what is missing."""
+    from marlstone.plans import queries as q
+
+    rng = random.Random(16)
+    rows = [(s, D(2020, m, 1), rng.random(), None if m == 2 else rng.random(), rng.random(), rng.random(), rng.random()) for m in (1, 2) for s in range(30)]
+    scores = spark.createDataFrame(rows, "symbol int, month date, y double, momentum double, value double, quality double, sentiment double")
+    weights = spark.createDataFrame([(k, D(2020, m, 1), *w) for k, w in enumerate([(0.3, 0.3, 0.25, 0.15), (1.0, 0.0, 0.0, 0.0)]) for m in (1, 2)], "v int, month date, w_momentum double, w_value double, w_quality double, w_sentiment double")
+    book = q._variant_books(scores, weights, ["v"])
+    got = {(r.v, r.month.month, r.symbol): r.weight for r in book.collect()}
+    for k, w in enumerate([(0.3, 0.3, 0.25, 0.15), (1.0, 0.0, 0.0, 0.0)]):
+        for m in (1, 2):
+            total = {r[0]: sum(a * (b or 0.0) for a, b in zip(w, r[3:])) for r in rows if r[1].month == m}
+            lo, hi = np.quantile(list(total.values()), [0.2, 0.8])
+            legs = {s: x for (v, n, s), x in got.items() if (v, n) == (k, m)}
+            assert legs.keys() == {s for s in total if total[s] >= hi or total[s] <= lo}
+            assert all(x == 0 or (x > 0) == (total[s] >= hi) for s, x in legs.items()) and sum(map(abs, legs.values())) == pytest.approx(1 if lo < hi else 0.5)
+    windows = [line for line in book._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and not any("count(momentum" in line or "count(value" in line for line in windows)
+
+
 def test_overlay_matches_a_loop(spark):
     rng = random.Random(5)
     months = [D(2018 + k // 12, k % 12 + 1, 1) for k in range(40)]
