@@ -558,8 +558,9 @@ turn AS (SELECT coalesce(a.k, b.k + 1) AS k, sum(abs(coalesce(a.weight, 0) - coa
 _PANEL_VIEWS = ("returns", "universe", "ratio_facts", "statement_facts", "sentiment_facts")
 
 
-#: What a book earns; a missing return counts as 0.
-_PAID = F.sum(F.col("weight") * F.coalesce("y", F.lit(0.0))).alias("port_ret")
+def _paid() -> Column:
+    """What a book earns; a missing return counts as 0."""
+    return F.sum(F.col("weight") * F.coalesce("y", F.lit(0.0))).alias("port_ret")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -601,7 +602,7 @@ FROM port p JOIN num USING (month) JOIN turn USING (k)""",
 def factor_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices to net monthly returns: scores, legs, weights, next month's return, turnover and costs."""
     book = checkpointed(_book(spark, sf_dir, "y"))
-    gross = book.groupBy("month", "k").agg(_PAID)
+    gross = book.groupBy("month", "k").agg(_paid())
     changes = pf.book_changes(book, "weight", [], "symbol", "k")
     both = gross.join(pf.turnover(changes, ["k"]), "k")
     net = F.col("port_ret") - pf.cost_drag(F.col("turnover"), 20)
@@ -1236,7 +1237,7 @@ def _variant_books(scores: DataFrame, weights: DataFrame, by: Sequence[str]) ->
 def _variant_returns(scores: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, month, i, r, turnover): net returns of ``_variant_books``."""
     book = checkpointed(_variant_books(scores, weights, by))
-    gross = book.groupBy(*by, "month", "k").agg(_PAID)
+    gross = book.groupBy(*by, "month", "k").agg(_paid())
     turned = pf.turnover(pf.book_changes(book, "weight", by, "symbol", "k"), [*by, "k"])
     net = gross.join(turned, [*by, "k"]).withColumn("r", F.col("port_ret") - pf.cost_drag(F.col("turnover"), 20))
     one = Window.partitionBy(*by)
