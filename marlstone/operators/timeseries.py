@@ -26,6 +26,29 @@ def month_panel(prices: DataFrame, symbol: str = "symbol", month: str = "month")
     return grid.join(prices, [symbol, month], "left")
 
 
+def padded_panel(prices: DataFrame, value: str, symbol: str = "symbol", month: str = "month") -> DataFrame:
+    """``month_panel`` with ``value`` carried forward over months without one; other columns are null there.
+
+    A symbol's row stands for the months until its next row, its first one also for those
+    before, so the panel takes one shuffle by symbol and no join.
+    """
+    span = prices.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi")).first()
+    if span["_lo"] is None:
+        return prices.withColumn("row", F.lit(0))
+    w = Window.partitionBy(symbol).orderBy(month)
+    lo, hi = F.lit(span["_lo"]), F.lit(span["_hi"])
+    others = [c for c in prices.columns if c not in (symbol, month, value)]
+    own = F.when(F.col(symbol).isNotNull(), F.col(month))
+    held = F.last(F.when(own.isNotNull(), F.col(value)), ignorenulls=True).over(_upto([symbol], month))
+    first = F.when(F.row_number().over(w) == 1, lo).otherwise(F.col(month))
+    final = F.coalesce(F.add_months(F.lead(month).over(w), -1), hi)
+    spans = prices.select(symbol, own.alias("_own"), held.alias(value), *others, first.alias("_first"), final.alias("_final")).filter("_first <= _final")
+    rows = spans.withColumn(month, F.explode(F.sequence("_first", "_final", F.expr("interval 1 month"))))
+    at = F.col(month)
+    number = (F.year(at) - span["_lo"].year) * 12 + F.month(at) - span["_lo"].month
+    return rows.select(symbol, number.alias("row"), month, F.when(at >= F.col("_own"), F.col(value)).alias(value), *[F.when(at == F.col("_own"), F.col(c)).alias(c) for c in others])
+
+
 def padded(panel: DataFrame, value: str, by: Sequence[str], on: str) -> DataFrame:
     """``value`` carried forward over nulls."""
     return panel.withColumn(value, F.last(value, ignorenulls=True).over(_upto(by, on)))
@@ -33,9 +56,13 @@ def padded(panel: DataFrame, value: str, by: Sequence[str], on: str) -> DataFram
 
 def simple_returns(panel: DataFrame, value: str, by: Sequence[str], on: str, name: str = "ret") -> DataFrame:
     """Change against the panel's previous row, on padded values."""
-    filled = padded(panel, value, by, on)
+    return changes(padded(panel, value, by, on), value, by, on, name)
+
+
+def changes(panel: DataFrame, value: str, by: Sequence[str], on: str, name: str = "ret") -> DataFrame:
+    """Change against the panel's previous row."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(on))
-    return filled.withColumn(name, F.try_divide(F.col(value), before) - 1)
+    return panel.withColumn(name, F.try_divide(F.col(value), before) - 1)
 
 
 def momentum(panel: DataFrame, value: str, by: Sequence[str], on: str, lookback: int = 12, skip: int = 1, name: str = "momentum") -> DataFrame:
