@@ -78,8 +78,8 @@ def composite(df: DataFrame, weights: dict[str, float | Column], by: Sequence[st
 
 def row_mean(columns: Sequence[str]) -> Column:
     """Mean of the values that aren't null."""
-    there = F.filter(F.array(*columns), lambda x: x.isNotNull())
-    return F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there))
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in columns), F.lit(0.0))
+    return F.try_divide(total, sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0)))
 
 
 def information_coefficient(df: DataFrame, factors: Sequence[str], forward: str, by: Sequence[str], least: int = 5) -> DataFrame:

@@ -126,7 +126,13 @@ def factor_panel(prices: DataFrame, ratios: DataFrame, statements: DataFrame, se
     if last is not None:
         facts = [*RATIO_FIELDS, *STATEMENT_FIELDS, "sentiment"]
         known = known.crossJoin(F.broadcast(last.toDF("_last"))).withColumns({c: F.when(F.col("month") <= F.col("_last"), F.col(c)) for c in facts}).drop("_last")
+    return scored(checkpointed(known))
+
+
+def scored(known: DataFrame) -> DataFrame:
+    """Rows of ``known_then`` with value and quality; a field that isn't there is a column of nulls. ``known`` is read twice."""
     parts = {f"_v{i}": c for i, c in enumerate(value_candidates("px"))} | {f"_q{i}": c for i, c in enumerate(quality_candidates())}
-    scored = available(checkpointed(known), parts, ["month"])
+    fields = [*RATIO_FIELDS, *STATEMENT_FIELDS]
+    whole = known.withColumns({c: F.lit(None).cast("double") for c in fields if c not in known.columns})
     means = {"value": row_mean(["_v0", "_v1", "_v2"]), "quality": row_mean(["_q0", "_q1", "_q2"])}
-    return scored.withColumns(means).drop(*RATIO_FIELDS, *STATEMENT_FIELDS, *parts)
+    return available(whole, parts, ["month"]).withColumns(means).drop(*fields, *parts)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import factors
@@ -69,3 +70,41 @@ def test_sources_are_those_of_the_window(spark):
     df = spark.createDataFrame(rows, "m int, s string, x double, y double, z double")
     cells = [F.col("x"), F.col("y") + 1, F.col("z")]
     assert _table(factors.available(df, {"v": cells}, ["m"])) == _table(df.withColumn("v", factors.first_available(cells, ["m"])))
+
+
+def _trades(spark, folder):
+    """lineitem with gaps, a late first quarter, rows without a date or a supplier, and a supplier that has nothing else."""
+    rng = random.Random(5)
+    at = lambda: dt.datetime(1995, 2, 1) + dt.timedelta(days=rng.randint(0, 1500))
+    rows = [(s, at()) for s in (1, 2, 3, 5, None) for _ in range(25)] + [(4, dt.datetime(1996, 11, 5)), (4, None), (6, None)]
+    rows = [(s, d, float(rng.randint(1, 50)), rng.randint(100, 9999) / 4, rng.randint(0, 10) / 128, rng.randint(0, 8) / 128, rng.choice("ARN")) for s, d in rows]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string")
+    df.write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_months_from_quarters_are_those_of_the_steps(spark, tmp_path):
+    _trades(spark, tmp_path)
+    sums = views.quarterly_sums(spark, str(tmp_path))
+    panel, w = ts.padded_panel(views.prices(spark, str(tmp_path)), "px"), Window.partitionBy("symbol").orderBy("month")
+    sides = {"before": F.lag("px", 1).over(w), "year_ago": F.lag("px", 12).over(w), "ahead": F.lead("px", 1).over(w)}
+    prices = panel.select("symbol", "month", "px").withColumns(sides)
+    dated = sums.filter("quarter is not null")  # what has no date is never known
+    fields = [*views._ratio_cells(), *views._statement_cells()]
+    for lag in (0, 45, 90):
+        facts = (f(spark, str(tmp_path), dated) for f in (views.ratio_facts, views.statement_facts, views.sentiment_facts))
+        want = factors.known_then(prices, *facts, lag).select(*prices.columns, "sentiment", *fields)
+        got = views.known_months(sums, lag)
+        assert got.columns == want.columns and want.count() > 250
+        assert _table(got) == _table(want)
+    assert views.known_months(sums.limit(0)).count() == 0
+
+
+def test_panel_is_shuffled_by_symbol_once_and_sums_are_made_after_the_shuffle(spark):
+    def plan(df):
+        return df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+    sums = views.quarterly_sums(spark, SF)
+    assert plan(sums).count("Exchange") == 1
+    assert plan(sums).index("partial_sum") < plan(sums).index("Exchange")  # printed from the top: the shuffle is below
+    known = plan(views.known_months(queries.checkpointed(sums)))
+    assert known.count("Exchange") == 1 and "Join" not in known and "Union" not in known
