@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from marlstone.llm.common import row_slices, string_buffer, trimmed
 from marlstone.llm.pieces import PieceCache, split_pieces
 
-#: Bytes of text at once, bytes of words in a query, ids in a query that decodes.
-_SLICE, _QUERY, _IDS = 1 << 19, 1 << 18, 1 << 17
+#: Bytes of text at once, and of those that are cut into parts at once; bytes of words in a query, ids in a query that decodes.
+#: A query scans the merge table in every step, whatever its words; so a slice is larger than what is cut at once, and a query has the new words of all of it.
+_SLICE, _CUT, _QUERY, _IDS = 1 << 20, 1 << 19, 1 << 18, 1 << 17
+#: Ids that an ordered aggregate joins; fewer would cost a group more than its ids.
+_STRETCH = 1 << 10
 #: Parts of words longer than this are encoded in windows of as many bytes, which are then joined.
 _WINDOW = 64
-#: Bytes of parts and pairs of tokens that a task process remembers.
-_CACHE_BYTES, _PAIRS = 8 << 20, 1 << 18
+#: Parts of words, bytes (of parts, and of decoded runs), pairs of tokens and runs of ids that a task process remembers.
+_PARTS, _CACHE_BYTES, _PAIRS, _RUNS = 600_000, 8 << 20, 1 << 18, 300_000
 
 #: Rows are tokens of words by their first byte ``i`` and the byte behind them.
 #: Each step joins the tokens of words that still change to the tokens behind
@@ -95,20 +98,29 @@ class SqlBpe:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM chars")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.twos, self.threes = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
+        self.twos, threes = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
         for t in ranks:
             if len(t) == 2:
                 self.twos[t[0] << 8 | t[1]] = True
             for i in range(len(t) - 2):
-                self.threes[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
+                threes[t[i] << 16 | t[i + 1] << 8 | t[i + 2]] = True
+        self.threes = np.packbits(threes, bitorder="little")
         self.tokens, self.sizes = [b""] * (max(ranks.values()) + 1), np.zeros(max(ranks.values()) + 1, np.int64)
         for t, r in ranks.items():
             self.tokens[r], self.sizes[r] = t, len(t)
+        self.spaced = np.array([t[:1] == b" " for t in self.tokens])
         self.apart: dict[tuple[int, int], bool] = {}
-        self.cache = PieceCache(self.encode, limit=300_000, split=self._split, most_bytes=_CACHE_BYTES)
+        self._clear_runs()
+        self.cache = PieceCache(self.encode, limit=_PARTS, split=self._split, most_bytes=_CACHE_BYTES)
 
     def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = self._parts(data, split_pieces(data, offsets)[0])
+        found, a = [np.empty(0, np.int64)], 0
+        while a < len(offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _CUT, side="right")) - 1)
+            some = data[offsets[a] : offsets[b]]
+            found.append(self._parts(some, split_pieces(some, offsets[a : b + 1] - offsets[a])[0]) + offsets[a])
+            a = b
+        parts = np.concatenate(found)
         return parts, np.r_[parts[1:], len(data)]
 
     def _parts(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -117,9 +129,10 @@ class SqlBpe:
         Such a token would be the two bytes at the cut, or hold them with the
         byte before or behind.
         """
-        wide = data.astype(np.int64)
+        wide = data.astype(np.int32)
         two = wide[:-1] << 8 | wide[1:]
-        three = self.threes[two[:-1] << 8 | wide[2:]] if len(data) > 2 else np.empty(0, bool)
+        at = two[:-1] << 8 | wide[2:]
+        three = (self.threes[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         whole = np.ones(len(data), bool)  # whether a byte belongs to the part of the one before
         whole[1:] = self.twos[two] | np.r_[False, three][: len(two)] | np.r_[three, False][: len(two)]
         whole[begin] = False
@@ -211,27 +224,78 @@ class SqlBpe:
             reach *= 2
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """Bytes of each row of ids; long rows are decoded in stretches, a query for each ``_IDS`` ids."""
-        cuts = np.union1d(offsets, np.arange(0, len(ids) + 1, _IDS))
-        out, a = [], 0
-        while a < len(cuts) - 1:
-            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + _IDS, side="right")) - 1)
-            out += self._decode_rows(ids[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
-            a = b
-        first = np.searchsorted(cuts, offsets)
-        return [b"".join(out[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+        """Bytes of each row of ids."""
+        raw, ends = self.decoded(ids, offsets)
+        raw, ends = raw.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def _decode_rows(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows of ids, end to end, and n + 1 offsets of the rows in them.
+
+        Rows are taken as short runs of ids that begin where a token begins with a
+        space. A run that wasn't decoded before goes to a query with the other new ones.
+        """
+        first, size, key = self._runs(ids, offsets)
+        keys, one, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.run_keys) > _RUNS or len(self.run_bytes) > _CACHE_BYTES:
+            self._clear_runs()
+        at = np.searchsorted(self.run_keys, keys)
+        new = np.flatnonzero(np.r_[self.run_keys, np.uint64(0)][at] != keys)  # no run has the number 0
+        if len(new):
+            one, n = first[one[new]], size[one[new]]
+            ends = np.r_[0, np.cumsum(n)]
+            own = ids[np.repeat(one - ends[:-1], n) + np.arange(ends[-1])]
+            texts = [self._decode_rows(x, _cuts(len(x), _STRETCH)) for x in np.split(own, _cuts(len(own), _IDS)[1:-1])]
+            ends = np.r_[0, np.cumsum(self.sizes[own])][ends]
+            self.run_starts = np.insert(self.run_starts, at[new], ends[:-1] + len(self.run_bytes))
+            self.run_sizes = np.insert(self.run_sizes, at[new], np.diff(ends))
+            self.run_keys = np.insert(self.run_keys, at[new], keys[new])
+            self.run_bytes = np.frombuffer(b"".join([self.run_bytes.tobytes(), *texts]), np.uint8)
+            at = np.searchsorted(self.run_keys, keys)
+        at = at[which]
+        starts, sizes = self.run_starts[at], self.run_sizes[at]
+        ends = np.r_[0, np.cumsum(sizes)]
+        raw, cuts = np.empty(ends[-1], np.uint8), _cuts(len(at), _IDS >> 2)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            raw[ends[a] : ends[b]] = self.run_bytes[np.repeat(starts[a:b] - ends[a:b], sizes[a:b]) + np.arange(ends[a], ends[b])]
+        return raw, ends[np.searchsorted(first, offsets)]
+
+    def _clear_runs(self) -> None:
+        self.run_keys, self.run_starts, self.run_sizes, self.run_bytes = (np.empty(0, kind) for kind in (np.uint64, np.int64, np.int32, np.uint8))
+
+    def _runs(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First places, sizes and numbers of runs of ids; a run is so short that its ids, side by side, are one number of 64 bits."""
+        bits = 16 if len(self.tokens) < 1 << 16 else 32
+        begins = self.spaced[ids]
+        begins[offsets[offsets < len(ids)]] = True
+        word = np.flatnonzero(begins)
+        begins |= (np.arange(len(ids)) - np.repeat(word, np.diff(np.r_[word, len(ids)]))) & (64 // bits - 1) == 0
+        first = np.flatnonzero(begins)
+        size, key = np.diff(np.r_[first, len(ids)]), np.zeros(len(first), np.uint64)
+        for j in range(64 // bits):
+            live = np.flatnonzero(size > j)
+            key[live] |= ids[first[live] + j].astype(np.uint64) + np.uint64(1) << np.uint64(bits * j)
+        return first, size, key
+
+    def _decode_rows(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """Bytes of rows of ids, none of them empty, end to end; one query."""
         counts = np.diff(offsets)
         doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         rows = pa.table([pa.array(doc), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids.astype(np.int32))], ["doc", "i", "id"])
         self.db.register("ids", rows)
         out = self.db.sql(_DECODE).to_arrow_table()
         self.db.unregister("ids")
-        texts = [b""] * len(counts)
-        for d, chars in zip(out["doc"].to_pylist(), out["chars"].to_pylist()):
-            texts[d] = chars.encode("latin-1")
-        return texts
+        return "".join(out["chars"].to_pylist()).encode("latin-1")
+
+
+def _cuts(n: int, each: int) -> np.ndarray:
+    """0, each, 2 * each and so on, and n."""
+    return np.r_[np.arange(0, n, each), n]
+
+
+def _binary(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Rows of bytes as an Arrow column, without a copy of them."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
 
 
 @cache
@@ -256,7 +320,7 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, slice_bytes: int = _SLIC
     separately and without special tokens, so their strings are ordinary text;
     null and empty texts have no ids; repeated rows are encoded alike; an empty
     table gives no rows. Different pieces of a slice of rows are encoded once,
-    and kept (up to a bound of pieces and bytes) for the task process's next
+    and different runs of ids decoded once; both are kept (up to a bound of their number and bytes) for the task process's next
     slices. A query holds a row for each byte of 0.25 MB of words; words longer than
     that are encoded in windows, so that a task needs memory for its text and
     ids, some numbers for each byte of them, and those rows. ``ranks_path`` is a
@@ -274,8 +338,8 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, slice_bytes: int = _SLIC
             for part in row_slices(batch, "text", slice_bytes):
                 data, offsets = string_buffer(part["text"])
                 ids, ends = bpe.cache.ids_of(data, offsets)
-                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                decoded = pa.array(bpe.decode(ids, ends), pa.binary())
+                packed = _binary(ids.astype("<u4"), ends * 4)
+                decoded = _binary(*bpe.decoded(ids, ends))
                 yield pa.RecordBatch.from_arrays([*part.columns, packed, decoded], names=[*part.schema.names, "ids", "decoded"])
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)

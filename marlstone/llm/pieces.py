@@ -81,17 +81,17 @@ class PieceCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.starts, self.counts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-        self.bytes, self.places, self.sizes = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.starts, self.counts, self.ids = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
+        self.bytes, self.places, self.sizes = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int32)
         self.others: dict[bytes, int] = {}
 
     def _add(self, pieces: list[bytes]) -> np.ndarray:
         """New slots for pieces."""
         ids, counts = self.encode(pieces)
-        n, sizes = len(self.counts), np.array([len(p) for p in pieces], np.int64)
+        n, sizes = len(self.counts), np.array([len(p) for p in pieces], np.int32)
         self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts]
-        self.counts, self.ids = np.r_[self.counts, counts], np.r_[self.ids, ids.astype(np.uint32)]
+        self.counts, self.ids = np.r_[self.counts, counts.astype(np.int32)], np.r_[self.ids, ids.astype(np.uint32)]
         self.places, self.sizes = np.r_[self.places, len(self.bytes) + np.cumsum(sizes) - sizes], np.r_[self.sizes, sizes]
         self.bytes = np.r_[self.bytes, np.frombuffer(b"".join(pieces), np.uint8)]
         return np.arange(n, n + len(pieces))

@@ -112,6 +112,45 @@ def test_a_piece_of_4_mb_matches_tiktoken():
         assert bpe.cache.ids_of(data, offsets)[0].tolist() == coding._core_bpe.encode_single_piece(text.encode())
 
 
+def test_a_run_of_ids_is_decoded_once():
+    bpe, asked = SqlBpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), []
+    rows = bpe._decode_rows
+    bpe._decode_rows = lambda ids, offsets: (asked.append(len(ids)), rows(ids, offsets))[1]
+    texts = ["a word that stands in every text, und noch ein längeres " * 50, ""] * 20
+    for _ in range(2):
+        ids, ends = bpe.cache.ids_of(*string_buffer(pa.array(texts)))
+        assert bpe.decode(ids, ends) == [t.encode() for t in texts]
+    assert sum(asked) < 100 < len(ids)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_any_ids_are_decoded(tmp_path, wide):
+    """Rows that no text has, before and after the remembered runs are forgotten; with ids of more than 16 bits, too."""
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(9)
+    if wide:
+        path = tmp_path / "wide.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ({bytes([b]): b for b in range(256)} | {b" a": 65_535, b" aa": 65_536, b"bb": 70_000}).items()))
+    tokens = {r: t for t, r in read_ranks(str(path)).items()}
+    bpe, known = SqlBpe(str(path)), sorted(tokens)
+    for again in range(3):
+        rows = [[rng.choice(rng.choice([known, known[-3:], known[:2], [32]])) for _ in range(rng.choice([0, 1, 2, 5, 9, 3000]))] for _ in range(60)]
+        ids, ends = np.array([x for r in rows for x in r], np.uint32), np.cumsum([0, *map(len, rows)])
+        assert bpe.decode(ids, ends) == [b"".join(tokens[x] for x in r) for r in rows]
+        if again:
+            bpe._clear_runs()
+    assert bpe.decode(np.empty(0, np.uint32), np.zeros(3, np.int64)) == [b"", b""]
+
+
+def test_parts_of_a_file_stay_in_the_cache():
+    """A file of the driver's half gigabyte has some 440,000 different parts in 54 MB; a part that comes again isn't encoded again."""
+    bpe, rng, asked = SqlBpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(10), []
+    bpe.cache.encode = lambda parts: (asked.append(len(parts)), (np.zeros(len(parts), np.int32), np.ones(len(parts), np.int64)))[1]
+    slices = [pa.array([" ".join("".join(rng.choices("etaoinshr", k=8)) for _ in range(50_000))]) for _ in range(8)]
+    for text in [*slices, slices[0]]:
+        bpe.cache.ids_of(*string_buffer(text))
+    assert sum(asked[:8]) > 350_000 and len(asked) == 8
+
+
 def test_a_vocabulary_whose_ranks_fall_is_an_error(spark, tmp_path):
     path = tmp_path / "falling.tiktoken"
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"abc": 290}
